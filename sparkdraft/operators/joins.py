@@ -1,0 +1,45 @@
+"""Join helpers that keep broadcasts bounded and hot keys split."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+_SALT = "_sd_salt"
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Mark ``df`` for broadcast only if it provably has <= ``max_rows`` rows.
+
+    The check is a ``limit(max_rows + 1).count()``, which stops scanning
+    once the bound is exceeded. Above the bound the frame is returned
+    unhinted, and the planner (with AQE measuring the real size) chooses a
+    shuffle join.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
+def salted_join(
+    big: DataFrame,
+    per_key: DataFrame,
+    on: Sequence[str],
+    how: str = "inner",
+    salts: int = 16,
+    salt_from: Sequence[str] | None = None,
+) -> DataFrame:
+    """Equi-join where ``big`` may hold a hot key and ``per_key`` has one row per key.
+
+    Each ``big`` row gets a deterministic salt (a hash of ``salt_from``, by
+    default all of its columns, so recomputation after executor loss gives
+    the same salt); ``per_key`` is replicated once per salt. A key holding
+    a third of ``big`` is then spread over ``salts`` tasks, at the cost of
+    ``salts`` copies of the small side. Supports inner/left/left_semi/left_anti.
+    """
+    src = list(salt_from) if salt_from else big.columns
+    b = big.withColumn(_SALT, F.pmod(F.xxhash64(*[F.col(c) for c in src]), F.lit(salts)))
+    k = per_key.withColumn(_SALT, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    out = b.join(k, [*on, _SALT], how)
+    return out.drop(_SALT)
