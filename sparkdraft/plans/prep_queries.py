@@ -63,3 +63,167 @@ def q_first_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slice 0: conversations -> first user/assistant exchange -> canonical
     records (P03 + P04 + P05 + P06 + P07 + P08)."""
     return flatten_records(chat_records(spark, sf_dir), extra=("conversation_id",))
+
+
+# ---------------------------------------------------------------------------
+# documents as Alpaca rows
+# ---------------------------------------------------------------------------
+
+
+def alpaca_rows(docs: DataFrame) -> DataFrame:
+    """Stand-in: instruction = first line of ``text``, input = ``source``,
+    output = the rest of ``text`` ("" without a newline), category = lang."""
+    return docs.select(
+        F.col("doc_id").alias("id"),
+        F.substring_index("text", "\n", 1).alias("instruction"),
+        F.col("source").alias("input"),
+        F.regexp_extract("text", r"(?s)^[^\n]*\n(.*)$", 1).alias("output"),
+        F.col("lang").alias("category"),
+        F.col("source"),
+    )
+
+
+ALPACA_RAW_SQL = r"""
+SELECT doc_id,
+       CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, 1, strpos(text, chr(10)) - 1) ELSE text END AS instruction,
+       source AS inp,
+       regexp_extract(text, '(?s)^[^\n]*\n(.*)$', 1) AS output,
+       lang, source
+FROM documents
+"""
+
+
+def _alpaca_norm_sql(raw_with_idx: str, idx: str) -> str:
+    """SQL twin of P01 + P04 over a relation with an index column."""
+    return f"""
+SELECT doc_id, {idx}, lang, source,
+       {strip_sql("CASE WHEN nullif(instruction, '') IS NOT NULL AND nullif(inp, '') IS NOT NULL "
+                  "THEN instruction || chr(10) || chr(10) || 'Input:' || chr(10) || inp "
+                  "ELSE nullif(instruction, '') END")} AS prompt_text,
+       {strip_sql("nullif(output, '')")} AS response_text
+FROM {raw_with_idx}
+"""
+
+
+ALPACA_NORMALIZE_SQL = f"""
+WITH raw AS ({ALPACA_RAW_SQL}),
+ix AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM raw),
+r AS ({_alpaca_norm_sql('ix', 'idx')})
+SELECT CASE WHEN doc_id <> 0 THEN CAST(doc_id AS VARCHAR) ELSE CAST(idx AS VARCHAR) END AS id,
+       prompt_text, response_text, 'alpaca' AS source, 'documents' AS meta_dataset, 'train' AS meta_split,
+       idx AS meta_source_index, lang AS meta_category, source AS meta_source
+FROM r WHERE prompt_text <> '' AND response_text <> ''
+"""
+
+
+@register("alpaca_normalize", ALPACA_NORMALIZE_SQL)
+def q_alpaca_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P01 + P04-P08 over every document read as an Alpaca row, positioned
+    by doc_id."""
+    raw = with_global_index(alpaca_rows(table(spark, sf_dir, "documents")), ["id"], "source_index")
+    recs = normalize_rows(raw, family="Alpaca", dataset_name="documents", split="train")
+    return flatten_records(recs, extra=("category", "source"))
+
+
+SPLIT_SEED = 7
+
+
+def split_sizes_for(n_rows: int) -> tuple[int, int, int]:
+    """Split budget as fractions of the table (60/10/10 %), so the cut and
+    the eval shrinkage from dropped rows both happen at every scale."""
+    return n_rows * 6 // 10, n_rows // 10, n_rows // 10
+
+
+def documents_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkdraft.operators.prep import prepare_splits
+
+    docs = table(spark, sf_dir, "documents")
+    t, v, e = split_sizes_for(docs.count())
+    return prepare_splits(
+        alpaca_rows(docs),
+        family="alpaca",
+        dataset_name="documents",
+        source_split="train",
+        key_col="id",
+        seed=SPLIT_SEED,
+        n_train=t,
+        n_val=v,
+        n_eval=e,
+    )
+
+
+_SIZES_SQL = """
+sz AS (SELECT n * 6 // 10 AS t, n // 10 AS v, n // 10 AS e FROM (SELECT count(*) AS n FROM documents))
+"""
+
+PREPARE_SPLITS_BODY = f"""
+WITH raw AS ({ALPACA_RAW_SQL}), {_SIZES_SQL},
+s AS (SELECT raw.*, row_number() OVER (ORDER BY sha256('{SPLIT_SEED}:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS src_idx FROM raw),
+cut AS (SELECT s.* FROM s, sz WHERE s.src_idx < sz.t + sz.v + sz.e),
+r AS ({_alpaca_norm_sql('cut', 'src_idx')}),
+kept AS (SELECT *, row_number() OVER (ORDER BY src_idx) - 1 AS pos FROM r WHERE prompt_text <> '' AND response_text <> ''),
+lab AS (SELECT kept.*, CASE WHEN pos < t THEN 'train' WHEN pos < t + v THEN 'val' WHEN pos < t + v + e THEN 'eval' END AS split,
+               CASE WHEN pos < t THEN pos WHEN pos < t + v THEN pos - t ELSE pos - t - v END AS split_pos
+        FROM kept, sz)
+"""
+
+PREPARE_SPLITS_SQL = PREPARE_SPLITS_BODY + """
+SELECT CASE WHEN doc_id <> 0 THEN CAST(doc_id AS VARCHAR) ELSE CAST(src_idx AS VARCHAR) END AS id,
+       split, split_pos, src_idx AS meta_source_index, prompt_text, response_text
+FROM lab WHERE split IS NOT NULL
+"""
+
+
+@register("prepare_splits", PREPARE_SPLITS_SQL)
+def q_prepare_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded shuffle (W02) -> position (W01) -> budget cut before
+    normalization (L02) -> P08/P05 -> dense re-index -> train/val/eval (W03)."""
+    s = documents_splits(spark, sf_dir)
+    return s.select(
+        "id",
+        "split",
+        "split_pos",
+        F.col("metadata.source_index").alias("meta_source_index"),
+        "prompt_text",
+        "response_text",
+    )
+
+
+SPLIT_COUNTS_SQL = PREPARE_SPLITS_BODY + """
+SELECT n.split, CAST(coalesce(c.n_rows, 0) AS BIGINT) AS n_rows
+FROM (VALUES ('train'), ('val'), ('eval')) n(split)
+LEFT JOIN (SELECT split, count(*) AS n_rows FROM lab WHERE split IS NOT NULL GROUP BY split) c ON n.split = c.split
+"""
+
+
+@register("split_counts", SPLIT_COUNTS_SQL)
+def q_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per split of the E1 output, zero-count splits included."""
+    from sparkdraft.operators.prep import rows_per_split
+
+    return rows_per_split(documents_splits(spark, sf_dir))
+
+
+SPLIT_COMPLETENESS_SQL = PREPARE_SPLITS_BODY + """
+, ex AS (SELECT 'train' AS split, t AS expected_rows FROM sz UNION ALL SELECT 'val', v FROM sz UNION ALL SELECT 'eval', e FROM sz),
+c AS (SELECT split, count(*) AS n_rows FROM lab WHERE split IS NOT NULL GROUP BY split)
+SELECT ex.split, ex.expected_rows, CAST(coalesce(c.n_rows, 0) AS BIGINT) AS n_rows,
+       (c.n_rows IS NOT NULL AND (ex.expected_rows <= 0 OR c.n_rows >= ex.expected_rows)) AS complete
+FROM ex LEFT JOIN c ON ex.split = c.split
+"""
+
+
+@register("split_completeness", SPLIT_COMPLETENESS_SQL)
+def q_split_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actual rows per split vs the requested budget."""
+    from sparkdraft.operators.prep import completeness
+
+    docs = table(spark, sf_dir, "documents")
+    t, v, e = split_sizes_for(docs.count())
+    counts = (
+        documents_splits(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+    )
+    expected = spark.createDataFrame(
+        [("train", t), ("val", v), ("eval", e)], "split string, expected_rows bigint"
+    )
+    return completeness(counts, expected)
