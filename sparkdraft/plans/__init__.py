@@ -1,4 +1,4 @@
 """Query bindings; importing this package fills the registry."""
 
-from sparkdraft.plans import prep_queries, profile_queries, token_queries  # noqa: F401
+from sparkdraft.plans import dist_queries, prep_queries, profile_queries, token_queries  # noqa: F401
 from sparkdraft.plans.registry import ORACLES, QUERIES, table  # noqa: F401
