@@ -1,4 +1,11 @@
 """Query bindings; importing this package fills the registry."""
 
-from sparkdraft.plans import decode_queries, dist_queries, prep_queries, profile_queries, token_queries  # noqa: F401
+from sparkdraft.plans import (  # noqa: F401
+    decode_queries,
+    dist_queries,
+    prep_queries,
+    profile_queries,
+    sweep_queries,
+    token_queries,
+)
 from sparkdraft.plans.registry import ORACLES, QUERIES, table  # noqa: F401
