@@ -199,23 +199,130 @@ def effect_table(df: DataFrame, key: str, arm: str, base_arm: str, other_arm: st
     return j.select(*out)
 
 
-def ema(df: DataFrame, group: Sequence[str], order: str, value: str, beta: float = 0.9) -> DataFrame:
-    """Exponential moving average seeded with the first value,
-    e_t = beta*e_{t-1} + (1-beta)*x_t, per group.
+def _segments(pdf, group):
+    """Contiguous runs of equal group keys in a sorted batch, in order
+    (vectorized boundary detection)."""
+    import numpy as np
 
-    The recursion is a fold over the group's points in order; a training
-    curve holds one point per logging step, so each group's list is
-    bounded by the run length.
-    """
-    pts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("x"))))
-    init = F.struct(F.lit(None).cast("double").alias("e"), F.array().cast("array<struct<o:bigint,e:double>>").alias("out"))
+    g = pdf[group]
+    change = (g != g.shift()).any(axis=1).to_numpy()
+    starts = np.flatnonzero(change)
+    ends = list(starts[1:]) + [len(pdf)]
+    for i, j in zip(starts, ends):
+        yield tuple(g.iloc[int(i)].tolist()), int(i), int(j)
 
-    def step(acc: Column, p: Column) -> Column:
-        e = F.when(acc["e"].isNull(), p["x"]).otherwise(F.lit(beta) * acc["e"] + F.lit(1.0 - beta) * p["x"])
-        return F.struct(e.alias("e"), F.concat(acc["out"], F.array(F.struct(p["o"].cast("long").alias("o"), e.alias("e")))).alias("out"))
 
-    g = df.groupBy(*group).agg(F.aggregate(pts, init, step)["out"].alias("_pts"))
-    return g.select(*group, F.explode("_pts").alias("p")).select(*group, F.col("p.o").alias(order), F.col("p.e").alias("ema"))
+def ema(df: DataFrame, group: Sequence[str], order: str, value: str, beta: float = 0.9) -> DataFrame:
+    """Exponential moving average seeded with the first value,
+    e_1 = x_1, e_t = beta*e_{t-1} + (1-beta)*x_t, per group, in ``order``.
+
+    The recursion is sequential, so it runs as a distributed scan instead
+    of collecting a group into one task:
+
+    1. range-partitioned sort + reliable checkpoint: a group holding a
+       third of the rows spans many partitions;
+    2. pass 1 streams each partition and summarises its first and last
+       group segment as an affine map e_out = a*e_in + b (<= 2 rows per
+       partition);
+    3. for every group that starts some partition, a grouped fold over its
+       boundary segments (at most one per partition it spans) gives the
+       carry into each partition;
+    4. pass 2 streams each partition again and runs pandas
+       ``ewm(adjust=False)`` per segment, starting from the carry.
+    Output: group columns, ``order``, ``ema``.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from sparkdraft.operators.ordering import stable_sort
+
+    group = list(group)
+    base = df.select(*group, F.col(order), F.col(value).cast("double").alias("_x"))
+    s = stable_sort(base, [*group, order]).withColumn("_pid", F.spark_partition_id())
+    gfields = [f for f in base.schema.fields if f.name in group]
+    gtypes = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in gfields)
+    otype = base.schema[order].dataType.simpleString()
+
+    def summarize(it):
+        pid, segs = None, []  # segs: [key, n, a, b, x0] in partition order
+        for pdf in it:
+            if pdf.empty:
+                continue
+            pid = int(pdf["_pid"].iloc[0])
+            x_all = pdf["_x"].to_numpy(dtype="float64")
+            for key, i, j in _segments(pdf, group):
+                m = j - i
+                a = beta**m
+                b = float((1.0 - beta) * np.power(beta, np.arange(m - 1, -1, -1, dtype="float64")) @ x_all[i:j])
+                if segs and segs[-1][0] == key:
+                    k, n0, a0, b0, x0 = segs[-1]
+                    segs[-1] = [k, n0 + (j - i), a0 * a, a * b0 + b, x0]
+                else:
+                    segs.append([key, j - i, a, b, float(x_all[i])])
+                if len(segs) > 2:
+                    del segs[1]  # keep only the first and the latest segment
+        if pid is None:
+            return
+        rows = []
+        for key, n, a, b, x0 in segs:
+            r = dict(zip(group, key))
+            r.update(_pid=pid, _n=n, _a=a, _b=b, _x0=x0)
+            rows.append(r)
+        yield pd.DataFrame(rows, columns=["_pid", *group, "_n", "_a", "_b", "_x0"])
+
+    summ = s.mapInPandas(summarize, f"_pid int, {gtypes}, _n long, _a double, _b double, _x0 double")
+    firsts = s.groupBy("_pid").agg(F.min(F.struct(*group)).alias("_g")).select(
+        *[F.col("_g." + g).alias(g) for g in group]
+    ).distinct()
+    boundary = summ.join(F.broadcast(firsts), [summ[g].eqNullSafe(firsts[g]) for g in group], "left_semi")
+
+    def fold(pdf):
+        pdf = pdf.sort_values("_pid")
+        e, rows = None, []
+        cols = zip(pdf["_pid"].tolist(), pdf["_n"].tolist(), pdf["_a"].tolist(), pdf["_b"].tolist(), pdf["_x0"].tolist())
+        for pid_, n_, a_, b_, x0_ in cols:
+            if e is not None:
+                rows.append((pid_, e))
+            if e is None:
+                head = beta ** (n_ - 1)
+                e = head * x0_ + (b_ - (1.0 - beta) * head * x0_)
+            else:
+                e = a_ * e + b_
+        out = pd.DataFrame(rows, columns=["_pid", "_carry"])
+        for g in group:
+            out[g] = pdf[g].iloc[0]
+        return out[["_pid", *group, "_carry"]]
+
+    carry = boundary.groupBy(*group).applyInPandas(fold, f"_pid int, {gtypes}, _carry double")
+    carry = carry.select(F.col("_pid").alias("_cpid"), *[F.col(g).alias("_c_" + g) for g in group], "_carry")
+    cond = [F.col("_pid") == F.col("_cpid")] + [F.col(g).eqNullSafe(F.col("_c_" + g)) for g in group]
+    with_carry = s.join(F.broadcast(carry), cond, "left").select(*s.columns, "_carry")
+
+    def run(it):
+        last_key, last_e = None, None
+        for pdf in it:
+            if pdf.empty:
+                continue
+            x_all = pdf["_x"].to_numpy(dtype="float64")
+            out = pdf[group + [order]].reset_index(drop=True)
+            ema_vals = [0.0] * len(pdf)
+            for key, i, j in _segments(pdf, group):
+                if key == last_key:
+                    e0 = last_e
+                else:
+                    c = pdf["_carry"].iloc[i]
+                    e0 = None if pd.isna(c) else float(c)
+                xs = pd.Series(x_all[i:j])
+                if e0 is None:
+                    vals = xs.ewm(alpha=1.0 - beta, adjust=False).mean().to_numpy()
+                else:
+                    vals = pd.concat([pd.Series([e0]), xs], ignore_index=True).ewm(alpha=1.0 - beta, adjust=False).mean().to_numpy()[1:]
+                ema_vals[i:j] = list(vals)
+                last_key, last_e = key, float(vals[-1])
+            out["ema"] = ema_vals
+            yield out
+
+    return with_carry.mapInPandas(run, f"{gtypes}, `{order}` {otype}, ema double")
 
 
 def convergence_status(df: DataFrame, group: Sequence[str], order: str, value: str) -> DataFrame:

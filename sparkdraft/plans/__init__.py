@@ -5,6 +5,7 @@ from sparkdraft.plans import (  # noqa: F401
     dist_queries,
     prep_queries,
     profile_queries,
+    run_queries,
     sweep_queries,
     token_queries,
 )
