@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +44,6 @@ def decode_identity(ids: str | Column) -> Column:
     Spark's ``chr`` is byte-valued (n mod 256), so this small per-row
     helper is an Arrow-batched pandas UDF.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def _decode(s: pd.Series) -> pd.Series:
         return s.map(lambda a: None if a is None else "".join(chr(int(i)) for i in a))
