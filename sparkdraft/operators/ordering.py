@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from sparkdraft.session import ensure_checkpoint_dir
 
-_PID = "_sd_pid"
-_POS = "_sd_pos"
+_PID = "__ord_pid"
+_POS = "__ord_pos"
 # monotonically_increasing_id packs the partition id above bit 33.
 _MID_SHIFT = 1 << 33
 
@@ -50,10 +50,10 @@ def _partition_offsets(sorted_df: DataFrame) -> DataFrame:
     most ``numPartitions`` rows, and the result is broadcast.
     """
     counts = sorted_df.groupBy(F.spark_partition_id().alias(_PID)).agg(
-        F.count(F.lit(1)).alias("_sd_n")
+        F.count(F.lit(1)).alias("__ord_n")
     )
     w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(_PID, F.coalesce(F.sum("_sd_n").over(w), F.lit(0)).alias("_sd_off"))
+    return counts.select(_PID, F.coalesce(F.sum("__ord_n").over(w), F.lit(0)).alias("__ord_off"))
 
 
 def with_global_index(
@@ -72,8 +72,8 @@ def with_global_index(
     )
     offsets = _partition_offsets(s.drop(_PID, _POS))
     out = s.join(F.broadcast(offsets), _PID, "left")
-    return out.withColumn(name, (F.col("_sd_off") + F.col(_POS)).cast("long")).drop(
-        _PID, _POS, "_sd_off"
+    return out.withColumn(name, (F.col("__ord_off") + F.col(_POS)).cast("long")).drop(
+        _PID, _POS, "__ord_off"
     )
 
 

@@ -87,8 +87,10 @@ def rewrite_response(records: DataFrame, generations: DataFrame, generated_at: s
     replace the response by the stripped generation, set source 'target'.
     Generations are joined back on the record key."""
     j = records.join(generations, key_col, "inner")
+    mtype = records.schema["metadata"].dataType
+    empty = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in mtype.fields])
     meta = (
-        F.col("metadata")
+        F.coalesce(F.col("metadata"), empty)
         .withField("original_response_text", F.col("response_text"))
         .withField("response_generated_at", F.lit(generated_at))
     )
