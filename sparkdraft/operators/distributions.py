@@ -147,6 +147,23 @@ def nucleus_probs(logits: str | Column, temperature: float, top_p: float) -> Col
     return _with_row_scalar(kept, _sum(kept), lambda v, t: v / t)
 
 
+def with_proposal(df: DataFrame, logits_col: str, out: str, mode: str, temperature: float, top_p: float) -> DataFrame:
+    """X03 staged as columns: probabilities, keep-mask, renormalized
+    result. Each stage is its own projection, referenced more than once by
+    the next, so the optimizer keeps them separate and every array is
+    computed once per row (nested higher-order functions would otherwise
+    repeat the inner ones)."""
+    if mode == "greedy" or temperature <= 0 or not 0.0 < top_p < 1.0:
+        return df.withColumn(out, proposal_distribution(logits_col, mode, temperature, top_p))
+    if mode != "sampling":
+        raise ValueError(f"unknown sampling mode {mode!r}")
+    p, m = f"_{out}_p", f"_{out}_m"
+    x = df.withColumn(p, softmax(logits_col, temperature))
+    x = x.withColumn(m, nucleus_mask(F.col(p), top_p))
+    x = x.withColumn(p, F.zip_with(p, m, lambda v, k: F.when(k, v).otherwise(F.lit(0.0)))).drop(m)
+    return x.withColumn(out, _with_row_scalar(F.col(p), _sum(F.col(p)), lambda v, t: v / t)).drop(p)
+
+
 def proposal_distribution(logits: str | Column, mode: str, temperature: float, top_p: float) -> Column:
     """What a draft sampled from. Greedy (or T <= 0): one-hot at the
     argmax with 1e-9 elsewhere, normalized; sampling: temperature + top-p."""

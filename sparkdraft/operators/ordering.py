@@ -77,6 +77,22 @@ def with_global_index(
     )
 
 
+def reindex_in_place(df: DataFrame, name: str = "idx") -> DataFrame:
+    """Dense 0-based positions for a frame derived from a ``stable_sort``
+    (or ``with_global_index``) result by narrow, order-preserving steps
+    only (filters, projections). Its partitions are still the sorted
+    ranges, so no new sort or checkpoint is needed: a per-partition count
+    (one row per partition, broadcast) gives the offsets."""
+    s = df.withColumn(_PID, F.spark_partition_id()).withColumn(
+        _POS, F.monotonically_increasing_id() - F.col(_PID).cast("long") * F.lit(_MID_SHIFT)
+    )
+    # The id is assigned after any upstream filter, so positions are dense
+    # among the surviving rows of each partition.
+    offsets = _partition_offsets(s.drop(_PID, _POS))
+    out = s.join(F.broadcast(offsets), _PID, "left")
+    return out.withColumn(name, (F.col("__ord_off") + F.col(_POS)).cast("long")).drop(_PID, _POS, "__ord_off")
+
+
 def grouped_prefix_sums(
     df: DataFrame,
     group_cols: Sequence[str],

@@ -86,6 +86,8 @@ def tokenized_example(prompt_ids: Column, response_ids: Column, max_seq_len: int
         F.array_repeat(F.lit(1), n).alias("attention_mask"),
         labels.alias("labels"),
         mask.alias("response_mask"),
+        plen.cast("int").alias("prompt_len"),
+        rlen.cast("int").alias("response_len"),
     )
 
 
@@ -114,6 +116,8 @@ def tokenize_records(
 
 def has_response_tokens(df: DataFrame) -> DataFrame:
     """keep examples with at least one supervised position."""
+    if "response_len" in df.columns:
+        return df.filter(F.col("response_len") > 0)
     return df.filter(F.exists("response_mask", lambda m: m))
 
 

@@ -26,6 +26,7 @@ from sparkdraft.operators.distributions import (
     residual_distribution,
     softmax,
     uniform_from_key,
+    with_proposal,
 )
 from sparkdraft.plans.registry import register, table
 
@@ -298,9 +299,8 @@ def q_speculative_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     distribution, and on rejection resample from the residual (p - q)+.
     Uniforms are sha256-derived from (seq, pos), so reruns agree."""
     pairs = pairs_for(spark, sf_dir, with_labels=False)
-    q = proposal_distribution("student", "sampling", 1.0, TOP_P)
-    p = proposal_distribution("teacher", "sampling", 1.0, TOP_P)
-    x = pairs.select("seq", "pos", q.alias("q"), p.alias("p"))
+    x = with_proposal(pairs, "student", "q", "sampling", 1.0, TOP_P)
+    x = with_proposal(x, "teacher", "p", "sampling", 1.0, TOP_P).select("seq", "pos", "q", "p")
     x = x.withColumn("tok", categorical_draw(F.col("q"), uniform_from_key("seq", "pos", salt="draft")))
     q_x = F.element_at("q", F.col("tok") + 1)
     p_x = F.element_at("p", F.col("tok") + 1)

@@ -67,8 +67,8 @@ def _summarize(ex: DataFrame) -> DataFrame:
     return ex.select(
         "id",
         F.size("input_ids").alias("n_tokens"),
-        F.size(F.filter("response_mask", lambda m: ~m)).alias("prompt_len"),
-        F.size(F.filter("response_mask", lambda m: m)).alias("response_len"),
+        "prompt_len",
+        "response_len",
         F.array_join("input_ids", ",").alias("input_ids"),
         F.aggregate("labels", F.lit(0).cast("long"), lambda a, b: a + b).alias("label_sum"),
     )
@@ -98,8 +98,8 @@ def q_tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.select(
         "id",
         F.size("input_ids").alias("n_tokens"),
-        F.size(F.filter("response_mask", lambda m: ~m)).alias("prompt_len"),
-        F.size(F.filter("response_mask", lambda m: m)).alias("response_len"),
+        "prompt_len",
+        "response_len",
         _checksum("input_ids").alias("checksum"),
     )
 
