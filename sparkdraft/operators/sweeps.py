@@ -392,11 +392,26 @@ def run_status(rc: str | Column, summary_exists: str | Column, cached: str | Col
     )
 
 
-def infer_response_source(run_name: str | Column) -> Column:
-    """P19: 'target_generated' when the run name ends with ``_target_gen``
-    or contains ``_tgen_``, else 'original'."""
+# Dataset ids recognised inside run names, checked in order.
+DATA_IDS = ["ultrachat_50k_target_gen", "ultrachat_50k", "ultrachat_25k", "ultrachat_10k", "alpaca_50k"]
+
+
+def infer_data_id(run_name: str | Column) -> Column:
+    """The first known dataset id contained in the run name, else ""."""
+    n = col_(run_name)
+    out = None
+    for d in DATA_IDS:
+        out = F.when(n.contains(d), F.lit(d)) if out is None else out.when(n.contains(d), F.lit(d))
+    return out.otherwise(F.lit(""))
+
+
+def infer_response_source(run_name: str | Column, data_id: str | Column | None = None) -> Column:
+    """P19: 'target_generated' when the data id (or, without one, the run
+    name) ends with ``_target_gen`` or the run name contains ``_tgen_``,
+    else 'original'."""
     n = col_(run_name)
-    return F.when(n.endswith("_target_gen") | n.contains("_tgen_"), "target_generated").otherwise("original")
+    d = col_(data_id) if data_id is not None else n
+    return F.when(d.endswith("_target_gen") | n.contains("_tgen_"), "target_generated").otherwise("original")
 
 
 def base_dataset(data_id: str | Column) -> Column:
@@ -455,3 +470,28 @@ def derived_run_metrics(acceptance: str | Column, gamma: str | Column, accepted:
         (F.lit(1.0) + col_(acceptance)).alias("token_yield"),
         F.try_divide(col_(gamma).cast("double"), col_(accepted).cast("double")).alias("draft_per_accepted"),
     ]
+
+
+def cache_state(manifests: DataFrame, counts: DataFrame, expected_model: str,
+                splits: Sequence[str] = ("train", "val")) -> DataFrame:
+    """Coherence of a target-generated cache.
+
+    ``manifests``: (split, target_model) rows found; ``counts``: (split,
+    n_rows) of the cached data. State: 'absent' when nothing exists,
+    'mismatch' when a manifest names another target model, 'partial' when
+    a split or its manifest is missing or empty, else 'reuse'. One row.
+    """
+    want = manifests.sparkSession.createDataFrame([(x,) for x in splits], "split string")
+    j = F.broadcast(want).join(manifests, "split", "left").join(counts, "split", "left")
+    agg = j.agg(
+        F.count_if(F.col("target_model").isNotNull() | (F.coalesce("n_rows", F.lit(0)) > 0)).alias("n_present"),
+        F.count_if(F.col("target_model").isNotNull() & (F.col("target_model") != expected_model)).alias("n_mismatch"),
+        F.count_if(F.col("target_model").isNull() | (F.coalesce("n_rows", F.lit(0)) <= 0)).alias("n_incomplete"),
+    )
+    state = (
+        F.when(F.col("n_present") == 0, "absent")
+        .when(F.col("n_mismatch") > 0, "mismatch")
+        .when(F.col("n_incomplete") > 0, "partial")
+        .otherwise("reuse")
+    )
+    return agg.select(state.alias("state"), "n_present", "n_mismatch", "n_incomplete")

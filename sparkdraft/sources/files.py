@@ -76,12 +76,32 @@ def dynamic_columns(df: DataFrame, fixed: Sequence[str], extra_prefix: str = "qu
     return [*fixed, *extras]
 
 
+def csv_ready(df: DataFrame) -> DataFrame:
+    """Arrays, maps and structs become JSON text so CSV can hold them."""
+    return df.select(
+        *[
+            F.to_json(F.col(f"`{f.name}`")).alias(f.name)
+            if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
+            else F.col(f"`{f.name}`")
+            for f in df.schema.fields
+        ]
+    )
+
+
 def csv_sink_dynamic(df: DataFrame, path: str, fixed: Sequence[str], mode: str = "overwrite") -> None:
     """Fixed + sorted extra columns (missing fixed ones blank),
-    header, overwrite or append."""
+    nested values as JSON text, header; ``mode="append"`` adds rows."""
     cols = dynamic_columns(df, fixed)
     out = df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in cols])
-    out.write.mode(mode).option("header", True).csv(path)
+    csv_ready(out).write.mode(mode).option("header", True).csv(path)
+
+
+def job_timestamp() -> str:
+    """One UTC ISO-8601 stamp per job, taken on the driver and used as
+    a literal, so every row (and every retry) gets the same value."""
+    import datetime as _dt
+
+    return _dt.datetime.now(_dt.timezone.utc).isoformat()
 
 
 def parse_split_slice(split: str) -> tuple[str, int | None]:

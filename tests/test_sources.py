@@ -17,7 +17,7 @@ from sparkdraft.operators.summaries import (
     score_names,
     validate_summaries,
 )
-from sparkdraft.sources.files import (
+from sparkdraft.sources.files import (  # noqa: I001
     csv_scan,
     csv_sink_dynamic,
     dynamic_columns,
@@ -155,3 +155,33 @@ def test_experiment_key_and_lookup(spark):
     meta = spark.createDataFrame([("/c/r1", "m1"), ("/c/r2/model", "m2b"), ("/c/r2", "m2a")], "path string, dataset_id string")
     got = {r["dir"]: (r["meta_path"], r["dataset_id"]) for r in first_hit_lookup(runs, meta, ["parent", "dir"]).collect()}
     assert got["/c/r1"] == ("/c/r1", "m1") and got["/c/r2"] == ("/c/r2/model", "m2b")
+
+
+def test_manifest_and_csv_append(spark, tmp_dir):
+    from sparkdraft.sources.files import csv_ready, job_timestamp, manifest_sink, split_manifest
+
+    counts = spark.createDataFrame([("train", 5), ("val", 2), ("eval", 0)], "split string, n_rows long")
+    m = split_manifest(spark, counts, data_id="d", seed=7)
+    manifest_sink(m, os.path.join(tmp_dir, "manifest"))
+    manifest_sink(m, os.path.join(tmp_dir, "manifest"))
+    back = spark.read.json(os.path.join(tmp_dir, "manifest"))
+    assert back.count() == 2 and back.collect()[0]["n_records"]["train"] == 5
+    df = spark.createDataFrame([("r", [1.0, 2.0])], "run string, per_pos array<double>")
+    assert csv_ready(df).collect()[0]["per_pos"] == "[1.0,2.0]"
+    out = os.path.join(tmp_dir, "csv")
+    csv_sink_dynamic(df, out, ["run", "per_pos"])
+    csv_sink_dynamic(df, out, ["run", "per_pos"], mode="append")
+    assert spark.read.option("header", True).csv(out).count() == 2
+    assert job_timestamp().endswith("+00:00")
+
+
+def test_prompt_records_and_amortised(spark):
+    from sparkdraft.operators.decode import amortised_times
+    from sparkdraft.operators.prep import prompt_records
+
+    df = spark.createDataFrame([(None, "p", 3)], "id string, prompt_text string, idx long")
+    r = prompt_records(df, "idx").collect()[0]
+    assert (r["id"], r["prompt_text"], r["response_text"], r["source"]) == ("3", "p", None, None)
+    rows = spark.createDataFrame([(1,), (2,)], "k int")
+    out = amortised_times(rows, F.lit(10.0), F.lit(float("nan")), F.lit(2)).collect()
+    assert out[0]["sd_s_avg"] == 5.0 and out[0]["vanilla_s_avg"] is None

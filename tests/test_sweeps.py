@@ -112,3 +112,20 @@ def test_curve_operators(spark):
     assert best["a"] == 7 and best["c"] == 1
     e = {(r["run"], r["step"]): r["ema"] for r in ema(df.filter("run != 'b'"), ["run"], "step", "loss", 0.9).collect()}
     assert e[("a", 1)] == 9.0 and e[("a", 2)] == pytest.approx(0.9 * 9.0 + 0.1 * 8.0)
+
+
+def test_infer_and_cache_state(spark):
+    from sparkdraft.operators.sweeps import cache_state, infer_data_id, infer_response_source
+
+    df = spark.createDataFrame([("jsd_ultrachat_50k_target_gen_s1",), ("x_alpaca_50k",), ("y_tgen_z",), ("none",)], "r string")
+    got = [(r["d"], r["s"]) for r in df.select(infer_data_id("r").alias("d"), infer_response_source("r", infer_data_id("r")).alias("s")).collect()]
+    assert got == [("ultrachat_50k_target_gen", "target_generated"), ("alpaca_50k", "original"),
+                   ("", "target_generated"), ("", "original")]
+    man = spark.createDataFrame([("train", "big"), ("val", "big")], "split string, target_model string")
+    cnt = spark.createDataFrame([("train", 10), ("val", 3)], "split string, n_rows long")
+    assert cache_state(man, cnt, "big").collect()[0]["state"] == "reuse"
+    assert cache_state(man, cnt, "other").collect()[0]["state"] == "mismatch"
+    assert cache_state(man.filter("split = 'train'"), cnt, "big").collect()[0]["state"] == "partial"
+    empty_m = spark.createDataFrame([], "split string, target_model string")
+    empty_c = spark.createDataFrame([], "split string, n_rows long")
+    assert cache_state(empty_m, empty_c, "big").collect()[0]["state"] == "absent"
