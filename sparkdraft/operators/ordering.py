@@ -77,6 +77,22 @@ def with_global_index(
     )
 
 
+def index_by_key(
+    df: DataFrame, order_cols: Sequence[str], key_cols: Sequence[str], name: str = "idx"
+) -> DataFrame:
+    """``with_global_index`` for wide rows with a unique key.
+
+    The sort and checkpoint run on the narrow (order + key) projection;
+    the positions are joined back on the key. For wide rows (documents,
+    token arrays) this moves the wide data through one shuffle only,
+    instead of a wide range sort plus a checkpoint write and read. The key
+    must be unique (a duplicated key would duplicate rows).
+    """
+    cols = list(dict.fromkeys([*order_cols, *key_cols]))
+    idx = with_global_index(df.select(*cols), order_cols, name).select(*key_cols, name)
+    return df.join(idx, list(key_cols), "inner")
+
+
 def reindex_in_place(df: DataFrame, name: str = "idx") -> DataFrame:
     """Dense 0-based positions for a frame derived from a ``stable_sort``
     (or ``with_global_index``) result by narrow, order-preserving steps

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdraft.operators.ordering import with_global_index
+from sparkdraft.operators.ordering import index_by_key
 from sparkdraft.operators.prep import first_exchange_turns, normalize_rows
 from sparkdraft.plans.registry import register, strip_sql, table
 
@@ -28,7 +28,7 @@ def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in: ``conversations`` turns -> one chat row per conversation
     (P03 table form), positioned by conv_id, then P08."""
     pairs = first_exchange_turns(table(spark, sf_dir, "conversations"))
-    indexed = with_global_index(pairs, ["conv_id"], "source_index")
+    indexed = index_by_key(pairs, ["conv_id"], ["conv_id"], "source_index")
     raw = indexed.select(
         F.col("conv_id").alias("conversation_id"),
         F.col("prompt").alias("prompt_text"),
@@ -120,7 +120,7 @@ FROM r WHERE prompt_text <> '' AND response_text <> ''
 def q_alpaca_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P01 + P04-P08 over every document read as an Alpaca row, positioned
     by doc_id."""
-    raw = with_global_index(alpaca_rows(table(spark, sf_dir, "documents")), ["id"], "source_index")
+    raw = index_by_key(alpaca_rows(table(spark, sf_dir, "documents")), ["id"], ["id"], "source_index")
     recs = normalize_rows(raw, family="Alpaca", dataset_name="documents", split="train")
     return flatten_records(recs, extra=("category", "source"))
 

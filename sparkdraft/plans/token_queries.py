@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdraft.operators.ordering import with_global_index
+from sparkdraft.operators.ordering import index_by_key
 from sparkdraft.operators.tokens import (
     TEST_EOS_TEXT,
     TEST_TEMPLATE,
@@ -121,7 +121,7 @@ def q_pad_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W01 position by id, W04 batches of 8, W05 padding to the batch max."""
     ex = tokenize_records(chat_records(spark, sf_dir).select("id", "prompt_text", "response_text"),
                           max_seq_len=CHAT_MAX_LEN)
-    ix = with_global_index(ex, ["id"], "idx").withColumn("batch_id", batch_id("idx", BATCH_SIZE))
+    ix = index_by_key(ex, ["id"], ["id"], "idx").withColumn("batch_id", batch_id("idx", BATCH_SIZE))
     padded = pad_to_batch_max(ix, "batch_id")
     return padded.select(
         "id",

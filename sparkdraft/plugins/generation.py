@@ -50,6 +50,16 @@ def echo_generator() -> Generator:
     return gen
 
 
+def prompt_echo_generator() -> Generator:
+    """Deterministic stub that answers with the prompt itself (a stand-in
+    model whose output depends only on its input, not on batching)."""
+
+    def gen(prompts: list[str], params: dict) -> list[str]:
+        return list(prompts)
+
+    return gen
+
+
 def generate_responses(
     df: DataFrame,
     factory: Callable[[], Generator],
