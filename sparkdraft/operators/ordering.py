@@ -32,7 +32,24 @@ def _cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def stable_sort(df: DataFrame, order_cols: Sequence[str | Column]) -> DataFrame:
+RANGE_PARTITIONS_CONF = "spark.sparkdraft.rangePartitions"
+
+
+def _range_partitions(df: DataFrame, num_partitions: int | None) -> int | None:
+    """Explicit range-partition count: the argument, else the session
+    setting ``spark.sparkdraft.rangePartitions``, else None (Spark uses
+    ``spark.sql.shuffle.partitions``). AQE coalesces small range
+    partitions but never splits large ones, so at scale this should be
+    about input bytes / 256 MB."""
+    if num_partitions:
+        return int(num_partitions)
+    conf = df.sparkSession.conf.get(RANGE_PARTITIONS_CONF, None)
+    return int(conf) if conf else None
+
+
+def stable_sort(
+    df: DataFrame, order_cols: Sequence[str | Column], num_partitions: int | None = None
+) -> DataFrame:
     """Globally sort (range partitioning) and checkpoint the result.
 
     The returned DataFrame has fixed partitions whose concatenation is in
@@ -40,7 +57,13 @@ def stable_sort(df: DataFrame, order_cols: Sequence[str | Column]) -> DataFrame:
     callers pass a unique tie-break as the last key.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.orderBy(*_cols(order_cols)).checkpoint(eager=True)
+    cols = _cols(order_cols)
+    n = _range_partitions(df, num_partitions)
+    if n:
+        sorted_df = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    else:
+        sorted_df = df.orderBy(*cols)
+    return sorted_df.checkpoint(eager=True)
 
 
 def _partition_offsets(sorted_df: DataFrame) -> DataFrame:

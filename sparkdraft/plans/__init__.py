@@ -7,6 +7,7 @@ from sparkdraft.plans import (  # noqa: F401
     prep_queries,
     profile_queries,
     run_queries,
+    summary_queries,
     sweep_queries,
     token_queries,
 )

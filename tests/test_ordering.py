@@ -64,3 +64,18 @@ def test_salted_join_and_bounded_broadcast(spark):
     left = salted_join(big, small.filter("k < 100"), ["k"], "left", salts=4)
     assert left.count() == big.count()
     assert bounded_broadcast(small, 10) is not None
+
+
+def test_explicit_range_partitions_and_index_by_key(spark):
+    from sparkdraft.operators.ordering import RANGE_PARTITIONS_CONF, index_by_key
+
+    df = spark.createDataFrame([(i, f"x{i % 7}", "w" * (i % 50)) for i in range(2000)], "id long, k string, wide string")
+    ref = {r["id"]: r["rn"] - 1 for r in df.withColumn("rn", F.row_number().over(Window.orderBy("k", "id"))).collect()}
+    spark.conf.set(RANGE_PARTITIONS_CONF, "13")
+    try:
+        got = {r["id"]: r["idx"] for r in with_global_index(df, ["k", "id"], "idx").collect()}
+    finally:
+        spark.conf.unset(RANGE_PARTITIONS_CONF)
+    assert got == ref
+    got2 = {r["id"]: r["idx"] for r in index_by_key(df, ["k", "id"], ["id"], "idx").collect()}
+    assert got2 == ref
