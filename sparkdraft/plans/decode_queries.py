@@ -3,7 +3,8 @@
 Stand-ins:
 * verification steps: prompt = ``user_id``, step = ``event_id``, gamma 4;
   per-candidate uniforms u, draft probabilities q_x and target
-  probabilities p_x are fixed arithmetic of ``value`` and ``props.k``;
+  probabilities p_x are fixed integer arithmetic of ``value`` (in cents),
+  ``props.k`` and ``event_id``;
   draft tokens, bonus and resample tokens are ids in [0, 50) with EOS 0.
 * timings: ``click`` rows are SD repeats, ``view`` rows vanilla repeats;
   seconds = ``value``, tokens = ``props.k``.
@@ -36,12 +37,10 @@ from sparkdraft.plans.registry import register, table
 
 GAMMA, MAX_NEW, EOS_ID, VOCAB = 4, 64, 0, 50
 ROUND = 9
-# Constants of the stand-in arithmetic.
-C_U, C_Q, C_P, C_V = 6.180339887e-1, 1.37e-1, 2.91e-1, 1e-2
-
-
-def _frac(x: Column) -> Column:
-    return x - F.floor(x)
+# Moduli and multipliers of the stand-in arithmetic. Integer
+# arithmetic followed by one division gives bit-identical doubles in any
+# engine (no reassociation of floating products).
+U_MUL, U_MOD, Q_MUL, Q_MOD, P_MUL, P_MOD, EV_MUL = 7919, 10007, 131, 997, 71, 991, 104729
 
 
 def _k() -> Column:
@@ -49,35 +48,34 @@ def _k() -> Column:
 
 
 def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "value", _k().alias("k"))
-    v, k = F.col("value"), F.col("k")
+    ev = table(spark, sf_dir, "events").select(
+        "event_id", "user_id", F.round(F.col("value") * 100).cast("long").alias("cents"), _k().alias("k")
+    )
+    c, k, e = F.col("cents"), F.col("k").cast("long"), F.col("event_id")
     r = range(GAMMA)
     return ev.select(
         F.col("user_id").alias("prompt"),
         F.col("event_id").alias("step"),
-        F.array(*[_frac(v * F.lit(i + 1) * F.lit(C_U)) for i in r]).alias("u"),
-        F.array(*[F.lit(0.05) + F.lit(0.9) * _frac(k * F.lit(i + 1) * F.lit(C_Q)) for i in r]).alias("q_x"),
-        F.array(*[F.lit(0.05) + F.lit(0.9) * _frac((k + F.lit(3 * i)) * F.lit(C_P) + v * F.lit(C_V)) for i in r]).alias("p_x"),
-        F.array(*[((k * F.lit(i + 1) + F.col("event_id")) % VOCAB).cast("int") for i in r]).alias("xs"),
+        F.array(*[((c * (i + 1) * U_MUL + e * EV_MUL) % U_MOD) / F.lit(float(U_MOD)) for i in r]).alias("u"),
+        F.array(*[F.lit(0.05) + F.lit(0.9) * (((k * (i + 3) * Q_MUL) % Q_MOD) / F.lit(float(Q_MOD))) for i in r]).alias("q_x"),
+        F.array(*[F.lit(0.05) + F.lit(0.9) * (((k * (i + 5) * P_MUL + c) % P_MOD) / F.lit(float(P_MOD))) for i in r]).alias("p_x"),
+        F.array(*[((k * (i + 1) + e) % VOCAB).cast("int") for i in r]).alias("xs"),
         ((k + 7) % VOCAB).cast("int").alias("bonus"),
         ((k * 3 + 1) % VOCAB).cast("int").alias("resample"),
     )
 
 
-def _frac_sql(x: str) -> str:
-    return f"(({x}) - floor({x}))"
-
-
 def _steps_sql() -> str:
-    us = ", ".join(_frac_sql(f"value * {i + 1} * {C_U}") for i in range(GAMMA))
-    qs = ", ".join(f"0.05 + 0.9 * {_frac_sql(f'k * {i + 1} * {C_Q}')}" for i in range(GAMMA))
-    ps = ", ".join(f"0.05 + 0.9 * {_frac_sql(f'(k + {3 * i}) * {C_P} + value * {C_V}')}" for i in range(GAMMA))
+    us = ", ".join(f"((cents * {i + 1} * {U_MUL} + event_id * {EV_MUL}) % {U_MOD}) / {float(U_MOD)}" for i in range(GAMMA))
+    qs = ", ".join(f"0.05 + 0.9 * (((k * {i + 3} * {Q_MUL}) % {Q_MOD}) / {float(Q_MOD)})" for i in range(GAMMA))
+    ps = ", ".join(f"0.05 + 0.9 * (((k * {i + 5} * {P_MUL} + cents) % {P_MOD}) / {float(P_MOD)})" for i in range(GAMMA))
     xs = ", ".join(f"CAST((k * {i + 1} + event_id) % {VOCAB} AS INTEGER)" for i in range(GAMMA))
     flags = " ".join(
         f"WHEN NOT (u[{i + 1}] * greatest(q[{i + 1}], 1e-12) <= p[{i + 1}]) THEN {i}" for i in range(GAMMA)
     )
     return f"""
-ev AS (SELECT event_id, user_id, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+ev AS (SELECT event_id, user_id, CAST(round(value * 100) AS BIGINT) AS cents,
+              CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) AS BIGINT) AS k FROM events),
 arr AS (SELECT user_id AS prompt, event_id AS step, [{us}]::DOUBLE[] AS u, [{qs}]::DOUBLE[] AS q, [{ps}]::DOUBLE[] AS p,
                [{xs}] AS xs, CAST((k + 7) % {VOCAB} AS INTEGER) AS bonus, CAST((k * 3 + 1) % {VOCAB} AS INTEGER) AS resample FROM ev),
 nn AS (SELECT *, CASE {flags} ELSE {GAMMA} END AS n FROM arr),
