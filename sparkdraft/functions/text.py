@@ -19,10 +19,20 @@ def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The same characters as a plain string, for trim(BOTH chars FROM s).
+WHITESPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def clean(c: str | Column) -> Column:
     """Null -> "", otherwise the text with Unicode whitespace stripped
-    at both ends (``F.trim`` only removes spaces)."""
-    return F.regexp_replace(F.coalesce(col_(c).cast("string"), F.lit("")), STRIP_PATTERN, "")
+    at both ends. ``trim`` with an explicit character set only touches the
+    ends of the string (a regex would scan whole documents); plain
+    ``F.trim`` would strip spaces only."""
+    return F.trim(F.coalesce(col_(c).cast("string"), F.lit("")), F.lit(WHITESPACE_CHARS))
 
 
 def truthy_str(c: str | Column) -> Column:

@@ -104,13 +104,37 @@ def tokenize_records(
     """Records (id, prompt_text, response_text) -> tokenized examples.
 
     P09 template, P10 EOS, X07 char ids, X08 masks, then F03 drops rows
-    whose response was truncated away entirely.
+    whose response was truncated away entirely. The work is staged in
+    three projections (token ids, the truncated sequence, the derived
+    arrays): each stage is referenced several times by the next, so the
+    optimizer keeps it separate and every array is built once per row
+    instead of once per derived field.
     """
-    p_ids = char_token_ids(apply_template("prompt_text", template), tokenizer)
+    keep = [c for c in records.columns if c not in ("prompt_text", "response_text")]
     r_text = append_eos("response_text", eos_text if add_eos else None)
-    r_ids = char_token_ids(r_text, tokenizer)
-    ex = tokenized_example(p_ids, r_ids, max_seq_len)
-    out = records.select("id", ex.alias("ex")).select("id", "ex.*")
+    x = records.select(
+        *keep,
+        char_token_ids(apply_template("prompt_text", template), tokenizer).alias("_p_ids"),
+        char_token_ids(r_text, tokenizer).alias("_r_ids"),
+    )
+    x = x.select(
+        *keep,
+        F.slice(F.concat("_p_ids", "_r_ids"), 1, int(max_seq_len)).alias("input_ids"),
+        F.size("_p_ids").alias("_np"),
+    )
+    n = F.size("input_ids")
+    x = x.select(*keep, "input_ids", F.least(F.col("_np"), n).cast("int").alias("prompt_len"), n.cast("int").alias("_n"))
+    rlen = F.greatest(F.col("_n") - F.col("prompt_len"), F.lit(0))
+    out = x.select(
+        *keep,
+        "input_ids",
+        F.array_repeat(F.lit(1), F.col("_n")).alias("attention_mask"),
+        F.concat(F.array_repeat(F.lit(IGNORE_INDEX), F.col("prompt_len")),
+                 F.slice("input_ids", F.col("prompt_len") + 1, rlen)).alias("labels"),
+        F.concat(F.array_repeat(F.lit(False), F.col("prompt_len")), F.array_repeat(F.lit(True), rlen)).alias("response_mask"),
+        "prompt_len",
+        rlen.cast("int").alias("response_len"),
+    )
     return has_response_tokens(out) if drop_empty else out
 
 
