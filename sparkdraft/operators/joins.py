@@ -22,6 +22,18 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def hot_keys(big: DataFrame, on: Sequence[str], hot_rows: int, max_hot: int = 100_000) -> DataFrame:
+    """Keys holding more than ``hot_rows`` rows of ``big`` (a partial
+    aggregate over the key columns only). There are at most
+    ``rows(big) / hot_rows`` of them; the result is capped-checked at
+    ``max_hot`` before it may be broadcast."""
+    hk = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_sd_n")).filter(F.col("_sd_n") > hot_rows).select(*on)
+    n = hk.limit(max_hot + 1).count()
+    if n > max_hot:
+        raise ValueError(f"more than {max_hot} hot keys; raise hot_rows")
+    return hk
+
+
 def salted_join(
     big: DataFrame,
     per_key: DataFrame,
@@ -29,17 +41,33 @@ def salted_join(
     how: str = "inner",
     salts: int = 16,
     salt_from: Sequence[str] | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Equi-join where ``big`` may hold a hot key and ``per_key`` has one row per key.
 
-    Each ``big`` row gets a deterministic salt (a hash of ``salt_from``, by
-    default all of its columns, so recomputation after executor loss gives
-    the same salt); ``per_key`` is replicated once per salt. A key holding
-    a third of ``big`` is then spread over ``salts`` tasks, at the cost of
-    ``salts`` copies of the small side. Supports inner/left/left_semi/left_anti.
+    Rows of ``big`` get a deterministic salt (a hash of ``salt_from``, by
+    default all columns, so recomputation after executor loss gives the
+    same salt) and ``per_key`` rows are replicated once per salt; a key
+    holding a third of ``big`` is then spread over ``salts`` tasks.
+
+    With ``hot_rows`` set, only keys with more than ``hot_rows`` rows are
+    salted/replicated (their list is bounded and broadcast); every other
+    key joins with salt 0, so ``per_key`` is not multiplied as a whole.
+    Supports inner/left/left_semi/left_anti.
     """
     src = list(salt_from) if salt_from else big.columns
-    b = big.withColumn(_SALT, F.pmod(F.xxhash64(*[F.col(c) for c in src]), F.lit(salts)))
-    k = per_key.withColumn(_SALT, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in src]), F.lit(salts))
+    reps = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+    if hot_rows is None:
+        b = big.withColumn(_SALT, salt)
+        k = per_key.withColumn(_SALT, F.explode(reps))
+    else:
+        hk = F.broadcast(hot_keys(big, on, hot_rows).withColumn("_sd_hot", F.lit(True)))
+        b = big.join(hk, list(on), "left")
+        b = b.withColumn(_SALT, F.when(F.col("_sd_hot"), salt).otherwise(F.lit(0).cast("long"))).drop("_sd_hot")
+        k = per_key.join(hk, list(on), "left")
+        k = k.withColumn(
+            _SALT, F.explode(F.when(F.col("_sd_hot"), reps).otherwise(F.array(F.lit(0).cast("long"))))
+        ).drop("_sd_hot")
     out = b.join(k, [*on, _SALT], how)
     return out.drop(_SALT)

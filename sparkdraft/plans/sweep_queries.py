@@ -25,7 +25,6 @@ from sparkdraft.operators.sweeps import (
     grid_argmax,
     grouped_stats,
     infer_response_source,
-    linear_fit,
     matched_deltas,
     number_tag,
     parse_runtime_name,
@@ -35,6 +34,7 @@ from sparkdraft.operators.sweeps import (
     sampling_mode_for,
     unique_cells,
 )
+from sparkdraft.operators.joins import bounded_broadcast
 from sparkdraft.plans.registry import register, table
 
 ROUND = 9
@@ -148,11 +148,19 @@ def q_sweep_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A12 + A13 + F07: Pearson r over all cells; least squares of speedup
     on token yield (1 + acceptance) for gamma 1, T <= 0.05; cap at yield 2."""
     rows = sweep_rows(spark, sf_dir)
-    corr_all = rows.agg(F.corr("acceptance_rate", "speedup").alias("corr_all"))
-    sl = rows.filter((F.col("gamma") == 1) & (F.col("temperature") <= 0.05))
-    fit = linear_fit(sl, "speedup", F.lit(1.0) + F.col("acceptance_rate"), at=2.0)
-    j = corr_all.withColumn("_k", F.lit(1)).join(fit.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return j.select(*[F.round(c, ROUND).alias(c) if c != "n" else F.col(c) for c in ["corr_all", "corr", "slope", "intercept", "n", "prediction"]])
+    in_slice = (F.col("gamma") == 1) & (F.col("temperature") <= 0.05)
+    # One pass: the slice enters the fit through null-masked inputs
+    # (regression aggregates skip rows with a null operand).
+    y = F.when(in_slice, F.col("speedup"))
+    x = F.when(in_slice, F.lit(1.0) + F.col("acceptance_rate"))
+    out = rows.withColumn("_y", y).withColumn("_x", x).agg(
+        F.corr("acceptance_rate", "speedup").alias("corr_all"),
+        F.corr("_x", "_y").alias("corr"),
+        F.regr_slope("_y", "_x").alias("slope"),
+        F.regr_intercept("_y", "_x").alias("intercept"),
+        F.count("_y").alias("n"),
+    ).withColumn("prediction", F.col("slope") * F.lit(2.0) + F.col("intercept"))
+    return out.select(*[F.round(c, ROUND).alias(c) if c != "n" else F.col(c) for c in ["corr_all", "corr", "slope", "intercept", "n", "prediction"]])
 
 
 PAIRED_SQL = f"""WITH {CELLS_SQL},
@@ -378,7 +386,7 @@ def q_loss_vs_pretrained(spark: SparkSession, sf_dir: str) -> DataFrame:
     row per source)."""
     lr = loss_runs(spark, sf_dir)
     base = lr.filter(F.col("loss") == "pretrained").select("source", F.col("acceptance_rate").alias("_b"))
-    return lr.join(F.broadcast(base), "source").select(
+    return lr.join(bounded_broadcast(base, 10_000), "source").select(
         "loss", "source", F.round(F.col("acceptance_rate") - F.col("_b"), ROUND).alias("acceptance_vs_pretrained")
     )
 

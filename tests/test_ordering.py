@@ -61,7 +61,9 @@ def test_salted_join_and_bounded_broadcast(spark):
     got = sorted(tuple(r) for r in salted_join(big, small, ["k"], "inner", salts=5).select("k", "v", "w").collect())
     ref = sorted(tuple(r) for r in big.join(small, "k").select("k", "v", "w").collect())
     assert got == ref
-    left = salted_join(big, small.filter("k < 100"), ["k"], "left", salts=4)
+    hot = sorted(tuple(r) for r in salted_join(big, small, ["k"], "inner", salts=5, hot_rows=50).select("k", "v", "w").collect())
+    assert hot == ref
+    left = salted_join(big, small.filter("k < 100"), ["k"], "left", salts=4, hot_rows=50)
     assert left.count() == big.count()
     assert bounded_broadcast(small, 10) is not None
 
