@@ -66,32 +66,32 @@ def grouped_quantiles(
     )
 
 
+def unpivot_values(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence[str], name_col: str = "column") -> DataFrame:
+    """Long form (group..., column, value) so statistics over several
+    columns share one grouped pass (and one sort for the quantiles)."""
+    items = [F.struct(F.lit(c).alias(name_col), F.col(c).cast("double").alias("value")) for c in value_cols]
+    return df.select(*group_cols, F.explode(F.array(*items)).alias("_sd_u")).select(*group_cols, "_sd_u.*")
+
+
 def describe(df: DataFrame, value_cols: Sequence[str], places: int = 1) -> DataFrame:
     """Count, mean, std, min, 25%, 50%, 75%, max per column, one row
-    per column, rounded half-to-even to ``places``."""
-    out = None
-    for c in value_cols:
-        v = F.col(c).cast("double")
-        base = df.agg(
-            F.count(v).alias("count"),
-            F.avg(v).alias("mean"),
-            F.stddev_samp(v).alias("std"),
-            F.min(v).alias("min"),
-            F.max(v).alias("max"),
-        )
-        qs = grouped_quantiles(df, [], c, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
-        # Both sides are single-row aggregates; join them on a constant key.
-        row = base.withColumn("_k", F.lit(1)).join(F.broadcast(qs.withColumn("_k", F.lit(1))), "_k", "left")
-        row = row.select(
-            F.lit(c).alias("column"),
-            F.col("count").cast("long").alias("count"),
-            *[
-                F.bround(F.col(s), places).alias(s)
-                for s in ("mean", "std", "min", "p25", "p50", "p75", "max")
-            ],
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    per column, rounded half-to-even to ``places``. All columns go through
+    one unpivoted aggregation and one distributed quantile pass."""
+    long = unpivot_values(df, [], value_cols)
+    base = long.groupBy("column").agg(
+        F.count("value").alias("count"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+    )
+    qs = grouped_quantiles(long, ["column"], "value", [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
+    row = base.join(qs, "column", "left")
+    return row.select(
+        "column",
+        F.col("count").cast("long").alias("count"),
+        *[F.bround(F.col(s_), places).alias(s_) for s_ in ("mean", "std", "min", "p25", "p50", "p75", "max")],
+    )
 
 
 def equal_width_histogram(df: DataFrame, value_col: str, bins: int = 10) -> DataFrame:

@@ -68,14 +68,19 @@ def distinct_sorted(df: DataFrame, column: str) -> DataFrame:
 def grouped_stats(df: DataFrame, group: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """A10: mean, sample std (null for one row, H15) and exact median per
     group and metric."""
+    from sparkdraft.operators.quantiles import unpivot_values
+
     base = df.groupBy(*group).agg(
         *[F.avg(m).alias(f"{m}_mean") for m in metrics],
         *[F.stddev_samp(m).alias(f"{m}_std") for m in metrics],
     )
-    for m in metrics:
-        med = grouped_quantiles(df, group, m, [0.5], [f"{m}_median"])
-        base = base.join(med, list(group), "left")
-    return base
+    # One quantile pass for all metrics: sort (group, metric, value) once.
+    long = unpivot_values(df, group, metrics, "_sd_metric")
+    med = grouped_quantiles(long, [*group, "_sd_metric"], "value", [0.5], ["_sd_med"])
+    wide = med.groupBy(*group).agg(
+        *[F.max(F.when(F.col("_sd_metric") == m, F.col("_sd_med"))).alias(f"{m}_median") for m in metrics]
+    )
+    return base.join(wide, list(group), "left")
 
 
 def reliability(df: DataFrame, group: Sequence[str], metric: str, threshold: float = 1.0) -> DataFrame:
