@@ -22,7 +22,6 @@ from sparkdraft.operators.distributions import (
     nucleus_mask,
     pair_positions,
     position_losses,
-    proposal_distribution,
     residual_distribution,
     softmax,
     uniform_from_key,
