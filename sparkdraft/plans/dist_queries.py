@@ -314,3 +314,27 @@ def q_speculative_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(p_x, ROUND).alias("p_x"),
         F.round(q_x, ROUND).alias("q_x"),
     )
+
+
+NUCLEUS_LONG_SQL = f"""
+WITH {BASE_SQL},
+a AS ({_lsm_cols('pairs', 'student', '1.0', 'lq')}),
+x AS (SELECT seq, pos, unnest(list_transform(lq, lambda v: exp(v))) AS p, unnest(generate_series(0, len(lq) - 1)) AS tok FROM a),
+w AS (SELECT *, row_number() OVER (PARTITION BY seq, pos ORDER BY p DESC, tok) AS rk,
+             sum(p) OVER (PARTITION BY seq, pos ORDER BY p DESC, tok ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM x)
+SELECT seq, pos, CAST(tok AS INTEGER) AS tok, CAST(rk AS INTEGER) AS rank, (rk = 1 OR cum <= {TOP_P}) AS keep FROM w
+"""
+
+
+@register("nucleus_long_form", NUCLEUS_LONG_SQL)
+def q_nucleus_long_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W06 in the long layout (one row per position and token, window per
+    position bounded by the vocabulary): probability rank and keep flag."""
+    from pyspark.sql import Window
+
+    from sparkdraft.operators.distributions import nucleus_long
+
+    pairs = pairs_for(spark, sf_dir, with_labels=False)
+    nl = nucleus_long(pairs, "student", 1.0, TOP_P)
+    rank = F.row_number().over(Window.partitionBy("seq", "pos").orderBy(F.col("p").desc(), F.col("tok")))
+    return nl.select("seq", "pos", F.col("tok").cast("int").alias("tok"), rank.cast("int").alias("rank"), "keep")

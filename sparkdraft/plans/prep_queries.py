@@ -227,3 +227,14 @@ def q_split_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
         [("train", t), ("val", v), ("eval", e)], "split string, expected_rows bigint"
     )
     return completeness(counts, expected)
+
+
+@register("prompt_records", f"""
+WITH rec AS ({FIRST_EXCHANGE_SQL})
+SELECT id, prompt_text, response_text, source FROM rec""")
+def q_prompt_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation prompts (id, prompt, reference response, source)
+    from the canonical chat records."""
+    from sparkdraft.operators.prep import prompt_records
+
+    return prompt_records(chat_records(spark, sf_dir), "source_index")

@@ -238,3 +238,39 @@ def q_config_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")),
                    F.when(F.col("c_acctbal") > 0, F.lit("meta")), F.lit("inferred")).alias("response_source"),
     )
+
+
+EXPERIMENT_SQL = """
+WITH o AS (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'pretrained' WHEN '2-HIGH' THEN 'ce' WHEN '3-MEDIUM' THEN 'fkl'
+                  WHEN '4-NOT SPECIFIED' THEN 'rkl' ELSE 'jsd' END AS kind,
+                  CASE WHEN o_orderstatus = 'O' THEN 'target_generated' ELSE 'original' END AS source,
+                  CAST(c_nationkey AS BIGINT) * 1000 AS n_samples, o_custkey AS seed
+           FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT o_orderkey AS run_id,
+       concat_ws('_', kind, replace(source, '_generated', 'gen'), CAST(n_samples AS VARCHAR), 'seed' || CAST(seed AS VARCHAR),
+                 substr(sha256(to_json({'kind': kind, 'n_samples': n_samples, 'seed': seed, 'source': source})), 1, 8)) AS run_name
+FROM o
+"""
+
+
+@register("experiment_keys", EXPERIMENT_SQL)
+def q_experiment_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readable, hash-suffixed run names from each planned run's
+    identity (loss kind, response source, sample count, seed)."""
+    from sparkdraft.operators.summaries import experiment_key
+
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer")
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "pretrained").when(F.col("o_orderpriority") == "2-HIGH", "ce").when(
+        F.col("o_orderpriority") == "3-MEDIUM", "fkl").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "rkl").otherwise("jsd")
+    j = o.join(c, o["o_custkey"] == c["c_custkey"]).select(
+        "o_orderkey",
+        kind.alias("kind"),
+        F.when(F.col("o_orderstatus") == "O", "target_generated").otherwise("original").alias("source"),
+        (F.col("c_nationkey").cast("long") * 1000).alias("n_samples"),
+        F.col("o_custkey").alias("seed"),
+    )
+    return j.select(
+        F.col("o_orderkey").alias("run_id"),
+        experiment_key(["kind", "source", "n_samples", "seed"], "kind", "source", "n_samples", "seed").alias("run_name"),
+    )
