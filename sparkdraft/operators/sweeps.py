@@ -95,15 +95,19 @@ def reliability(df: DataFrame, group: Sequence[str], metric: str, threshold: flo
     )
 
 
-def linear_fit(df: DataFrame, y: str | Column, x: str | Column, at: float | None = None) -> DataFrame:
-    """A12 + A13: Pearson r, least-squares slope/intercept and optionally
-    the prediction ``slope*at + intercept``."""
+def linear_fit(df: DataFrame, y: str | Column, x: str | Column, at: float | None = None,
+               extra: Sequence[Column] = ()) -> DataFrame:
+    """A12 + A13: Pearson r, least-squares slope/intercept over the rows
+    where both operands are present (so a slice can be expressed as
+    null-masked inputs in the same pass), optionally the prediction
+    ``slope*at + intercept``; ``extra`` aggregates ride along."""
     yy, xx = col_(y), col_(x)
     out = df.agg(
+        *extra,
         F.corr(xx, yy).alias("corr"),
         F.regr_slope(yy, xx).alias("slope"),
         F.regr_intercept(yy, xx).alias("intercept"),
-        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(xx.isNotNull() & yy.isNotNull(), F.lit(1))).alias("n"),
     )
     if at is not None:
         out = out.withColumn("prediction", F.col("slope") * F.lit(float(at)) + F.col("intercept"))

@@ -25,6 +25,7 @@ from sparkdraft.operators.sweeps import (
     grid_argmax,
     grouped_stats,
     infer_response_source,
+    linear_fit,
     matched_deltas,
     number_tag,
     parse_runtime_name,
@@ -153,13 +154,7 @@ def q_sweep_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     # (regression aggregates skip rows with a null operand).
     y = F.when(in_slice, F.col("speedup"))
     x = F.when(in_slice, F.lit(1.0) + F.col("acceptance_rate"))
-    out = rows.withColumn("_y", y).withColumn("_x", x).agg(
-        F.corr("acceptance_rate", "speedup").alias("corr_all"),
-        F.corr("_x", "_y").alias("corr"),
-        F.regr_slope("_y", "_x").alias("slope"),
-        F.regr_intercept("_y", "_x").alias("intercept"),
-        F.count("_y").alias("n"),
-    ).withColumn("prediction", F.col("slope") * F.lit(2.0) + F.col("intercept"))
+    out = linear_fit(rows, y, x, at=2.0, extra=[F.corr("acceptance_rate", "speedup").alias("corr_all")])
     return out.select(*[F.round(c, ROUND).alias(c) if c != "n" else F.col(c) for c in ["corr_all", "corr", "slope", "intercept", "n", "prediction"]])
 
 
