@@ -170,14 +170,18 @@ def grid_argmax(df: DataFrame, group: Sequence[str], metric: str, tie_cols: Sequ
     ).select(*group, "best.*")
 
 
-def delta_vs_reference(df: DataFrame, keys: Sequence[str], ref_col: str, ref_value, metrics: Sequence[str]) -> DataFrame:
+def delta_vs_reference(df: DataFrame, keys: Sequence[str], ref_col: str, ref_value, metrics: Sequence[str],
+                       hot_rows: int = 1_000_000) -> DataFrame:
     """Metric minus the metric of the reference row (ref_col ==
     ref_value) sharing ``keys``; the reference table has one row per key
     and is joined back on the keys."""
+    from sparkdraft.operators.joins import salted_join
+
     ref = df.groupBy(*keys).agg(
         *[F.max(F.when(F.col(ref_col) == F.lit(ref_value), F.col(m))).alias(f"_ref_{m}") for m in metrics]
     )
-    j = df.join(ref, list(keys), "left")
+    # A key may hold a large share of the rows: salt the hot keys only.
+    j = salted_join(df, ref, list(keys), "left", hot_rows=hot_rows)
     return j.select(
         *df.columns, *[(F.col(m) - F.col(f"_ref_{m}")).alias(f"{m}_delta") for m in metrics]
     )
@@ -348,11 +352,14 @@ def convergence_status(df: DataFrame, group: Sequence[str], order: str, value: s
     return g.select(*group, "first", "last", "n_points", status.alias("status"))
 
 
-def snapshot_rows(df: DataFrame, group: Sequence[str], order: str, every: int) -> DataFrame:
+def snapshot_rows(df: DataFrame, group: Sequence[str], order: str, every: int, hot_rows: int = 1_000_000) -> DataFrame:
     """The first step, every ``every``-th step, and the last step of
     each group (the last via a per-group max joined back)."""
+    from sparkdraft.operators.joins import salted_join
+
     last = df.groupBy(*group).agg(F.max(order).alias("_last"))
-    j = df.join(last, list(group), "left")
+    # A run with most of the points would be one join task: salt hot runs.
+    j = salted_join(df, last, list(group), "left", hot_rows=hot_rows)
     keep = (F.col(order) == 1) | (F.col(order) % every == 0) | (F.col(order) == F.col("_last"))
     return j.filter(keep).drop("_last")
 

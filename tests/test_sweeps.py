@@ -108,6 +108,8 @@ def test_curve_operators(spark):
     assert st == {"a": "OK", "b": "DIVERGED", "c": "STALLED"}
     snaps = sorted(r["step"] for r in snapshot_rows(df.filter("run = 'a'"), ["run"], "step", 3).collect())
     assert snaps == [1, 3, 6, 7]
+    salted = sorted(r["step"] for r in snapshot_rows(df.filter("run = 'a'"), ["run"], "step", 3, hot_rows=2).collect())
+    assert salted == snaps
     best = {r["run"]: r["best_step"] for r in best_checkpoint(df, ["run"], "step", "loss").collect()}
     assert best["a"] == 7 and best["c"] == 1
     e = {(r["run"], r["step"]): r["ema"] for r in ema(df.filter("run != 'b'"), ["run"], "step", "loss", 0.9).collect()}
