@@ -86,10 +86,13 @@ def describe(df: DataFrame, value_cols: Sequence[str], places: int = 1) -> DataF
         F.max("value").alias("max"),
     )
     qs = grouped_quantiles(long, ["column"], "value", [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
-    row = base.join(qs, "column", "left")
+    # One row per requested column even for empty input (count 0), like
+    # pandas; the column list is a literal table of proven size.
+    names = df.sparkSession.createDataFrame([(c,) for c in value_cols], "column string")
+    row = F.broadcast(names).join(base, "column", "left").join(qs, "column", "left")
     return row.select(
         "column",
-        F.col("count").cast("long").alias("count"),
+        F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),
         *[F.bround(F.col(s_), places).alias(s_) for s_ in ("mean", "std", "min", "p25", "p50", "p75", "max")],
     )
 

@@ -81,3 +81,23 @@ def test_explicit_range_partitions_and_index_by_key(spark):
     assert got == ref
     got2 = {r["id"]: r["idx"] for r in index_by_key(df, ["k", "id"], ["id"], "idx").collect()}
     assert got2 == ref
+
+
+def test_empty_inputs_and_empty_partitions(spark):
+    from sparkdraft.operators.sweeps import ema
+
+    few = spark.createDataFrame([(i, "g" if i < 6 else "h", float(i)) for i in range(10)], "id long, g string, v double")
+    spread = few.repartition(40)  # most partitions empty
+    idx = sorted((r["id"], r["idx"]) for r in with_global_index(spread, ["id"], "idx").collect())
+    assert idx == [(i, i) for i in range(10)]
+    ps = {r["id"]: r["v_before"] for r in grouped_prefix_sums(spread, ["g"], ["id"], ["v"]).collect()}
+    assert ps[5] == 0.0 + 1 + 2 + 3 + 4 and ps[6] == 0.0
+    e = {r["id"]: r["ema"] for r in ema(spread, ["g"], "id", "v", 0.5).collect()}
+    assert e[0] == 0.0 and e[1] == 0.5 and e[6] == 6.0
+    empty = few.filter("id < 0")
+    assert with_global_index(empty, ["id"], "idx").count() == 0
+    assert grouped_prefix_sums(empty, ["g"], ["id"], ["v"]).count() == 0
+    assert ema(empty, ["g"], "id", "v").count() == 0
+    assert grouped_quantiles(empty, ["g"], "v", [0.5]).count() == 0
+    d = describe(empty, ["v"]).collect()[0]
+    assert d["count"] == 0 and d["p50"] is None
