@@ -257,7 +257,9 @@ def positional_vector(long_sums: DataFrame, run_col: str = "run") -> DataFrame:
 
 def output_token_count(outputs: DataFrame, ids_col: str = "token_ids") -> DataFrame:
     """Total generated tokens; a missing output counts 0."""
-    return outputs.agg(F.coalesce(F.sum(F.coalesce(F.size(ids_col), F.lit(0))), F.lit(0)).cast("long").alias("output_tokens"))
+    # size(NULL) is -1 when ANSI mode is off, so test for null explicitly.
+    n = F.when(F.col(ids_col).isNull(), F.lit(0)).otherwise(F.size(ids_col))
+    return outputs.agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("output_tokens"))
 
 
 def sampling_params(mode: str | Column, temperature: str | Column, top_p: str | Column,
