@@ -441,9 +441,12 @@ def number_tag(x: str | Column) -> Column:
 
 
 def alpha_tag(alpha: str | Column) -> Column:
-    """P20: 0.5 -> a05, 1 -> a1, otherwise the digits without dots."""
-    a = col_(alpha).cast("double")
-    return F.when(a == 0.5, "a05").when(a == 1.0, "a1").otherwise(F.concat(F.lit("a"), F.regexp_replace(a.cast("string"), r"\.", "")))
+    """P20, on the value as written: "0.5" -> a05, "1.0"/"1" -> a1,
+    otherwise "a" + the text without dots ("0.50" -> a050)."""
+    a = col_(alpha).cast("string")
+    return F.when(a == "0.5", "a05").when(a.isin("1.0", "1"), "a1").otherwise(
+        F.concat(F.lit("a"), F.regexp_replace(a, r"\.", ""))
+    )
 
 
 def eval_run_name(ckpt: str | Column, gamma: str | Column, max_new: str | Column) -> Column:
@@ -476,8 +479,9 @@ def parse_runtime_name(name: str | Column) -> Column:
 
 
 def sampling_mode_for(temperature: str | Column) -> Column:
-    """P20: automatic mode: temperature 0 -> greedy, else sampling."""
-    return F.when(col_(temperature).cast("double") == 0, "greedy").otherwise("sampling")
+    """P20 automatic mode, on the value as written: "0", "0.0" or "0.00"
+    -> greedy, anything else -> sampling (numbers are rendered first)."""
+    return F.when(col_(temperature).cast("string").isin("0", "0.0", "0.00"), "greedy").otherwise("sampling")
 
 
 def derived_run_metrics(acceptance: str | Column, gamma: str | Column, accepted: str | Column) -> list[Column]:

@@ -163,3 +163,14 @@ def test_numeric_helpers(spark):
     assert (r["r"], r["q"], r["qn"], r["qz"], r["g"]) == (2, 1.6, 1.0, None, 60.0)
     rows = spark.createDataFrame([(1, "b"), (2, "a"), (1, "a")], "x int, y string").orderBy(*sort_keys(("x", False), ("y", True))).collect()
     assert [tuple(r) for r in rows] == [(2, "a"), (1, "a"), (1, "b")]
+
+
+def test_tags_follow_written_values(spark):
+    from sparkdraft.operators.sweeps import alpha_tag, sampling_mode_for
+
+    df = spark.createDataFrame([("0.5",), ("1.0",), ("1",), ("0.50",), ("0.25",)], "a string")
+    assert [r["t"] for r in df.select(alpha_tag("a").alias("t")).collect()] == ["a05", "a1", "a1", "a050", "a025"]
+    t = spark.createDataFrame([("0",), ("0.0",), ("0.00",), ("0.000",), ("0.7",)], "t string")
+    assert [r["m"] for r in t.select(sampling_mode_for("t").alias("m")).collect()] == ["greedy"] * 3 + ["sampling"] * 2
+    d = spark.createDataFrame([(0.0,), (0.5,)], "t double")
+    assert [r["m"] for r in d.select(sampling_mode_for("t").alias("m")).collect()] == ["greedy", "sampling"]
