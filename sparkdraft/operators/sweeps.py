@@ -338,16 +338,22 @@ def ema(df: DataFrame, group: Sequence[str], order: str, value: str, beta: float
     return with_carry.mapInPandas(run, f"{gtypes}, `{order}` {otype}, ema double")
 
 
-def convergence_status(df: DataFrame, group: Sequence[str], order: str, value: str) -> DataFrame:
-    """DIVERGED if any loss is not finite, OK if the last loss is below
-    the first, else STALLED. ``min_by``/``max_by`` on the step combine
-    map-side."""
+def convergence_status(df: DataFrame, group: Sequence[str], order: str, value: str,
+                       smoothed: DataFrame | None = None, smoothed_col: str = "ema") -> DataFrame:
+    """DIVERGED if any raw value is not finite; otherwise OK when the
+    last (smoothed, if ``smoothed`` = (group, order, smoothed_col) is
+    given) value is below the first value, else STALLED. ``min_by`` /
+    ``max_by`` on the step combine map-side; the smoothed side has one row
+    per group after its own aggregate."""
     g = df.groupBy(*group).agg(
         F.bool_or(~finite(value)).alias("_bad"),
         F.min_by(F.col(value), F.col(order)).alias("first"),
         F.max_by(F.col(value), F.col(order)).alias("last"),
         F.count(F.lit(1)).alias("n_points"),
     )
+    if smoothed is not None:
+        last = smoothed.groupBy(*group).agg(F.max_by(F.col(smoothed_col), F.col(order)).alias("_last_s"))
+        g = g.join(last, list(group), "left").withColumn("last", F.col("_last_s")).drop("_last_s")
     status = F.when(F.col("_bad"), "DIVERGED").when(F.col("last") < F.col("first"), "OK").otherwise("STALLED")
     return g.select(*group, "first", "last", "n_points", status.alias("status"))
 

@@ -45,13 +45,32 @@ def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 CURVE_SQL = "c AS (SELECT event_type AS run, event_id AS step, value AS loss FROM events)"
 
 
-@register("loss_convergence", f"""WITH {CURVE_SQL}
-SELECT run, arg_min(loss, step) AS first, arg_max(loss, step) AS last, count(*) AS n_points,
-       CASE WHEN bool_or(NOT isfinite(loss)) THEN 'DIVERGED' WHEN arg_max(loss, step) < arg_min(loss, step) THEN 'OK' ELSE 'STALLED' END AS status
-FROM c GROUP BY run""")
+EMA_BLOCK = 512
+EMA_BODY = f"""{CURVE_SQL},
+r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) AS k FROM c),
+b AS (SELECT *, (k - 1) // {EMA_BLOCK} AS blk, (k - 1) % {EMA_BLOCK} AS j,
+             CASE WHEN k = 1 THEN 1.0 ELSE 1 - {BETA}::DOUBLE END * loss AS wx FROM r),
+l AS (SELECT *, power({BETA}::DOUBLE, j) * sum(power({BETA}::DOUBLE, -j) * wx)
+                  OVER (PARTITION BY run, blk ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS loc FROM b),
+e AS (SELECT run, blk, min(k) AS start_k, max(k) AS end_k, arg_max(loc, k) AS lend FROM l GROUP BY run, blk),
+inb AS (SELECT e1.run, e1.blk, coalesce(sum(power({BETA}::DOUBLE, (e1.start_k - 1) - e0.end_k) * e0.lend), 0.0) AS ein
+        FROM e e1 LEFT JOIN e e0 ON e0.run = e1.run AND e0.blk < e1.blk GROUP BY e1.run, e1.blk),
+em AS (SELECT l.run, l.step, power({BETA}::DOUBLE, l.j + 1) * inb.ein + l.loc AS ema
+       FROM l JOIN inb ON l.run = inb.run AND l.blk = inb.blk)"""
+EMA_SQL = f"WITH {EMA_BODY} SELECT run, step, round(ema, {ROUND}) AS ema FROM em"
+
+
+@register("loss_convergence", f"""WITH {EMA_BODY}
+SELECT c.run, arg_min(c.loss, c.step) AS first, round(any_value(x.last), {ROUND}) AS last, count(*) AS n_points,
+       CASE WHEN bool_or(NOT isfinite(c.loss)) THEN 'DIVERGED' WHEN any_value(x.last) < arg_min(c.loss, c.step) THEN 'OK'
+            ELSE 'STALLED' END AS status
+FROM c JOIN (SELECT run, arg_max(ema, step) AS last FROM em GROUP BY run) x ON c.run = x.run GROUP BY c.run""")
 def q_loss_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DIVERGED / OK / STALLED per run."""
-    return convergence_status(curves(spark, sf_dir), ["run"], "step", "loss")
+    """W07 + W08: DIVERGED / OK / STALLED per run, judged on the last EMA
+    value against the first loss."""
+    cur = curves(spark, sf_dir)
+    st = convergence_status(cur, ["run"], "step", "loss", smoothed=ema(cur, ["run"], "step", "loss", BETA))
+    return st.withColumn("last", F.round("last", ROUND))
 
 
 @register("loss_snapshots", f"""WITH {CURVE_SQL}, m AS (SELECT run, max(step) AS last FROM c GROUP BY run)
@@ -78,20 +97,6 @@ def q_best_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_checkpoint(curves(spark, sf_dir), ["run"], "step", "loss")
 
 
-EMA_BLOCK = 512
-EMA_SQL = f"""WITH {CURVE_SQL},
-r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) AS k FROM c),
-b AS (SELECT *, (k - 1) // {EMA_BLOCK} AS blk, (k - 1) % {EMA_BLOCK} AS j,
-             CASE WHEN k = 1 THEN 1.0 ELSE 1 - {BETA}::DOUBLE END * loss AS wx FROM r),
-l AS (SELECT *, power({BETA}::DOUBLE, j) * sum(power({BETA}::DOUBLE, -j) * wx)
-                  OVER (PARTITION BY run, blk ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS loc FROM b),
-e AS (SELECT run, blk, min(k) AS start_k, max(k) AS end_k, arg_max(loc, k) AS lend FROM l GROUP BY run, blk),
-inb AS (SELECT e1.run, e1.blk, coalesce(sum(power({BETA}::DOUBLE, (e1.start_k - 1) - e0.end_k) * e0.lend), 0.0) AS ein
-        FROM e e1 LEFT JOIN e e0 ON e0.run = e1.run AND e0.blk < e1.blk GROUP BY e1.run, e1.blk)
-SELECT l.run, l.step, round(power({BETA}::DOUBLE, l.j + 1) * inb.ein + l.loc, {ROUND}) AS ema
-FROM l JOIN inb ON l.run = inb.run AND l.blk = inb.blk"""
-
-
 @register("loss_ema", EMA_SQL)
 def q_loss_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """beta=0.9 EMA of each run's loss curve, seeded with the first
