@@ -30,8 +30,9 @@ WITH rec AS ({FIRST_EXCHANGE_SQL}),
 t AS (SELECT id, response_text, '{PRE}' || prompt_text || '{POST}' AS templ FROM rec),
 k AS (SELECT id, response_text, length(templ) AS n, substr(templ, greatest(length(templ) - {BUDGET}, 0) + 1) AS kept FROM t)
 SELECT id, {strip_sql('kept')} AS response_text, 'target' AS source, response_text AS original_response_text,
-       '{GENERATED_AT}' AS response_generated_at, n > {BUDGET} AS target_prompt_truncated,
-       CAST(n AS INTEGER) AS target_prompt_tokens_original, CAST(length(kept) AS INTEGER) AS target_prompt_tokens_used
+       '{GENERATED_AT}' AS response_generated_at, CASE WHEN n > {BUDGET} THEN true END AS target_prompt_truncated,
+       CASE WHEN n > {BUDGET} THEN CAST(n AS INTEGER) END AS target_prompt_tokens_original,
+       CASE WHEN n > {BUDGET} THEN CAST(length(kept) AS INTEGER) END AS target_prompt_tokens_used
 FROM k
 """
 
@@ -48,12 +49,15 @@ def q_target_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_t.truncated").alias("trunc"), F.col("_t.tokens_original").alias("n_orig"), F.col("_t.tokens_used").alias("n_used"),
     )
     gens = generate_responses(prompts, prompt_echo_generator, {"temperature": 0.0}, request_batch_size=16)
+    # Truncation metadata exists only for prompts that were truncated
+    # (absent keys are null fields of the typed struct).
+    cut = F.col("_t.truncated")
     meta = trunc.withColumn(
         "metadata",
         F.col("metadata")
-        .withField("target_prompt_truncated", F.col("_t.truncated"))
-        .withField("target_prompt_tokens_original", F.col("_t.tokens_original"))
-        .withField("target_prompt_tokens_used", F.col("_t.tokens_used")),
+        .withField("target_prompt_truncated", F.when(cut, F.lit(True)))
+        .withField("target_prompt_tokens_original", F.when(cut, F.col("_t.tokens_original")))
+        .withField("target_prompt_tokens_used", F.when(cut, F.col("_t.tokens_used"))),
     ).drop("_t")
     out = rewrite_response(meta, gens, GENERATED_AT)
     return out.select(
