@@ -16,7 +16,7 @@ WITH p AS (
          count(*) AS turns
   FROM conversations GROUP BY conv_id),
 prof AS (
-  SELECT conv_id, length(pr) AS prompt_chars, length(rs) AS response_chars, turns,
+  SELECT conv_id, CAST(length(pr) AS INTEGER) AS prompt_chars, CAST(length(rs) AS INTEGER) AS response_chars, turns,
          replace(substr(pr, 1, 100), chr(10), ' ') AS prompt_preview,
          replace(substr(rs, 1, 100), chr(10), ' ') AS response_preview
   FROM p)

@@ -72,7 +72,7 @@ def q_summary_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FLAT_SQL = f"""WITH {CELLS_SQL}
 SELECT run, CASE WHEN gamma <> 7 THEN speedup END AS speedup, acceptance_rate, acceptance_rate * gamma AS avg_accepted_tokens,
-       tokens_per_second, 10.0 AS sd_time_s, CASE WHEN gamma <> 6 THEN speedup * 10.0 END AS vanilla_time_s,
+       tokens_per_second, CAST(10.0 AS DOUBLE) AS sd_time_s, CASE WHEN gamma <> 6 THEN speedup * 10.0 END AS vanilla_time_s,
        CAST(n_prompts AS INTEGER) AS n_prompts, 1 AS n_warmup, 3 AS n_repeats,
        CAST(n_prompts AS BIGINT) AS vllm_num_drafts, CAST(n_prompts * gamma AS BIGINT) AS vllm_num_draft_tokens,
        CAST(round(n_prompts * gamma * acceptance_rate) AS BIGINT) AS vllm_num_accepted_tokens, CAST(8 AS BIGINT) AS vllm_request_batch_size,
