@@ -2,10 +2,11 @@
 
 W10-W12 replay logged verification steps (accept prefix, committed
 segment, stop rule); A01-A08 aggregate per-prompt and per-run numbers;
-P15/P16/P28 derive runtime settings. All aggregations are partial
-(map-side combined); the only order-dependent step, the stop rule, uses
-``grouped_prefix_sums`` so a prompt with a third of all steps is still
-spread over many tasks.
+P15/P16/P28 derive runtime settings. Aggregations are partial (map-side
+combined); the one list kept per prompt (accepted lengths) holds only the
+steps that ran, at most ``max_new_tokens``. The only order-dependent step,
+the stop rule, uses ``grouped_prefix_sums`` so a prompt with a third of
+all steps is still spread over many tasks.
 """
 
 from __future__ import annotations

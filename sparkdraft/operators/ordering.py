@@ -150,8 +150,9 @@ def grouped_prefix_sums(
     rows of the same group (``inclusive=True`` also counts the row). A
     group may span many partitions; its carry into partition ``p`` is the
     sum of its rows in partitions ``< p``. Only the first group of each
-    partition can carry, so the carry table has at most one row per
-    partition and is broadcast.
+    partition can carry, so the carry table has at most two rows per
+    partition (a group's segments as last and as first group) and is
+    broadcast.
     """
     group_cols = list(group_cols)
     s = stable_sort(df, [*group_cols, *order_cols]).withColumn(_PID, F.spark_partition_id())

@@ -1,10 +1,12 @@
 """Sweep analytics over run summaries (A10-A20, A33, A35, A36, J01-J05,
 J07, J09, L04-L06, W07-W09, W13, F01-F07, P19-P21, P26, P27).
 
-Inputs are flat sweep rows (one per run). Everything is grouping,
-conditional aggregation or equi-joins; orderings that pick "the best" or
-"the first" row are ``max_by``/``min_by`` over struct keys, which combine
-map-side instead of sorting a group in one task.
+Inputs are flat sweep rows (one per run) or logged curves. The operators
+are grouping, conditional aggregation and equi-joins (hot keys salted);
+orderings that pick "the best" or "the first" row are ``max_by``/``min_by``
+over struct keys, which combine map-side instead of sorting a group in one
+task. The EMA recursion is the one scan: range-partitioned, checkpointed,
+with pandas inside each partition.
 """
 
 from __future__ import annotations
