@@ -523,3 +523,16 @@ def cache_state(manifests: DataFrame, counts: DataFrame, expected_model: str,
         .otherwise("reuse")
     )
     return agg.select(state.alias("state"), "n_present", "n_mismatch", "n_incomplete")
+
+
+def param_grid(spark, **axes: Sequence) -> DataFrame:
+    """The full grid of run parameters (e.g. max_new_tokens x gamma x
+    temperature, or loss x data) as rows, built by exploding one literal
+    array per axis from a single row - no cross join. Axis order is the
+    keyword order; the grid size is the product of the axis lengths."""
+    if not axes:
+        raise ValueError("param_grid needs at least one axis")
+    df = spark.range(1).select()
+    for name, values in axes.items():
+        df = df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return df

@@ -174,3 +174,14 @@ def test_tags_follow_written_values(spark):
     assert [r["m"] for r in t.select(sampling_mode_for("t").alias("m")).collect()] == ["greedy"] * 3 + ["sampling"] * 2
     d = spark.createDataFrame([(0.0,), (0.5,)], "t double")
     assert [r["m"] for r in d.select(sampling_mode_for("t").alias("m")).collect()] == ["greedy", "sampling"]
+
+
+def test_param_grid(spark):
+    from sparkdraft.operators.sweeps import param_grid
+
+    g = param_grid(spark, max_new_tokens=[128, 256, 512], gamma=[1, 2, 4, 6, 8], temperature=[0.0, 0.5, 1.0, 1.5, 2.0])
+    rows = g.collect()
+    assert len(rows) == 75 and g.columns == ["max_new_tokens", "gamma", "temperature"]
+    assert len({tuple(r) for r in rows}) == 75
+    lx = param_grid(spark, loss=["ce", "fkl", "rkl", "jsd"], data=["ultrachat_10k", "ultrachat_25k", "ultrachat_50k", "alpaca_50k"])
+    assert lx.count() == 16
