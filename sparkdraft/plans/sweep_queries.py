@@ -41,7 +41,6 @@ from sparkdraft.plans.registry import register, table
 ROUND = 9
 CKPT = "qwen3-0p6b-jsd"
 TEMPS = [round(i / 100, 2) for i in range(11)]
-LENGTHS = {"A": 128, "N": 256, "R": 512}
 METRICS = ["speedup", "acceptance_rate", "tokens_per_second"]
 
 
