@@ -287,3 +287,34 @@ def q_experiment_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("run_id"),
         experiment_key(["kind", "source", "n_samples", "seed"], "kind", "source", "n_samples", "seed").alias("run_name"),
     )
+
+
+LOG_SQL = r"""
+WITH t AS (SELECT event_id,
+                  'step ' || CAST(event_id AS VARCHAR) || chr(13) || '{''loss'': ' || json_extract_string(props, '$.k')
+                  || ', ''eval_loss'': ' || printf('%.2f', value) || '}' || chr(10) || '{''eval_loss'': '
+                  || json_extract_string(props, '$.k') || '.5} {''eval_loss'': 0.25}' AS value FROM events),
+l AS (SELECT event_id, unnest(regexp_split_to_array(value, '[\r\n]+')) AS line,
+             unnest(generate_series(0, len(regexp_split_to_array(value, '[\r\n]+')) - 1)) AS line_no FROM t),
+m AS (SELECT event_id, line_no, unnest(regexp_extract_all(line, '''eval_loss'': ([0-9.]+)', 1)) AS v,
+             unnest(generate_series(0, len(regexp_extract_all(line, '''eval_loss'': ([0-9.]+)', 1)) - 1)) AS match_no FROM l)
+SELECT event_id, CAST(line_no AS INTEGER) AS line_no, CAST(match_no AS INTEGER) AS match_no, CAST(v AS DOUBLE) AS eval_loss FROM m
+"""
+
+
+@register("log_eval_losses", LOG_SQL)
+def q_log_eval_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eval-loss extraction from trainer log text. Stand-in: each
+    event renders its own two-line log snippet (a progress line ending in
+    a carriage return, then dict fragments); the parser splits lines in
+    order and extracts every ``'eval_loss': x``."""
+    from sparkdraft.sources.files import eval_losses_from_text
+
+    ev = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    text = F.concat(
+        F.lit("step "), F.col("event_id").cast("string"), F.lit("\r{'loss': "), k,
+        F.lit(", 'eval_loss': "), F.format_string("%.2f", "value"), F.lit("}\n{'eval_loss': "), k,
+        F.lit(".5} {'eval_loss': 0.25}"),
+    )
+    return eval_losses_from_text(ev.select("event_id", text.alias("value")), ["event_id"])

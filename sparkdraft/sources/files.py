@@ -133,19 +133,23 @@ EVAL_LOSS = r"'eval_loss': ([0-9.]+)"
 FINAL_LINE = r"acceptance_rate=([0-9.]+) avg_accepted_tokens=([0-9.]+) speedup=([0-9.]+)x tokens/s=([0-9.]+)"
 
 
-def log_metric_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Every ``'eval_loss': x`` of each log file in order.
-
-    Files are read whole (progress bars use ``\\r``), split into lines with
-    ``posexplode`` (keeps line order), and matched per line.
-    Output: file, line_no, match_no, eval_loss.
-    """
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = raw.select("file", F.posexplode(F.split("value", r"[\r\n]+")).alias("line_no", "line"))
+def eval_losses_from_text(df: DataFrame, key_cols: Sequence[str], text_col: str = "value") -> DataFrame:
+    """S10 core: split each text on ``\\r``/``\\n`` (progress bars use
+    ``\\r``), keep line order with ``posexplode``, and extract every
+    ``'eval_loss': x`` per line. Output: keys, line_no, match_no, eval_loss."""
+    keys = list(key_cols)
+    lines = df.select(*keys, F.posexplode(F.split(text_col, r"[\r\n]+")).alias("line_no", "line"))
     hits = lines.select(
-        "file", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(EVAL_LOSS), 1)).alias("match_no", "v")
+        *keys, "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(EVAL_LOSS), 1)).alias("match_no", "v")
     )
-    return hits.select("file", "line_no", "match_no", F.col("v").cast("double").alias("eval_loss"))
+    return hits.select(*keys, "line_no", "match_no", F.col("v").cast("double").alias("eval_loss"))
+
+
+def log_metric_scan(spark: SparkSession, path: str) -> DataFrame:
+    """Every ``'eval_loss': x`` of each log file (read whole), in order.
+    Output: file, line_no, match_no, eval_loss."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return eval_losses_from_text(raw, ["file"])
 
 
 def final_metrics_scan(spark: SparkSession, path: str) -> DataFrame:
