@@ -318,3 +318,48 @@ def q_log_eval_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(".5} {'eval_loss': 0.25}"),
     )
     return eval_losses_from_text(ev.select("event_id", text.alias("value")), ["event_id"])
+
+
+SAMPLING_SQL = """
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'greedy' ELSE 'sampling' END AS mode,
+                  (o_custkey % 5) * 0.5 AS t, 0.9 AS p, o_orderkey AS seed, 128 * (1 + o_custkey % 3) AS n,
+                  CASE o_orderstatus WHEN 'F' THEN ' None ' WHEN 'O' THEN 'ckpt-' || CAST(o_custkey AS VARCHAR) END AS draft
+           FROM orders)
+SELECT o_orderkey AS run_id, CAST(n AS INTEGER) AS max_tokens,
+       CAST(CASE WHEN mode = 'greedy' THEN 0.0 ELSE t END AS DOUBLE) AS temperature,
+       CAST(CASE WHEN mode = 'greedy' THEN 1.0 ELSE p END AS DOUBLE) AS top_p,
+       CASE WHEN mode = 'sampling' THEN seed END AS seed,
+       (draft IS NULL OR lower(trim(draft)) IN ('', 'none', 'null', 'vanilla')) AS null_draft
+FROM o
+"""
+
+
+@register("sampling_configs", SAMPLING_SQL)
+def q_sampling_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P15 + P16: generation parameters per planned run (greedy forces
+    temperature 0, top_p 1 and no seed) and whether its draft spec means
+    "no draft". Stand-in: priority 1/2 -> greedy, temperature from the
+    customer key, draft spec from the order status."""
+    from sparkdraft.functions.text import is_null_draft
+    from sparkdraft.operators.decode import sampling_params
+
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "greedy").otherwise("sampling").alias("mode"),
+        ((F.col("o_custkey") % 5) * 0.5).alias("t"),
+        F.lit(0.9).alias("p"),
+        F.col("o_orderkey").alias("seed"),
+        (F.lit(128) * (F.col("o_custkey") % 3 + 1)).alias("n"),
+        F.when(F.col("o_orderstatus") == "F", " None ").when(
+            F.col("o_orderstatus") == "O", F.concat(F.lit("ckpt-"), F.col("o_custkey").cast("string"))
+        ).alias("draft"),
+    )
+    s = sampling_params("mode", "t", "p", "seed", "n")
+    return o.select(
+        F.col("o_orderkey").alias("run_id"),
+        s["max_tokens"].alias("max_tokens"),
+        s["temperature"].alias("temperature"),
+        s["top_p"].alias("top_p"),
+        s["seed"].alias("seed"),
+        is_null_draft("draft").alias("null_draft"),
+    )
