@@ -273,3 +273,28 @@ SELECT run, CAST(pos AS INTEGER) AS pos, sum(v) AS total FROM x GROUP BY run, po
 def q_accepted_per_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ragged per-position accepted-token vectors summed per run."""
     return positional_sums(metric_rows(spark, sf_dir))
+
+
+AMORTISED_SQL = f"""WITH {TIMING_SQL},
+tot AS (SELECT count(DISTINCT prompt) AS n, coalesce(sum(mean_s) FILTER (WHERE arm = 'sd'), 0.0) AS sd_s,
+               coalesce(sum(mean_s) FILTER (WHERE arm = 'vanilla'), 0.0) AS v_s FROM m)
+SELECT m.prompt, m.arm, round(CASE WHEN tot.n > 0 THEN tot.sd_s / tot.n ELSE 0.0 END, {ROUND}) AS sd_s_avg,
+       round(CASE WHEN tot.n > 0 AND tot.v_s > 0 THEN tot.v_s / tot.n END, {ROUND}) AS vanilla_s_avg
+FROM m, tot
+"""
+
+
+@register("amortised_prompt_times", AMORTISED_SQL)
+def q_amortised_prompt_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole-run SD and vanilla times divided by the prompt count,
+    stamped on every per-prompt row (the run total is one row, joined by
+    broadcast)."""
+    from sparkdraft.operators.decode import amortised_times
+
+    m = repeat_means(timings(spark, sf_dir))
+    tot = run_totals(m).select("n_prompts", F.col("sd_time_s").alias("_sd"), F.col("vanilla_time_s").alias("_v"))
+    j = m.withColumn("_k", F.lit(1)).join(F.broadcast(tot.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    out = amortised_times(j, F.col("_sd"), F.col("_v"), F.col("n_prompts"))
+    return out.select(
+        "prompt", "arm", F.round("sd_s_avg", ROUND).alias("sd_s_avg"), F.round("vanilla_s_avg", ROUND).alias("vanilla_s_avg")
+    )

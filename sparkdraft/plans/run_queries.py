@@ -363,3 +363,43 @@ def q_sampling_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
         s["seed"].alias("seed"),
         is_null_draft("draft").alias("null_draft"),
     )
+
+
+LOOKUP_SQL = """
+WITH runs AS (SELECT o_orderkey, '/runs/' || CAST(o_custkey AS VARCHAR) AS parent,
+                     '/runs/' || CAST(o_custkey AS VARCHAR) || '/' || CAST(o_orderkey AS VARCHAR) AS dir FROM orders),
+meta AS (SELECT '/runs/' || CAST(c_custkey AS VARCHAR) AS path, c_mktsegment AS dataset_id FROM customer WHERE c_acctbal > 0
+         UNION ALL
+         SELECT '/runs/' || CAST(o_custkey AS VARCHAR) || '/' || CAST(o_orderkey AS VARCHAR), o_orderpriority FROM orders
+         WHERE o_orderstatus = 'F')
+SELECT r.o_orderkey AS run_id, CASE WHEN a.path IS NOT NULL THEN a.path WHEN b.path IS NOT NULL THEN b.path END AS meta_path,
+       CASE WHEN a.path IS NOT NULL THEN a.dataset_id WHEN b.path IS NOT NULL THEN b.dataset_id END AS dataset_id
+FROM runs r LEFT JOIN meta a ON r.parent = a.path LEFT JOIN meta b ON r.dir = b.path
+"""
+
+
+@register("checkpoint_meta_lookup", LOOKUP_SQL)
+def q_checkpoint_meta_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkpoint metadata by candidate paths, first hit wins (the
+    parent directory, then the run directory). Stand-in: customers with a
+    positive balance have a parent-level meta file, finished orders a
+    run-level one."""
+    from sparkdraft.operators.summaries import first_hit_lookup
+
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer")
+    runs = o.select(
+        "o_orderkey",
+        F.concat(F.lit("/runs/"), F.col("o_custkey").cast("string")).alias("parent"),
+        F.concat(F.lit("/runs/"), F.col("o_custkey").cast("string"), F.lit("/"), F.col("o_orderkey").cast("string")).alias("dir"),
+    )
+    meta = c.filter(F.col("c_acctbal") > 0).select(
+        F.concat(F.lit("/runs/"), F.col("c_custkey").cast("string")).alias("path"), F.col("c_mktsegment").alias("dataset_id")
+    ).unionByName(
+        o.filter(F.col("o_orderstatus") == "F").select(
+            F.concat(F.lit("/runs/"), F.col("o_custkey").cast("string"), F.lit("/"), F.col("o_orderkey").cast("string")).alias("path"),
+            F.col("o_orderpriority").alias("dataset_id"),
+        )
+    )
+    out = first_hit_lookup(runs, meta, ["parent", "dir"])
+    return out.select(F.col("o_orderkey").alias("run_id"), "meta_path", "dataset_id")
