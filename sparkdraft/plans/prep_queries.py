@@ -238,3 +238,75 @@ def q_prompt_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkdraft.operators.prep import prompt_records
 
     return prompt_records(chat_records(spark, sf_dir), "source_index")
+
+
+CACHE_SQL = PREPARE_SPLITS_BODY + """
+, c AS (SELECT split, count(*) AS n_rows FROM lab WHERE split IN ('train', 'val') GROUP BY split),
+w AS (SELECT s.split, m.target_model, c.n_rows FROM (VALUES ('train'), ('val')) s(split)
+      LEFT JOIN (SELECT split, 'target-8b' AS target_model FROM c) m ON s.split = m.split
+      LEFT JOIN c ON s.split = c.split)
+SELECT CASE WHEN count(*) FILTER (WHERE target_model IS NOT NULL OR coalesce(n_rows, 0) > 0) = 0 THEN 'absent'
+            WHEN count(*) FILTER (WHERE target_model IS NOT NULL AND target_model <> 'target-8b') > 0 THEN 'mismatch'
+            WHEN count(*) FILTER (WHERE target_model IS NULL OR coalesce(n_rows, 0) <= 0) > 0 THEN 'partial'
+            ELSE 'reuse' END AS state,
+       count(*) FILTER (WHERE target_model IS NOT NULL OR coalesce(n_rows, 0) > 0) AS n_present,
+       count(*) FILTER (WHERE target_model IS NOT NULL AND target_model <> 'target-8b') AS n_mismatch,
+       count(*) FILTER (WHERE target_model IS NULL OR coalesce(n_rows, 0) <= 0) AS n_incomplete
+FROM w
+"""
+
+
+@register("cache_coherence", CACHE_SQL)
+def q_cache_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Is the cached train/val data reusable for the expected target
+    model? Stand-in: the E1 splits are the cache, each non-empty split
+    carrying a manifest naming model 'target-8b'."""
+    from sparkdraft.operators.sweeps import cache_state
+
+    counts = documents_splits(spark, sf_dir).filter(F.col("split").isin("train", "val")).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows")
+    )
+    manifests = counts.select("split", F.lit("target-8b").alias("target_model"))
+    return cache_state(manifests, counts, "target-8b")
+
+
+OUTPUT_TOKENS_SQL = f"""
+WITH rec AS ({FIRST_EXCHANGE_SQL})
+SELECT CAST(coalesce(sum(length(response_text)), 0) AS BIGINT) AS output_tokens FROM rec
+"""
+
+
+@register("output_tokens", OUTPUT_TOKENS_SQL)
+def q_output_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total generated tokens (identity char ids of every response;
+    a missing output counts 0)."""
+    from sparkdraft.operators.decode import output_token_count
+    from sparkdraft.operators.tokens import char_token_ids
+
+    recs = chat_records(spark, sf_dir)
+    return output_token_count(recs.select(char_token_ids("response_text", "identity").alias("token_ids")))
+
+
+def _code_points() -> object:
+    """Tokenizer plug-in factory used by ``udf_tokenize``: text -> code points."""
+    return lambda s: [ord(c) for c in s]
+
+
+UDF_TOKENIZE_SQL = f"""
+WITH rec AS ({FIRST_EXCHANGE_SQL})
+SELECT id, CAST(length(prompt_text) AS INTEGER) AS n_ids,
+       CAST(list_sum(list_transform(string_split(prompt_text, ''), lambda c, i: CAST(unicode(c) AS BIGINT) * i)) AS BIGINT) AS checksum
+FROM rec
+"""
+
+
+@register("udf_tokenize", UDF_TOKENIZE_SQL)
+def q_udf_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user tokenizer (Python callable, built once per worker) run
+    through the Arrow-batched pandas UDF over every chat prompt."""
+    from sparkdraft.plugins.generation import tokenizer_udf
+
+    recs = chat_records(spark, sf_dir)
+    ids = recs.select("id", tokenizer_udf(_code_points)("prompt_text").alias("ids"))
+    checksum = F.aggregate(F.transform("ids", lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, b: a + b)
+    return ids.select("id", F.size("ids").alias("n_ids"), checksum.alias("checksum"))
