@@ -21,7 +21,10 @@ def test_entry_runs(spark):
     assert df.columns[:4] == ["id", "prompt_text", "response_text", "source"]
 
 
-@pytest.mark.parametrize("name", ["first_exchange", "decode_replay", "kd_losses", "sweep_paired_deltas", "loss_ema"])
+@pytest.mark.parametrize("name", [
+    "first_exchange", "decode_replay", "kd_losses", "sweep_paired_deltas", "loss_ema", "target_generation",
+    "summary_flatten", "log_eval_losses", "sampling_configs", "checkpoint_meta_lookup", "cache_coherence",
+])
 def test_query_matches_oracle_small(spark, name):
     from tools.oracle_check import canon, duck
 
