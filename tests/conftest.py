@@ -11,13 +11,17 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from sparkdraft.session import build_session
 
-    ck = tempfile.mkdtemp(prefix="sparkdraft-test-ckpt-", dir="/tmp")
+    from sparkdraft.session import ensure_checkpoint_dir
+
     s = build_session(
         "local[4]",
         app_name="sparkdraft-tests",
         shuffle_partitions=8,
-        extra_conf={"spark.checkpoint.dir": ck, "spark.driver.memory": "4g"},
+        extra_conf={"spark.driver.memory": "4g"},
     )
+    # Uses spark.checkpoint.dir when the environment sets it; a temporary
+    # folder only when it is unset.
+    ensure_checkpoint_dir(s)
     yield s
     s.stop()
 

@@ -13,7 +13,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -29,11 +28,9 @@ def main(argv):
     from sparkdraft.plans import decode_queries as dq
     from sparkdraft.session import build_session
 
-    ck = tempfile.mkdtemp(prefix="skew-ckpt-", dir="/tmp")
     parts = os.environ.get("SKEW_RANGE_PARTITIONS", "32")
     spark = build_session(
-        "local[8]", shuffle_partitions=16,
-        extra_conf={"spark.checkpoint.dir": ck, "spark.sparkdraft.rangePartitions": parts},
+        "local[8]", shuffle_partitions=16, extra_conf={"spark.sparkdraft.rangePartitions": parts},
     )
     steps = dq.step_log(spark, sf_dir).withColumn(
         "prompt", F.when(F.col("step") % 3 == 0, F.lit(0)).otherwise(F.col("prompt"))
