@@ -101,3 +101,15 @@ def test_empty_inputs_and_empty_partitions(spark):
     assert grouped_quantiles(empty, ["g"], "v", [0.5]).count() == 0
     d = describe(empty, ["v"]).collect()[0]
     assert d["count"] == 0 and d["p50"] is None
+
+
+def test_unpivot_and_bounded_broadcast_fallback(spark):
+    from sparkdraft.operators.quantiles import unpivot_values
+
+    df = spark.createDataFrame([("g", 1, 2.5), ("h", 3, None)], "k string, a int, b double")
+    rows = sorted((r["k"], r["column"], r["value"]) for r in unpivot_values(df, ["k"], ["a", "b"]).collect())
+    assert rows == [("g", "a", 1.0), ("g", "b", 2.5), ("h", "a", 3.0), ("h", "b", None)]
+    big = spark.range(50)
+    assert bounded_broadcast(big, 10) is big  # above the bound: left to the planner
+    small = spark.range(5)
+    assert bounded_broadcast(small, 10) is not small  # hinted copy
