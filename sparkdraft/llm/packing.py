@@ -111,54 +111,6 @@ def encode(text: str, memory: PartMemory) -> bytes:
     return ids
 
 
-PIECES = 200_000
-#: Text parts in each generation of a worker's memory.
-_MEMORY = 250_000
-_RUN = re.compile(r"\s ")
-_BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
-
-
-def load_tokenizer(path: str):
-    """The tokenizer of a file, kept by the worker; special strings in texts are ordinary text."""
-    from tokenizers import Tokenizer
-
-    cache = worker_cache()
-    if ("tokenizer", path) not in cache:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        cache[("tokenizer", path)] = t
-    return cache[("tokenizer", path)]
-
-
-def encode(text: str, tokenizer, memory: dict[str, bytes]) -> bytes:
-    """Ids of ``text`` as little-endian 32-bit integers.
-
-    A byte-level BPE cuts a text before every space that follows a
-    non-space, so the parts are looked up one by one; each distinct part is
-    tokenized once.
-    """
-    if text[:1] == " " or _RUN.search(text):
-        parts = _BEFORE_SPACE.split(text)
-    else:
-        first, *rest = text.split(" ")
-        parts = [first, *[" " + x for x in rest]]
-    try:
-        return b"".join([memory[p] for p in parts])
-    except KeyError:
-        pass
-    new = [p for p in dict.fromkeys(parts) if p not in memory]
-    if len(memory) + len(new) > _MEMORY:
-        memory.clear()
-        new = list(dict.fromkeys(parts))
-    own = memory if len(new) <= _MEMORY else dict(memory)
-    for at in range(0, len(new), 1000):
-        chunk = new[at : at + 1000]
-        for p, e in zip(chunk, tokenizer.encode_batch_fast(chunk, add_special_tokens=False), strict=True):
-            own[p] = np.asarray(e.ids, dtype="<u4").tobytes()
-    return b"".join([own[p] for p in parts])
-
-
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
 
