@@ -34,3 +34,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkdraft.llm.packing import pack_documents
 
     return pack_documents(spark, table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op2_simhash_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    from pyspark.sql import functions as F
+
+    from sparkdraft.llm.simhash import simhash_components
+
+    found = simhash_components(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
