@@ -45,3 +45,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = simhash_components(spark, table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 35-word windows that occur elsewhere too."""
+    from pyspark.sql import functions as F
+
+    from sparkdraft.llm.rlz import without_repeats
+
+    found = without_repeats(spark, table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
