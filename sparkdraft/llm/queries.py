@@ -56,3 +56,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = without_repeats(spark, table(spark, sf_dir, "documents"), ["doc_id"])
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_lm_scoring")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffix-tree and unigram log10 probability of every document."""
+    from sparkdraft.llm.pst import held_out_of, score_texts
+
+    return score_texts(spark, table(spark, sf_dir, "documents"), held_out_of("doc_id", 7, 2))
