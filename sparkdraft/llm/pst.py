@@ -268,11 +268,6 @@ def _grow(tree: Tree, members: np.ndarray, keys: np.ndarray, totals: np.ndarray,
     tree.probs = np.concatenate([tree.probs, (seen - DISCOUNT) / totals[context] + weight[context] * q])
 
 
-def held_out_of(id_col: str, folds: int, fold: int) -> Column:
-    """Whether crc32 of the id as text leaves ``fold``; a null id is not held out."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
-
-
 def score_texts(spark: SparkSession, docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score (add-one
     unigrams) and score (the tree) of every text; the texts that are not held

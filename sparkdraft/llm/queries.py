@@ -61,6 +61,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_lm_scoring")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix-tree and unigram log10 probability of every document."""
-    from sparkdraft.llm.pst import held_out_of, score_texts
+    from sparkdraft.llm.folds import held_out_of
+    from sparkdraft.llm.pst import score_texts
 
     return score_texts(spark, table(spark, sf_dir, "documents"), held_out_of("doc_id", 7, 2))
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from those not held out."""
+    from sparkdraft.llm.folds import held_out_of
+    from sparkdraft.llm.langid import identify, prototypes
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out_of("doc_id", 4, 2).alias("held_out"))
+    langs, matrix = prototypes(docs.filter("not held_out"))
+    return identify(spark, docs, langs, matrix, ["doc_id", "held_out"])
