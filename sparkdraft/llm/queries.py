@@ -76,3 +76,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out_of("doc_id", 4, 2).alias("held_out"))
     langs, matrix = prototypes(docs.filter("not held_out"))
     return identify(spark, docs, langs, matrix, ["doc_id", "held_out"])
+
+
+@query("op1_benchmark_decontamination")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of a benchmark item in a document."""
+    from sparkdraft.llm.decontam import contaminated
+
+    return contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
