@@ -13,9 +13,11 @@ to the smallest gap, a new bin last.
 
 from __future__ import annotations
 
+import itertools
 import math
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sparkdraft.llm.store import stored, worker_cache
+from sparkdraft.llm.words import string_buffers, text_chunks
 
 CAPACITY = 1024
 END_ID = 2
 #: Pieces that one task packs; more pieces are dealt over more tasks.
 SHARD_PIECES = 200_000
 #: Text parts in each generation of a worker's memory.
-_MEMORY = 250_000
-_RUN = re.compile(r"\s ")
+_MEMORY = 400_000
+#: ASCII punctuation but for the apostrophe, which can begin a contraction.
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_OTHER_SCRIPTS = "\u0250"
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 
 
@@ -48,67 +53,117 @@ def load_tokenizer(path: str):
     return cache[("tokenizer", path)]
 
 
+def _byte_letters() -> dict[int, str]:
+    """How a byte-level BPE writes bytes: printable ones as themselves, the others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
 class PartMemory:
-    """Ids of text parts seen lately, as bytes: two generations of bounded size."""
+    """Ids of text parts seen lately, as bytes; each part stands after ``prefix``.
 
-    def __init__(self, tokenizer):
-        self.tokenizer, self.young, self.old = tokenizer, {}, {}
+    Two generations of bounded size: a part that is still used moves to the
+    younger one, the older is dropped when the younger is full.
+    """
 
-    def add(self, parts: list[str]) -> None:
+    def __init__(self, tokenizer, prefix: str):
+        self.tokenizer, self.prefix, self.young, self.old, self.tails = tokenizer, prefix, {}, {}, {}
+        self.model, self.letters = tokenizer.model, _byte_letters()
+        newline = self._ids(["\n"], "")[0]
+        self.newline = int(np.frombuffer(newline, "<u4")[0]) if len(newline) == 4 else None
+
+    def _ids(self, parts: list[str], prefix: str) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast([prefix + p for p in parts], add_special_tokens=False)
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in encoded]
+
+    def _ids_of_words(self, words: list[str]) -> list[bytes]:
+        """The same for parts without a newline or outer white space: one call
+        for all, on lines, as a newline between two words is an id of its own."""
+        ids = np.asarray(self.tokenizer.encode("\n".join([self.prefix + w for w in words]), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.append(np.flatnonzero(ids == self.newline), len(ids))
+        if self.newline is None or len(ends) != len(words):
+            return self._ids(words, self.prefix)
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        return [raw[x:y] for x, y in zip([0, *[e + 4 for e in ends[:-1]]], ends, strict=True)]
+
+    def _ids_of_letters(self, word: str) -> bytes:
+        """The same for a word of letters: one part for the model itself, which
+        takes bytes written as letters."""
+        ids = [t.id for t in self.model.tokenize((self.prefix + word).encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[tail] = self._ids([tail], "")[0]
+        return self.tails[tail]
+
+    def add(self, parts: set[str]) -> None:
         """Makes every part known. A word and the punctuation after it are
         tokenized apart, as the tokenizer itself cuts there."""
         young, old = self.young, self.old
-        whole: dict[str, tuple[str, str]] = {}
-        units: dict[str, None] = {}
-        for p in parts:
-            if p in young:
-                continue
-            if p in old:
-                young[p] = old[p]
-                continue
-            stem = p.rstrip(".,;:!?")
+        if len(young) > _MEMORY:
+            young, old = self.young, self.old = {}, young
+        missing = parts.difference(young)
+        moved = [p for p in missing if p in old]
+        young.update([(p, old[p]) for p in moved])
+        missing.difference_update(moved)
+        units, whole = set(), []
+        for p in missing:
+            stem = p.rstrip(_PUNCTUATION)
             if len(stem) < len(p) and stem[-1:].isalpha():
-                whole[p] = (stem, p[len(stem) :])
-                units |= {stem: None, p[len(stem) :]: None}
+                whole.append((p, stem))
+                if stem not in young:
+                    if stem in old:
+                        young[stem] = old[stem]
+                    else:
+                        units.add(stem)
             else:
-                units[p] = None
-        new = []
-        for u in units:
-            if u not in young:
-                if u in old:
-                    young[u] = old[u]
-                else:
-                    new.append(u)
-        for at in range(0, len(new), 1000):
-            chunk = new[at : at + 1000]
-            for u, e in zip(chunk, self.tokenizer.encode_batch_fast(chunk, add_special_tokens=False), strict=True):
-                young[u] = np.asarray(e.ids, dtype="<u4").tobytes()
-        for p, (stem, tail) in whole.items():
-            young[p] = young[stem] + young[tail]
-
-    def turn(self) -> None:
-        if len(self.young) > _MEMORY:
-            self.young, self.old = {}, self.young
-
-
-def encode(text: str, memory: PartMemory) -> bytes:
-    """Ids of ``text`` as little-endian 32-bit integers.
+                units.add(p)
+        words = [u for u in units if u.isalpha() and max(u) < _OTHER_SCRIPTS]
+        young.update([(u, self._ids_of_letters(u)) for u in words])
+        units.difference_update(words)
+        words = [u for u in units if u and "\n" not in u and not u[0].isspace() and not u[-1].isspace()]
+        for at in range(0, len(words), 1000):
+            young.update(zip(words[at : at + 1000], self._ids_of_words(words[at : at + 1000]), strict=True))
+        units.difference_update(words)
+        if units:
+            young.update(zip(units, self._ids(list(units), self.prefix), strict=True))
+        for p, stem in whole:
+            young[p] = young[stem] + self._tail(p[len(stem) :])
+
+
+class TextEncoder:
+    """Ids of whole texts as little-endian 32-bit integers.
 
     A byte-level BPE cuts a text before every space that follows a
-    non-space, so the parts are looked up one by one.
+    non-space, and around a newline between two non-spaces, so the parts
+    are looked up one by one.
     """
-    if text[:1] == " " or _RUN.search(text):
-        parts = _BEFORE_SPACE.split(text)
-    else:
-        first, *rest = text.split(" ")
-        parts = [first, *[" " + x for x in rest]]
-    try:
-        ids = b"".join([memory.young[p] for p in parts])
-    except KeyError:
-        memory.add(list(dict.fromkeys(parts)))
-        ids = b"".join([memory.young[p] for p in parts])
-    memory.turn()
-    return ids
+
+    def __init__(self, tokenizer):
+        self.first, self.rest = PartMemory(tokenizer, ""), PartMemory(tokenizer, " ")
+        self.newline = self.first._ids(["\n"], "")[0]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split, heads, rest = [], set(), set()
+        for text in texts:
+            # Only single spaces and newlines between words, or white space in a row or at an end.
+            if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+                parts = _BEFORE_SPACE.split(text)
+                lines = [[parts[0], *[p[1:] for p in parts[1:]]]]
+            else:
+                lines = [line.split(" ") for line in text.split("\n")]
+            split.append(lines)
+            for line in lines:
+                heads.add(line[0])
+                rest.update(line[1:])
+        self.first.add(heads)
+        self.rest.add(rest)
+        first, after = self.first.young.__getitem__, self.rest.young.__getitem__
+        return [self.newline.join([first(words[0]) + b"".join(map(after, words[1:])) for words in lines]) for lines in split]
 
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
@@ -122,23 +177,22 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = worker_cache().setdefault(("parts", tokenizer_path), None) or PartMemory(load_tokenizer(tokenizer_path))
-        worker_cache()[("parts", tokenizer_path)] = memory
+        kept = worker_cache()
+        if ("encoder", tokenizer_path) not in kept:
+            kept[("encoder", tokenizer_path)] = TextEncoder(load_tokenizer(tokenizer_path))
+        encoder = kept[("encoder", tokenizer_path)]
         for batch in batches:
-            rows: list[tuple] = []
-            held = 0
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "", memory) + end
-                n = len(ids) // 4
-                at, piece, size = 0, 0, n if n <= capacity else n % capacity or capacity
-                while at < n:
-                    rows.append((doc_id.as_py(), piece, at, size, ids[4 * at : 4 * (at + size)]))
-                    at, piece, size = at + size, piece + 1, capacity
-                held += len(ids)
-                if held > 1 << 22:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows, held = [], 0
-            if rows:
+            _, offsets = string_buffers(batch.column(1))
+            for lo, hi in text_chunks(offsets):
+                ids_of, texts = batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist()
+                rows: list[tuple] = []
+                for doc_id, ids in zip(ids_of, encoder.encode([t or "" for t in texts]), strict=True):
+                    ids += end
+                    n = len(ids) // 4
+                    at, piece, size = 0, 0, n if n <= capacity else n % capacity or capacity
+                    while at < n:
+                        rows.append((doc_id, piece, at, size, ids[4 * at : 4 * (at + size)]))
+                        at, piece, size = at + size, piece + 1, capacity
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
