@@ -84,3 +84,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkdraft.llm.decontam import contaminated
 
     return contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
+@query("op10_approximate_nearest_neighbours")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest found of every 50th vector."""
+    from pyspark.sql import functions as F
+
+    from sparkdraft.llm.rpforest import nearest
+
+    return nearest(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
