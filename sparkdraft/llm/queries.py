@@ -94,3 +94,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkdraft.llm.rpforest import nearest
 
     return nearest(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+from sparkdraft.llm.licenses import oracle_sql as license_sql  # noqa: E402
+
+
+@query("op5_license_scans", license_sql())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and detected license labels of every document."""
+    from sparkdraft.llm.licenses import license_labels
+
+    return license_labels(table(spark, sf_dir, "documents"), ["doc_id"])
