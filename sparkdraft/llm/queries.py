@@ -105,3 +105,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkdraft.llm.licenses import license_labels
 
     return license_labels(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+from sparkdraft.llm.linetree import oracle_sql as line_sql  # noqa: E402
+
+
+@query("op3_line_dedup", line_sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of recurring templates."""
+    from sparkdraft.llm.linetree import drop_recurring_lines
+
+    return drop_recurring_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
