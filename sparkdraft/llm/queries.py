@@ -116,3 +116,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkdraft.llm.linetree import drop_recurring_lines
 
     return drop_recurring_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+from sparkdraft.llm.preference import ORACLE_SQL as PREFERENCE_SQL  # noqa: E402
+
+
+@query("op9_preference_formatting", PREFERENCE_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and masked completions of every conversation and its worse twin."""
+    from pyspark.sql import functions as F
+
+    from sparkdraft.llm.preference import conversation_pairs, preference_pairs
+
+    found = preference_pairs(conversation_pairs(table(spark, sf_dir, "conversations")))
+    written = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
+    return found.withColumns({c: written(c) for c in ("chosen_loss", "rejected_loss")})
