@@ -7,21 +7,58 @@ last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sparkdraft.llm.decontam import without_contaminated
+from sparkdraft.llm.langid import UNDETERMINED, identify, prototypes
+from sparkdraft.llm.linetree import drop_recurring_lines
 from sparkdraft.llm.packing import pack_documents
 from sparkdraft.llm.queries import table, tokenizer_path
+from sparkdraft.llm.simhash import one_of_each_group
 from sparkdraft.llm.store import stored
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told, by prototypes learned from their labels.
+
+    What is rejected is a text without a letter, or one that is like none of
+    the languages (no positive cosine with any).
+    """
+    langs, matrix = prototypes(docs)
+    found = identify(spark, docs, langs, matrix, docs.columns)
+    return found.filter(F.col("lang_pred") != UNDETERMINED).filter("score > 0").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines of recurring templates; n_chars follows the text."""
+    found = drop_recurring_lines(spark, docs)
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return one_of_each_group(spark, docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return without_contaminated(spark, docs, table(spark, sf_dir, "benchmark"))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as pieces packed into sequences of at most 1024 tokens."""
     return pack_documents(spark, docs, tokenizer_path())
 
 
-STAGES = [("best_fit_packing", best_fit_packing)]
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
 
-#: Tokenization and the packing order are not expressible in SQL.
+#: Profiles, alignments, tokenization and packing are not expressible in SQL.
 ORACLE_SQL = None
 
 

@@ -244,24 +244,34 @@ def hits(texts: list[str], index: dict) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per hit: the ``keep`` columns, item_id, span_start and span_end
-    (characters of the text) and edits (of the best window in it)."""
+def _index_blocks(spark: SparkSession, benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator:
+    """Broadcast indexes of the items, about BLOCK_CHARS characters each."""
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).cast("string").alias("item_text")).filter("item_text is not null")
     total = items.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_CHARS))
+    for b in range(blocks):
+        block = items.filter(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == b).orderBy("item_id", "item_text").collect()
+        yield spark.sparkContext.broadcast(build_index([(r[0], r[1]) for r in block]))
+
+
+def _batch_hits(texts: list[str | None], index: dict) -> list[tuple[int, int, int, int, int]]:
+    """``hits`` of a batch, some hundred thousand characters at a time."""
+    offsets = np.concatenate(([0], np.cumsum([len(t or "") for t in texts]))).astype(np.int64)
+    return [(lo + t, *rest) for lo, hi in text_chunks(offsets, 1 << 18) for t, *rest in hits([t or "" for t in texts[lo:hi]], index)]
+
+
+def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row per hit: the ``keep`` columns, item_id, span_start and span_end
+    (characters of the text) and edits (of the best window in it)."""
     inner = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1])
-    schema = f"{kinds}, item_id bigint, span_start bigint, span_end bigint, edits int"
 
     def against(model):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = model.value
             for batch in batches:
                 k = batch.num_columns - 1
-                texts = batch.column(k).to_pylist()
-                offsets = np.concatenate(([0], np.cumsum([len(t or "") for t in texts]))).astype(np.int64)
-                rows = [(lo + t, *rest) for lo, hi in text_chunks(offsets, 1 << 18) for t, *rest in hits([t or "" for t in texts[lo:hi]], index)]
+                rows = _batch_hits(batch.column(k).to_pylist(), index)
                 if rows:
                     t, item, start, end, edits = (list(x) for x in zip(*rows, strict=True))
                     taken = batch.take(pa.array(t))
@@ -273,8 +283,25 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, kee
         return run
 
     out = None
-    for b in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == b).orderBy("item_id", "item_text").collect()  # about BLOCK_CHARS characters
-        found = inner.mapInArrow(against(spark.sparkContext.broadcast(build_index([(r[0], r[1]) for r in block]))), schema)
+    for model in _index_blocks(spark, benchmark, item_col, item_text_col):
+        found = inner.mapInArrow(against(model), f"{kinds}, item_id bigint, span_start bigint, span_end bigint, edits int")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without any hit, all columns; rows pass through, nothing is shuffled."""
+    place = docs.columns.index(text_col)
+
+    def against(model):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, dtype=bool)
+                clean[[row[0] for row in _batch_hits(batch.column(place).to_pylist(), model.value)]] = False
+                yield batch.filter(pa.array(clean))
+
+        return run
+
+    for model in _index_blocks(spark, benchmark, item_col, item_text_col):
+        docs = docs.mapInArrow(against(model), docs.schema)
+    return docs
