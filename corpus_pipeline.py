@@ -19,14 +19,11 @@ from sparkdraft.llm.store import stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told, by prototypes learned from their labels.
-
-    What is rejected is a text without a letter, or one that is like none of
-    the languages (no positive cosine with any).
-    """
+    """Documents whose language can be told, by prototypes learned from their
+    labels; a text that is null or has no letter is rejected."""
     langs, matrix = prototypes(docs)
     found = identify(spark, docs, langs, matrix, docs.columns)
-    return found.filter(F.col("lang_pred") != UNDETERMINED).filter("score > 0").select(*docs.columns)
+    return found.filter(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
