@@ -2,7 +2,7 @@
 
 * target generation (E2): canonical chat records -> chat template ->
   identity char ids left-truncated to the prompt budget (X09) -> batched
-  generation through ``mapInPandas`` (U03; the stand-in model echoes its
+  generation through ``mapInPandas`` (U03, whole records travel along; the stand-in model echoes its
   prompt) -> P14 rewrite with the per-job timestamp.
 * quality scores (U01/A30): ``documents`` joined to ``labels``; the
   generation is the document text, the target generation is the same
@@ -18,7 +18,7 @@ from sparkdraft.operators.tokens import TEST_TEMPLATE, apply_template, char_toke
 from sparkdraft.plans.prep_queries import FIRST_EXCHANGE_SQL, chat_records
 from sparkdraft.plans.registry import register, strip_sql, table
 from sparkdraft.plugins.generation import generate_responses, prompt_echo_generator, rewrite_response
-from sparkdraft.plugins.scorers import quality_scores
+from sparkdraft.plugins.scorers import ScoreTable
 
 MODEL_LEN, MAX_NEW = 256, 64
 GENERATED_AT = "2026-01-01T00:00:00+00:00"
@@ -40,26 +40,19 @@ FROM k
 @register("target_generation", GEN_SQL)
 def q_target_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Template + left truncation + batched generation (mapInPandas,
-    key carried with each batch) + P14 rewrite of every chat record."""
+    records carried with each batch) + P14 rewrite of every chat record."""
     recs = chat_records(spark, sf_dir)
     ids = char_token_ids(apply_template("prompt_text", TEST_TEMPLATE), "identity")
     trunc = recs.withColumn("_t", left_truncate(ids, BUDGET))
-    prompts = trunc.select(
-        "id", decode_identity("_t.ids").alias("prompt_input"),
-        F.col("_t.truncated").alias("trunc"), F.col("_t.tokens_original").alias("n_orig"), F.col("_t.tokens_used").alias("n_used"),
-    )
-    gens = generate_responses(prompts, prompt_echo_generator, {"temperature": 0.0}, request_batch_size=16)
     # Truncation metadata exists only for prompts that were truncated
     # (absent keys are null fields of the typed struct).
     cut = F.col("_t.truncated")
-    meta = trunc.withColumn(
-        "metadata",
-        F.col("metadata")
-        .withField("target_prompt_truncated", F.when(cut, F.lit(True)))
-        .withField("target_prompt_tokens_original", F.when(cut, F.col("_t.tokens_original")))
-        .withField("target_prompt_tokens_used", F.when(cut, F.col("_t.tokens_used"))),
-    ).drop("_t")
-    out = rewrite_response(meta, gens, GENERATED_AT)
+    meta = F.col("metadata")
+    for key, value in (("truncated", F.lit(True)), ("tokens_original", F.col("_t.tokens_original")), ("tokens_used", F.col("_t.tokens_used"))):
+        meta = meta.withField(f"target_prompt_{key}", F.when(cut, value))
+    prompts = trunc.select("id", "prompt_text", "response_text", "source", meta.alias("metadata"), decode_identity("_t.ids").alias("prompt_input"))
+    gens = generate_responses(prompts, prompt_echo_generator, {"temperature": 0.0}, request_batch_size=16)
+    out = rewrite_response(gens, GENERATED_AT)
     return out.select(
         "id",
         "response_text",
@@ -81,13 +74,12 @@ FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 
 @register("quality_scores", SCORE_SQL)
 def q_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U01 + A30: registered scorers over generations; unknown names are
-    skipped with a warning."""
+    """U01 + A30: declared scores over generations; unknown names give no row."""
     d = table(spark, sf_dir, "documents")
     lab = table(spark, sf_dir, "labels")
     g = d.join(lab, "doc_id").select(
         F.col("text").alias("generation"),
         F.when(F.col("quality") == 1, F.col("text")).otherwise(F.col("lang")).alias("target_generation"),
     )
-    s = quality_scores(g, ["exact_match_vs_target", "not_registered"])
+    s = ScoreTable().scores(g, ["exact_match_vs_target", "not_declared"])
     return s.select("name", F.round("score", 9).alias("score"))

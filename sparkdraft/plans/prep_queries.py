@@ -288,8 +288,8 @@ def q_output_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _code_points() -> object:
-    """Tokenizer plug-in factory used by ``udf_tokenize``: text -> code points."""
-    return lambda s: [ord(c) for c in s]
+    """Tokenizer plug-in factory used by ``udf_tokenize``: texts -> code points."""
+    return lambda texts: [[ord(c) for c in s] for s in texts]
 
 
 UDF_TOKENIZE_SQL = f"""

@@ -1,15 +1,17 @@
 """User tokenizers, batch generation and collators.
 
-The user callable is built once per Python worker (cached by the factory)
-and fed Arrow batches; the row key travels with each batch, so outputs
-never need a positional zip back to their inputs.
+The user callable is built once per Python worker and name, and fed Arrow
+batches. Whole records travel with their prompts, so outputs are never joined
+or zipped back to their inputs.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,24 +20,37 @@ from sparkdraft.functions.text import clean
 
 Generator = Callable[[list[str], dict], list[str]]
 
-_WORKER_CACHE: dict[int, object] = {}
 
+def _factory_name(factory: Callable[[], object]) -> str:
+    """A digest of the pickled factory: equal for equal code and settings."""
+    return hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
 
-def _cached(factory: Callable[[], object]) -> object:
-    key = id(factory)
-    if key not in _WORKER_CACHE:
-        _WORKER_CACHE[key] = factory()
-    return _WORKER_CACHE[key]
 
+def _built(name: str, factory: Callable[[], object]) -> object:
+    """What the factory builds, once per worker process and name.
 
-def tokenizer_udf(factory: Callable[[], Callable[[str], list[int]]]) -> Callable[[Column], Column]:
-    """Wrap a text -> ids callable (built once per worker) as an
-    Arrow-batched pandas UDF returning ``ARRAY<INT>``."""
+    Functions of this package are shipped by value, so a module global would be
+    empty in every task; the cache hangs on a module that workers import.
+    """
+    import pyspark
+
+    cache = pyspark.__dict__.setdefault("_sparkdraft_built", {})
+    if name not in cache:
+        cache[name] = factory()
+    return cache[name]
+
+
+def tokenizer_udf(factory: Callable[[], Callable[[list[str]], list[list[int]]]], name: str | None = None) -> Callable[[Column], Column]:
+    """Wrap a callable from a list of texts to a list of id lists (built
+    once per worker) as an Arrow-batched pandas UDF returning ``ARRAY<INT>``.
+    Null texts are not passed on and stay null."""
+    key = name or _factory_name(factory)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(texts: pd.Series) -> pd.Series:
-        tok = _cached(factory)
-        return texts.map(lambda s: None if s is None else [int(i) for i in tok(s)])
+        there = texts.notna()
+        ids = iter(_built(key, factory)(texts[there].tolist()))
+        return pd.Series([[int(i) for i in next(ids)] if ok else None for ok in there], dtype="object")
 
     return encode
 
@@ -66,51 +81,53 @@ def generate_responses(
     params: dict,
     *,
     prompt_col: str = "prompt_input",
-    key_col: str = "id",
     request_batch_size: int = 64,
+    name: str | None = None,
 ) -> DataFrame:
-    """(key, prompt) rows -> (key, generation) via ``mapInPandas``.
+    """The rows of ``df`` with a ``generation`` column, via ``mapInPandas``.
 
     Each Arrow batch is cut into request batches of ``request_batch_size``
-    (W04) and handed to the generator; the key column is carried along, so
-    order and identity survive any partitioning.
+    (W04) and handed to the generator; the whole row stays with its prompt, so
+    records with equal ids keep their own answers and nothing is shuffled.
     """
     bs = max(1, int(request_batch_size))
+    key = name or _factory_name(factory)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gen = _cached(factory)
+        gen = _built(key, factory)
         for pdf in it:
             outs: list[str] = []
-            prompts = pdf[prompt_col].tolist()
+            prompts = pdf["_sd_prompt"].tolist()
             for i in range(0, len(prompts), bs):
                 outs.extend(gen(prompts[i:i + bs], params))
             if len(outs) != len(prompts):
                 raise ValueError("generator returned a different number of outputs")
-            yield pd.DataFrame({key_col: pdf[key_col], "generation": outs})
+            yield pd.DataFrame({"row": pdf["row"], "generation": outs})
 
-    schema = T.StructType([df.schema[key_col], T.StructField("generation", T.StringType())])
-    return df.select(key_col, prompt_col).mapInPandas(run, schema)
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(prompt_col).alias("_sd_prompt"))
+    schema = T.StructType([packed.schema["row"], T.StructField("generation", T.StringType())])
+    out = packed.mapInPandas(run, schema)
+    return out.select("row.*", "generation")
 
 
-def rewrite_response(records: DataFrame, generations: DataFrame, generated_at: str, key_col: str = "id") -> DataFrame:
+def rewrite_response(generated: DataFrame, generated_at: str, key_col: str = "id") -> DataFrame:
     """Keep the old response in metadata, stamp the (per-job) time,
-    replace the response by the stripped generation, set source 'target'.
-    Generations are joined back on the record key."""
-    j = records.join(generations, key_col, "inner")
-    mtype = records.schema["metadata"].dataType
+    replace the response by the stripped ``generation``, set source 'target'."""
+    mtype = generated.schema["metadata"].dataType
     empty = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in mtype.fields])
     meta = (
         F.coalesce(F.col("metadata"), empty)
         .withField("original_response_text", F.col("response_text"))
         .withField("response_generated_at", F.lit(generated_at))
     )
-    return j.select(
+    own = (key_col, "prompt_text", "response_text", "source", "metadata", "generation")
+    return generated.select(
         key_col,
         "prompt_text",
         clean("generation").alias("response_text"),
         F.lit("target").alias("source"),
         meta.alias("metadata"),
-        *[c for c in records.columns if c not in (key_col, "prompt_text", "response_text", "source", "metadata")],
+        *[c for c in generated.columns if c not in own],
     )
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sparkdraft.plugins.generation import apply_collator, echo_generator, generate_responses, rewrite_response, tokenizer_udf
-from sparkdraft.plugins.scorers import available, quality_scores
+from sparkdraft.plugins.scorers import Score, ScoreTable
 from sparkdraft.streaming.jobs import (
     ingest_stream,
     read_sweep_rows,
@@ -51,7 +51,7 @@ def test_generation_plugin_and_rewrite(spark):
         f"id string, prompt_text string, response_text string, source string, metadata {METADATA_TYPE.simpleString()}",
     )
     gens = generate_responses(recs.withColumn("prompt_input", F.col("prompt_text")), echo_generator, {}, request_batch_size=64)
-    out = {r["id"]: r for r in rewrite_response(recs, gens.coalesce(1), "2026-01-01T00:00:00Z").collect()}
+    out = {r["id"]: r for r in rewrite_response(gens, "2026-01-01T00:00:00Z").collect()}
     assert {out["a"]["response_text"], out["b"]["response_text"]} <= {"generated-0", "generated-1"}
     assert out["a"]["source"] == "target" and out["a"]["metadata"]["original_response_text"] == "old-a"
     assert out["b"]["metadata"]["response_generated_at"] == "2026-01-01T00:00:00Z"
@@ -59,11 +59,11 @@ def test_generation_plugin_and_rewrite(spark):
 
 def test_tokenizer_udf_and_collator(spark):
     def factory():
-        return lambda s: [ord(c) for c in s]
+        return lambda texts: [[ord(c) for c in s] for s in texts]
 
-    df = spark.createDataFrame([("ab",), ("c",)], "t string")
+    df = spark.createDataFrame([("ab",), (None,), ("c",)], "t string")
     ids = [r["ids"] for r in df.select(tokenizer_udf(factory)("t").alias("ids")).collect()]
-    assert ids == [[97, 98], [99]]
+    assert ids == [[97, 98], None, [99]]
 
     def collate(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"b": [pdf["b"].iloc[0]], "n": [len(pdf)]})
@@ -72,8 +72,32 @@ def test_tokenizer_udf_and_collator(spark):
     assert sorted(tuple(r) for r in apply_collator(b, "b", collate, "b long, n long").collect()) == [(0, 2), (1, 1)]
 
 
+def test_equal_ids_keep_their_rows_and_one_build_per_worker(spark, tmp_dir):
+    from sparkdraft.plugins.generation import generate_responses
+
+    def factory():
+        import os
+        import uuid
+
+        open(f"{tmp_dir}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda prompts, params: [p.upper() for p in prompts]
+
+    df = spark.createDataFrame([("k", "one"), ("k", "two")] + [(str(i), f"p{i}") for i in range(64)], "id string, prompt_input string").repartition(32)
+    for _ in range(2):
+        got = sorted(tuple(r) for r in generate_responses(df, factory, {}).collect())
+    assert got == sorted([("k", "one", "ONE"), ("k", "two", "TWO")] + [(str(i), f"p{i}", f"P{i}") for i in range(64)])
+    import os
+
+    builds = [f.split("-")[0] for f in os.listdir(tmp_dir)]
+    assert len(builds) == len(set(builds))
+
+
 def test_scorers(spark):
-    assert "exact_match_vs_target" in available()
     g = spark.createDataFrame([(" x ", "x"), ("y", "z"), ("a", "a"), ("b", "c")], "generation string, target_generation string")
-    s = {r["name"]: r["score"] for r in quality_scores(g, ["exact_match_vs_target", "no_such_scorer"]).collect()}
-    assert s == {"exact_match_vs_target": 0.5}
+    table = ScoreTable({"length": Score(("generation",), F.length("generation")), "fails": Score(("generation",), "cast(generation as double)"), "lost": Score(("nowhere",), F.col("nowhere")), "wrong": Score(("generation",), "no_such_function(generation)")})
+    s = {r["name"]: r["score"] for r in table.scores(g, ["exact_match_vs_target", "no_such_scorer", "length", "lost", "wrong"]).collect()}
+    assert s == {"exact_match_vs_target": 0.5, "length": 1.5}
+    usable, refused = table.split(g, ["length", "no_such_scorer", "lost", "wrong"])
+    assert list(usable) == ["length"] and set(refused) == {"no_such_scorer", "lost", "wrong"}
+    assert ScoreTable().scores(g, ["nothing"]).count() == 0
+    assert [r["score"] for r in ScoreTable().scores(g.limit(0), ["exact_match_vs_target"]).collect()] == [0.0]
