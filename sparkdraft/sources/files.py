@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkdraft.functions.text import clean
 from sparkdraft.operators.prep import SPLIT_NAMES
 
 # The built-in smoke prompts used when no source is set.
@@ -220,9 +221,11 @@ def prompt_source(
 
     if jsonl:
         raw = jsonl_scan(spark, jsonl, "id string, prompt_text string, response_text string, source string")
-        order = order_col or "_sd_file"
-        raw = raw.withColumn("_sd_file", F.col("_metadata.file_path"))
-        ix = with_global_index(raw, [order, "id", "prompt_text"] if order == "_sd_file" else [order], "_sd_pos")
+        # Source order: the file, the block in it, the row in the block.
+        raw = raw.select("*", F.col("_metadata.file_path").alias("_sd_file"), F.col("_metadata.file_block_start").alias("_sd_block")).withColumn(
+            "_sd_row", F.monotonically_increasing_id()
+        )
+        ix = with_global_index(raw, [order_col] if order_col else ["_sd_file", "_sd_block", "_sd_row"], "_sd_pos")
         out = ix.select(
             F.coalesce("id", F.col("_sd_pos").cast("string")).alias("id"),
             "prompt_text",
@@ -231,7 +234,11 @@ def prompt_source(
             "_sd_pos",
         )
     elif dataset is not None:
-        ix = with_global_index(dataset, [order_col or prompt_field], "_sd_pos")
+        if order_col is None:
+            if limit is not None and int(limit) > 0:
+                raise ValueError("a limit over a dataset needs order_col: a table has no order of its own")
+            order_col = prompt_field
+        ix = with_global_index(dataset, [order_col], "_sd_pos")
         rid = F.col("id").cast("string") if "id" in dataset.columns else F.lit(None).cast("string")
         out = ix.select(
             F.coalesce(rid, F.col("_sd_pos").cast("string")).alias("id"),
@@ -249,7 +256,7 @@ def prompt_source(
 
 def nonblank_line_count(spark: SparkSession, path: str) -> int:
     """Number of non-blank lines (a count action)."""
-    return spark.read.text(path).filter(F.trim("value") != "").count()
+    return spark.read.text(path).filter(clean("value") != "").count()
 
 
 def split_sink(df: DataFrame, path: str, split_col: str = "split") -> None:

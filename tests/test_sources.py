@@ -14,6 +14,8 @@ from sparkdraft.operators.summaries import (
     first_hit_lookup,
     flatten_metrics_long,
     flatten_summary,
+    assert_valid,
+    quality_scores_long,
     score_names,
     validate_summaries,
 )
@@ -77,7 +79,8 @@ def test_summary_scan_flatten(spark, tmp_dir):
     write(os.path.join(tmp_dir, "runA", "eval_summary.json"), summary_doc())
     write(os.path.join(tmp_dir, "runB", "eval_summary.json"), summary_doc(vanilla="NaN", quality="{}"))
     s = summary_scan(spark, os.path.join(tmp_dir, "*", "eval_summary.json"), SUMMARY_SCHEMA)
-    names = score_names(s)
+    names = [r["name"] for r in score_names(s).collect()]
+    assert [tuple(r) for r in quality_scores_long(s).collect()] == [("runA", "exact_match_vs_target", 0.25)]
     assert names == ["exact_match_vs_target"]
     flat = {r["run"]: r.asDict() for r in flatten_summary(s, names).collect()}
     a, b = flat["runA"], flat["runB"]
@@ -94,10 +97,11 @@ def test_summary_scan_flatten(spark, tmp_dir):
 
 
 def test_flatten_metrics_long_drops_non_numbers(spark, tmp_dir):
-    eng = {"hf": {"speedup": 1.4, "target_calls": 12, "batched": False, "note": "text"}}
-    write(os.path.join(tmp_dir, "r", "eval_summary.json"), summary_doc(quality='{"mt_bench": 6.8}', engines=eng))
-    s = summary_scan(spark, os.path.join(tmp_dir, "*", "eval_summary.json"), SUMMARY_SCHEMA)
-    m = {r["metric"]: r["value"] for r in flatten_metrics_long(s).collect()}
+    eng = {"hf": {"speedup": 1.4, "target_calls": 12, "batched": False, "note": "text", "quoted": "5"}, "tgi": {"speedup": 2.5, "new_counter": 7, "list": [1]}}
+    raw = spark.createDataFrame([("r", summary_doc(quality='{"mt_bench": 6.8}', engines=eng))], "run string, value string")
+    m = {r["metric"]: r["value"] for r in flatten_metrics_long(raw).collect()}
+    assert m["eval/tgi/speedup"] == 2.5 and m["eval/tgi/new_counter"] == 7
+    assert "eval/hf/quoted" not in m and "eval/tgi/list" not in m
     assert m["eval/hf/target_calls"] == 12 and m["eval/quality/mt_bench"] == 6.8
     assert "eval/hf/batched" not in m and "eval/hf/note" not in m
     assert m["eval/speedup"] == 1.4
@@ -114,6 +118,14 @@ def test_validate_summary(spark):
     assert probs["missing"] == ["missing required key: speedup"]
     assert probs["wrongtype"] == ["quality_score must be a dict"]
     assert probs["badengine"] == ["engines.hf must be a dict"]
+    broken = spark.createDataFrame([("cut", summary_doc()[:80]), ("list", "[1, 2]"), ("empty", ""), ("null", None)], "run string, value string")
+    assert {(r["run"], r["problem"]) for r in validate_summaries(broken).collect()} == {(k, "not a JSON object") for k in ("cut", "list", "empty", "null")}
+    assert assert_valid(raw.filter("run = 'ok'")).count() == 1
+    for df in (raw, broken):
+        with pytest.raises(Exception, match="invalid eval summary"):
+            assert_valid(df).count()
+        with pytest.raises(Exception, match="invalid eval summary"):
+            assert_valid(df).collect()
 
 
 def test_log_metric_scan(spark, tmp_dir):
