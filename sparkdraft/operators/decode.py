@@ -182,9 +182,9 @@ def run_totals(means: DataFrame, *, has_draft: bool = True, run_vanilla: bool =
     else:
         v_s, v_tok = F.lit(float("nan")), F.lit(0).cast("long")
     sd_s = F.col("sd_time_s")
-    tps = F.when(sd_s > 0, F.col("sd_tokens") / sd_s).otherwise(F.lit(0.0))
+    tps = F.when(_positive(sd_s), F.col("sd_tokens") / sd_s).otherwise(F.lit(0.0))
     v_tps = F.when(_positive(v_s) & (v_tok > 0), v_tok / v_s)
-    speedup = F.when(_positive(v_s) & (sd_s > 0), v_s / sd_s).otherwise(F.lit(1.0))
+    speedup = F.when(_positive(v_s) & _positive(sd_s), v_s / sd_s).otherwise(F.lit(1.0))
     return agg.select(
         F.col("n_prompts").cast("long"),
         sd_s.alias("sd_time_s"),
@@ -208,7 +208,7 @@ def engine_totals(runs: DataFrame, engine_col: str = "engine", repeat_col: str =
         F.max_by("run_tokens", repeat_col).alias("tokens"),
         F.count(F.lit(1)).alias("n_repeats"),
     )
-    return out.withColumn("tokens_per_second", F.when(F.col("time_s") > 0, F.col("tokens") / F.col("time_s")).otherwise(F.lit(0.0)))
+    return out.withColumn("tokens_per_second", F.when(_positive(F.col("time_s")), F.col("tokens") / F.col("time_s")).otherwise(F.lit(0.0)))
 
 
 def counter_totals(metrics: DataFrame, run_col: str = "run") -> DataFrame:
@@ -229,10 +229,10 @@ def counter_totals(metrics: DataFrame, run_col: str = "run") -> DataFrame:
     return agg.select(
         run_col,
         *[F.col(c).cast("long").alias(c) for c in ("num_drafts", "num_draft_tokens", "num_accepted_tokens")],
-        F.when(F.col("num_draft_tokens") > 0, F.col("num_accepted_tokens") / F.col("num_draft_tokens"))
+        F.when(_positive(F.col("num_draft_tokens")), F.col("num_accepted_tokens") / F.col("num_draft_tokens"))
         .otherwise(F.lit(0.0))
         .alias("acceptance_rate"),
-        F.when(F.col("num_drafts") > 0, F.col("num_accepted_tokens") / F.col("num_drafts"))
+        F.when(_positive(F.col("num_drafts")), F.col("num_accepted_tokens") / F.col("num_drafts"))
         .otherwise(F.lit(0.0))
         .alias("avg_accepted_tokens"),
     )

@@ -35,16 +35,32 @@ def _cols(cols: Sequence[str | Column]) -> list[Column]:
 RANGE_PARTITIONS_CONF = "spark.sparkdraft.rangePartitions"
 
 
+#: Input bytes per range partition, and what no real input's size reaches
+#: (a leaf without statistics reports more).
+RANGE_PARTITION_BYTES = 128 << 20
+_NO_STATISTICS = 1 << 57
+
+
+def _input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that ``df`` reads, by the optimizer's statistics of
+    the plan's leaves (those of joins above them are mere products)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < _NO_STATISTICS)
+
+
 def _range_partitions(df: DataFrame, num_partitions: int | None) -> int | None:
-    """Explicit range-partition count: the argument, else the session
-    setting ``spark.sparkdraft.rangePartitions``, else None (Spark uses
-    ``spark.sql.shuffle.partitions``). AQE coalesces small range
-    partitions but never splits large ones, so at scale this should be
-    about input bytes / 256 MB."""
-    if num_partitions:
-        return int(num_partitions)
-    conf = df.sparkSession.conf.get(RANGE_PARTITIONS_CONF, None)
-    return int(conf) if conf else None
+    """Range-partition count: the argument, else the session setting
+    ``spark.sparkdraft.rangePartitions``, else the input's bytes over
+    RANGE_PARTITION_BYTES if that is more than ``spark.sql.shuffle.partitions``;
+    else None (Spark's own number, coalesced at run time). Adaptive execution
+    never splits large range partitions, so the count follows the input."""
+    spark = df.sparkSession
+    asked = num_partitions or spark.conf.get(RANGE_PARTITIONS_CONF, None)
+    if asked:
+        return int(asked)
+    n = -(-_input_bytes(df) // RANGE_PARTITION_BYTES)
+    return n if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
 
 
 def stable_sort(

@@ -17,7 +17,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdraft.operators.joins import bounded_broadcast
 from sparkdraft.operators.ordering import with_global_index
 
 
@@ -58,10 +57,10 @@ def grouped_quantiles(
         *group_cols, "_sd_t.*"
     )
     # Only <= 2 x groups x probs ranks are needed: pick them from the ranked
-    # table with one semi join (broadcast when that rank list is provably
-    # small), then look up lo/hi values in the small result.
+    # table with one semi join (adaptive execution broadcasts the rank list
+    # if its measured size allows), then look up lo/hi values in the small result.
     needed = t.select(F.explode(F.array("lo_r", "hi_r")).alias("_sd_r")).distinct()
-    picked = ranked.select("_sd_r", "_sd_v").join(bounded_broadcast(needed, 1_000_000), "_sd_r", "left_semi")
+    picked = ranked.select("_sd_r", "_sd_v").join(needed, "_sd_r", "left_semi")
     lo_v = picked.select(F.col("_sd_r").alias("lo_r"), F.col("_sd_v").alias("lo_v"))
     hi_v = picked.select(F.col("_sd_r").alias("hi_r"), F.col("_sd_v").alias("hi_v"))
     j = t.join(lo_v, "lo_r").join(hi_v, "hi_r")

@@ -38,7 +38,10 @@ def filter_ok_runs(df: DataFrame, max_new_tokens: int, required: Sequence[str])
     if missing:
         raise ValueError(f"sweep table lacks columns {missing}")
     out = df.filter((F.col("status") == "ok") & (F.col("max_new_tokens") == max_new_tokens))
-    return out
+    # One row says that something is left; without it the join fails the query.
+    n = out.agg(F.count(F.lit(1)).alias("_sd_n"))
+    some = n.select(F.explode(F.when(F.col("_sd_n") > 0, F.array(F.lit(1))).otherwise(F.raise_error(F.lit("no successful run of the requested length"))).cast("array<int>")).alias("_sd_ok"))
+    return out.withColumn("_sd_ok", F.lit(1)).join(F.broadcast(some), "_sd_ok").drop("_sd_ok")
 
 
 def unique_cells(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str]) -> DataFrame:
@@ -56,9 +59,21 @@ def unique_cells(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str])
 
 def pivot_grid(df: DataFrame, index: str, column: str, value: str, values: Sequence, names: Sequence[str]) -> DataFrame:
     """Index x column -> value with explicit column values (no extra
-    pass to discover them); a missing cell is null."""
+    pass to discover them); a missing cell is null, a column value that is
+    not listed fails the query."""
     return df.groupBy(index).agg(
-        *[F.max(F.when(F.col(column) == F.lit(v), F.col(value))).alias(n) for v, n in zip(values, names)]
+        *[
+            F.max(F.when(F.col(column) == F.lit(v), F.col(value)).when(listed(column, values), F.lit(None))).alias(n)
+            for v, n in zip(values, names)
+        ]
+    )
+
+
+def listed(column: str | Column, values: Sequence) -> Column:
+    """True for a listed value; any other fails the query by name."""
+    x = col_(column)
+    return F.when(x.isin(*values), F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("unlisted value: "), F.coalesce(x.cast("string"), F.lit("null")))).cast("boolean")
     )
 
 
@@ -151,16 +166,18 @@ def delta_summary(deltas: DataFrame, keys: Sequence[str], metrics: Sequence[str]
 def best_rows(df: DataFrame, row_key: str, order_cols: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """For each metric the row with the largest value (NaN/null
     skipped, H1); ties go to the first row in ``order_cols`` order."""
-    parts = []
-    for m in metrics:
-        ok = df.filter(finite(m))
-        key = F.struct(F.col(m).cast("double").alias("v"), *[(-F.col(c)).alias(f"o{i}") for i, c in enumerate(order_cols)])
-        parts.append(ok.agg(F.max_by(F.col(row_key), key).alias("best"), F.max(F.col(m).cast("double")).alias("value"))
-                     .select(F.lit(m).alias("metric"), "best", "value"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    def key(m: str) -> Column:
+        k = F.struct(F.col(m).cast("double").alias("v"), *[(-F.col(c)).alias(f"o{i}") for i, c in enumerate(order_cols)])
+        return F.when(finite(m), k)  # max_by passes over null keys
+
+    one = df.agg(*[F.max(F.struct(key(m).alias("k"), F.col(row_key).alias("r"))).alias(f"_b{i}") for i, m in enumerate(metrics)])
+    rows = F.array(
+        *[
+            F.struct(F.lit(m).alias("metric"), F.when(F.col(f"_b{i}.k").isNotNull(), F.col(f"_b{i}.r")).alias("best"), F.col(f"_b{i}.k.v").alias("value"))
+            for i, m in enumerate(metrics)
+        ]
+    )
+    return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
 def grid_argmax(df: DataFrame, group: Sequence[str], metric: str, tie_cols: Sequence[str]) -> DataFrame:
@@ -172,18 +189,16 @@ def grid_argmax(df: DataFrame, group: Sequence[str], metric: str, tie_cols: Sequ
     ).select(*group, "best.*")
 
 
-def delta_vs_reference(df: DataFrame, keys: Sequence[str], ref_col: str, ref_value, metrics: Sequence[str],
-                       hot_rows: int = 1_000_000) -> DataFrame:
+def delta_vs_reference(df: DataFrame, keys: Sequence[str], ref_col: str, ref_value, metrics: Sequence[str]) -> DataFrame:
     """Metric minus the metric of the reference row (ref_col ==
     ref_value) sharing ``keys``; the reference table has one row per key
     and is joined back on the keys."""
-    from sparkdraft.operators.joins import salted_join
-
     ref = df.groupBy(*keys).agg(
         *[F.max(F.when(F.col(ref_col) == F.lit(ref_value), F.col(m))).alias(f"_ref_{m}") for m in metrics]
     )
-    # A key may hold a large share of the rows: salt the hot keys only.
-    j = salted_join(df, ref, list(keys), "left", hot_rows=hot_rows)
+    # A key may hold a large share of the rows: adaptive execution splits the
+    # skewed partitions of the left side.
+    j = df.join(ref, list(keys), "left")
     return j.select(
         *df.columns, *[(F.col(m) - F.col(f"_ref_{m}")).alias(f"{m}_delta") for m in metrics]
     )
@@ -227,6 +242,16 @@ def _segments(pdf, group):
         yield tuple(g.iloc[int(i)].tolist()), int(i), int(j)
 
 
+def before_divergence(df: DataFrame, group: Sequence[str], order: str, value: str) -> DataFrame:
+    """The rows of each curve before its first value that is null, NaN or
+    infinite (one grouped minimum, joined back)."""
+    end = df.filter(~finite(value)).groupBy(*group).agg(F.min(order).alias("_sd_end")).select(
+        *[F.col(g).alias(f"_sd_g{i}") for i, g in enumerate(group)], "_sd_end"
+    )
+    same = [F.col(g).eqNullSafe(F.col(f"_sd_g{i}")) for i, g in enumerate(group)]
+    return df.join(end, same, "left").filter(F.col("_sd_end").isNull() | (F.col(order) < F.col("_sd_end"))).select(*df.columns)
+
+
 def ema(df: DataFrame, group: Sequence[str], order: str, value: str, beta: float = 0.9) -> DataFrame:
     """Exponential moving average seeded with the first value,
     e_1 = x_1, e_t = beta*e_{t-1} + (1-beta)*x_t, per group, in ``order``.
@@ -244,6 +269,8 @@ def ema(df: DataFrame, group: Sequence[str], order: str, value: str, beta: float
        carry into each partition;
     4. pass 2 streams each partition again and runs pandas
        ``ewm(adjust=False)`` per segment, starting from the carry.
+    A curve ends before its first value that is not finite (or null), so
+    the scan sees numbers only and no carry can be mistaken for a missing one.
     Output: group columns, ``order``, ``ema``.
     """
     import numpy as np
@@ -252,7 +279,7 @@ def ema(df: DataFrame, group: Sequence[str], order: str, value: str, beta: float
     from sparkdraft.operators.ordering import stable_sort
 
     group = list(group)
-    base = df.select(*group, F.col(order), F.col(value).cast("double").alias("_x"))
+    base = before_divergence(df, group, order, value).select(*group, F.col(order), F.col(value).cast("double").alias("_x"))
     s = stable_sort(base, [*group, order]).withColumn("_pid", F.spark_partition_id())
     gfields = [f for f in base.schema.fields if f.name in group]
     gtypes = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in gfields)
@@ -360,14 +387,12 @@ def convergence_status(df: DataFrame, group: Sequence[str], order: str, value: s
     return g.select(*group, "first", "last", "n_points", status.alias("status"))
 
 
-def snapshot_rows(df: DataFrame, group: Sequence[str], order: str, every: int, hot_rows: int = 1_000_000) -> DataFrame:
+def snapshot_rows(df: DataFrame, group: Sequence[str], order: str, every: int) -> DataFrame:
     """The first step, every ``every``-th step, and the last step of
     each group (the last via a per-group max joined back)."""
-    from sparkdraft.operators.joins import salted_join
-
     last = df.groupBy(*group).agg(F.max(order).alias("_last"))
-    # A run with most of the points would be one join task: salt hot runs.
-    j = salted_join(df, last, list(group), "left", hot_rows=hot_rows)
+    # The partitions of a run with most of the points are split at run time.
+    j = df.join(last, list(group), "left")
     keep = (F.col(order) == 1) | (F.col(order) % every == 0) | (F.col(order) == F.col("_last"))
     return j.filter(keep).drop("_last")
 
@@ -467,7 +492,7 @@ def runtime_run_name(ckpt: str | Column, gamma: str | Column, temp_tag: str | Co
     return F.format_string("%s_runtime_g%d_t%s_max%d", col_(ckpt), col_(gamma).cast("int"), col_(temp_tag), col_(max_new).cast("int"))
 
 
-RUNTIME_NAME_PATTERN = r"_runtime_g(\d+)_t([0-9mp]+)_max(\d+)$"
+RUNTIME_NAME_PATTERN = r"_runtime_g(\d+)_t(\d+p\d+)_max(\d+)$"
 
 
 def parse_runtime_name(name: str | Column) -> Column:
@@ -475,13 +500,13 @@ def parse_runtime_name(name: str | Column) -> Column:
     name; null when it does not match."""
     n = col_(name)
     ok = n.rlike(RUNTIME_NAME_PATTERN)
-    t = F.translate(F.regexp_extract(n, RUNTIME_NAME_PATTERN, 2), "pm", ".-")
+    t = F.translate(F.regexp_extract(n, RUNTIME_NAME_PATTERN, 2), "p", ".")
     return F.when(
         ok,
         F.struct(
-            F.regexp_extract(n, RUNTIME_NAME_PATTERN, 1).cast("int").alias("gamma"),
-            t.cast("double").alias("temperature"),
-            F.regexp_extract(n, RUNTIME_NAME_PATTERN, 3).cast("int").alias("max_new_tokens"),
+            F.regexp_extract(n, RUNTIME_NAME_PATTERN, 1).try_cast("int").alias("gamma"),
+            t.try_cast("double").alias("temperature"),
+            F.regexp_extract(n, RUNTIME_NAME_PATTERN, 3).try_cast("int").alias("max_new_tokens"),
         ),
     )
 

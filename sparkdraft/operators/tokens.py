@@ -69,32 +69,10 @@ def append_eos(response: str | Column, eos_text: str | None) -> Column:
     return F.concat(r, F.lit(eos_text)) if eos_text else r
 
 
-def tokenized_example(prompt_ids: Column, response_ids: Column, max_seq_len: int) -> Column:
-    """struct(input_ids, attention_mask, labels, response_mask).
-
-    ids = (prompt ++ response)[:max_seq_len]; prompt positions are labelled
-    -100 and masked out of the response mask.
-    """
-    ids = F.slice(F.concat(prompt_ids, response_ids), 1, int(max_seq_len))
-    n = F.size(ids)
-    plen = F.least(F.size(prompt_ids), n)
-    rlen = F.greatest(n - plen, F.lit(0))
-    labels = F.concat(F.array_repeat(F.lit(IGNORE_INDEX), plen), F.slice(ids, plen + 1, rlen))
-    mask = F.concat(F.array_repeat(F.lit(False), plen), F.array_repeat(F.lit(True), rlen))
-    return F.struct(
-        ids.alias("input_ids"),
-        F.array_repeat(F.lit(1), n).alias("attention_mask"),
-        labels.alias("labels"),
-        mask.alias("response_mask"),
-        plen.cast("int").alias("prompt_len"),
-        rlen.cast("int").alias("response_len"),
-    )
-
-
 def tokenize_records(
     records: DataFrame,
     *,
-    max_seq_len: int,
+    max_seq_len: int | None,
     template: str | None = TEST_TEMPLATE,
     eos_text: str | None = TEST_EOS_TEXT,
     tokenizer: str = "mod101",
@@ -104,7 +82,8 @@ def tokenize_records(
     """Records (id, prompt_text, response_text) -> tokenized examples.
 
     P09 template, P10 EOS, X07 char ids, X08 masks, then F03 drops rows
-    whose response was truncated away entirely. The work is staged in
+    whose response was truncated away entirely. ``max_seq_len=None`` cuts
+    nothing. The work is staged in
     three projections (token ids, the truncated sequence, the derived
     arrays): each stage is referenced several times by the next, so the
     optimizer keeps it separate and every array is built once per row
@@ -119,7 +98,7 @@ def tokenize_records(
     )
     x = x.select(
         *keep,
-        F.slice(F.concat("_p_ids", "_r_ids"), 1, int(max_seq_len)).alias("input_ids"),
+        (F.concat("_p_ids", "_r_ids") if max_seq_len is None else F.slice(F.concat("_p_ids", "_r_ids"), 1, int(max_seq_len))).alias("input_ids"),
         F.size("_p_ids").alias("_np"),
     )
     n = F.size("input_ids")

@@ -35,7 +35,6 @@ from sparkdraft.operators.sweeps import (
     sampling_mode_for,
     unique_cells,
 )
-from sparkdraft.operators.joins import bounded_broadcast
 from sparkdraft.plans.registry import register, table
 
 ROUND = 9
@@ -265,7 +264,8 @@ SELECT count(*) AS n_cells, count(*) FILTER (WHERE max_new_tokens = 128) AS n_12
        count(*) FILTER (WHERE max_new_tokens = 256) AS n_256, count(*) FILTER (WHERE max_new_tokens = 512) AS n_512,
        count(DISTINCT n_prompts) AS distinct_n_prompts,
        (count(*) = 63 AND count(*) FILTER (WHERE max_new_tokens = 128) = 21
-        AND count(*) FILTER (WHERE max_new_tokens = 256) = 21 AND count(*) FILTER (WHERE max_new_tokens = 512) = 21) AS balanced
+        AND count(*) FILTER (WHERE max_new_tokens = 256) = 21 AND count(*) FILTER (WHERE max_new_tokens = 512) = 21
+        AND count(DISTINCT n_prompts) = 1) AS balanced
 FROM g
 """
 
@@ -273,7 +273,7 @@ FROM g
 @register("sweep_balance", BALANCE_SQL)
 def q_sweep_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F02 + F04: balanced-grid membership and its check (7 gammas x 3
-    temperatures x 3 lengths = 63 cells, 21 per length)."""
+    temperatures x 3 lengths = 63 cells, 21 per length, one number of prompts)."""
     rows = sweep_rows(spark, sf_dir).filter(
         F.col("temperature").isin(0.0, 0.05, 0.1) & F.col("max_new_tokens").isin(128, 256, 512)
     )
@@ -285,7 +285,7 @@ def q_sweep_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(L == 512).alias("n_512"),
         F.count_distinct("n_prompts").alias("distinct_n_prompts"),
     )
-    ok = (F.col("n_cells") == 63) & (F.col("n_128") == 21) & (F.col("n_256") == 21) & (F.col("n_512") == 21)
+    ok = (F.col("n_cells") == 63) & (F.col("n_128") == 21) & (F.col("n_256") == 21) & (F.col("n_512") == 21) & (F.col("distinct_n_prompts") == 1)
     return out.withColumn("balanced", ok)
 
 
@@ -380,7 +380,7 @@ def q_loss_vs_pretrained(spark: SparkSession, sf_dir: str) -> DataFrame:
     row per source)."""
     lr = loss_runs(spark, sf_dir)
     base = lr.filter(F.col("loss") == "pretrained").select("source", F.col("acceptance_rate").alias("_b"))
-    return lr.join(bounded_broadcast(base, 10_000), "source").select(
+    return lr.join(base, "source").select(
         "loss", "source", F.round(F.col("acceptance_rate") - F.col("_b"), ROUND).alias("acceptance_vs_pretrained")
     )
 

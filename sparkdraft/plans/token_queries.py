@@ -28,8 +28,6 @@ from sparkdraft.plans.prep_queries import (
 from sparkdraft.plans.registry import register
 
 CHAT_MAX_LEN = 4096
-# Longer than any document, so every text is tokenized whole.
-DOC_MAX_LEN = 1 << 20
 BATCH_SIZE = 8
 MODEL_LEN, MAX_NEW = 256, 64
 
@@ -41,7 +39,7 @@ def _checksum(ids: str) -> F.Column:
     )
 
 
-def _tok_sql(records_sql: str, max_len: int) -> str:
+def _tok_sql(records_sql: str, max_len: int | None) -> str:
     pre, post = TEST_TEMPLATE.split("{text}")
     return f"""
 WITH rec AS ({records_sql}),
@@ -50,7 +48,7 @@ ids AS (SELECT id,
    CASE WHEN length(p) = 0 THEN []::INTEGER[] ELSE list_transform(string_split(p, ''), lambda c: CAST(2 + unicode(c) % 101 AS INTEGER)) END AS pids,
    CASE WHEN length(r) = 0 THEN []::INTEGER[] ELSE list_transform(string_split(r, ''), lambda c: CAST(2 + unicode(c) % 101 AS INTEGER)) END AS rids
    FROM txt),
-ex0 AS (SELECT id, list_concat(pids, rids)[1:{max_len}] AS ids, len(pids) AS np FROM ids),
+ex0 AS (SELECT id, list_concat(pids, rids)[1:{max_len or ''}] AS ids, len(pids) AS np FROM ids),
 ex AS (SELECT id, ids, least(np, len(ids)) AS plen, len(ids) - least(np, len(ids)) AS rlen FROM ex0 WHERE len(ids) - least(np, len(ids)) > 0)
 """
 
@@ -83,7 +81,7 @@ def q_tokenize_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summarize(ex)
 
 
-TOKENIZE_DOCS_SQL = _tok_sql(ALPACA_NORMALIZE_SQL, DOC_MAX_LEN) + """
+TOKENIZE_DOCS_SQL = _tok_sql(ALPACA_NORMALIZE_SQL, None) + """
 SELECT id, CAST(len(ids) AS INTEGER) AS n_tokens, CAST(plen AS INTEGER) AS prompt_len, CAST(rlen AS INTEGER) AS response_len,
        CAST(list_sum(list_transform(ids, lambda x, i: CAST(x AS BIGINT) * i)) AS BIGINT) AS checksum
 FROM ex
@@ -94,7 +92,7 @@ FROM ex
 def q_tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-document tokenization of the Alpaca-normalized documents."""
     recs = q_alpaca_normalize(spark, sf_dir).select("id", "prompt_text", "response_text")
-    ex = tokenize_records(recs, max_seq_len=DOC_MAX_LEN)
+    ex = tokenize_records(recs, max_seq_len=None)
     return ex.select(
         "id",
         F.size("input_ids").alias("n_tokens"),

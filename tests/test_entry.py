@@ -10,7 +10,10 @@ def test_registry_shapes():
     q, o = E.queries(), E.oracle_sql()
     assert len(q) >= 50
     assert set(o) <= set(q)
-    for name in q:
+    from sparkdraft.plans import QUERIES
+
+    assert set(QUERIES) <= set(q)
+    for name in QUERIES:
         assert "pipeline" not in name and not name.startswith("op")
 
 

@@ -6,7 +6,6 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparkdraft.operators.joins import bounded_broadcast, salted_join
 from sparkdraft.operators.ordering import grouped_prefix_sums, with_global_index
 from sparkdraft.operators.quantiles import describe, equal_width_histogram, grouped_quantiles
 
@@ -55,19 +54,6 @@ def test_describe_and_histogram(spark):
     assert [h[i] for i in range(10)] == np.histogram(vals, bins=10)[0].tolist()
 
 
-def test_salted_join_and_bounded_broadcast(spark):
-    big = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(500)], "k long, v long")
-    small = spark.createDataFrame([(k, k * 10) for k in range(0, 500, 3)] + [(1, 10)], "k long, w long")
-    got = sorted(tuple(r) for r in salted_join(big, small, ["k"], "inner", salts=5).select("k", "v", "w").collect())
-    ref = sorted(tuple(r) for r in big.join(small, "k").select("k", "v", "w").collect())
-    assert got == ref
-    hot = sorted(tuple(r) for r in salted_join(big, small, ["k"], "inner", salts=5, hot_rows=50).select("k", "v", "w").collect())
-    assert hot == ref
-    left = salted_join(big, small.filter("k < 100"), ["k"], "left", salts=4, hot_rows=50)
-    assert left.count() == big.count()
-    assert bounded_broadcast(small, 10) is not None
-
-
 def test_explicit_range_partitions_and_index_by_key(spark):
     from sparkdraft.operators.ordering import RANGE_PARTITIONS_CONF, index_by_key
 
@@ -103,13 +89,22 @@ def test_empty_inputs_and_empty_partitions(spark):
     assert d["count"] == 0 and d["p50"] is None
 
 
-def test_unpivot_and_bounded_broadcast_fallback(spark):
+def test_unpivot(spark):
     from sparkdraft.operators.quantiles import unpivot_values
 
     df = spark.createDataFrame([("g", 1, 2.5), ("h", 3, None)], "k string, a int, b double")
     rows = sorted((r["k"], r["column"], r["value"]) for r in unpivot_values(df, ["k"], ["a", "b"]).collect())
     assert rows == [("g", "a", 1.0), ("g", "b", 2.5), ("h", "a", 3.0), ("h", "b", None)]
-    big = spark.range(50)
-    assert bounded_broadcast(big, 10) is big  # above the bound: left to the planner
-    small = spark.range(5)
-    assert bounded_broadcast(small, 10) is not small  # hinted copy
+
+
+def test_range_partitions_follow_the_input(spark, monkeypatch, tmp_dir):
+    from sparkdraft.operators import ordering
+
+    spark.range(200_000).write.parquet(f"{tmp_dir}/t")
+    df = spark.read.parquet(f"{tmp_dir}/t")
+    assert ordering._range_partitions(df, None) is None
+    monkeypatch.setattr(ordering, "RANGE_PARTITION_BYTES", 20_000)
+    n = ordering._range_partitions(df.join(df.withColumnRenamed("id", "j"), df["id"] > 5), None)
+    assert 8 < n < 1000  # by the tables read, not by their product
+    got = ordering.with_global_index(df, ["id"]).filter("idx <> id").count()
+    assert got == 0

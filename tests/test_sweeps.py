@@ -110,13 +110,14 @@ def test_pivot_duplicate_cell_fails(spark):
 
 
 def test_run_name_roundtrip(spark):
-    df = spark.createDataFrame([(4, -0.5, 256), (1, 1.5, 128)], "g int, t double, n int")
+    df = spark.createDataFrame([(4, 0.5, 256), (1, 1.5, 128)], "g int, t double, n int")
     named = df.select(runtime_run_name(F.lit("ck"), "g", number_tag(F.col("t").cast("string")), "n").alias("run"))
     got = [(r["run"], tuple(r["p"])) for r in named.select("run", parse_runtime_name("run").alias("p")).collect()]
-    assert got[0] == ("ck_runtime_g4_tm0p5_max256", (4, -0.5, 256))
+    assert got[0] == ("ck_runtime_g4_t0p5_max256", (4, 0.5, 256))
     assert got[1][1] == (1, 1.5, 128)
-    bad = spark.createDataFrame([("other",)], "run string").select(parse_runtime_name("run").alias("p")).collect()[0]
-    assert bad["p"] is None
+    names = ["other", "c_runtime_g1_t1p2p3_max2", "c_runtime_g1_t10_max2", "c_runtime_g1_tm0p5_max2"]
+    bad = spark.createDataFrame([(n,) for n in names], "run string").select(parse_runtime_name("run").alias("p")).collect()
+    assert [b["p"] for b in bad] == [None] * 4
 
 
 def test_curve_operators(spark):
@@ -126,8 +127,6 @@ def test_curve_operators(spark):
     assert st == {"a": "OK", "b": "DIVERGED", "c": "STALLED"}
     snaps = sorted(r["step"] for r in snapshot_rows(df.filter("run = 'a'"), ["run"], "step", 3).collect())
     assert snaps == [1, 3, 6, 7]
-    salted = sorted(r["step"] for r in snapshot_rows(df.filter("run = 'a'"), ["run"], "step", 3, hot_rows=2).collect())
-    assert salted == snaps
     best = {r["run"]: r["best_step"] for r in best_checkpoint(df, ["run"], "step", "loss").collect()}
     assert best["a"] == 7 and best["c"] == 1
     e = {(r["run"], r["step"]): r["ema"] for r in ema(df.filter("run != 'b'"), ["run"], "step", "loss", 0.9).collect()}
@@ -185,3 +184,49 @@ def test_param_grid(spark):
     assert len({tuple(r) for r in rows}) == 75
     lx = param_grid(spark, loss=["ce", "fkl", "rkl", "jsd"], data=["ultrachat_10k", "ultrachat_25k", "ultrachat_50k", "alpaca_50k"])
     assert lx.count() == 16
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 8])
+def test_ema_stops_where_a_curve_diverges(spark, partitions):
+    from sparkdraft.operators.ordering import RANGE_PARTITIONS_CONF
+
+    values = [10.0 - 0.1 * s for s in range(1, 41)]
+    rows = [("nan", s, float("nan") if s == 11 else v) for s, v in enumerate(values, 1)]
+    rows += [("inf", s, float("inf") if s == 30 else v) for s, v in enumerate(values, 1)]
+    rows += [("null", s, None if s == 2 else v) for s, v in enumerate(values, 1)]
+    rows += [("bad", s, float("nan")) for s in range(1, 5)] + [("ok", s, v) for s, v in enumerate(values, 1)]
+    df = spark.createDataFrame(rows, "run string, step long, loss double")
+    spark.conf.set(RANGE_PARTITIONS_CONF, str(partitions))
+    try:
+        got = {}
+        for r in ema(df, ["run"], "step", "loss", 0.9).collect():
+            got.setdefault(r["run"], {})[r["step"]] = r["ema"]
+    finally:
+        spark.conf.unset(RANGE_PARTITIONS_CONF)
+    want, e = {}, None
+    for s, v in enumerate(values, 1):
+        e = v if e is None else 0.9 * e + 0.1 * v
+        want[s] = e
+    for run, end in (("nan", 10), ("inf", 29), ("null", 1), ("ok", 40)):
+        assert got[run] == pytest.approx({s: want[s] for s in range(1, end + 1)})
+    assert "bad" not in got
+
+
+def test_unlisted_pivot_value_and_empty_result_fail(spark):
+    from sparkdraft.operators.sweeps import filter_ok_runs
+
+    df = spark.createDataFrame([(1, 0.0, 1.0), (1, 0.7, 2.0)], "g int, t double, v double")
+    with pytest.raises(Exception, match="unlisted value"):
+        pivot_grid(df, "g", "t", "v", [0.0], ["a"]).collect()
+    runs = spark.createDataFrame([("ok", 256, 1.0), ("failed", 512, 2.0)], "status string, max_new_tokens int, v double")
+    assert [r["v"] for r in filter_ok_runs(runs, 256, ["v"]).collect()] == [1.0]
+    with pytest.raises(Exception, match="no successful run"):
+        filter_ok_runs(runs, 512, ["v"]).collect()
+
+
+def test_best_rows_in_one_pass(spark):
+    from sparkdraft.operators.sweeps import best_rows
+
+    df = spark.createDataFrame([("a", 1, 2.0, None), ("b", 2, 2.0, float("nan")), ("c", 3, float("inf"), None)], "r string, o int, x double, y double")
+    got = {r["metric"]: (r["best"], r["value"]) for r in best_rows(df, "r", ["o"], ["x", "y"]).collect()}
+    assert got == {"x": ("a", 2.0), "y": (None, None)}
