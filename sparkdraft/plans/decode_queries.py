@@ -33,7 +33,9 @@ from sparkdraft.operators.decode import (
     run_totals,
     sd_aggregate,
 )
+from sparkdraft.operators.discovery import run_summary
 from sparkdraft.plans.registry import register, table
+from sparkdraft.plugins.scorers import ScoreTable
 
 GAMMA, MAX_NEW, EOS_ID, VOCAB = 4, 64, 0, 50
 ROUND = 9
@@ -298,3 +300,43 @@ def q_amortised_prompt_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "prompt", "arm", F.round("sd_s_avg", ROUND).alias("sd_s_avg"), F.round("vanilla_s_avg", ROUND).alias("vanilla_s_avg")
     )
+
+
+RUN_SUMMARY_SQL = f"""
+WITH t AS ({RUN_TOTALS_SQL}), p AS ({SD_AGG_SQL}),
+q AS (SELECT round(coalesce(avg(CASE WHEN l.quality = 1 OR d.text = d.lang THEN 1.0 ELSE 0.0 END), 0.0), {ROUND}) AS score FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
+SELECT 'draft-run' AS model, 'target-8b' AS target, 'draft-1b' AS draft, acceptance_rate, avg_accepted_tokens, vanilla_time_s, sd_time_s, speedup, tokens_per_second,
+       score AS exact_match, 'greedy' AS mode, {GAMMA} AS num_assistant_tokens, n_prompts, 1 AS n_warmup, 3 AS n_repeats,
+       speedup AS engine_speedup, acceptance_rate AS engine_acceptance_rate, n_outer_steps AS engine_n_outer_steps, false AS engine_batched
+FROM t, p, q
+"""
+
+
+@register("run_summary", RUN_SUMMARY_SQL)
+def q_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run-summary document (A01-A03, A30) of one run, from the pooled
+    replay, the summed timings and the declared scores."""
+    from sparkdraft.functions.text import clean
+
+    labelled = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    texts = labelled.select(
+        clean("text").alias("generation"), F.when(F.col("quality") == 1, clean("text")).otherwise(F.col("lang")).alias("target_generation")
+    )
+    doc = run_summary(
+        run_totals(repeat_means(timings(spark, sf_dir))),
+        sd_aggregate(replayed(spark, sf_dir), GAMMA),
+        ScoreTable().scores(texts, ["exact_match_vs_target"]),
+        model="draft-run", target="target-8b", draft="draft-1b", engine="hf",
+        decoding={"mode": "greedy", "max_new_tokens": MAX_NEW, "num_assistant_tokens": GAMMA, "temperature": 0.0, "top_p": 1.0},
+        n_warmup=1, n_repeats=3,
+    )
+    r = lambda c, name: F.round(c, ROUND).alias(name)
+    return doc.select(
+        "model", "target", "draft",
+        *[r(c, c) for c in ("acceptance_rate", "avg_accepted_tokens", "vanilla_time_s", "sd_time_s", "speedup", "tokens_per_second")],
+        r(F.try_element_at("quality_score", F.lit("exact_match_vs_target")), "exact_match"),
+        F.col("decoding.mode").alias("mode"), F.col("decoding.num_assistant_tokens").alias("num_assistant_tokens"),
+        "n_prompts", "n_warmup", "n_repeats",
+        r(F.col("engines.hf.speedup"), "engine_speedup"), r(F.col("engines.hf.acceptance_rate"), "engine_acceptance_rate"),
+        F.col("engines.hf.n_outer_steps").alias("engine_n_outer_steps"), F.col("engines.hf.batched").alias("engine_batched"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkdraft.operators.ordering import with_global_index
-from sparkdraft.operators.prep import first_exchange_turns, normalize_rows
+from sparkdraft.operators.prep import first_exchange_turns, from_chat_or_pr, normalize_rows
 from sparkdraft.plans.registry import register, strip_sql, table
 
 
@@ -310,3 +310,38 @@ def q_udf_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = recs.select("id", tokenizer_udf(_code_points)("prompt_text").alias("ids"))
     checksum = F.aggregate(F.transform("ids", lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, b: a + b)
     return ids.select("id", F.size("ids").alias("n_ids"), checksum.alias("checksum"))
+
+
+MESSAGES_SQL = """
+WITH t AS (SELECT conv_id, turn, lower(role) AS role, text, conv_id % 4 AS kind FROM conversations),
+u AS (SELECT conv_id, arg_min(text, turn) AS prompt, min(turn) AS u_turn FROM t WHERE role IN ('user', 'human') AND text <> '' GROUP BY conv_id),
+a AS (SELECT t.conv_id, arg_min(t.text, t.turn) AS response FROM t JOIN u ON t.conv_id = u.conv_id AND t.turn > u.u_turn
+      WHERE t.role IN ('assistant', 'gpt', 'bot') GROUP BY t.conv_id)
+SELECT c.conv_id, CASE c.kind WHEN 0 THEN 'messages' WHEN 1 THEN 'conversations' WHEN 2 THEN 'chosen' ELSE 'pair' END AS form,
+       CASE c.kind WHEN 3 THEN 'q ' || c.conv_id ELSE u.prompt END AS prompt, CASE c.kind WHEN 3 THEN 'r' ELSE a.response END AS response
+FROM (SELECT DISTINCT conv_id, kind FROM t) c LEFT JOIN u ON u.conv_id = c.conv_id LEFT JOIN a ON a.conv_id = c.conv_id
+"""
+
+
+@register("list_messages", MESSAGES_SQL)
+def q_list_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P02 + P03 on one table with every input shape. Stand-in: a
+    conversation is a ``messages`` list (role, content), a ``conversations`` list
+    (from, value) beside an empty ``messages``, a ``chosen`` list, or a plain pair."""
+    t = table(spark, sf_dir, "conversations")
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    c = t.groupBy("conv_id").agg(turns.alias("t"))
+    kind = F.col("conv_id") % 4
+    named = lambda role, text: F.transform("t", lambda m: F.struct(m["role"].alias(role), m["text"].alias(text)))
+    empty = F.array().cast("array<struct<role: string, content: string>>")
+    rows = c.select(
+        "conv_id",
+        F.when(kind == 0, named("role", "content")).when(kind == 1, empty).alias("messages"),
+        F.when(kind == 1, named("from", "value")).alias("conversations"),
+        F.when(kind == 2, named("role", "content")).alias("chosen"),
+        F.when(kind == 3, F.concat(F.lit("q "), F.col("conv_id"))).alias("prompt_text"),
+        F.when(kind == 3, F.lit("r")).alias("response_text"),
+    )
+    pair = from_chat_or_pr(rows)
+    form = F.when(kind == 0, "messages").when(kind == 1, "conversations").when(kind == 2, "chosen").otherwise("pair")
+    return rows.select("conv_id", form.alias("form"), pair["prompt"].alias("prompt"), pair["response"].alias("response"))

@@ -5,7 +5,7 @@ Stand-ins:
   step = ``event_id``, loss = ``value``.
 * planned runs: every order is a checkpoint to evaluate; its lineitems are
   the checkpoint's files (line number 1 config.yaml, 2 meta.json,
-  3 model/config.json, 4 model/model.safetensors, 5 model/pytorch_model.bin,
+  3 model/config.json, 4 model/model.safetensors, 5 a shard of other weights,
   6-7 logs); an order with a returned item ('R') already has a summary;
   order status F/O is a finished/failed process (rc 0 / 1), P not run.
 * checkpoint metadata: ``customer`` rows (segment, name) are the meta.json
@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkdraft.functions.text import entity_key, slug
+from sparkdraft.operators.discovery import CONFIG_FILE, MODEL_CONFIG_FILE, WEIGHT_FILES, checkpoint_inventory, checkpoint_records, sweep_table
+from sparkdraft.operators.summaries import SUMMARY_SCHEMA, SWEEP_CSV_COLUMNS, flatten_summary
 from sparkdraft.operators.sweeps import (
     best_checkpoint,
     convergence_status,
@@ -109,12 +111,8 @@ def q_loss_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Run planning over orders / lineitem / customer
 # ---------------------------------------------------------------------------
 
-# Checkpoint file names that make a checkpoint usable.
-CONFIG_FILE = "config.yaml"
-MODEL_CONFIG_FILE = "model/config.json"
-WEIGHT_FILES = ("model/model.safetensors", "model/pytorch_model.bin")
 FILE_BY_LINE = ["config.yaml", "meta.json", "model/config.json", "model/model.safetensors",
-                "model/pytorch_model.bin", "logs/train.log", "logs/train.log"]
+                "model/pytorch_model-00001-of-00002.bin", "logs/train.log", "logs/train.log"]
 
 
 def artifact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,32 +124,10 @@ def artifact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def checkpoint_inventory(files: DataFrame) -> DataFrame:
-    """J04 + F06: one grouped pass over the file inventory instead of three
-    semi-joins; the reason lists every missing piece."""
-    g = files.groupBy("run_id").agg(
-        F.bool_or(F.col("file") == CONFIG_FILE).alias("has_config"),
-        F.bool_or(F.col("file") == MODEL_CONFIG_FILE).alias("has_model_config"),
-        F.bool_or(F.col("file").isin(*WEIGHT_FILES)).alias("has_weights"),
-    )
-    reason = F.concat_ws(
-        "; ",
-        F.array_compact(
-            F.array(
-                F.when(~F.col("has_config"), F.lit(f"missing {CONFIG_FILE}")),
-                F.when(~F.col("has_model_config"), F.lit(f"missing {MODEL_CONFIG_FILE}")),
-                F.when(~F.col("has_weights"), F.lit("missing model weights")),
-            )
-        ),
-    )
-    complete = F.col("has_config") & F.col("has_model_config") & F.col("has_weights")
-    return g.select("run_id", complete.alias("complete"), F.when(~complete, reason).alias("reason"))
-
-
 INVENTORY_SQL = f"""
 f AS (SELECT l_orderkey AS run_id, {FILE_BY_LINE!r}[l_linenumber] AS file, l_returnflag FROM lineitem),
 inv AS (SELECT run_id, bool_or(file = '{CONFIG_FILE}') AS hc, bool_or(file = '{MODEL_CONFIG_FILE}') AS hm,
-               bool_or(file IN {WEIGHT_FILES!r}) AS hw FROM f GROUP BY run_id),
+               bool_or(regexp_matches(file, '{WEIGHT_FILES}')) AS hw FROM f GROUP BY run_id),
 ck AS (SELECT run_id, hc AND hm AND hw AS complete,
               CASE WHEN NOT (hc AND hm AND hw) THEN concat_ws('; ',
                    CASE WHEN NOT hc THEN 'missing {CONFIG_FILE}' END, CASE WHEN NOT hm THEN 'missing {MODEL_CONFIG_FILE}' END,
@@ -403,3 +379,118 @@ def q_checkpoint_meta_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = first_hit_lookup(runs, meta, ["parent", "dir"])
     return out.select(F.col("o_orderkey").alias("run_id"), "meta_path", "dataset_id")
+
+
+def run_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in configs: an order is a run's configuration, with gaps."""
+    o = table(spark, sf_dir, "orders")
+    some = lambda n, c: F.when(F.col("o_custkey") % n != 0, c)
+    return o.select(
+        F.col("o_orderkey").cast("string").alias("dir"),
+        some(2, F.concat(F.lit("run-"), F.col("o_orderkey"))).alias("run_name"),
+        some(3, F.lower("o_orderpriority")).alias("data_id"),
+        some(5, F.lit("original")).alias("response_source"),
+        some(7, F.lit("target-32b")).alias("target"),
+        some(4, F.lit("small-init")).alias("draft_init"),
+        some(6, F.lit("draft-default")).alias("draft_default"),
+        some(11, F.lit("jsd")).alias("loss_kind"),
+        some(2, F.lit(0.5)).alias("loss_alpha"),
+        some(3, F.lit(2.0)).alias("loss_temperature"),
+        F.col("o_custkey").alias("seed"),
+        some(2, F.lit(1000)).alias("steps"),
+        F.concat(F.lit("/prompts/"), F.lower("o_orderstatus"), F.lit(".jsonl")).alias("prompts_jsonl"),
+    )
+
+
+def run_metas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in metadata of finished trainings: orders of status F and O."""
+    o = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") != "P")
+    return o.select(
+        F.col("o_orderkey").cast("string").alias("dir"),
+        F.when(F.col("o_custkey") % 4 != 0, F.concat(F.lit("meta_ultrachat_50k_target_gen_"), F.col("o_orderkey"))).otherwise(F.lit("")).alias("run_name"),
+        F.when(F.col("o_custkey") % 9 == 0, F.lit("meta_set")).alias("dataset_id"),
+        F.when(F.col("o_custkey") % 5 == 0, F.lit("trained-init")).otherwise(F.lit("")).alias("draft_init"),
+        (F.col("o_custkey") % 100 / 10.0).alias("train_loss_final"),
+        F.when(F.col("o_custkey") % 3 == 0, F.lit(900)).alias("steps"),
+    )
+
+
+def _data_id_sql(run: str) -> str:
+    from sparkdraft.operators.sweeps import DATA_IDS
+
+    return "CASE " + " ".join(f"WHEN contains({run}, '{d}') THEN '{d}'" for d in DATA_IDS) + " ELSE '' END"
+
+
+RECORDS_SQL = f"""{INVENTORY_SQL},
+cf AS (SELECT CAST(o_orderkey AS VARCHAR) AS dir, o_custkey AS k, o_orderkey AS ok, lower(o_orderpriority) AS pr, lower(o_orderstatus) AS st, o_orderstatus <> 'P' AS fin FROM orders),
+r0 AS (SELECT cf.*, CASE WHEN k % 2 <> 0 THEN 'run-' || ok WHEN fin AND k % 4 <> 0 THEN 'meta_ultrachat_50k_target_gen_' || ok ELSE dir END AS checkpoint_run
+       FROM cf JOIN ck ON CAST(ck.run_id AS VARCHAR) = cf.dir WHERE ck.complete),
+r1 AS (SELECT *, CASE WHEN k % 3 <> 0 THEN pr WHEN fin AND k % 9 = 0 THEN 'meta_set' ELSE {_data_id_sql("checkpoint_run")} END AS data_id FROM r0),
+rec AS (SELECT checkpoint_run || '_eval_g4_max256' AS run, checkpoint_run, dir AS checkpoint_dir_name,
+    CASE WHEN k % 7 <> 0 THEN 'target-32b' ELSE 'target-8b' END AS target_model,
+    CASE WHEN fin AND k % 5 = 0 THEN 'trained-init' WHEN k % 4 <> 0 THEN 'small-init' WHEN k % 6 <> 0 THEN 'draft-default' ELSE '' END AS draft_init,
+    CASE WHEN k % 11 <> 0 THEN 'jsd' ELSE '' END AS loss_kind, CASE WHEN k % 2 <> 0 THEN 0.5::DOUBLE END AS loss_alpha, CASE WHEN k % 3 <> 0 THEN 2.0::DOUBLE END AS loss_temperature,
+    data_id, CASE WHEN k % 5 <> 0 THEN 'original' WHEN ends_with(data_id, '_target_gen') OR contains(checkpoint_run, '_tgen_') THEN 'target_generated' ELSE 'original' END AS response_source,
+    k AS seed, CASE WHEN fin THEN k % 100 / 10.0::DOUBLE END AS train_loss_final, CAST(CASE WHEN fin AND k % 3 = 0 THEN 900 WHEN k % 2 <> 0 THEN 1000 END AS INTEGER) AS steps,
+    '/ckpt/' || dir AS checkpoint_dir, '/ckpt/' || dir || '/model' AS model_dir, '/ckpt/' || dir || '/config.yaml' AS config_path, '/prompts/' || st || '.jsonl' AS prompts_jsonl,
+    '/results/' || checkpoint_run || '_eval_g4_max256/eval_summary.json' AS summary_path FROM r1)
+"""
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checkpoint_records(
+        checkpoint_inventory(artifact_files(spark, sf_dir)), run_configs(spark, sf_dir), run_metas(spark, sf_dir),
+        gamma=4, max_new_tokens=256, default_target="target-8b", checkpoint_root="/ckpt", results_root="/results",
+    )
+
+
+@register("checkpoint_records", f"WITH {RECORDS_SQL} SELECT * FROM rec")
+def q_checkpoint_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J04 + J05: inventory to complete checkpoints to run records, with the
+    precedence of config, metadata and inference settled field by field."""
+    return _records(spark, sf_dir)
+
+
+EVAL_CONFIG = {"eval_backend": "vllm", "runtime_mode": "greedy", "runtime_temperature": 0.0, "runtime_top_p": 1.0, "gamma": 4, "max_new_tokens": 256, "run_vanilla_baseline": True}
+_TABLE_SQL = {
+    **{c: f"rec.{c}" for c in ("run", "checkpoint_run", "checkpoint_dir_name", "target_model", "draft_init", "loss_kind", "loss_alpha", "loss_temperature", "data_id", "response_source", "seed", "train_loss_final", "steps", "checkpoint_dir", "model_dir", "config_path", "prompts_jsonl", "summary_path")},
+    "status": "coalesce(s.status, 'not_run')", "returncode": "s.rc", "elapsed_s": "s.elapsed",
+    "eval_backend": "'vllm'", "runtime_mode": "'greedy'", "runtime_temperature": "0.0::DOUBLE", "runtime_top_p": "1.0::DOUBLE", "gamma": "4", "max_new_tokens": "256", "run_vanilla_baseline": "true",
+    "speedup": "m.k % 50 / 10.0::DOUBLE", "acceptance_rate": "m.k % 10 / 10.0::DOUBLE", "avg_accepted_tokens": "CASE WHEN m.k IS NOT NULL AND m.k % 8 <> 0 THEN 1.5::DOUBLE END",
+    "tokens_per_second": "CAST(m.k AS DOUBLE)", "sd_time_s": "CASE WHEN m.k IS NOT NULL THEN 2.0::DOUBLE END", "vanilla_time_s": "CAST(NULL AS DOUBLE)",
+    "n_prompts": "CASE WHEN m.k IS NOT NULL THEN 32 END", "n_warmup": "CASE WHEN m.k IS NOT NULL THEN 1 END", "n_repeats": "CASE WHEN m.k IS NOT NULL THEN 3 END",
+    "vllm_num_drafts": "CAST(m.k AS BIGINT)", "vllm_num_draft_tokens": "CAST(4 * m.k AS BIGINT)", "vllm_num_accepted_tokens": "CAST(2 * m.k AS BIGINT)", "vllm_request_batch_size": "CASE WHEN m.k IS NOT NULL THEN CAST(8 AS BIGINT) END",
+}
+SWEEP_TABLE_SQL = f"""WITH {RECORDS_SQL},
+s AS (SELECT checkpoint_run || '_eval_g4_max256' AS run, CASE WHEN st = 'f' THEN 'ok' ELSE 'failed' END AS status, CASE WHEN st = 'f' THEN 0 ELSE 1 END AS rc, CAST(k AS DOUBLE) AS elapsed FROM r1 WHERE fin),
+m AS (SELECT '/results/' || checkpoint_run || '_eval_g4_max256/eval_summary.json' AS summary_path, k FROM r1 WHERE st = 'f')
+SELECT {", ".join(f"{e} AS {c}" for c, e in _TABLE_SQL.items())}, CASE WHEN m.k IS NOT NULL THEN 0.25::DOUBLE END AS "quality_score.exact_match_vs_target"
+FROM rec LEFT JOIN s ON s.run = rec.run LEFT JOIN m ON m.summary_path = rec.summary_path"""
+
+
+@register("sweep_table", SWEEP_TABLE_SQL)
+def q_sweep_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J01 + J02 + P23: run records with process status and the flattened
+    metrics of their summary documents. Stand-in: finished orders have a
+    status, those of status F a summary document."""
+    records = _records(spark, sf_dir)
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("checkpoint_dir_name"), "o_orderstatus", F.col("o_custkey").alias("k"))
+    runs = records.select("run", "summary_path", "checkpoint_dir_name").join(o, "checkpoint_dir_name")
+    ok = F.col("o_orderstatus") == "F"
+    statuses = runs.filter(F.col("o_orderstatus") != "P").select("run", F.when(ok, "ok").otherwise("failed").alias("status"), F.when(ok, 0).otherwise(1).alias("returncode"), F.col("k").cast("double").alias("elapsed_s"))
+    doc = F.to_json(
+        F.struct(
+            (F.col("k") % 50 / 10.0).alias("speedup"), (F.col("k") % 10 / 10.0).alias("acceptance_rate"),
+            F.when(F.col("k") % 8 != 0, F.lit(1.5)).otherwise(F.lit(float("nan"))).alias("avg_accepted_tokens"),
+            F.col("k").cast("double").alias("tokens_per_second"), F.lit(2.0).alias("sd_time_s"), F.lit(float("nan")).alias("vanilla_time_s"),
+            F.lit(32).alias("n_prompts"), F.lit(1).alias("n_warmup"), F.lit(3).alias("n_repeats"),
+            F.create_map(F.lit("exact_match_vs_target"), F.lit(0.25)).alias("quality_score"),
+            F.struct(F.struct(F.col("k").alias("num_drafts"), (4 * F.col("k")).alias("num_draft_tokens"), (2 * F.col("k")).alias("num_accepted_tokens"), F.lit(8).alias("request_batch_size")).alias("vllm")).alias("engines"),
+        ),
+        {"allowNonNumericNumbers": "true"},
+    )
+    docs = runs.filter(ok).select("summary_path", F.from_json(doc, SUMMARY_SCHEMA, {"allowNonNumericNumbers": "true"}).alias("s")).select("summary_path", "s.*")
+    names = ["exact_match_vs_target"]
+    out = sweep_table(records, statuses, flatten_summary(docs, names, keep=("summary_path",)), EVAL_CONFIG, names)
+    assert out.columns[: len(SWEEP_CSV_COLUMNS)] == SWEEP_CSV_COLUMNS
+    return out

@@ -197,3 +197,24 @@ def test_prompt_records_and_amortised(spark):
     rows = spark.createDataFrame([(1,), (2,)], "k int")
     out = amortised_times(rows, F.lit(10.0), F.lit(float("nan")), F.lit(2)).collect()
     assert out[0]["sd_s_avg"] == 5.0 and out[0]["vanilla_s_avg"] is None
+
+
+def test_limits_follow_source_order(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "prompts.jsonl")
+    write(p, "".join(json.dumps({"prompt_text": t}) + "\n" for t in ("z", "m", "a")))
+    got = [r["prompt_text"] for r in prompt_source(spark, jsonl=p, limit=2).collect()]
+    assert sorted(got) == ["m", "z"]
+    df = spark.createDataFrame([("zebra", 0), ("mango", 1), ("apple", 2)], "prompt string, n int")
+    assert [r["prompt_text"] for r in prompt_source(spark, dataset=df, order_col="n", limit=1).collect()] == ["zebra"]
+    with pytest.raises(ValueError, match="order_col"):
+        prompt_source(spark, dataset=df, limit=1)
+
+
+def test_white_space_is_unicode_everywhere(spark, tmp_dir):
+    from sparkdraft.functions.text import is_null_draft, str_to_bool
+
+    p = os.path.join(tmp_dir, "lines.txt")
+    write(p, "a\n\t\n  \n b \n")
+    assert nonblank_line_count(spark, p) == 2
+    df = spark.createDataFrame([("\tnone\n", "true\n"), ("x", "off")], "d string, b string")
+    assert [tuple(r) for r in df.select(is_null_draft("d"), str_to_bool("b")).collect()] == [(True, True), (False, False)]
