@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkdraft.functions.numeric import usable_denominator
+
 from sparkdraft.functions.text import col_, is_null_draft
 from sparkdraft.operators.distributions import PROB_FLOOR
 from sparkdraft.operators.ordering import grouped_prefix_sums
@@ -152,12 +154,6 @@ def repeat_means(timings: DataFrame, prompt_col: str = "prompt", arm_col: str =
     )
 
 
-def _positive(c: Column) -> Column:
-    """X14 guard: a usable denominator is non-null, not NaN and > 0
-    (hazard H1: NaN > 0 is true in Spark)."""
-    return c.isNotNull() & ~F.isnan(c) & (c > 0)
-
-
 def run_totals(means: DataFrame, *, has_draft: bool = True, run_vanilla: bool = True,
                arm_col: str = "arm") -> DataFrame:
     """Sum the per-prompt means into one run row.
@@ -182,9 +178,9 @@ def run_totals(means: DataFrame, *, has_draft: bool = True, run_vanilla: bool =
     else:
         v_s, v_tok = F.lit(float("nan")), F.lit(0).cast("long")
     sd_s = F.col("sd_time_s")
-    tps = F.when(_positive(sd_s), F.col("sd_tokens") / sd_s).otherwise(F.lit(0.0))
-    v_tps = F.when(_positive(v_s) & (v_tok > 0), v_tok / v_s)
-    speedup = F.when(_positive(v_s) & _positive(sd_s), v_s / sd_s).otherwise(F.lit(1.0))
+    tps = F.when(usable_denominator(sd_s), F.col("sd_tokens") / sd_s).otherwise(F.lit(0.0))
+    v_tps = F.when(usable_denominator(v_s) & (v_tok > 0), v_tok / v_s)
+    speedup = F.when(usable_denominator(v_s) & usable_denominator(sd_s), v_s / sd_s).otherwise(F.lit(1.0))
     return agg.select(
         F.col("n_prompts").cast("long"),
         sd_s.alias("sd_time_s"),
@@ -208,7 +204,7 @@ def engine_totals(runs: DataFrame, engine_col: str = "engine", repeat_col: str =
         F.max_by("run_tokens", repeat_col).alias("tokens"),
         F.count(F.lit(1)).alias("n_repeats"),
     )
-    return out.withColumn("tokens_per_second", F.when(_positive(F.col("time_s")), F.col("tokens") / F.col("time_s")).otherwise(F.lit(0.0)))
+    return out.withColumn("tokens_per_second", F.when(usable_denominator(F.col("time_s")), F.col("tokens") / F.col("time_s")).otherwise(F.lit(0.0)))
 
 
 def counter_totals(metrics: DataFrame, run_col: str = "run") -> DataFrame:
@@ -229,10 +225,10 @@ def counter_totals(metrics: DataFrame, run_col: str = "run") -> DataFrame:
     return agg.select(
         run_col,
         *[F.col(c).cast("long").alias(c) for c in ("num_drafts", "num_draft_tokens", "num_accepted_tokens")],
-        F.when(_positive(F.col("num_draft_tokens")), F.col("num_accepted_tokens") / F.col("num_draft_tokens"))
+        F.when(usable_denominator(F.col("num_draft_tokens")), F.col("num_accepted_tokens") / F.col("num_draft_tokens"))
         .otherwise(F.lit(0.0))
         .alias("acceptance_rate"),
-        F.when(_positive(F.col("num_drafts")), F.col("num_accepted_tokens") / F.col("num_drafts"))
+        F.when(usable_denominator(F.col("num_drafts")), F.col("num_accepted_tokens") / F.col("num_drafts"))
         .otherwise(F.lit(0.0))
         .alias("avg_accepted_tokens"),
     )
@@ -285,7 +281,7 @@ def amortised_times(rows: DataFrame, sd_total: Column, vanilla_total: Column, n_
     """Run time / n_prompts stamped on every row; the vanilla share is
     null when the vanilla time is not a positive number."""
     per_sd = F.when(n_prompts > 0, sd_total / n_prompts).otherwise(F.lit(0.0))
-    per_v = F.when((n_prompts > 0) & _positive(vanilla_total), vanilla_total / n_prompts)
+    per_v = F.when((n_prompts > 0) & usable_denominator(vanilla_total), vanilla_total / n_prompts)
     return rows.withColumn("sd_s_avg", per_sd).withColumn("vanilla_s_avg", per_v)
 
 

@@ -92,7 +92,7 @@ def divergence(kind: str, student_logp: Column, teacher_logp: Column) -> Column:
         return reverse_kl(student_logp, teacher_logp)
     if k == "jsd":
         return js_divergence(student_logp, teacher_logp)
-    raise ValueError(f"unknown KD loss kind {kind!r}")
+    raise ValueError(f"{kind!r} is none of fkl, rkl and jsd")
 
 
 def argmax(arr: str | Column) -> Column:
@@ -233,7 +233,7 @@ def pair_positions(student: DataFrame, teacher: DataFrame, labels: DataFrame | N
     j = j.withColumn(
         "student",
         F.when(F.size("student") == F.size("teacher"), F.col("student")).otherwise(
-            F.raise_error(F.lit("student_logits and teacher_logits must have identical shapes"))
+            F.raise_error(F.lit("a position has distributions of different lengths"))
         ),
     )
     if labels is None:
@@ -261,7 +261,7 @@ def position_losses(pairs: DataFrame, temperature: float = 1.0) -> DataFrame:
     CE ignores the response mask (it only skips -100); divergences use it.
     """
     if temperature <= 0:
-        raise ValueError("temperature must be > 0 for KD losses")
+        raise ValueError(f"divergences need a positive temperature, got {temperature}")
     ls1 = log_softmax("student", 1.0)
     ls = log_softmax("student", temperature)
     lt = log_softmax("teacher", temperature)

@@ -16,16 +16,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkdraft.functions.numeric import is_finite as finite
+from sparkdraft.functions.numeric import relative_gain_pct
 from sparkdraft.functions.text import col_
 from sparkdraft.operators.quantiles import grouped_quantiles
 
 
-def finite(c: str | Column) -> Column:
-    """Not null, not NaN, not +-inf."""
-    x = col_(c).cast("double")
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-
-
 def finite_or_null(c: str | Column) -> Column:
     """Keep finite numbers, blank everything else."""
     return F.when(finite(c), col_(c).cast("double"))
@@ -223,7 +219,7 @@ def effect_table(df: DataFrame, key: str, arm: str, base_arm: str, other_arm: st
             F.col(f"{m}_base"),
             F.col(f"{m}_other"),
             d.alias(f"{m}_delta"),
-            F.when(F.col(f"{m}_base") != 0, F.lit(100.0) * d / F.col(f"{m}_base")).alias(f"{m}_gain_pct"),
+            relative_gain_pct(f"{m}_other", f"{m}_base").alias(f"{m}_gain_pct"),
             (d > 0).alias(f"{m}_better"),
         ]
     return j.select(*out)

@@ -230,3 +230,38 @@ def test_best_rows_in_one_pass(spark):
     df = spark.createDataFrame([("a", 1, 2.0, None), ("b", 2, 2.0, float("nan")), ("c", 3, float("inf"), None)], "r string, o int, x double, y double")
     got = {r["metric"]: (r["best"], r["value"]) for r in best_rows(df, "r", ["o"], ["x", "y"]).collect()}
     assert got == {"x": ("a", 2.0), "y": (None, None)}
+
+
+# A small grid with statistics derived by hand: (gamma, temperature) -> speedup by length.
+GRID = {128: [1.2, 0.8, 1.0, 0.6], 256: [1.4, 0.9, 1.1, 0.5], 512: [1.0, 0.7, 0.9, 0.4]}
+
+
+@pytest.fixture()
+def grid(spark):
+    cells = [(1, 0.0), (1, 1.0), (2, 0.0), (2, 1.0)]
+    rows = [(n, g, t, v, v / 2) for n, values in GRID.items() for (g, t), v in zip(cells, values)]
+    return spark.createDataFrame(rows, "max_new_tokens int, gamma int, runtime_temperature double, speedup double, acceptance_rate double")
+
+
+def test_grid_statistics_by_hand(grid):
+    g = {r["max_new_tokens"]: r for r in grouped_stats(grid, ["max_new_tokens"], ["speedup", "acceptance_rate"]).collect()}
+    assert [g[n]["speedup_mean"] for n in GRID] == pytest.approx([0.9, 0.975, 0.75])
+    assert g[128]["speedup_std"] == pytest.approx((0.2 / 3) ** 0.5)
+    assert g[128]["speedup_median"] == pytest.approx(0.9) and g[512]["acceptance_rate_median"] == pytest.approx(0.4)
+    r = {x["max_new_tokens"]: x for x in reliability(grid, ["max_new_tokens"], "speedup").collect()}
+    assert [r[n]["n_above"] for n in GRID] == [1, 2, 0] and r[256]["max"] == 1.4
+
+
+def test_grid_fit_deltas_and_best_by_hand(grid):
+    assert linear_fit(grid, "speedup", "acceptance_rate").collect()[0]["corr"] == pytest.approx(1.0)
+    f = linear_fit(grid, "speedup", F.lit(1.0) + F.col("acceptance_rate"), at=2.0).collect()[0]
+    assert (f["n"], f["slope"], f["intercept"]) == (12, pytest.approx(2.0), pytest.approx(-2.0))
+    d = matched_deltas(grid, ["gamma", "runtime_temperature"], "max_new_tokens", 128, [256, 512], ["speedup"])
+    s = {r["versus"]: r for r in delta_summary(d, ["gamma", "runtime_temperature"], ["speedup"], [256, 512]).collect()}
+    assert (s["256"]["mean_delta"], s["256"]["median_delta"], s["256"]["frac_negative"]) == (pytest.approx(0.075), pytest.approx(0.1), 0.25)
+    assert (s["512"]["mean_delta"], s["512"]["median_delta"], s["512"]["frac_negative"]) == (pytest.approx(-0.15), pytest.approx(-0.15), 1.0)
+    best = {r["max_new_tokens"]: r for r in grid_argmax(grid, ["max_new_tokens"], "speedup", ["gamma", "runtime_temperature"]).collect()}
+    assert {n: (b["gamma"], b["runtime_temperature"], b["speedup"]) for n, b in best.items()} == {128: (1, 0.0, 1.2), 256: (1, 0.0, 1.4), 512: (1, 0.0, 1.0)}
+    cells = unique_cells(grid.filter("max_new_tokens = 256"), ["gamma", "runtime_temperature"], ["speedup"])
+    pivot = {r["gamma"]: (r["a"], r["b"]) for r in pivot_grid(cells, "gamma", "runtime_temperature", "speedup", [0.0, 1.0], ["a", "b"]).collect()}
+    assert pivot == {1: (1.4, 0.9), 2: (1.1, 0.5)}
