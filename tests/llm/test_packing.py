@@ -42,7 +42,7 @@ def plain_rule(lengths, capacity):
             gaps = [capacity - sum(b) - (size if k == i else 0) for k, b in enumerate(bins)]
             gaps += [capacity - size] if i == len(bins) else []
             return sum(gaps.count(g) ** 2 for g in set(gaps) if g)
-        choice = min([(after(i), capacity - sum(b), i) for i, b in enumerate(bins) if sum(b) + size <= capacity] + [(after(len(bins)), capacity + 1, len(bins))])
+        choice = min([(after(i), capacity - sum(b), i) for i, b in enumerate(bins) if sum(b) + size <= capacity], default=(0, 0, len(bins)))
         if choice[2] == len(bins):
             bins.append([])
         bins[choice[2]].append(size)
