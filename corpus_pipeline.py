@@ -21,15 +21,16 @@ from sparkdraft.llm.store import stored
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told, by prototypes learned from their
     labels; a text that is null or has no letter is rejected."""
-    langs, matrix = prototypes(docs)
-    found = identify(spark, docs, langs, matrix, docs.columns)
-    return found.filter(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    langs, matrix = prototypes(docs.select("lang", "text"))
+    # The row travels as one struct, so that no column name can clash.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return identify(spark, packed, langs, matrix, ["row"]).filter(F.col("lang_pred") != UNDETERMINED).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines of recurring templates; n_chars follows the text."""
-    found = drop_recurring_lines(spark, docs)
-    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    found = drop_recurring_lines(spark, docs, counts=False)
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,27 +42,28 @@ def _constant(tokens: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """With _k1, the text, and _k2, the text and the id."""
-    text = F.col(text_col).cast("string")
-    return docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(1), F.col(id_col), text)})
+    """row (the whole row, so that no column name can clash), id, text, _k1
+    (the text) and _k2 (the text and the id)."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return packed.withColumns({"_k1": F.xxhash64("text"), "_k2": F.xxhash64(F.lit(1), "id", "text")})
 
 
-def _lines(keyed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _lines(keyed: DataFrame) -> DataFrame:
     """One narrow row per line that is not blank: leaf and hash, whether it can be a template, where it stands."""
-    at = keyed.select(F.col(id_col).alias("id"), "_k1", "_k2", F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("pos", "line"))
+    at = keyed.select("id", "_k1", "_k2", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     tokens = at.select("id", "_k1", "_k2", "pos", _tokens(F.col("line")).alias("tokens")).filter(F.col("tokens")[0] != "")
     return tokens.select("id", "_k1", "_k2", "pos", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"), F.xxhash64("tokens").alias("h"), _constant(F.col("tokens")).alias("constant"))
 
 
-def _templates(keyed: DataFrame, lines: DataFrame, texts: DataFrame, id_col: str, text_col: str, min_docs: int, spark: SparkSession) -> DataFrame:
+def _templates(spark: SparkSession, keyed: DataFrame, lines: DataFrame, texts: DataFrame, min_docs: int) -> DataFrame:
     """(leaf, h, template) for lines in leaves where several lines can share one."""
     counted = texts.groupBy("leaf", "h").agg(F.count("*").alias("n"))
     busy = counted.groupBy("leaf").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.min("n").alias("least")).filter((F.col("all") >= min_docs) & (F.col("kinds") > 1) & (F.col("least") < min_docs)).select("leaf")
     # One line of each kind is fetched from its text.
     shown = lines.join(busy, "leaf", "left_semi").groupBy("leaf", "h").agg(F.min(F.struct("_k1", "_k2", "pos")).alias("one"), F.countDistinct("_k1").alias("n"))
     wanted = shown.groupBy("one._k1", "one._k2").agg(F.collect_list(F.struct("one.pos", "leaf", "h", "n")).alias("wanted"))
-    one_each = keyed.select("_k1", "_k2", F.col(text_col).cast("string").alias("_text")).join(wanted, ["_k1", "_k2"])
-    split = one_each.select(F.split("_text", "\n").alias("all"), "wanted").select("all", F.explode("wanted").alias("w"))
+    one_each = keyed.select("_k1", "_k2", "text").join(wanted, ["_k1", "_k2"])
+    split = one_each.select(F.split("text", "\n").alias("all"), "wanted").select("all", F.explode("wanted").alias("w"))
     kinds = stored(spark, split.select("w.leaf", "w.h", "w.n", _tokens(F.get("all", F.col("w.pos"))).alias("tokens")).dropDuplicates(["leaf", "h"]), "line-kinds")
     placed = kinds.select("leaf", "h", "n", F.posexplode("tokens").alias("place", "token"))
     fixed = placed.filter(F.col("token") != FIELD).groupBy("leaf", "place", "token").agg(F.sum("n").alias("in")).filter(F.col("in") >= min_docs).select("leaf", "place", "token", F.lit(True).alias("fixed"))
@@ -75,27 +76,27 @@ def _templates(keyed: DataFrame, lines: DataFrame, texts: DataFrame, id_col: str
     return named.filter(_constant(F.col("t"))).select("leaf", "h", F.xxhash64("t").alias("template"))
 
 
-def drop_recurring_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """The columns of ``docs``, the text without the dropped lines, and
-    n_lines and n_dropped."""
-    own = docs.columns
+def drop_recurring_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, counts: bool = True) -> DataFrame:
+    """The columns of ``docs``, the text without the dropped lines, and with
+    ``counts`` n_lines and n_dropped."""
     keyed = _keyed(docs, id_col, text_col)
-    lines = stored(spark, _lines(keyed, id_col, text_col), "lines")
+    lines = stored(spark, _lines(keyed), "lines")
     first = F.struct(F.col("id").isNull().alias("no"), "id", "pos", "_k1", "_k2")
     texts = stored(spark, lines.groupBy("leaf", "h", "_k1").agg(F.min(first).alias("first"), F.first("constant").alias("constant")), "line-texts")
-    templates = stored(spark, _templates(keyed, lines, texts, id_col, text_col, min_docs, spark), "templates")
+    templates = stored(spark, _templates(spark, keyed, lines, texts, min_docs), "templates")
     named = lambda d: d.join(templates, ["leaf", "h"], "left").withColumn("template", F.coalesce("template", F.when(F.col("constant"), F.col("h")))).filter("template is not null")
     recurring = stored(spark, named(texts).groupBy("leaf", "template").agg(F.countDistinct("_k1").alias("n"), F.min("first").alias("kept")).filter(F.col("n") >= min_docs).select("leaf", "template", "kept"), "recurring")
     dropped = named(lines).join(recurring, ["leaf", "template"]).filter((F.col("kept._k2") != F.col("_k2")) | (F.col("kept.pos") != F.col("pos")))
-    by_row = dropped.groupBy("_k1", "_k2").agg(F.collect_set("pos").alias("_dropped"))
-    whole = F.split(F.col(f"`{text_col}`").cast("string"), "\n")
+    by_row = dropped.groupBy("_k1", "_k2").agg(F.collect_set("pos").alias("dropped"))
     joined = keyed.join(by_row, ["_k1", "_k2"], "left")
-    kept = F.when(F.col("_dropped").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.filter(whole, lambda x, i: ~F.array_contains(F.col("_dropped"), i)), "\n"))
-    return joined.select(
-        *[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in own],
-        F.when(F.col(f"`{text_col}`").isNull(), F.lit(0)).otherwise(F.size(whole)).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("_dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
-    )
+    whole = F.split("text", "\n")
+    kept = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(F.filter(whole, lambda x, i: ~F.array_contains(F.col("dropped"), i)), "\n"))
+    own = [kept.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    added = [
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(whole)).cast("bigint").alias("n_lines"),
+        F.coalesce(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
+    ]
+    return joined.select(*own, *(added if counts else []))
 
 
 def oracle_sql(min_docs: int = MIN_DOCS) -> str:

@@ -176,7 +176,7 @@ def factors(runs: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
 def without_repeats(spark: SparkSession, docs: DataFrame, keep: list[str], text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """The ``keep`` columns with n_words, spans (first word, words) of the duplicate
     factors, n_removed and kept, the words left joined by one space."""
-    keyed = _keyed(docs, text_col)
+    keyed = _keyed(docs.select(*dict.fromkeys([*keep, text_col])), text_col)
     runs = repeated_windows(spark, keyed, window, anchor).groupBy("_k1", "_k2").agg(F.collect_set(F.struct("i0", "i1")).alias("_runs"))
     joined = keyed.join(runs, ["_k1", "_k2"], "left").select(*keep, "_text", "_runs")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2])

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sparkdraft.llm.components import connected
 from sparkdraft.llm.store import stored
@@ -241,13 +241,12 @@ def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
 def one_of_each_group(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` with one document of each group: the smallest id
     (null last), then the smallest row hash; of identical rows one stays."""
-    own = docs.columns
-    hashed = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
-    keyed = docs.withColumns({"_k1": F.xxhash64(*hashed), "_k2": F.xxhash64(F.lit(1), *hashed)})
-    table = stored(spark, with_fingerprint(keyed, [id_col, "_k1", "_k2"], text_col, width), "simhash")
+    # The row travels as one struct, so that no column name can clash.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    row = F.to_json("row") if "map<" in packed.schema["row"].dataType.simpleString() else F.col("row")
+    keyed = packed.withColumns({"k1": F.xxhash64(row), "k2": F.xxhash64(F.lit(1), row)})
+    table = stored(spark, with_fingerprint(keyed, ["id", "k1", "k2"], "text", width), "simhash")
     roots = fingerprint_roots(spark, table, max_bits)
-    kept = table.join(roots, "fp").groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), "_k1", "_k2")).alias("r")).select("r._k1", "r._k2")
-    from pyspark.sql import Window
-
-    once = Window.partitionBy("_k1", "_k2").orderBy("_k1")
-    return keyed.join(kept, ["_k1", "_k2"], "left_semi").withColumn("_n", F.row_number().over(once)).filter("_n = 1").select(*[F.col(f"`{c}`") for c in own])
+    kept = table.join(roots, "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "k1", "k2")).alias("r")).select("r.k1", "r.k2")
+    once = Window.partitionBy("k1", "k2").orderBy("k1")
+    return keyed.join(kept, ["k1", "k2"], "left_semi").withColumn("n", F.row_number().over(once)).filter("n = 1").select("row.*")

@@ -53,6 +53,22 @@ def test_odd_rows_pass_through_every_stage(spark):
             assert sorted((r[0] for r in out.collect()), key=repr) == sorted([None, 5, 5, 6], key=repr)
 
 
+CLASHING = ["lang_pred", "score", "row", "id", "_k1", "_k2", "k1", "k2", "n", "n_lines", "n_dropped", "dropped", "fp", "root", "leaf", "h", "pos", "line", "_text", "_pid", "_shard", "_bin", "piece", "start", "length", "item_id", "edits"]
+
+
+def test_clashing_columns_pass_through_every_stage(spark):
+    text = "plain words stand here and there in a row\nAll rights reserved."
+    rows = [(i, f"{text} number {'abcdefghijklmnop'[i] * 3}\nAll rights reserved.", "en", "s", 9, *[str(i)] * len(CLASHING)) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING))
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, SF_SMALL)
+        if name != "best_fit_packing":
+            assert out.columns == docs.columns, name
+            assert all(str(r["doc_id"]) == r[c] for r in out.collect() for c in CLASHING), name
+        else:
+            assert out.count() == 12
+
+
 def test_registry():
     import __spark_entry__ as entry
 
