@@ -522,20 +522,29 @@ def derived_run_metrics(acceptance: str | Column, gamma: str | Column, accepted:
 
 
 def cache_state(manifests: DataFrame, counts: DataFrame, expected_model: str,
-                splits: Sequence[str] = ("train", "val")) -> DataFrame:
-    """Coherence of a target-generated cache.
+                splits: Sequence[str] = ("train", "val"), cache_col: str | None = None) -> DataFrame:
+    """Coherence of target-generated caches.
 
     ``manifests``: (split, target_model) rows found; ``counts``: (split,
-    n_rows) of the cached data. State: 'absent' when nothing exists,
-    'mismatch' when a manifest names another target model, 'partial' when
-    a split or its manifest is missing or empty, else 'reuse'. One row.
+    n_rows) of the cached data; with ``cache_col`` both also name their cache and
+    the result has one row per cache, else one row in all. State: 'absent' when
+    nothing exists, 'mismatch' when a manifest names another target model,
+    'partial' when a split or its manifest is missing or empty, else 'reuse'.
     """
-    want = manifests.sparkSession.createDataFrame([(x,) for x in splits], "split string")
-    j = F.broadcast(want).join(manifests, "split", "left").join(counts, "split", "left")
-    agg = j.agg(
-        F.count_if(F.col("target_model").isNotNull() | (F.coalesce("n_rows", F.lit(0)) > 0)).alias("n_present"),
-        F.count_if(F.col("target_model").isNotNull() & (F.col("target_model") != expected_model)).alias("n_mismatch"),
-        F.count_if(F.col("target_model").isNull() | (F.coalesce("n_rows", F.lit(0)) <= 0)).alias("n_incomplete"),
+    keys = [cache_col] if cache_col else []
+    want = F.array(*[F.lit(x) for x in splits])
+    model = manifests.filter(F.col("split").isin(*splits)).select(*keys, "split", "target_model", F.lit(None).cast("long").alias("n_rows"))
+    rows = counts.filter(F.col("split").isin(*splits)).select(*keys, "split", F.lit(None).cast("string").alias("target_model"), F.col("n_rows").cast("long").alias("n_rows"))
+    both = model.unionByName(rows).groupBy(*keys, "split").agg(
+        F.bool_or(F.col("target_model").isNotNull()).alias("named"),
+        F.bool_or(F.col("target_model") != expected_model).alias("other"),
+        (F.coalesce(F.sum("n_rows"), F.lit(0)) > 0).alias("filled"),
+    )
+    named, other, filled = (F.coalesce(c, F.lit(False)) for c in ("named", "other", "filled"))
+    agg = both.groupBy(*keys).agg(
+        F.count_if(named | filled).alias("n_present"),
+        F.count_if(other).alias("n_mismatch"),
+        (F.size(want) - F.count_if(named & filled)).alias("n_incomplete"),
     )
     state = (
         F.when(F.col("n_present") == 0, "absent")
@@ -543,7 +552,7 @@ def cache_state(manifests: DataFrame, counts: DataFrame, expected_model: str,
         .when(F.col("n_incomplete") > 0, "partial")
         .otherwise("reuse")
     )
-    return agg.select(state.alias("state"), "n_present", "n_mismatch", "n_incomplete")
+    return agg.select(*keys, state.alias("state"), "n_present", "n_mismatch", "n_incomplete")
 
 
 def param_grid(spark, **axes: Sequence) -> DataFrame:

@@ -494,3 +494,26 @@ def q_sweep_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sweep_table(records, statuses, flatten_summary(docs, names, keep=("summary_path",)), EVAL_CONFIG, names)
     assert out.columns[: len(SWEEP_CSV_COLUMNS)] == SWEEP_CSV_COLUMNS
     return out
+
+
+CACHE_STATES_SQL = """
+WITH m AS (SELECT s_suppkey AS cache, unnest(['train', 'val']) AS split, s_suppkey AS k FROM supplier),
+f AS (SELECT cache, split, k % 4 <> 0 AND NOT (k % 4 = 2 AND split = 'val') AS named, k % 4 = 1 AND split = 'train' AS other, k % 4 <> 0 AND NOT (k % 8 = 6 AND split = 'train') AS filled FROM m),
+g AS (SELECT cache, count(*) FILTER (WHERE named OR filled) AS n_present, count(*) FILTER (WHERE other) AS n_mismatch, 2 - count(*) FILTER (WHERE named AND filled) AS n_incomplete FROM f GROUP BY cache)
+SELECT cache, CASE WHEN n_present = 0 THEN 'absent' WHEN n_mismatch > 0 THEN 'mismatch' WHEN n_incomplete > 0 THEN 'partial' ELSE 'reuse' END AS state,
+       n_present, n_mismatch, CAST(n_incomplete AS BIGINT) AS n_incomplete FROM g
+"""
+
+
+@register("cache_states", CACHE_STATES_SQL)
+def q_cache_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J12 over many caches. Stand-in: a supplier is a cache with a train and a
+    val split; by its key a manifest is missing, names another model, or the
+    data of a split is empty."""
+    from sparkdraft.operators.sweeps import cache_state
+
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cache"), F.explode(F.array(F.lit("train"), F.lit("val"))).alias("split"))
+    k = F.col("cache") % 4
+    manifest = F.when((k != 0) & ~((k == 2) & (F.col("split") == "val")), F.when((k == 1) & (F.col("split") == "train"), "other-model").otherwise("target-8b"))
+    rows = F.when((k != 0) & ~((F.col("cache") % 8 == 6) & (F.col("split") == "train")), F.lit(100)).otherwise(F.lit(0))
+    return cache_state(s.select("cache", "split", manifest.alias("target_model")), s.select("cache", "split", rows.alias("n_rows")), "target-8b", cache_col="cache")
