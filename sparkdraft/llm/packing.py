@@ -28,18 +28,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sparkdraft.llm.store import stored, worker_cache
-from sparkdraft.llm.words import string_buffers, text_chunks
+from sparkdraft.llm.words import _mix, _powers, string_buffers, text_chunks
 
 CAPACITY = 1024
 END_ID = 2
 #: Pieces that one task packs; more pieces are dealt over more tasks.
 SHARD_PIECES = 200_000
-#: Text parts in each generation of a worker's memory.
-_MEMORY = 1_200_000
+#: Distinct text parts that a worker remembers.
+_PARTS = 2_000_000
+_PART_BASE = 0xC6BC279692B5C323
+#: Bytes of a long text that are tokenized at a time.
+_STRETCH = 1 << 20
+_WORD_END = re.compile(rb"[^ \t-\r](?=[ \t-\r])")
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: ASCII punctuation but for the apostrophe, which can begin a contraction.
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _OTHER_SCRIPTS = "\u0250"
-_BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 
 
 def load_tokenizer(path: str):
@@ -62,110 +66,160 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
-class PartMemory:
-    """Ids of text parts seen lately, as bytes; each part stands after ``prefix``.
+class PartTable:
+    """Ids of text parts by their hash, in flat arrays with open addressing.
 
-    Two generations of bounded size: a part that is still used moves to the
-    younger one, the older is dropped when the younger is full.
+    A part is a run of white space and the word after it. It starts anew
+    beyond ``_PARTS`` parts.
     """
 
-    def __init__(self, tokenizer, prefix: str):
-        self.tokenizer, self.prefix, self.young, self.old, self.tails = tokenizer, prefix, {}, {}, {}
-        self.model, self.letters = tokenizer.model, _byte_letters()
-        newline = self._ids(["\n"], "")[0]
-        self.newline = int(np.frombuffer(newline, "<u4")[0]) if len(newline) == 4 else None
-
-    def _ids(self, parts: list[str], prefix: str) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast([prefix + p for p in parts], add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in encoded]
-
-    def _ids_of_words(self, words: list[str]) -> list[bytes]:
-        """The same for parts without a newline or outer white space: one call
-        for all, on lines, as a newline between two words is an id of its own."""
-        ids = np.asarray(self.tokenizer.encode("\n".join([self.prefix + w for w in words]), add_special_tokens=False).ids, dtype="<u4")
-        ends = np.append(np.flatnonzero(ids == self.newline), len(ids))
-        if self.newline is None or len(ends) != len(words):
-            return self._ids(words, self.prefix)
-        raw, ends = ids.tobytes(), (4 * ends).tolist()
-        return [raw[x:y] for x, y in zip([0, *[e + 4 for e in ends[:-1]]], ends, strict=True)]
-
-    def _ids_of_letters(self, word: str) -> bytes:
-        """The same for a word of letters: one part for the model itself, which
-        takes bytes written as letters."""
-        ids = [t.id for t in self.model.tokenize((self.prefix + word).encode().decode("latin-1").translate(self.letters))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _tail(self, tail: str) -> bytes:
-        if tail not in self.tails:
-            if len(self.tails) > 10_000:
-                self.tails.clear()
-            self.tails[tail] = self._ids([tail], "")[0]
-        return self.tails[tail]
-
-    def add(self, parts: set[str]) -> None:
-        """Makes every part known. A word and the punctuation after it are
-        tokenized apart, as the tokenizer itself cuts there."""
-        young, old = self.young, self.old
-        if len(young) > _MEMORY:
-            young, old = self.young, self.old = {}, young
-        missing = parts.difference(young)
-        moved = [p for p in missing if p in old]
-        young.update([(p, old[p]) for p in moved])
-        missing.difference_update(moved)
-        units, whole = set(), []
-        for p in missing:
-            stem = p.rstrip(_PUNCTUATION)
-            if len(stem) < len(p) and stem[-1:].isalpha():
-                whole.append((p, stem))
-                if stem not in young:
-                    if stem in old:
-                        young[stem] = old[stem]
-                    else:
-                        units.add(stem)
-            else:
-                units.add(p)
-        words = [u for u in units if u.isalpha() and max(u) < _OTHER_SCRIPTS]
-        young.update([(u, self._ids_of_letters(u)) for u in words])
-        units.difference_update(words)
-        words = [u for u in units if u and "\n" not in u and not u[0].isspace() and not u[-1].isspace()]
-        for at in range(0, len(words), 1000):
-            young.update(zip(words[at : at + 1000], self._ids_of_words(words[at : at + 1000]), strict=True))
-        units.difference_update(words)
-        if units:
-            young.update(zip(units, self._ids(list(units), self.prefix), strict=True))
-        for p, stem in whole:
-            young[p] = young[stem] + self._tail(p[len(stem) :])
+    def __init__(self):
+        self.n, self.used = 0, 0
+        self.slots = np.zeros(1 << 16, dtype=np.int32)  # number of the part + 1
+        self.keys, self.start, self.size = np.zeros(1 << 15, np.uint64), np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32)
+        self.ids = np.zeros(1 << 17, dtype=np.uint32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each part, -1 if unknown."""
+        mask = len(self.slots) - 1
+        slot = (keys & np.uint64(mask)).astype(np.int64)
+        got = self.slots[slot] - 1
+        out = np.where((got >= 0) & (self.keys[got] == keys), got, -1)
+        left = np.flatnonzero((out < 0) & (got >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & mask
+            got = self.slots[slot[left]] - 1
+            hit = (got >= 0) & (self.keys[got] == keys[left])
+            out[left[hit]] = got[hit]
+            left = left[~hit & (got >= 0)]
+        return out
+
+    def _place(self, numbers: np.ndarray) -> None:
+        mask = len(self.slots) - 1
+        slot = (self.keys[numbers] & np.uint64(mask)).astype(np.int64)
+        left = np.arange(len(numbers))
+        while len(left):
+            free = left[self.slots[slot[left]] == 0]
+            self.slots[slot[free]] = numbers[free] + 1  # of several the last stays
+            left = left[self.slots[slot[left]] != numbers[left] + 1]
+            slot[left] = (slot[left] + 1) & mask
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        """New keys, each once, with their ids."""
+        sizes = np.array([len(x) // 4 for x in ids], dtype=np.int32)
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        n, used = self.n + len(keys), self.used + len(flat)
+        for name, least in (("keys", n), ("start", n), ("size", n), ("ids", used)):
+            old = getattr(self, name)
+            if len(old) < least:
+                setattr(self, name, np.concatenate([old, np.zeros(max(len(old), least - len(old)), old.dtype)]))
+        self.keys[self.n : n], self.size[self.n : n] = keys, sizes
+        self.start[self.n : n] = self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used : used] = flat
+        first, self.n, self.used = self.n, n, used
+        if 2 * n > len(self.slots):
+            self.slots = np.zeros(1 << (4 * n).bit_length(), dtype=np.int32)
+            first = 0
+        self._place(np.arange(first, n))
 
 
 class TextEncoder:
     """Ids of whole texts as little-endian 32-bit integers.
 
-    A byte-level BPE cuts a text before every space that follows a
-    non-space, and around a newline between two non-spaces, so the parts
-    are looked up one by one.
+    A byte-level BPE cuts a text wherever white space follows something else,
+    so parts can be tokenized one by one; each distinct part is tokenized once
+    and told by a 64-bit hash. Texts with white space beyond ASCII, which the
+    hash does not see as such, are tokenized as they are.
     """
 
     def __init__(self, tokenizer):
-        self.first, self.rest = PartMemory(tokenizer, ""), PartMemory(tokenizer, " ")
-        self.newline = self.first._ids(["\n"], "")[0]
+        self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
+        self.table, self.tails = PartTable(), {}
+        self.newline = self._whole("\n")
+        self.values = np.random.RandomState(20240301).randint(1, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        self.white = np.zeros(256, dtype=bool)
+        self.white[[0x20, *range(0x09, 0x0E)]] = True
+        self.suspect = np.zeros(256, dtype=bool)  # bytes that white space beyond ASCII begins with
+        self.suspect[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """A word of letters, with the usual space before and punctuation after
+        it, goes to the model itself, which takes bytes written as letters."""
+        body = part.lstrip(" \n")
+        run = part[: len(part) - len(body)]
+        stem = body.rstrip(_PUNCTUATION)
+        if len(run) > 1 or not stem.isalpha() or max(stem) >= _OTHER_SCRIPTS:
+            return self._whole(part)
+        ids = [t.id for t in self.model.tokenize(((" " if run == " " else "") + stem).encode().decode("latin-1").translate(self.letters))]
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(stem) < len(body):
+            tail = body[len(stem) :]
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails.clear()
+                self.tails[tail] = self._whole(tail)
+            found += self.tails[tail]
+        return self.newline + found if run == "\n" else found
+
+    def _parts(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, start and end of the parts of ``data``; no part crosses a cut (the end is one)."""
+        word = ~self.white[data]
+        ends = word.copy()
+        ends[:-1] &= ~word[1:]
+        ends[cuts[cuts > 0] - 1] = True  # white space at the end of a text is a part, too
+        ends = np.flatnonzero(ends) + 1
+        starts = np.concatenate(([0], ends[:-1]))
+        power, inverse = _powers(_PART_BASE, len(data) + 1)
+        prefix = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(self.values[data] * power[: len(data)], out=prefix[1:])
+        return _mix((prefix[ends] - prefix[starts]) * inverse[starts]), starts, ends
+
+    def _regular(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Texts one after another, cut at their offsets."""
+        if not len(data):
+            return [b""] * (len(offsets) - 1)
+        keys, starts, ends = self._parts(data, offsets[1:])
+        if self.table.n > _PARTS:
+            self.table = PartTable()
+        at = self.table.find(keys)
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            new, first = np.unique(keys[unknown], return_index=True)
+            raw = data.tobytes()
+            spans = zip(starts[unknown[first]].tolist(), ends[unknown[first]].tolist(), strict=True)
+            self.table.add(new, [self._part(raw[a:b].decode("utf-8", "surrogatepass")) for a, b in spans])
+            at[unknown] = self.table.find(keys[unknown])
+        sizes = self.table.size[at].astype(np.int64)
+        ends_of = np.cumsum(sizes)
+        flat = self.table.ids[np.repeat(self.table.start[at] - ends_of + sizes, sizes) + np.arange(ends_of[-1])].astype("<u4").tobytes()
+        until = np.concatenate(([0], ends_of))[np.searchsorted(starts, offsets, side="left")] * 4
+        return [flat[a:b] for a, b in itertools.pairwise(until.tolist())]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split, heads, rest = [], set(), set()
-        for text in texts:
-            # Only single spaces and newlines between words, or white space in a row or at an end.
-            if len(text.split()) != text.count(" ") + text.count("\n") + 1:
-                parts = _BEFORE_SPACE.split(text)
-                lines = [[parts[0], *[p[1:] for p in parts[1:]]]]
-            else:
-                lines = [line.split(" ") for line in text.split("\n")]
-            split.append(lines)
-            for line in lines:
-                heads.add(line[0])
-                rest.update(line[1:])
-        self.first.add(heads)
-        self.rest.add(rest)
-        first, after = self.first.young.__getitem__, self.rest.young.__getitem__
-        return [self.newline.join([first(words[0]) + b"".join(map(after, words[1:])) for words in lines]) for lines in split]
+        """Ids of each text; a text longer than some megabytes in stretches that end with a word."""
+        out: list[bytes | None] = [None] * len(texts)
+        raw, owner = [], []
+        for i, text in enumerate(texts):
+            data = text.encode("utf-8", "surrogatepass")
+            if self.suspect[np.frombuffer(data, np.uint8)].any() and _WIDE_SPACE.search(text):
+                out[i] = self._whole(text)
+                continue
+            at = 0
+            while len(data) - at > _STRETCH and (m := _WORD_END.search(data, at + _STRETCH)):
+                raw.append(data[at : m.start() + 1])
+                owner.append(i)
+                at = m.start() + 1
+            raw.append(data[at:])
+            owner.append(i)
+        for lo, hi in text_chunks(np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)):
+            part = raw[lo:hi]
+            offsets = np.concatenate(([0], np.cumsum([len(r) for r in part]))).astype(np.int64)
+            for i, ids in zip(owner[lo:hi], self._regular(np.frombuffer(b"".join(part), np.uint8), offsets), strict=True):
+                out[i] = ids if out[i] is None else out[i] + ids
+        return out
 
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
@@ -229,15 +283,15 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def _pack_shards(items: DataFrame, columns: str, capacity: int, shards: int, key: str) -> DataFrame:
-    """Adds bin_no and place to the items; each shard is packed by one task, largest pieces first."""
+    """Adds _bin and _place to the items; each shard is packed by one task, largest pieces first."""
     own = [c.strip().split(" ")[0] for c in columns.split(",")]
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", key], ascending=[False, True], kind="stable")
         b, place = sum_of_squares(pdf["length"].to_numpy(), capacity)
-        return pdf[own].assign(bin_no=b * shards + pdf["shard"].iloc[0], place=place)
+        return pdf[own].assign(_bin=b * shards + pdf["_shard"].iloc[0], _place=place)
 
-    return items.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), F.col(key)), F.lit(shards))).groupBy("shard").applyInPandas(pack, f"{columns}, bin_no bigint, place bigint")
+    return items.withColumn("_shard", F.pmod(F.xxhash64(F.lit("shard"), F.col(key)), F.lit(shards))).groupBy("_shard").applyInPandas(pack, f"{columns}, _bin bigint, _place bigint")
 
 
 def pack_pieces(spark, pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
@@ -259,18 +313,18 @@ def pack_pieces(spark, pieces: DataFrame, capacity: int = CAPACITY, shard_pieces
     packed = _pack_shards(part, names, capacity, shards, "_pid")
     if shards > 1:
         packed = stored(spark, packed, "packed")
-        # (bin_no -> sequence, base) is refined round by round.
-        bins = packed.groupBy("bin_no").agg(F.sum("length").alias("length")).withColumn("top", F.col("bin_no")).withColumn("base", F.lit(0).cast("bigint"))
+        # (_bin -> sequence, base) is refined round by round.
+        bins = packed.groupBy("_bin").agg(F.sum("length").alias("length")).withColumn("top", F.col("_bin")).withColumn("base", F.lit(0).cast("bigint"))
         while shards > 1:
             shards = max(1, math.ceil(shards / 8))
             tops = bins.groupBy("top").agg(F.sum("length").alias("length")).filter(F.col("length") < capacity)
             merged = _pack_shards(tops, "top bigint, length bigint", capacity, shards, "top")
             # The first of a merged bin lends it its number.
-            named = merged.groupBy("bin_no").agg(F.min_by("top", "place").alias("to"))
-            step = merged.join(named, "bin_no").select("top", "to", F.col("place").alias("shift"))
-            bins = stored(spark, bins.join(step, "top", "left").select("bin_no", "length", F.coalesce("to", "top").alias("top"), (F.col("base") + F.coalesce("shift", F.lit(0))).alias("base")), "bins")
-        packed = packed.join(bins.select("bin_no", "top", "base"), "bin_no").withColumn("place", F.col("place") + F.col("base")).withColumn("bin_no", F.col("top"))
-    return packed.select(*own, F.col("bin_no").alias("sequence_id"), F.col("place").alias("offset")).unionByName(full)
+            named = merged.groupBy("_bin").agg(F.min_by("top", "_place").alias("to"))
+            step = merged.join(named, "_bin").select("top", "to", F.col("_place").alias("shift"))
+            bins = stored(spark, bins.join(step, "top", "left").select("_bin", "length", F.coalesce("to", "top").alias("top"), (F.col("base") + F.coalesce("shift", F.lit(0))).alias("base")), "bins")
+        packed = packed.join(bins.select("_bin", "top", "base"), "_bin").withColumn("_place", F.col("_place") + F.col("base")).withColumn("_bin", F.col("top"))
+    return packed.select(*own, F.col("_bin").alias("sequence_id"), F.col("_place").alias("offset")).unionByName(full)
 
 
 def pack_documents(spark, docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES) -> DataFrame:

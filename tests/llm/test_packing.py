@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from sparkdraft.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = ["", " ", "a  b", " a b", "a b ", "a \n b", "x   y z", "a\t b  \n\n c", "<|endoftext|> it's we 'll a'll", "don't, isn't. x.'s", "e　f  g", "É é, ñ! ß", "a\x1cb c", "日本 語。x", "w1 2w,,, (y) [z]_ __q"]
+TEXTS = ["", " ", "a  b", " a b", "a b ", "a \n b", "x   y z", "a\t b  \n\n c", "<|endoftext|> it's we 'll a'll", "don't, isn't. x.'s", "e　f  g", "É é, ñ! ß", "a\x1cb c", "日本 語。x", "w1 2w,,, (y) [z]_ __q", "e\u3000\n g\u00a0 h", "\x85 a\x85", "a\n\n\nb \n c\t\td\r\ne", "\n", "a\x0bb\x0c c", "it's\n'll 'x", "x!'s y'"]
 
 
 def reference():
@@ -26,12 +26,21 @@ def test_ids_are_those_of_the_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
-def test_memory_turns_over(monkeypatch):
-    monkeypatch.setattr(packing, "_MEMORY", 5)
+def test_memory_starts_anew_and_grows(monkeypatch):
+    monkeypatch.setattr(packing, "_PARTS", 300)
     t, encoder = reference(), packing.TextEncoder(packing.load_tokenizer(PATH))
-    for k in range(20):
-        text = " ".join(f"word{i}, x{k}" for i in range(k, k + 6))
-        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    for k in range(0, 100_000, 7000):
+        texts = [" ".join(f"word{i}, x{k}\n" for i in range(k, k + n)) for n in (50, 1, 200)] + [" ".join(f"w{i}" for i in range(k, k + 7000))]
+        for text, ids in zip(texts, encoder.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_long_texts_in_stretches(monkeypatch):
+    monkeypatch.setattr(packing, "_STRETCH", 50)
+    t, encoder = reference(), packing.TextEncoder(packing.load_tokenizer(PATH))
+    texts = ["  \n ".join(TEXTS) * 3, "a" * 400 + "  " * 60 + "b c " * 50, " " * 300, "é " * 200]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def plain_rule(lengths, capacity):
