@@ -146,21 +146,35 @@ def eval_losses_from_text(df: DataFrame, key_cols: Sequence[str], text_col: str
     return hits.select(*keys, "line_no", "match_no", F.col("v").cast("double").alias("eval_loss"))
 
 
+def _log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the log files (``\\r`` ends one, too) with their place: file,
+    block of the file, row in the block, part of the row. Files are split
+    like any text input, so a log may be of any length."""
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("value", r"\r+")).alias("part", "line"),
+    )
+    return rows
+
+
 def log_metric_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Every ``'eval_loss': x`` of each log file (read whole), in order.
-    Output: file, line_no, match_no, eval_loss."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return eval_losses_from_text(raw, ["file"])
+    """Every ``'eval_loss': x`` of each log file, in order. Output: file,
+    line_no (of the lines with a loss), match_no, eval_loss."""
+    from sparkdraft.operators.ordering import with_global_index
+
+    lines = _log_lines(spark, path).filter(F.col("line").rlike(EVAL_LOSS))
+    placed = with_global_index(lines, ["file", "block", "row", "part"], "_sd_n")
+    first = placed.groupBy(F.col("file").alias("_sd_file")).agg(F.min("_sd_n").alias("_sd_first"))
+    numbered = placed.join(first, F.col("file") == F.col("_sd_file")).withColumn("line_no", F.col("_sd_n") - F.col("_sd_first"))
+    hits = numbered.select("file", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(EVAL_LOSS), 1)).alias("match_no", "v"))
+    return hits.select("file", "line_no", "match_no", F.col("v").cast("double").alias("eval_loss"))
 
 
 def final_metrics_scan(spark: SparkSession, path: str) -> DataFrame:
     """The last ``acceptance_rate=... speedup=...x tokens/s=...`` line
-    of each log (max_by on the line number)."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = raw.select("file", F.posexplode(F.split("value", r"[\r\n]+")).alias("line_no", "line")).filter(
-        F.col("line").rlike(FINAL_LINE)
-    )
-    last = lines.groupBy("file").agg(F.max_by("line", "line_no").alias("line"))
+    of each log (max_by on its place, combined map-side)."""
+    lines = _log_lines(spark, path).filter(F.col("line").rlike(FINAL_LINE))
+    last = lines.groupBy("file").agg(F.max_by("line", F.struct("block", "row", "part")).alias("line"))
     return last.select(
         "file",
         *[F.regexp_extract("line", FINAL_LINE, i).cast("double").alias(n)

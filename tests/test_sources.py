@@ -134,6 +134,16 @@ def test_log_metric_scan(spark, tmp_dir):
              "acceptance_rate=0.459 avg_accepted_tokens=1.83 speedup=0.50x tokens/s=22.2\n")
     got = [r["eval_loss"] for r in log_metric_scan(spark, p).orderBy("line_no", "match_no").collect()]
     assert got == [0.91, 0.85, 0.80]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:  # the same from many blocks
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        q = os.path.join(tmp_dir, "logs", "long.log")
+        write(q, "".join(f"step {i}\r{{'eval_loss': {i}.5}}\n" for i in range(1000)) + "acceptance_rate=0.1 avg_accepted_tokens=1.0 speedup=9.0x tokens/s=1.0\n" * 2)
+        losses = [r["eval_loss"] for r in log_metric_scan(spark, q).orderBy("line_no", "match_no").collect()]
+        assert losses == [i + 0.5 for i in range(1000)]
+        assert final_metrics_scan(spark, q).collect()[0]["speedup"] == 9.0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     f = final_metrics_scan(spark, p).collect()[0]
     assert (f["acceptance_rate"], f["speedup"], f["tokens_per_second"]) == (0.459, 0.5, 22.2)
 
