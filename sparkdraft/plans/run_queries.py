@@ -517,3 +517,28 @@ def q_cache_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = F.when((k != 0) & ~((k == 2) & (F.col("split") == "val")), F.when((k == 1) & (F.col("split") == "train"), "other-model").otherwise("target-8b"))
     rows = F.when((k != 0) & ~((F.col("cache") % 8 == 6) & (F.col("split") == "train")), F.lit(100)).otherwise(F.lit(0))
     return cache_state(s.select("cache", "split", manifest.alias("target_model")), s.select("cache", "split", rows.alias("n_rows")), "target-8b", cache_col="cache")
+
+
+#: Stand-in for a loss that overflows: every so many steps of the view runs.
+OVERFLOW = 2000
+DIVERGING_BODY = EMA_BODY.replace(
+    CURVE_SQL,
+    f"""raw AS (SELECT event_type AS run, event_id AS step, CASE WHEN event_type = 'view' AND event_id % {OVERFLOW} > {OVERFLOW // 2} THEN 'NaN'::DOUBLE ELSE value END AS loss FROM events),
+ends AS (SELECT run, min(step) AS stop FROM raw WHERE NOT isfinite(loss) GROUP BY run),
+c AS (SELECT raw.* FROM raw LEFT JOIN ends ON raw.run = ends.run WHERE stop IS NULL OR step < stop)""",
+)
+
+
+@register("diverging_curves", f"""WITH {DIVERGING_BODY}
+SELECT raw.run, count(*) AS n_points, CAST(any_value(x.n) AS BIGINT) AS n_before, round(any_value(x.last), {ROUND}) AS last,
+       CASE WHEN bool_or(NOT isfinite(raw.loss)) THEN 'DIVERGED' WHEN any_value(x.last) < arg_min(raw.loss, raw.step) THEN 'OK' ELSE 'STALLED' END AS status
+FROM raw LEFT JOIN (SELECT run, arg_max(ema, step) AS last, count(*) AS n FROM em GROUP BY run) x ON raw.run = x.run GROUP BY raw.run""")
+def q_diverging_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W07 + W08 on curves of which some overflow to NaN: the EMA ends before
+    the first such step, the run is DIVERGED."""
+    bad = (F.col("run") == "view") & (F.col("step") % OVERFLOW > OVERFLOW // 2)
+    c = curves(spark, sf_dir).withColumn("loss", F.when(bad, F.lit(float("nan"))).otherwise(F.col("loss")))
+    smooth = ema(c, ["run"], "step", "loss", BETA)
+    status = convergence_status(c, ["run"], "step", "loss", smooth, "ema")
+    before = smooth.groupBy("run").agg(F.count("*").alias("n_before"))
+    return status.join(before, "run", "left").select("run", "n_points", "n_before", F.round("last", ROUND).alias("last"), "status")
