@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sparkdraft.functions.text import str_to_bool
 from sparkdraft.operators.sweeps import (
+    param_grid,
     best_rows,
     categorical_rank,
     delta_summary,
@@ -399,3 +400,22 @@ def q_str_to_bool_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     txt = F.when(F.col("o_orderstatus") == "F", "yes").when(F.col("o_orderstatus") == "O", " On ").otherwise("no")
     return o.select("o_orderkey", (str_to_bool("o_orderpriority") | str_to_bool(txt)).alias("flag"))
+
+
+PLAN_SQL = f"""WITH {CELLS_SQL},
+g AS (SELECT unnest(generate_series(1, 9)) AS gamma),
+t AS (SELECT unnest(generate_series(0, 12)) AS k),
+n AS (SELECT unnest([128, 256, 512, 1024]) AS max_new_tokens)
+SELECT CAST(g.gamma AS INTEGER) AS gamma, CAST(t.k AS INTEGER) AS temperature_pct, n.max_new_tokens,
+       '{CKPT}_runtime_g' || g.gamma || '_t' || translate(printf('%.2f', t.k / 100.0), '-.', 'mp') || '_max' || n.max_new_tokens AS run
+FROM g, t, n WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.gamma = g.gamma AND c.temperature = t.k / 100.0 AND c.max_new_tokens = n.max_new_tokens)
+"""
+
+
+@register("sweep_plan", PLAN_SQL)
+def q_sweep_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J10 + J03 + P20: the cells of a parameter grid that the sweep has not run yet."""
+    grid = param_grid(spark, gamma=list(range(1, 10)), temperature_pct=list(range(13)), max_new_tokens=[128, 256, 512, 1024])
+    named = grid.withColumn("run", runtime_run_name(F.lit(CKPT), "gamma", number_tag(F.format_number(F.col("temperature_pct") / 100.0, 2)), "max_new_tokens"))
+    done = sweep_rows(spark, sf_dir).select("run")
+    return named.join(done, "run", "left_anti").select("gamma", "temperature_pct", "max_new_tokens", "run")

@@ -201,3 +201,19 @@ def q_chat_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         template=TEST_TEMPLATE,
         max_seq_len=CHAT_MAX_LEN,
     )
+
+
+SHORT_LEN = 160
+TOKENIZE_SHORT_SQL = _tok_sql(FIRST_EXCHANGE_SQL, SHORT_LEN) + """
+SELECT id, CAST(len(ids) AS INTEGER) AS n_tokens, CAST(plen AS INTEGER) AS prompt_len, CAST(rlen AS INTEGER) AS response_len,
+       array_to_string(ids, ',') AS input_ids,
+       CAST(coalesce(list_sum(ids[plen + 1:]), 0) - 100 * plen AS BIGINT) AS label_sum
+FROM ex
+"""
+
+
+@register("tokenize_truncated", TOKENIZE_SHORT_SQL)
+def q_tokenize_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X08 + F03 at a length that cuts most records: what is beyond it goes,
+    and records left without a response token are dropped."""
+    return _summarize(tokenize_records(chat_records(spark, sf_dir).select("id", "prompt_text", "response_text"), max_seq_len=SHORT_LEN))
