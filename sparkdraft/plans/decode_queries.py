@@ -6,7 +6,8 @@ Stand-ins:
   probabilities p_x are fixed integer arithmetic of ``value`` (in cents),
   ``props.k`` and ``event_id``;
   draft tokens, bonus and resample tokens are ids in [0, 50) with EOS 0.
-* timings: ``click`` rows are SD repeats, ``view`` rows vanilla repeats;
+* timings: ``click`` and ``purchase`` rows are SD repeats, all others vanilla
+  repeats;
   seconds = ``value``, tokens = ``props.k``.
 * engine runs: engine = ``event_type``, repeat = the event's date.
 * counters: one metric row per event: run = ``event_type``, counter name
@@ -138,18 +139,18 @@ def q_sd_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "view"))
+    ev = table(spark, sf_dir, "events")
     return ev.select(
         F.col("user_id").alias("prompt"),
-        F.when(F.col("event_type") == "click", "sd").otherwise("vanilla").alias("arm"),
+        F.when(F.col("event_type").isin("click", "purchase"), "sd").otherwise("vanilla").alias("arm"),
         F.col("value").alias("seconds"),
         _k().alias("tokens"),
     )
 
 
 TIMING_SQL = """
-t AS (SELECT user_id AS prompt, CASE WHEN event_type = 'click' THEN 'sd' ELSE 'vanilla' END AS arm, value AS seconds,
-             CAST(json_extract_string(props, '$.k') AS INTEGER) AS tokens FROM events WHERE event_type IN ('click', 'view')),
+t AS (SELECT user_id AS prompt, CASE WHEN event_type IN ('click', 'purchase') THEN 'sd' ELSE 'vanilla' END AS arm, value AS seconds,
+             CAST(json_extract_string(props, '$.k') AS INTEGER) AS tokens FROM events),
 m AS (SELECT prompt, arm, avg(seconds) AS mean_s, CAST(round_even(avg(tokens), 0) AS BIGINT) AS mean_tokens, count(*) AS n_repeats
       FROM t GROUP BY prompt, arm)
 """
