@@ -15,10 +15,14 @@ expressed here as:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkdraft.session import ensure_checkpoint_dir
 
@@ -151,6 +155,11 @@ def reindex_in_place(df: DataFrame, name: str = "idx") -> DataFrame:
     return out.withColumn(name, (F.col("__ord_off") + F.col(_POS)).cast("long")).drop(_PID, _POS, "__ord_off")
 
 
+def _sum_type(kind: T.DataType) -> T.DataType:
+    """Type of a sum: long for integers, double for other numbers."""
+    return T.LongType() if isinstance(kind, T.IntegralType) else T.DoubleType()
+
+
 def grouped_prefix_sums(
     df: DataFrame,
     group_cols: Sequence[str],
@@ -173,17 +182,34 @@ def grouped_prefix_sums(
     group_cols = list(group_cols)
     s = stable_sort(df, [*group_cols, *order_cols]).withColumn(_PID, F.spark_partition_id())
 
-    frame_end = Window.currentRow if inclusive else -1
-    w = (
-        Window.partitionBy(_PID, *group_cols)
-        .orderBy(*order_cols)
-        .rowsBetween(Window.unboundedPreceding, frame_end)
-    )
-    local = s
-    for v in value_cols:
-        local = local.withColumn(
-            "_sd_loc_" + v, F.coalesce(F.sum(v).over(w), F.lit(0).cast(s.schema[v].dataType))
-        )
+    # The partitions are sorted, so one pass over each gives its running sums;
+    # nothing is shuffled or sorted again.
+    added = T.StructType([T.StructField("_sd_loc_" + v, _sum_type(s.schema[v].dataType)) for v in value_cols])
+
+    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carry = None, dict.fromkeys(value_cols, 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = {g: batch.column(batch.schema.get_field_index(g)) for g in [*group_cols, *value_cols]}
+            change = np.zeros(batch.num_rows, dtype=bool)
+            for g in group_cols:
+                codes = columns[g].dictionary_encode(null_encoding="encode").indices.to_numpy()
+                change[1:] |= codes[1:] != codes[:-1]
+            number = pd.Series(np.cumsum(change))
+            if last != tuple(columns[g][0].as_py() for g in group_cols):
+                carry = dict.fromkeys(value_cols, 0)
+            out = batch.columns
+            for v, field in zip(value_cols, added, strict=True):
+                total = pd.Series(columns[v].fill_null(0).to_numpy(zero_copy_only=False)).groupby(number).cumsum()
+                before = total if inclusive else total.groupby(number).shift(1, fill_value=0)
+                before = before.where(number != 0, before + carry[v])
+                carry[v] = total.iloc[-1] + (carry[v] if number.iloc[-1] == 0 else 0)
+                out = [*out, pa.array(before.to_numpy(), pa.int64() if isinstance(field.dataType, T.LongType) else pa.float64())]
+            last = tuple(columns[g][-1].as_py() for g in group_cols)
+            yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names, *added.fieldNames()])
+
+    local = s.mapInArrow(running, T.StructType([*s.schema.fields, *added.fields]))
 
     # Per (partition, group) totals. Only a group that starts a partition
     # can carry rows from earlier partitions, so the relevant totals are

@@ -27,8 +27,10 @@ def flatten_records(recs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in: ``conversations`` turns -> one chat row per conversation
     (P03 table form), positioned by conv_id, then P08."""
-    pairs = first_exchange_turns(table(spark, sf_dir, "conversations"))
-    indexed = with_global_index(pairs, ["conv_id"], "source_index")
+    turns = table(spark, sf_dir, "conversations")
+    # Only the ids are sorted and checkpointed; the texts meet their position by id.
+    position = with_global_index(turns.select("conv_id").distinct(), ["conv_id"], "source_index")
+    indexed = first_exchange_turns(turns).join(position, "conv_id")
     raw = indexed.select(
         F.col("conv_id").alias("conversation_id"),
         F.col("prompt").alias("prompt_text"),

@@ -108,3 +108,14 @@ def test_range_partitions_follow_the_input(spark, monkeypatch, tmp_dir):
     assert 8 < n < 1000  # by the tables read, not by their product
     got = ordering.with_global_index(df, ["id"]).filter("idx <> id").count()
     assert got == 0
+
+
+def test_running_sums_keep_other_columns_exact(spark):
+    rows = [(None if i % 7 == 0 else f"g{i // 40}", i, None if i % 5 == 0 else i, (1 << 60) + i if i % 3 else None, [i, None]) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, step long, v int, big long, xs array<int>").repartition(5)
+    got = {r["step"]: r for r in grouped_prefix_sums(df, ["g"], ["step"], ["v"], inclusive=True, suffix="_up_to").collect()}
+    sums = {}
+    for g, step, v, big, xs in sorted(rows, key=lambda r: r[1]):
+        sums[g] = sums.get(g, 0) + (v or 0)
+        r = got[step]
+        assert (r["g"], r["v"], r["big"], r["xs"], r["v_up_to"]) == (g, v, big, xs, sums[g])
