@@ -247,6 +247,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     keyed = packed.withColumns({"k1": F.xxhash64(row), "k2": F.xxhash64(F.lit(1), row)})
     table = stored(spark, with_fingerprint(keyed, ["id", "k1", "k2"], "text", width), "simhash")
     roots = fingerprint_roots(spark, table, max_bits)
-    kept = table.join(roots, "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "k1", "k2")).alias("r")).select("r.k1", "r.k2")
+    # The copies of a fingerprint become one row before anything meets by it.
+    best = table.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "k1", "k2")).alias("r"))
+    kept = best.join(roots, "fp").groupBy("root").agg(F.min("r").alias("r")).select("r.k1", "r.k2")
     once = Window.partitionBy("k1", "k2").orderBy("k1")
     return keyed.join(kept, ["k1", "k2"], "left_semi").withColumn("n", F.row_number().over(once)).filter("n = 1").select("row.*")
