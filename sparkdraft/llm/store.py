@@ -9,17 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkdraft.session import ensure_checkpoint_dir
 
 
+_WRITTEN: list[str] = []
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
 
     Cuts lineage like ``checkpoint()`` but computes ``df`` once; the files
-    survive a lost executor. Row order is not kept.
+    survive a lost executor. Row order is not kept. ``drop_stored`` deletes
+    the files once the results that read them have been written.
     """
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables that ``stored`` has written in this process; returns how many there were."""
+    hadoop, n = spark.sparkContext._jsc.hadoopConfiguration(), len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+    return n
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker process.
 
