@@ -42,9 +42,10 @@ def _constant(tokens: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row (the whole row, so that no column name can clash), id, text, _k1
+    """row (the other columns, so that no name can clash), id, text, _k1
     (the text) and _k2 (the text and the id)."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    packed = docs.select(F.struct(*others).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return packed.withColumns({"_k1": F.xxhash64("text"), "_k2": F.xxhash64(F.lit(1), "id", "text")})
 
 
@@ -55,12 +56,14 @@ def _lines(keyed: DataFrame) -> DataFrame:
     return tokens.select("id", "_k1", "_k2", "pos", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"), F.xxhash64("tokens").alias("h"), _constant(F.col("tokens")).alias("constant"))
 
 
-def _templates(spark: SparkSession, keyed: DataFrame, lines: DataFrame, texts: DataFrame, min_docs: int) -> DataFrame:
+def _templates(spark: SparkSession, keyed: DataFrame, texts: DataFrame, min_docs: int) -> DataFrame:
     """(leaf, h, template) for lines in leaves where several lines can share one."""
-    counted = texts.groupBy("leaf", "h").agg(F.count("*").alias("n"))
+    # One row per kind of line, combined before the shuffle: a line that stands
+    # in a third of all texts is one row from here on.
+    counted = texts.groupBy("leaf", "h").agg(F.count("*").alias("n"), F.min("first").alias("one"))
     busy = counted.groupBy("leaf").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.min("n").alias("least")).filter((F.col("all") >= min_docs) & (F.col("kinds") > 1) & (F.col("least") < min_docs)).select("leaf")
     # One line of each kind is fetched from its text.
-    shown = lines.join(busy, "leaf", "left_semi").groupBy("leaf", "h").agg(F.min(F.struct("_k1", "_k2", "pos")).alias("one"), F.countDistinct("_k1").alias("n"))
+    shown = counted.join(busy, "leaf", "left_semi")
     wanted = shown.groupBy("one._k1", "one._k2").agg(F.collect_list(F.struct("one.pos", "leaf", "h", "n")).alias("wanted"))
     one_each = keyed.select("_k1", "_k2", "text").join(wanted, ["_k1", "_k2"])
     split = one_each.select(F.split("text", "\n").alias("all"), "wanted").select("all", F.explode("wanted").alias("w"))
@@ -83,7 +86,7 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, id_col: str = "do
     lines = stored(spark, _lines(keyed), "lines")
     first = F.struct(F.col("id").isNull().alias("no"), "id", "pos", "_k1", "_k2")
     texts = stored(spark, lines.groupBy("leaf", "h", "_k1").agg(F.min(first).alias("first"), F.first("constant").alias("constant")), "line-texts")
-    templates = stored(spark, _templates(spark, keyed, lines, texts, min_docs), "templates")
+    templates = stored(spark, _templates(spark, keyed, texts, min_docs), "templates")
     named = lambda d: d.join(templates, ["leaf", "h"], "left").withColumn("template", F.coalesce("template", F.when(F.col("constant"), F.col("h")))).filter("template is not null")
     recurring = stored(spark, named(texts).groupBy("leaf", "template").agg(F.countDistinct("_k1").alias("n"), F.min("first").alias("kept")).filter(F.col("n") >= min_docs).select("leaf", "template", "kept"), "recurring")
     dropped = named(lines).join(recurring, ["leaf", "template"]).filter((F.col("kept._k2") != F.col("_k2")) | (F.col("kept.pos") != F.col("pos")))
