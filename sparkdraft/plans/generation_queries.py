@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdraft.operators.tokens import TEST_TEMPLATE, apply_template, char_token_ids, decode_identity, left_truncate, prompt_budget
+from sparkdraft.operators.tokens import TEST_TEMPLATE, apply_template, char_token_ids, left_truncate, prompt_budget
 from sparkdraft.plans.prep_queries import FIRST_EXCHANGE_SQL, chat_records
 from sparkdraft.plans.registry import register, strip_sql, table
 from sparkdraft.plugins.generation import generate_responses, prompt_echo_generator, rewrite_response
@@ -42,15 +42,17 @@ def q_target_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Template + left truncation + batched generation (mapInPandas,
     records carried with each batch) + P14 rewrite of every chat record."""
     recs = chat_records(spark, sf_dir)
-    ids = char_token_ids(apply_template("prompt_text", TEST_TEMPLATE), "identity")
+    templated = apply_template("prompt_text", TEST_TEMPLATE)
+    ids = char_token_ids(templated, "identity")
     trunc = recs.withColumn("_t", left_truncate(ids, BUDGET))
+    # With one id per character the last ids are the text's last characters.
     # Truncation metadata exists only for prompts that were truncated
     # (absent keys are null fields of the typed struct).
     cut = F.col("_t.truncated")
     meta = F.col("metadata")
     for key, value in (("truncated", F.lit(True)), ("tokens_original", F.col("_t.tokens_original")), ("tokens_used", F.col("_t.tokens_used"))):
         meta = meta.withField(f"target_prompt_{key}", F.when(cut, value))
-    prompts = trunc.select("id", "prompt_text", "response_text", "source", meta.alias("metadata"), decode_identity("_t.ids").alias("prompt_input"))
+    prompts = trunc.select("id", "prompt_text", "response_text", "source", meta.alias("metadata"), F.right(templated, F.lit(BUDGET)).alias("prompt_input"))
     gens = generate_responses(prompts, prompt_echo_generator, {"temperature": 0.0}, request_batch_size=16)
     out = rewrite_response(gens, GENERATED_AT)
     return out.select(
