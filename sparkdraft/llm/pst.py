@@ -4,10 +4,11 @@ Tokens are the words of a text, A-Z lower-cased, and one end per text.
 
 *Counts* of all training tokens are gathered by Spark: every word, and level
 by level every pair of a candidate context (one word, then two, ...) and its
-next token. A context is a candidate if it makes up at least ``CONTEXT_SHARE`` of
-the training tokens, a next token is listed from ``ENTRY_SHARE`` on. Shares, not
-ranks, bound the tree: a level has at most ``1 / share`` of either at any size
-of the corpus, which is why it may be broadcast.
+next token. A context is a candidate from ``CONTEXT_MIN`` occurrences on, a next
+token is listed from ``ENTRY_MIN`` on, at any size of the corpus. Occurrences that
+cannot reach these counts, because a shorter part does not, are left out
+before the shuffle by bitmaps of fixed size; a wrong positive costs a row, the
+counts that decide are exact.
 
 *Retention*: a context becomes a state if the Kullback-Leibler divergence of
 its next-token distribution from that of its longest retained suffix is at
@@ -18,8 +19,12 @@ suffix; the root is the add-one unigram distribution over the V known words
 and one unknown symbol. All distributions sum to 1.
 
 *Scoring*: a token is scored by the state of the longest suffix of what stands
-before it in the text. Frequent words are looked up in the broadcast tree;
-counts of the others come by a join on the word, in which no key is frequent.
+before it in the text. States and entries are tables of (key, value): a state
+adds the logarithm of its weight, an entry what it gains over the weighted
+distribution of the parent, a word its count, so the score of a text is a sum
+over keys. Those above ``HEAD_SHARE`` of the training tokens are broadcast (at
+most ``1 / HEAD_SHARE`` a table); all others come by a join on the key, in which
+no key is frequent.
 
 Words are identified by 64-bit hashes. Defined results: null or empty text is
 the end token alone; a null doc_id is not held out; repeated rows are texts of
@@ -36,20 +41,27 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sparkdraft.llm.store import stored, worker_cache
+from sparkdraft.llm.store import discard, shuffles_removed, stored, worker_cache
 from sparkdraft.llm.words import _mix, signed, string_buffers, text_chunks, window_hashes, word_hashes
 
 DEPTH = 3
 HEAD_SHARE = 1e-6
-CONTEXT_SHARE = 2e-5
-ENTRY_SHARE = 2e-6
+CONTEXT_MIN = 8
+ENTRY_MIN = 2
+#: Bitmaps have 16 bits a key, and no more than 2**BITS.
+BITS = 28
 DIVERGENCE = 0.02
 DISCOUNT = 0.5
 END = np.uint64(0x454E445F4F465F54)
 _BASE = 0xD1342543DE82EF95
 _PAIR = np.uint64(0x9FB21C651E98DF25)
+#: Marks the keys of states; a context is also a key of an entry.
+_STATE = 0x2545F4914F6CDD1D
+#: Occurrences that a task counts at a time.
+_FLUSH = 1 << 21
 
 
 class HashIndex:
@@ -112,11 +124,11 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Tree:
-    """The broadcast model. State 0 is the root; ``parent`` is the longest retained suffix."""
+    """The model in memory. State 0 is the root; ``parent`` is the longest retained suffix."""
 
     n: int  # training tokens
     v: int  # distinct ones
-    words: np.ndarray  # hashes of the frequent words
+    words: np.ndarray  # hashes of the words
     counts: np.ndarray
     state_keys: list[np.ndarray] = field(default_factory=list)  # by depth: hashes of contexts
     state_ids: list[np.ndarray] = field(default_factory=list)
@@ -180,13 +192,6 @@ class Lookup:
         return state
 
 
-def lookup_of(model) -> Lookup:
-    cache, arrays = worker_cache(), model.value
-    if cache.get("suffix tree", (None,))[0] != arrays["name"]:
-        cache["suffix tree"] = (arrays["name"], Lookup(Tree(**arrays)))
-    return cache["suffix tree"][1]
-
-
 def _next_counts(spark: SparkSession, texts: DataFrame, words: np.ndarray, contexts: np.ndarray, depth: int) -> DataFrame:
     """(key, n) for candidate contexts and frequent next tokens: context number << 32 | word number."""
     model = spark.sparkContext.broadcast((words, contexts, uuid.uuid4().hex))
@@ -213,22 +218,23 @@ def _next_counts(spark: SparkSession, texts: DataFrame, words: np.ndarray, conte
 
 
 def learn(spark: SparkSession, counts: DataFrame, texts: DataFrame, depth: int = DEPTH) -> Tree:
-    """The tree of the training ``texts`` (one string column) with their word counts."""
+    """The tree of the training ``texts`` (one string column) with their word counts,
+    in the driver's memory: the plain form of ``model_table``, for small corpora."""
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = counts.filter(F.col("n") >= HEAD_SHARE * n).orderBy("key").toArrow()  # at most 1 / HEAD_SHARE rows
+    head = counts.orderBy("key").toArrow()
     tree = Tree(n, v, head.column("key").to_numpy().view(np.uint64).copy(), head.column("n").to_numpy().copy())
     end = int(np.flatnonzero(tree.words == END)[0]) if (tree.words == END).any() else -1
-    own = np.flatnonzero((tree.counts >= CONTEXT_SHARE * n) & (np.arange(len(tree.words)) != end))
+    own = np.flatnonzero((tree.counts >= CONTEXT_MIN) & (np.arange(len(tree.words)) != end))
     members, totals = own[:, None], tree.counts[own]
     for d in range(1, depth + 1):
         if not len(members):
             break
         keys = _context_keys(tree.words, members)
-        table = _next_counts(spark, texts, tree.words, keys, d).filter(F.col("n") >= ENTRY_SHARE * n).toArrow()  # at most 1 / ENTRY_SHARE rows
+        table = _next_counts(spark, texts, tree.words, keys, d).filter(F.col("n") >= ENTRY_MIN).toArrow()
         packed, seen = table.column("key").to_numpy(), table.column("n").to_numpy()
         context, word = packed >> 32, packed & 0xFFFFFFFF
         _grow(tree, members, keys, totals, context, word, seen)
-        longer = (seen >= CONTEXT_SHARE * n) & (word != end)
+        longer = (seen >= CONTEXT_MIN) & (word != end)
         members, totals = np.concatenate([members[context[longer]], word[longer, None]], axis=1), seen[longer]
     return tree
 
@@ -268,46 +274,183 @@ def _grow(tree: Tree, members: np.ndarray, keys: np.ndarray, totals: np.ndarray,
     tree.probs = np.concatenate([tree.probs, (seen - DISCOUNT) / totals[context] + weight[context] * q])
 
 
+def _rotated(h: np.ndarray, by: int) -> np.ndarray:
+    return (h << np.uint64(by)) | (h >> np.uint64(64 - by))
+
+
+def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What Spark's ``xxhash64`` gives for two bigint columns."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    seed = np.uint64(42)
+    for x in (a, b):
+        h = (seed + (p5 + np.uint64(8))) ^ (_rotated(x * p2, 31) * p1)
+        h = _rotated(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        seed = h ^ (h >> np.uint64(32))
+    return seed
+
+
+def _grams(h: np.ndarray, width: int) -> list[np.ndarray]:
+    """Keys of the runs of one token, of two, ... and of ``width``, by their first token. A run's
+    key is the hash of the keys of the runs without its last and without its first token."""
+    out = [h]
+    while len(out) < width:
+        out.append(_pair_hash(out[-1][:-1], out[-1][1:]))
+    return out
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits set at the top and at the low places of each key (one bigint column)."""
+    width = max(6, min(BITS, (16 * keys.count()).bit_length()))
+    slots = keys.toDF("key").select(F.explode(F.array(F.shiftrightunsigned("key", 64 - width), F.col("key").bitwiseAND(F.lit((1 << width) - 1)))).alias("s"))
+    words = slots.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (width - 6), dtype=np.int64)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    size = 64 * len(bits)
+    out = np.ones(len(keys), dtype=bool)
+    for slot in (keys >> np.uint64(65 - size.bit_length()), keys & np.uint64(size - 1)):
+        out &= (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+    return out
+
+
+def gram_counts(texts: DataFrame, depth: int, maps: Broadcast) -> DataFrame:
+    """(ctx, suf, n): count of every context of ``depth`` words with its next token, by the keys
+    of the context and of the same run without its first word; only where the context
+    may be in the first bitmap of ``maps`` and the other in the second."""
+
+    def counted(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        key, ctx, suf = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, at, n = np.unique(key, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(ctx[at]), signed(suf[at]), n.astype(np.int64))], names=["ctx", "suf", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            for _, _, h, first in _chunks(batch):
+                place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+                at = np.flatnonzero(place >= depth) - depth
+                if not len(at):
+                    continue
+                short = _grams(h, depth)[-1]
+                at = at[_in_bitmap(maps.value[0], short[at])]
+                at = at[_in_bitmap(maps.value[1], short[at + 1])]
+                parts.append([_pair_hash(short[at], short[at + 1]), short[at], short[at + 1]])
+                size += len(at)
+                if size >= _FLUSH:
+                    yield counted(parts)
+                    parts, size = [], 0
+        if size:
+            yield counted(parts)
+
+    return texts.mapInArrow(run, "ctx bigint, suf bigint, n bigint").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
+
+
+def model_table(spark: SparkSession, counts: DataFrame, texts: DataFrame, n: int, v: int, depth: int = DEPTH) -> DataFrame:
+    """(key, value, n, known): what each word, state and entry adds to the log10 score of a
+    token, and its training count; contexts that are no states have no value."""
+    tables = [counts.select("key", F.log10(F.col("n") + 1).alias("value"), "n", F.lit(True).alias("known"))]
+    last = counts.select("key", "n", ((F.col("n") + 1) / (n + v + 1)).alias("p"))
+    for d in range(1, depth + 1):
+        listed, candidates = last.filter(F.col("n") >= ENTRY_MIN), last.filter(F.col("n") >= CONTEXT_MIN)
+        maps = spark.sparkContext.broadcast((_bitmap(candidates.select("key")), _bitmap(listed.select("key"))))
+        grams = gram_counts(texts, d, maps).filter(F.col("n") >= ENTRY_MIN)
+        # What is listed after a context is listed after its suffix too.
+        entries = stored(spark, grams.join(listed.select(F.col("key").alias("suf"), F.col("p").alias("q")), "suf").select(F.xxhash64("ctx", "suf").alias("key"), "ctx", "n", "q"), f"entries-{d}")
+        maps.destroy()
+        sums = entries.groupBy("ctx").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("q"))).alias("logs"), F.sum("n").alias("seen"), F.sum("q").alias("q"), F.count("*").alias("kinds"))
+        rest_p, rest_q = F.greatest(1 - F.col("seen") / F.col("total"), F.lit(0.0)), F.greatest(1 - F.col("q"), F.lit(1e-12))
+        divergence = (F.col("logs") - F.col("seen") * F.log("total")) / F.col("total") + F.when(rest_p > 0, rest_p * F.log(rest_p / rest_q)).otherwise(0.0)
+        weight = (F.col("total") - F.col("seen") + DISCOUNT * F.col("kinds")) / F.col("total")
+        states = stored(spark, sums.join(candidates.select(F.col("key").alias("ctx"), F.col("n").alias("total")), "ctx").select("ctx", "total", F.when(divergence >= DIVERGENCE, weight).alias("weight")), f"states-{d}")
+        p = F.when(F.col("weight").isNull(), F.col("q")).otherwise((F.col("n") - DISCOUNT) / F.col("total") + F.col("weight") * F.col("q"))
+        level = entries.join(states, "ctx").select("key", "n", p.alias("p"), F.log10(p / (F.col("weight") * F.col("q"))).alias("value"))
+        level = stored(spark, level, f"level-{d}")
+        discard(spark, entries)
+        tables += [level.select("key", "value", "n", F.lit(False)), states.select(F.col("ctx").bitwiseXOR(F.lit(_STATE)), F.log10("weight"), "total", F.lit(False))]
+        last = level
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out
+
+
 def score_texts(spark: SparkSession, docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score (add-one
     unigrams) and score (the tree) of every text; the texts that are not held
     out are learned from."""
     rows = docs.select(F.col(id_col), held_out.alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     training = rows.filter("not held_out").select("_text")
-    counts = stored(spark, word_counts(training), "word-counts")
-    tree = learn(spark, counts, training, depth)
-    model = spark.sparkContext.broadcast(vars(tree))  # arrays only: workers need not import this package
-    norm = math.log10(tree.n + tree.v + 1)
+    with shuffles_removed(spark):
+        counts = stored(spark, word_counts(training), "word-counts")
+        n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        table = model_table(spark, counts, training, n, v, depth)
+        valued = table.filter("value is not null")
+        # With the frequent contexts that are no states, so that none of them is joined.
+        head = table.filter(F.col("n") >= HEAD_SHARE * n).select("key", F.coalesce("value", F.lit(0.0)).alias("value"), "known").toArrow()
+        model = spark.sparkContext.broadcast(
+            {
+                "name": uuid.uuid4().hex,
+                "bits": _bitmap(valued.select("key")),
+                "keys": head.column("key").to_numpy().view(np.uint64).copy(),
+                "values": head.column("value").to_numpy().copy(),
+            }
+        )
+    norm = math.log10(n + v + 1)
     id_type = rows.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = lookup_of(model)
-        t = look.tree
+        cache = worker_cache()
+        if cache.get("suffix model", (None,))[0] != model.value["name"]:
+            cache["suffix model"] = (model.value["name"], HashIndex(model.value["keys"]))
+        index, bits, values = cache["suffix model"][1], model.value["bits"], model.value["values"]
         for batch in batches:
             for lo, hi, h, first in _chunks(batch, 3):
                 size = hi - lo
                 text = np.repeat(np.arange(size), np.diff(first))
-                word = look.words.find(h)
-                known = word >= 0
-                logs = look.log10(look.state_of(h, word, first), word)
-                base = np.zeros(len(h))
-                base[known] = np.log10(t.root(t.counts[word[known]]))
-                rare = np.flatnonzero(~known)
-                rare = rare[np.lexsort((h[rare], text[rare]))]
-                new = np.ones(len(rare), dtype=bool)
-                new[1:] = (h[rare][1:] != h[rare][:-1]) | (text[rare][1:] != text[rare][:-1])
+                place = np.arange(len(h)) - first[text]
+                sums, known, rare_keys, rare_texts = np.zeros((2, size)), np.zeros(size), [], []
+
+                def add(keys: np.ndarray, of: np.ndarray, kind: int) -> None:
+                    may = _in_bitmap(bits, keys)
+                    keys, of = keys[may], of[may]
+                    at = index.find(keys)
+                    here = at >= 0
+                    # A word's count less the norm: a difference of sums would lose digits.
+                    sums[kind] += np.bincount(of[here], values[at[here]] - (0.0 if kind else norm), size)
+                    if not kind:
+                        known[:] += np.bincount(of[here], minlength=size)
+                    rare_keys.append(keys[~here])
+                    rare_texts.append(of[~here])
+
+                add(h, text, 0)
+                grams = _grams(h, depth + 1)
+                for d in range(1, depth + 1):
+                    at = np.flatnonzero(place >= d)
+                    add(grams[d][at - d], text[at], 1)
+                    add(grams[d - 1][at - d] ^ np.uint64(_STATE), text[at], 1)
+                sums[0] -= norm * (np.diff(first) - known)
+                keys, of = np.concatenate(rare_keys), np.concatenate(rare_texts)
+                order = np.lexsort((keys, of))
+                keys, of = keys[order], of[order]
+                new = np.ones(len(keys), dtype=bool)
+                new[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
                 starts = np.flatnonzero(new)
-                times = np.diff(np.append(starts, len(rare)))
-                ends = np.cumsum(np.bincount(text[rare[starts]], minlength=size))
+                times = np.diff(np.append(starts, len(keys)))
+                ends = np.cumsum(np.bincount(of[starts], minlength=size))
                 lists = pa.array(np.concatenate(([0], ends)).astype(np.int32))
-                items = pa.StructArray.from_arrays([pa.array(signed(h[rare[starts]])), pa.array(times.astype(np.int64))], ["key", "times"])
+                items = pa.StructArray.from_arrays([pa.array(signed(keys[starts])), pa.array(times.astype(np.int64))], ["key", "times"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[batch.column(c).slice(lo, size) for c in range(3)],
                         pa.array(np.diff(first).astype(np.int64)),
-                        pa.array(np.bincount(text, known, size).astype(np.int64)),
-                        pa.array(np.bincount(text, base, size)),
-                        pa.array(np.bincount(text, logs, size)),
+                        pa.array(known.astype(np.int64)),
+                        pa.array(sums[0]),
+                        pa.array(sums[0] + sums[1]),
                         pa.ListArray.from_arrays(lists, items),
                     ],
                     names=["_row", id_col, "held_out", "n_tokens", "n_known", "base_score", "score", "_rare"],
@@ -317,13 +460,15 @@ def score_texts(spark: SparkSession, docs: DataFrame, held_out: Column, id_col:
     kinds = f"_row bigint, `{id_col}` {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, _rare array<struct<key: bigint, times: bigint>>"
     scored = stored(spark, numbered.mapInArrow(run, kinds), "scored")
     rare = scored.select("_row", F.explode("_rare").alias("r")).select("_row", "r.key", "r.times")
-    tail = counts.filter(F.col("n") < HEAD_SHARE * tree.n)
+    tail = valued.filter(F.col("n") < HEAD_SHARE * n).select("key", "value", "known")
+    logs = F.col("times") * F.col("value")
     added = (
-        rare.join(tail, "key", "left")
+        rare.join(tail, "key")
         .groupBy("_row")
         .agg(
-            F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1) - F.lit(norm))).alias("_logs"),
-            F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("_seen"),
+            F.sum(F.when(F.col("known"), logs).otherwise(0.0)).alias("_base"),
+            F.sum(logs).alias("_logs"),
+            F.sum(F.when(F.col("known"), F.col("times")).otherwise(0)).alias("_seen"),
         )
     )
     return scored.drop("_rare").join(added, "_row", "left").select(
@@ -331,7 +476,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, held_out: Column, id_col:
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("_seen", F.lit(0))).alias("n_known"),
-        F.lit(tree.n).cast("bigint").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("_logs", F.lit(0.0))).alias("base_score"),
+        F.lit(n).cast("bigint").alias("train_tokens"),
+        (F.col("base_score") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
         (F.col("score") + F.coalesce("_logs", F.lit(0.0))).alias("score"),
     )

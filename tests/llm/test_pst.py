@@ -118,3 +118,33 @@ def test_hash_index():
     assert (index.find(keys) == np.arange(len(keys))).all()
     assert (index.find(keys + np.uint64(2**62)) == -1).all()
     assert (pst.HashIndex(keys[:0]).find(keys) == -1).all()
+
+
+def tree_scores(spark, rows):
+    """Scores by the tree in memory."""
+    held = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
+    tree = tree_of(spark, [r for r, h in zip(rows, held) if not h])
+    look = pst.Lookup(tree)
+    out = []
+    for _, text in rows:
+        h, first = pst.tokens(*string_buffers(pa.array([text])))
+        word = look.words.find(h)
+        out.append(look.log10(look.state_of(h, word, first), word).sum() - (word < 0).sum() * math.log10(tree.n + tree.v + 1))
+    return out
+
+
+@pytest.mark.parametrize("share, bits", [(1e-6, 27), (1e-2, 27), (1e-2, 8), (2.0, 12)])
+def test_joined_scores_match_the_tree_in_memory(spark, monkeypatch, share, bits):
+    monkeypatch.setattr(pst, "HEAD_SHARE", share)
+    monkeypatch.setattr(pst, "BITS", bits)  # few bits: wrong positives, which must not count
+    rows = corpus(100)
+    got = {r["doc_id"]: r["score"] for r in scores(spark, rows)}
+    assert np.allclose([got[d] for d, _ in rows], tree_scores(spark, rows), rtol=1e-9)
+
+
+def test_a_context_counts_at_any_size_of_the_corpus(spark):
+    ids = [d for d in range(100) if zlib.crc32(str(d).encode()) % 7 != 2][:12]
+    only = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 7 == 2)
+    rows = [(ids[0], "some filler of words " * 200_000), *[(d, "ruby falcon") for d in ids[1:]], (only, "ruby falcon")]
+    held = next(r for r in scores(spark, rows) if r["held_out"])
+    assert held["score"] > held["base_score"] + 4  # falcon and the end are sure after ruby, 11 times in 800 000 tokens
