@@ -1,16 +1,17 @@
 """Benchmark decontamination with the q-gram lemma.
 
 Texts are compared by characters, letters lower-cased and every white-space
-character as a space, which keeps all offsets. A benchmark item is looked for
-by its windows of ``WINDOW`` characters, one every ``STRIDE``, the last at its
-end (shorter items: whole), each with a budget of ``EDITS`` edits (shorter
-windows: in proportion).
+character as a space, which keeps all offsets. A benchmark item is looked for by every
+window of ``WINDOW`` characters in it (shorter items: whole), each with a budget
+of ``EDITS`` edits (shorter items: in proportion). So every passage of ``WINDOW``
+characters within ``EDITS`` edits is found, and every exact one of
+``WINDOW - EDITS``.
 
 1. A region within k edits of a window of m characters shares at least
    ``m - q + 1 - k * q`` of its q-grams, on diagonals (place in the text less
-   place in the item) at most k apart. So the shared q-grams of each window are
-   counted in bands of 2 * (k + 1) diagonals, one beginning every k + 1.
-2. Bands that reach the bound are retained.
+   place in the item) at most k apart. So the shared q-grams of each item are
+   put in bands of 2 * (k + 1) diagonals, one beginning every k + 1.
+2. Windows of which a band holds that many are retained.
 3. Each is verified by an alignment within its band: the edit distance of the
    window to the best part of the text there. What is within the budget is a hit.
 
@@ -18,9 +19,9 @@ The q-grams of the benchmark are broadcast in blocks of items of bounded size;
 a larger benchmark takes more blocks, each held against all documents.
 
 Defined results: a null text or item text has no hits; null ids are kept; repeated rows
-are reported as often as they stand; items of fewer than ``LEAST`` characters are
-too short to tell and are not looked for; extra columns are ignored; an
-empty table on either side gives no rows; of several hits of an item in one
+are reported as often as they stand; items of fewer than ``Q`` characters, which
+have no q-gram, are compared at every place; an empty item has no hits; extra
+columns are ignored; an empty table on either side gives no rows; of several hits of an item in one
 text the spans that touch are one.
 """
 
@@ -37,9 +38,9 @@ from sparkdraft.llm.words import text_chunks
 
 Q = 8
 WINDOW = 80
-STRIDE = 40
 EDITS = 6
-LEAST = 40
+#: Characters of the shortest item.
+LEAST = 1
 #: Characters of items in one broadcast block.
 BLOCK_CHARS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -87,57 +88,56 @@ def _windows(length: int) -> list[tuple[int, int]]:
     """(start, characters) of the windows of an item."""
     if length <= WINDOW:
         return [(0, length)]
-    starts = [*range(0, length - WINDOW, STRIDE), length - WINDOW]
-    return [(s, WINDOW) for s in starts]
+    return [(s, WINDOW) for s in range(length - WINDOW + 1)]
 
 
 def _edits(size: int) -> int:
     """Budget of a window: EDITS, or in proportion, and no more than the q-gram bound can tell."""
-    return min(EDITS * size // WINDOW, (size - Q) // Q)
+    return max(0, min(EDITS * size // WINDOW, (size - Q) // Q))
 
 
 def build_index(items: list[tuple[int, str]]) -> dict:
-    """Arrays of one block: item texts, windows, and (q-gram, window, place) sorted by q-gram."""
+    """Arrays of one block: item texts, their windows' shapes, and (q-gram, item, place) sorted by q-gram."""
     texts = [characters(t) for _, t in items]
-    window, grams, places = [], [], []
-    for i, c in enumerate(texts):
-        if len(c) < LEAST:
-            continue
-        h = gram_hashes(c, Q)
-        for start, size in _windows(len(c)):
-            grams.append(h[start : start + size - Q + 1])
-            places.append(np.stack([np.full(size - Q + 1, len(window)), np.arange(size - Q + 1)]))
-            window.append((i, start, size, _edits(size), size - Q + 1 - _edits(size) * Q))
-    g = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-    at = np.concatenate(places, axis=1) if places else np.zeros((2, 0), np.int64)
+    lengths = np.array([len(c) for c in texts], dtype=np.int64)
+    sizes = np.minimum(lengths, WINDOW)
+    edits = np.array([_edits(m) for m in sizes.tolist()], dtype=np.int64)
+    grams = [gram_hashes(c, Q) if len(c) >= Q else np.zeros(0, np.uint64) for c in texts]
+    counts = np.array([len(h) for h in grams], dtype=np.int64)
+    g = np.concatenate([*grams, np.zeros(0, np.uint64)])
+    item = np.repeat(np.arange(len(texts)), counts)
+    place = np.arange(len(g)) - np.repeat(np.cumsum(counts) - counts, counts)
     order = np.argsort(g, kind="stable")
-    g, at = g[order], at[:, order]
+    g = g[order]
     keys, first = np.unique(g, return_index=True)
     filter_ = np.zeros(1 << _BITS, dtype=bool)
     filter_[_slot(keys)] = True
     return {
         "ids": [i for i, _ in items],
-        "texts": texts,
-        "windows": np.array(window, dtype=np.int64).reshape(-1, 5),
+        "chars": np.concatenate([*texts, np.zeros(0, np.uint32)]),
+        # Where each item begins, its characters, those of a window, the budget, the q-grams to share.
+        "items": np.stack([np.cumsum(lengths) - lengths, lengths, sizes, edits, sizes - Q + 1 - edits * Q], axis=1).reshape(-1, 5),
         "keys": keys,
         "first": np.append(first, len(g)),
-        "window": at[0],
-        "place": at[1],
+        "item": item[order],
+        "place": place[order],
         "filter": filter_,
     }
 
 
-def candidates(c: np.ndarray, bounds: np.ndarray, index: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window, band, text) whose shared q-grams reach the bound. ``c`` holds the texts
-    one after another, ``bounds`` where each begins and the last ends; diagonals are counted in ``c``."""
-    none = (np.zeros(0, np.int64),) * 3
-    windows = index["windows"]
-    if len(c) < Q or not len(windows):
+def candidates(c: np.ndarray, bounds: np.ndarray, index: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(item, start of the window, first diagonal, text) of the windows whose shared q-grams
+    reach the bound. ``c`` holds the texts one after another, ``bounds`` where each begins
+    and the last ends; diagonals are counted in ``c``."""
+    none = (np.zeros(0, np.int64),) * 4
+    items = index["items"]
+    if len(c) < Q or not len(index["keys"]):
         return none
     h = gram_hashes(c, Q)
     hit = index["filter"][_slot(h)]
     # A region that reaches some bound has that many hits within a window and its budget.
-    reach, bound = int((windows[:, 2] + windows[:, 3]).max()) - Q + 1, int(windows[:, 4].min())
+    long = items[items[:, 1] >= Q]
+    reach, bound = int((long[:, 2] + long[:, 3]).max()) - Q + 1, int(long[:, 4].min())
     sums = np.concatenate(([0], np.cumsum(hit, dtype=np.int32), np.full(reach, hit.sum(), np.int32)))
     dense = np.concatenate(([0], np.cumsum(sums[reach:] - sums[:-reach] >= bound, dtype=np.int32)))
     at = np.flatnonzero(hit)
@@ -151,24 +151,48 @@ def candidates(c: np.ndarray, bounds: np.ndarray, index: dict) -> tuple[np.ndarr
     times = index["first"][key + 1] - index["first"][key]
     flat = np.repeat(index["first"][key] - np.cumsum(times) + times, times) + np.arange(times.sum())
     at = np.repeat(at, times)
-    window, place = index["window"][flat], index["place"][flat]
+    item, place = index["item"][flat], index["place"][flat]
     text = np.searchsorted(bounds, at, side="right") - 1
-    step = windows[window, 3] + 1
-    band = (at - place + WINDOW) // step  # diagonals can be negative at the start
+    band = (at - place) // (items[item, 3] + 1)
     # Band b covers the steps b and b + 1.
-    w, t, p = np.tile(window, 2), np.tile(text, 2), np.tile(place, 2)
+    w, t, p = np.tile(item, 2), np.tile(text, 2), np.tile(place, 2)
     b = np.concatenate([band, band - 1])
     order = np.lexsort((p, b, w, t))
     w, b, t, p = w[order], b[order], t[order], p[order]
     group = np.ones(len(w), dtype=bool)
     group[1:] = (w[1:] != w[:-1]) | (b[1:] != b[:-1]) | (t[1:] != t[:-1])
-    place_new = group.copy()
-    place_new[1:] |= p[1:] != p[:-1]  # a q-gram of the window counts once
-    number = np.cumsum(group) - 1
-    count = np.bincount(number, place_new)
-    first = np.flatnonzero(group)
-    kept = count >= windows[w[first], 4]
-    return w[first][kept], b[first][kept], t[first][kept]
+    new = group.copy()
+    new[1:] |= p[1:] != p[:-1]  # a q-gram of the item counts once
+    number = (np.cumsum(group) - 1)[new]
+    w, b, t, p = w[new], b[new], t[new], p[new]
+    # The last of as many q-grams as the bound, from each on: the windows that hold them all.
+    last = np.arange(len(w)) + items[w, 4] - 1
+    within = last < len(w)
+    last[~within] = 0
+    span = items[w, 2] - Q
+    within &= (number[last] == number) & (p[last] - p <= span)
+    one = np.flatnonzero(within)
+    lo = np.maximum(p[last[one]] - span[one], 0)
+    hi = np.minimum(p[one], items[w[one], 1] - items[w[one], 2])
+    times = np.maximum(hi - lo + 1, 0)
+    one, start = np.repeat(one, times), np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())
+    _, kept = np.unique(number[one] * (int(items[:, 1].max()) + 1) + start, return_index=True)
+    one, start = one[kept], start[kept]
+    return w[one], start, b[one] * (items[w[one], 3] + 1), t[one]
+
+
+def _short_hits(c: np.ndarray, bounds: np.ndarray, index: dict) -> Iterator[tuple[int, int, int]]:
+    """(item, place in ``c``, text) of the items that have no q-gram."""
+    for i in np.flatnonzero((index["items"][:, 1] >= LEAST) & (index["items"][:, 1] < Q)).tolist():
+        begin, length = index["items"][i, :2].tolist()
+        if len(c) < length:
+            continue
+        same = np.ones(len(c) - length + 1, dtype=bool)
+        for j in range(length):
+            same &= c[j : j + len(same)] == index["chars"][begin + j]
+        at = np.flatnonzero(same)
+        for place, text in zip(at.tolist(), (np.searchsorted(bounds, at, side="right") - 1).tolist(), strict=True):
+            yield i, place, text
 
 
 def align(c: np.ndarray, lo: np.ndarray, hi: np.ndarray, patterns: np.ndarray, diagonal: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,24 +238,27 @@ def _laid_out(texts: list[str], overlap: int) -> tuple[np.ndarray, np.ndarray, n
 
 def hits(texts: list[str], index: dict) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) of the verified regions, touching ones of an item as one."""
-    windows = index["windows"]
-    if not len(windows) or not texts:
+    items = index["items"]
+    if not len(items) or not texts:
         return []
     c, bounds, number, offset = _laid_out(texts, 2 * WINDOW)
-    window, band, part = candidates(c, bounds, index)
+    item, start, diagonal, part = candidates(c, bounds, index)
     found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    shapes = windows[window][:, 2] * 1000 + windows[window][:, 3]
+    for i, at, t in _short_hits(c, bounds, index):
+        lo = at + int(offset[t] - bounds[t])
+        found.setdefault((int(number[t]), i), []).append((lo, lo + int(items[i, 1]), 0))
+    shapes = items[item, 2] * 1000 + items[item, 3]
     for shape in np.unique(shapes).tolist():
         own = np.flatnonzero(shapes == shape)
         size, edits = divmod(shape, 1000)
         for at in range(0, len(own), 4096):
-            w, b, t = (x[own[at : at + 4096]] for x in (window, band, part))
-            patterns = np.stack([index["texts"][i][s : s + size] for i, s in windows[w][:, :2].tolist()])
-            got, lo, hi = align(c, bounds[t], bounds[t + 1] - 1, patterns, b * (edits + 1) - WINDOW, 2 * (edits + 1))
+            w, s, d, t = (x[own[at : at + 4096]] for x in (item, start, diagonal, part))
+            patterns = index["chars"][(items[w, 0] + s)[:, None] + np.arange(size)]
+            got, lo, hi = align(c, bounds[t], bounds[t + 1] - 1, patterns, d + s, 2 * (edits + 1))
             shift = offset[t] - bounds[t]
-            for ok, t_, i, lo_, hi_, got_ in zip((got <= edits).tolist(), number[t].tolist(), windows[w][:, 0].tolist(), (lo + shift).tolist(), (hi + shift).tolist(), got.tolist(), strict=True):
-                if ok:
-                    found.setdefault((t_, i), []).append((lo_, hi_, got_))
+            ok = got <= edits
+            for t_, i, lo_, hi_, got_ in zip(*(x[ok].tolist() for x in (number[t], w, lo + shift, hi + shift, got)), strict=True):
+                found.setdefault((t_, i), []).append((lo_, hi_, got_))
     out = []
     for (t, item), spans in sorted(found.items()):
         merged: list[list[int]] = []

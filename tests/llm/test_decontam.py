@@ -84,3 +84,36 @@ def test_empty_tables(spark):
     assert decontam.contaminated(spark, docs.limit(0), benchmark, ["doc_id"]).count() == 0
     assert decontam.contaminated(spark, docs, benchmark.limit(0), ["doc_id"]).count() == 0
     assert decontam.without_contaminated(spark, docs, benchmark.limit(0)).count() == 1
+
+
+def test_every_passage_is_found_wherever_it_begins():
+    item = ITEMS[0][1]
+    index = decontam.build_index([(1, item)])
+    for size in (74, 80, 90):
+        for a in range(len(item) - size + 1):
+            found = decontam.hits(["~" * 30 + item[a : a + size] + "~" * 30], index)
+            assert len(found) == 1, (a, size)
+            assert abs(found[0][2] - 30) <= 6 and abs(found[0][3] - 30 - size) <= 6  # the budget may reach beyond it
+
+
+def test_hits_match_all_windows_of_edited_parts():
+    random = np.random.RandomState(11)
+    item = ITEMS[0][1]
+    index = decontam.build_index([(1, item)])
+    found = 0
+    for trial in range(40):
+        a, size = random.randint(0, 40), random.randint(70, 90)
+        text = "before, " + edited(random, item[a : a + size], random.randint(0, 9)) + " after"
+        want = any(distance(decontam.characters(item)[s : s + 80], decontam.characters(text)) <= 6 for s in range(len(item) - 79))
+        assert bool(decontam.hits([text], index)) == want, text
+        found += want
+    assert 5 < found < 35
+
+
+def test_short_items_are_found_whole():
+    items = [(1, "A short item of 32 characters ok"), (2, "tiny"), (3, ""), (4, "exactly8"), (5, "sixteen letters!")]
+    index = decontam.build_index(items)
+    text = "it holds a short item of 32 characters ok, EXACTLY8 and tiny, tiny, and sixteen letters!"
+    assert [(items[h[1]][0], h[2], h[4]) for h in decontam.hits([text], index)] == [(1, 9, 0), (2, 56, 0), (2, 62, 0), (4, 43, 0), (5, 72, 0)]
+    assert [items[h[1]][0] for h in decontam.hits(["a shrt item of 32 chaacters ok"], index)] == [1]
+    assert decontam.hits(["a shirt for tin men, exactly 8"], index) == []
