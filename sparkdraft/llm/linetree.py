@@ -6,7 +6,8 @@ token count and its first ``DEPTH`` tokens. Within a leaf, a token is constant a
 its place if it stands there in lines of ``min_docs`` texts, and a variable field
 if not; the constant tokens make up the template of a line, provided they are at
 least ``SHARE`` of its tokens (else a line is its own template, if that holds
-for its tokens without digits). A template of ``min_docs`` different texts or
+for its tokens without digits; a line with more fields than that is told by its
+own tokens, digits and all). A template of ``min_docs`` different texts or
 more is recurring: its lines are dropped, but for the first (smallest document
 id, then place), so that no text is lost altogether. Documents with the same text
 count as one text: whole copies are not lines in common.
@@ -30,9 +31,13 @@ _WHITE = r"[\x20\x09-\x0D]"
 _DIGITS = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\x0b\f\r"))
+
+
 def _tokens(line: Column) -> Column:
     """Tokens of a line; one empty token if it is blank."""
-    bare = F.btrim(line, F.lit(" \t\n\x0b\f\r"))
+    bare = _bare(line)
     return F.split(F.when(bare.rlike("[0-9]"), F.regexp_replace(bare, _DIGITS, FIELD)).otherwise(bare), f"{_WHITE}+")
 
 
@@ -50,10 +55,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _lines(keyed: DataFrame) -> DataFrame:
-    """One narrow row per line that is not blank: leaf and hash, whether it can be a template, where it stands."""
+    """One narrow row per line that is not blank: leaf and hash, whether it can be a template,
+    the hash of the tokens as they are if not, where it stands."""
     at = keyed.select("id", "_k1", "_k2", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    tokens = at.select("id", "_k1", "_k2", "pos", _tokens(F.col("line")).alias("tokens")).filter(F.col("tokens")[0] != "")
-    return tokens.select("id", "_k1", "_k2", "pos", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"), F.xxhash64("tokens").alias("h"), _constant(F.col("tokens")).alias("constant"))
+    tokens = at.select("id", "_k1", "_k2", "pos", "line", _tokens(F.col("line")).alias("tokens")).filter(F.col("tokens")[0] != "")
+    exact = F.when(~_constant(F.col("tokens")), F.xxhash64(F.lit(2), F.split(_bare(F.col("line")), f"{_WHITE}+")))
+    return tokens.select("id", "_k1", "_k2", "pos", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"), F.xxhash64("tokens").alias("h"), _constant(F.col("tokens")).alias("constant"), exact.alias("exact"))
 
 
 def _templates(spark: SparkSession, keyed: DataFrame, texts: DataFrame, min_docs: int) -> DataFrame:
@@ -87,9 +94,12 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, id_col: str = "do
     first = F.struct(F.col("id").isNull().alias("no"), "id", "pos", "_k1", "_k2")
     texts = stored(spark, lines.groupBy("leaf", "h", "_k1").agg(F.min(first).alias("first"), F.first("constant").alias("constant")), "line-texts")
     templates = stored(spark, _templates(spark, keyed, texts, min_docs), "templates")
-    named = lambda d: d.join(templates, ["leaf", "h"], "left").withColumn("template", F.coalesce("template", F.when(F.col("constant"), F.col("h")))).filter("template is not null")
-    recurring = stored(spark, named(texts).groupBy("leaf", "template").agg(F.countDistinct("_k1").alias("n"), F.min("first").alias("kept")).filter(F.col("n") >= min_docs).select("leaf", "template", "kept"), "recurring")
-    dropped = named(lines).join(recurring, ["leaf", "template"]).filter((F.col("kept._k2") != F.col("_k2")) | (F.col("kept.pos") != F.col("pos")))
+    named = lambda d, *other: d.join(templates, ["leaf", "h"], "left").withColumn("template", F.coalesce("template", F.when(F.col("constant"), F.col("h")), *other)).filter("template is not null")
+    # Lines of one kind and text can differ in their digits, so these are counted apart.
+    exact = lines.filter("exact is not null").groupBy("leaf", F.col("exact").alias("template"), "_k1").agg(F.min(first).alias("first"))
+    counted = named(texts).select("leaf", "template", "_k1", "first").unionByName(exact)
+    recurring = stored(spark, counted.groupBy("leaf", "template").agg(F.countDistinct("_k1").alias("n"), F.min("first").alias("kept")).filter(F.col("n") >= min_docs).select("leaf", "template", "kept"), "recurring")
+    dropped = named(lines, F.col("exact")).join(recurring, ["leaf", "template"]).filter((F.col("kept._k2") != F.col("_k2")) | (F.col("kept.pos") != F.col("pos")))
     by_row = dropped.groupBy("_k1", "_k2").agg(F.collect_set("pos").alias("dropped"))
     joined = keyed.join(by_row, ["_k1", "_k2"], "left")
     whole = F.split("text", "\n")

@@ -104,3 +104,13 @@ def test_sql_agrees(spark):
     cur = rel.execute(linetree.oracle_sql())
     rows = cur.fetchall()
     assert canon([d[0] for d in cur.description], rows) == canon(["doc_id", "text", "n_lines", "n_dropped"], found(spark, ROWS))
+
+
+def test_lines_of_fields_recur_verbatim(spark):
+    rows = [(i, f"text {chr(97 + i)} of its own\n  Call 555-1234\t24/7\n{i} {i * 3} 7\n{i % 6} 5") for i in range(12)]
+    rows += [(20 + i, "11 22 33\n" * 30) for i in range(2)]
+    got = {g[0]: g for g in found(spark, rows)}
+    assert got[0][3] == 0  # the first stays
+    for i in range(1, 12):  # other digits are other lines, and two texts are too few
+        assert got[i][1:] == (f"text {chr(97 + i)} of its own\n{i} {i * 3} 7\n{i % 6} 5", 4, 1)
+    assert got[20][3] == got[21][3] == 0
