@@ -1,4 +1,5 @@
-"""Substring deduplication by factoring documents against an indexed reference.
+"""Substring deduplication by joins of hashed windows, which stand in for a relative
+Lempel-Ziv parse: no document is factored from left to right.
 
 The reference is the corpus itself, in blocks of words around *anchors*. The
 anchor of a window (``window`` consecutive words) is the word k-gram in it with
@@ -7,12 +8,12 @@ Consecutive windows with one anchor form a block; its content is hashed whole.
 
 1. The index holds, for every anchor seen more than once, whether all its
    blocks are equal.
-2. Each document is parsed from left to right against the index. Where all
-   blocks of an anchor are equal, or the block itself occurs again, the factor
-   goes on over the whole block; where an anchor is unknown, it ends.
-3. Blocks that share an anchor but differ hold the ends of factors. One of each
+2. The blocks of all documents are joined with it. Where all blocks of an anchor
+   are equal, or the block itself occurs again, all its windows are repeats;
+   where an anchor is unknown, none is.
+3. Blocks that share an anchor but differ hold the ends of repeats. One of each
    distinct block is taken apart and its windows are looked up one by one.
-4. Factors of at least ``window`` words become duplicate spans.
+4. Runs of repeated windows that touch are merged into factors; factors of at least ``window`` words become duplicate spans.
 
 The result is exact up to hash odds (a window is identified by 128 bits over
 64-bit word hashes): a word is in a span if and only if a window over it
@@ -162,8 +163,8 @@ def repeated_windows(spark: SparkSession, keyed: DataFrame, window: int = WINDOW
 
 
 def factors(runs: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
-    """Greedy parse: (first word, number of words) of the factors that the runs
-    of windows (first, last) make up; one begins where the last has ended."""
+    """(first word, number of words) of the factors that the runs of windows
+    (first, last) make up: runs that overlap or touch are one."""
     out: list[list[int]] = []
     for i0, i1 in sorted(runs):
         if out and i0 <= out[-1][1]:
