@@ -131,3 +131,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = preference_pairs(conversation_pairs(table(spark, sf_dir, "conversations")))
     written = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
     return found.withColumns({c: written(c) for c in ("chosen_loss", "rejected_loss")})
+
+
+@query("op11_periodic_run_detection")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of periodic words in every document, some of which are made periodic."""
+    from sparkdraft.llm.periods import periodic_runs, run_digests, with_planted_period
+
+    return run_digests(periodic_runs(with_planted_period(table(spark, sf_dir, "documents")), ["doc_id"]))
