@@ -139,3 +139,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkdraft.llm.periods import periodic_runs, run_digests, with_planted_period
 
     return run_digests(periodic_runs(with_planted_period(table(spark, sf_dir, "documents")), ["doc_id"]))
+
+
+@query("op12_pii")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    from sparkdraft.llm.pii import personal_data, span_digests
+
+    return span_digests(personal_data(table(spark, sf_dir, "documents"), ["doc_id"]))
