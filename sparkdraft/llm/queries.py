@@ -147,3 +147,12 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkdraft.llm.pii import personal_data, span_digests
 
     return span_digests(personal_data(table(spark, sf_dir, "documents"), ["doc_id"]))
+
+
+@query("op13_importance_resampling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights towards the benchmark's distribution, and the documents drawn by them."""
+    from sparkdraft.llm.resample import drawn
+
+    found = drawn(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
