@@ -149,7 +149,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(personal_data(table(spark, sf_dir, "documents"), ["doc_id"]))
 
 
-@query("op13_importance_resampling")
+from sparkdraft.llm.resample import ORACLE_SQL as RESAMPLE_SQL  # noqa: E402
+
+
+@query("op13_importance_resampling", RESAMPLE_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights towards the benchmark's distribution, and the documents drawn by them."""
     from sparkdraft.llm.resample import drawn

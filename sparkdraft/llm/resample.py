@@ -248,3 +248,46 @@ def drawn(spark: SparkSession, docs: DataFrame, target: DataFrame, id_col: str =
     ranked = placed.withColumn("rank", F.when(F.col("place") < most, F.col("place") + 1)).drop("place")
     rest = scored.filter(F.col("n_words") < least_words).withColumn("rank", F.lit(None).cast("long"))
     return ranked.unionByName(rest).withColumnRenamed("id", id_col)
+
+
+# CRC-32 (reflected polynomial EDB88320) of half bytes.
+_HALF_BYTES = """0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+        3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108"""
+
+#: Every distinct feature is hashed by half bytes of its UTF-8, the low half of a byte first.
+ORACLE_SQL = rf"""
+WITH texts AS (
+  SELECT 'd' AS side, doc_id AS id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 't', item_id, coalesce(text, '') FROM benchmark),
+words AS (
+  SELECT side, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts),
+features AS (
+  SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words),
+distinct_features AS (SELECT f, hex(encode(f)) AS x FROM features GROUP BY f),
+hashed AS (
+  SELECT f, xor(list_reduce(
+      list_concat([4294967295::BIGINT], list_transform(range(0, len(x)::BIGINT), lambda i: (instr('0123456789ABCDEF', x[i + 2 - 2 * (i % 2)]) - 1)::BIGINT)),
+      lambda c, d: xor([{_HALF_BYTES}][(xor(c, d) & 15) + 1]::BIGINT, c >> 4)), 4294967295::BIGINT) % {BUCKETS} AS b
+  FROM distinct_features),
+placed AS (SELECT side, id, b FROM features JOIN hashed USING (f)),
+counted AS (
+  SELECT b, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 't') AS t FROM placed GROUP BY b),
+totals AS (SELECT sum(s)::DOUBLE AS total_s, sum(t)::DOUBLE AS total_t FROM counted),
+gains AS (
+  SELECT b, floor(1000 * ln((t + 1)::DOUBLE * (total_s + {BUCKETS}) / ((s + 1)::DOUBLE * (total_t + {BUCKETS}))))::BIGINT AS gain FROM counted, totals),
+summed AS (
+  SELECT id, count(*) AS n, sum(gain)::BIGINT AS total FROM placed JOIN gains USING (b) WHERE side = 'd' GROUP BY id),
+scored AS (
+  SELECT words.id AS doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features,
+    coalesce((total - ((total % n + n) % n)) // n, 0) AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('{SEED}:' || words.id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise
+  FROM words LEFT JOIN summed ON words.id = summed.id WHERE side = 'd'),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank, {SHARE} * count(*) OVER () // 100 AS most
+  FROM scored WHERE n_words >= {LEAST_WORDS})
+SELECT scored.doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, (weight + noise)::BIGINT AS score,
+  CASE WHEN rank <= most THEN rank END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""
