@@ -1,4 +1,4 @@
-"""Numeric and nested-field column helpers."""
+"""Numeric column helpers."""
 
 from __future__ import annotations
 
@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from sparkdraft.functions.text import col_
 
 
-def nested_get(path: str, default) -> Column:
-    """Value at a dotted struct path, ``default`` when null."""
-    return F.coalesce(F.col(path), F.lit(default))
-
-
 def round_half_even_int(c: str | Column) -> Column:
     """Round half to even, as an integer (``rint(2.5) = 2``)."""
     return F.rint(col_(c)).cast("long")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkdraft.functions.text import clean
+from sparkdraft.functions.documents import FIELDS, document, fields, is_object, number
 from sparkdraft.operators.sweeps import finite_or_null
 
 # The required top-level keys of a run summary.
@@ -35,6 +35,7 @@ SWEEP_CSV_COLUMNS = [
     "config_path", "prompts_jsonl", "summary_path",
 ]
 
+# Names and types of a summary document's fields.
 ENGINE_FIELDS = T.StructType(
     [
         T.StructField("sd_time_s", T.DoubleType()),
@@ -94,34 +95,22 @@ SUMMARY_SCHEMA = T.StructType(
 
 
 def validate_summaries(raw: DataFrame, text_col: str = "value", key_col: str = "run") -> DataFrame:
-    """P25: one row per problem: a missing required key, or a key that
-    must be an object and is not (also each ``engines.*`` entry).
-
-    Documents are parsed as ``map<string,string>`` so nested objects stay
-    raw text and bare NaN is accepted (hazard H16).
-    """
-    m = F.from_json(F.col(text_col), "map<string,string>", {"allowNonNumericNumbers": "true"})
-    # A text that is not one object (cut off, a list, a number, empty) must not
-    # pass as a document without findings.
-    whole = F.from_json(F.col(text_col), "s string, _bad string", {"allowNonNumericNumbers": "true", "columnNameOfCorruptRecord": "_bad"})
-    object_ = F.coalesce(clean(text_col).startswith("{") & m.isNotNull() & whole["_bad"].isNull(), F.lit(False))
-    doc = raw.select(key_col, m.alias("m"), object_.alias("object"))
-    keys = F.coalesce(F.map_keys("m"), F.array().cast("array<string>"))
-    is_object = lambda c: F.coalesce(clean(c).startswith("{"), F.lit(False))
-    missing = F.array_except(F.array(*[F.lit(k) for k in REQUIRED_SUMMARY_KEYS]), keys)
-    not_obj = F.filter(
-        F.array(*[F.lit(k) for k in DICT_KEYS + ["engines"]]),
-        lambda k: F.array_contains(keys, k) & ~is_object(F.try_element_at("m", k)),
-    )
-    eng = F.from_json(F.try_element_at("m", F.lit("engines")), "map<string,string>", {"allowNonNumericNumbers": "true"})
-    bad_eng = F.filter(F.map_keys(eng), lambda k: ~is_object(F.try_element_at(eng, k)))
+    """P25: one row per problem of a document: it is not one JSON object, lacks
+    a required key, or holds something else than an object in ``quality_score``,
+    ``decoding``, ``engines`` or an entry of ``engines``."""
+    doc = raw.select(key_col, document(text_col).alias("doc"))
+    parsed = doc.select(key_col, fields(F.col("doc")).alias("top"), fields(F.col("doc"), "$.engines").alias("engines"))
+    none = F.array().cast("array<string>")
+    missing = F.array_except(F.array(*[F.lit(k) for k in REQUIRED_SUMMARY_KEYS]), F.map_keys("top"))
+    flat = F.map_keys(F.map_filter("top", lambda k, v: k.isin(*DICT_KEYS, "engines") & ~is_object(v)))
+    flat_engines = F.map_keys(F.map_filter("engines", lambda k, v: ~is_object(v)))
     problems = F.concat(
         F.transform(missing, lambda k: F.concat(F.lit("missing required key: "), k)),
-        F.transform(not_obj, lambda k: F.concat(k, F.lit(" must be a dict"))),
-        F.coalesce(F.transform(bad_eng, lambda k: F.concat(F.lit("engines."), k, F.lit(" must be a dict"))), F.array().cast("array<string>")),
+        F.transform(flat, lambda k: F.concat(k, F.lit(" is not an object"))),
+        F.coalesce(F.transform(flat_engines, lambda k: F.concat(F.lit("engine "), k, F.lit(" is not an object"))), none),
     )
-    found = F.when(F.col("object"), problems).otherwise(F.array(F.lit("not a JSON object")))
-    return doc.select(key_col, F.explode(found).alias("problem"))
+    found = F.when(F.col("top").isNotNull(), problems).otherwise(F.array(F.lit("not a JSON object")))
+    return parsed.select(key_col, F.explode(found).alias("problem"))
 
 
 def assert_valid(raw: DataFrame, text_col: str = "value", key_col: str = "run") -> DataFrame:
@@ -165,31 +154,20 @@ def flatten_summary(summaries: DataFrame, score_cols: Sequence[str], keep: Seque
 def flatten_metrics_long(raw: DataFrame, key_col: str = "run", text_col: str = "value") -> DataFrame:
     """(run, metric, value) for every number of a summary document:
     top-level ``eval/<key>``, ``eval/<engine>/<key>`` for whatever engines and
-    counters it names, ``eval/quality/<name>``. Booleans, texts, lists and
-    nulls are not numbers and do not enter; NaN is one."""
-    options = {"allowNonNumericNumbers": "true"}
-    raw_map = lambda c: F.from_json(c, "map<string,string>", options)
-    doc = raw.select(key_col, raw_map(F.col(text_col)).alias("m"))
-    engines = raw_map(F.try_element_at("m", F.lit("engines")))
-    parts = doc.select(
-        key_col,
-        F.explode(
-            F.concat(
-                F.array(F.struct(F.lit("eval/").alias("prefix"), F.map_filter("m", lambda k, v: k.isin(*METRIC_KEYS)).alias("fields"), F.lit("").alias("raw"))),
-                F.array(F.struct(F.lit("eval/quality/").alias("prefix"), raw_map(F.try_element_at("m", F.lit("quality_score"))).alias("fields"), F.try_element_at("m", F.lit("quality_score")).alias("raw"))),
-                F.coalesce(
-                    F.transform(F.map_entries(engines), lambda e: F.struct(F.concat(F.lit("eval/"), e["key"], F.lit("/")).alias("prefix"), raw_map(e["value"]).alias("fields"), e["value"].alias("raw"))),
-                    F.array().cast("array<struct<prefix:string,fields:map<string,string>,raw:string>>"),
-                ),
-            )
-        ).alias("p"),
-    )
-    fields = parts.select(key_col, "p.prefix", "p.raw", F.explode("p.fields").alias("name", "text"))
-    # A number in quotes is a text.
-    fields = fields.filter(~F.coalesce(F.rlike("raw", F.concat(F.lit('"\\Q'), F.col("name"), F.lit('\\E"\\s*:\\s*"'))), F.lit(False)))
-    return fields.select(key_col, F.concat("prefix", "name").alias("metric"), F.col("text").try_cast("double").alias("value")).filter(
-        F.col("value").isNotNull()
+    counters it names, ``eval/quality/<name>``. Booleans, texts (quoted numbers
+    too), lists, objects and nulls are not numbers and do not enter; NaN is one.
+    An engine named ``quality`` shares that prefix; both numbers are rows."""
+    parsed = raw.select(key_col, document(text_col).alias("doc"))
+    kind = f"array<struct<prefix: string, fields: {FIELDS}>>"
+    part = lambda prefix, found: F.struct(prefix.alias("prefix"), found.alias("fields"))
+    metrics = F.map_filter(fields(F.col("doc")), lambda k, v: k.isin(*METRIC_KEYS))
+    engines = F.transform(F.map_entries(fields(F.col("doc"), "$.engines")), lambda e: part(F.concat(F.lit("eval/"), e["key"], F.lit("/")), fields(e["value"])))
+    parts = F.concat(
+        F.array(part(F.lit("eval/"), metrics), part(F.lit("eval/quality/"), fields(F.col("doc"), "$.quality_score"))),
+        F.coalesce(engines, F.array().cast(kind)),
     )
+    named = parsed.select(key_col, F.explode(parts).alias("p")).select(key_col, "p.prefix", F.explode("p.fields").alias("name", "held"))
+    return named.select(key_col, F.concat("prefix", "name").alias("metric"), number(F.col("held")).alias("value")).filter(F.col("value").isNotNull())
 
 
 def missing_items(required: Column, present: Column) -> Column:
@@ -215,26 +193,32 @@ def experiment_key(cols: Sequence[str], kind: str | Column, source: str | Column
                        F.concat(F.lit("seed"), c(seed).cast("string")), h)
 
 
-def first_hit_lookup(df: DataFrame, meta: DataFrame, candidates: Sequence[str], meta_key: str = "path") -> DataFrame:
-    """Metadata by candidate paths, first hit wins: one left join per
-    candidate column; the whole metadata row of the first candidate that
-    exists is taken. ``meta`` has (path, meta columns...)."""
+def ancestor_paths(path: str | Column) -> Column:
+    """A path and the folders above it, the nearest first, as candidates for ``first_hit_lookup``."""
+    parts = F.split(F.col(path) if isinstance(path, str) else path, "/")
+    every = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return F.filter(every, lambda p: p != "")
+
+
+def first_hit_lookup(df: DataFrame, meta: DataFrame, candidates: Sequence[str] | Column, meta_key: str = "path", newest: str | None = None) -> DataFrame:
+    """Metadata by candidate paths, first hit wins.
+
+    ``candidates`` are path columns in order, or one array of paths of any
+    length (``ancestor_paths``). The distinct lists are exploded with their
+    rank and meet the metadata in one equi-join on the path; the hit of lowest
+    rank is kept per list, and joined back. ``meta`` has (path, meta columns...);
+    of several rows with one path the one with the largest ``newest`` counts,
+    or else the one that is least in column order, so no row is multiplied.
+    Null candidates and a null path match nothing. Adds ``meta_path`` (null
+    without a hit) and the meta columns, which replace columns of their name.
+    """
     value_cols = [c for c in meta.columns if c != meta_key]
-    out = df
-    for i, cand in enumerate(candidates):
-        m = meta.select(F.col(meta_key).alias(f"_k{i}"), *[F.col(v).alias(f"_m{i}_{v}") for v in value_cols])
-        out = out.join(m, out[cand] == m[f"_k{i}"], "left")
-
-    def first(per_candidate):
-        expr = None
-        for i in range(len(candidates)):
-            hit = F.col(f"_k{i}").isNotNull()
-            expr = F.when(hit, per_candidate(i)) if expr is None else expr.when(hit, per_candidate(i))
-        return expr
-
-    helper = [f"_k{i}" for i in range(len(candidates))] + [f"_m{i}_{v}" for i in range(len(candidates)) for v in value_cols]
-    return out.select(
-        *[c for c in out.columns if c not in helper],
-        first(lambda i: F.col(f"_k{i}")).alias("meta_path"),
-        *[first(lambda i, v=v: F.col(f"_m{i}_{v}")).alias(v) for v in value_cols],
-    )
+    values = F.struct(*[F.col(f"`{c}`") for c in value_cols])
+    chosen = F.max_by(values, F.struct(F.col(newest), values)) if newest else F.min(values)
+    known = meta.filter(F.col(meta_key).isNotNull()).groupBy(F.col(meta_key).alias("_path")).agg(chosen.alias("_values"))
+    listed = candidates if isinstance(candidates, Column) else F.array(*[F.col(c) for c in candidates])
+    asked = df.withColumn("_asked", F.coalesce(listed, F.array().cast("array<string>")))
+    ranked = asked.select("_asked").distinct().select("_asked", F.posexplode("_asked").alias("_rank", "_path"))
+    hits = ranked.join(known, "_path").groupBy("_asked").agg(F.min_by(F.struct("_path", "_values"), "_rank").alias("_hit"))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("meta_path", *value_cols)]
+    return asked.join(hits, "_asked", "left").select(*kept, F.col("_hit._path").alias("meta_path"), *[F.col("_hit._values").getField(c).alias(c) for c in value_cols])

@@ -53,7 +53,8 @@ def summary_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("vllm")
         ).alias("engines"),
     )
-    return c.select("run", F.to_json(doc, {"allowNonNumericNumbers": "true"}).alias("value"))
+    # Files have NaN as a bare word; to_json puts it in quotes.
+    return c.select("run", F.regexp_replace(F.to_json(doc), '":"NaN"', '":NaN').alias("value"))
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,8 +116,8 @@ def test_validate_summary(spark):
         probs.setdefault(r["run"], []).append(r["problem"])
     assert "ok" not in probs
     assert probs["missing"] == ["missing required key: speedup"]
-    assert probs["wrongtype"] == ["quality_score must be a dict"]
-    assert probs["badengine"] == ["engines.hf must be a dict"]
+    assert probs["wrongtype"] == ["quality_score is not an object"]
+    assert probs["badengine"] == ["engine hf is not an object"]
     broken = spark.createDataFrame([("cut", summary_doc()[:80]), ("list", "[1, 2]"), ("empty", ""), ("null", None)], "run string, value string")
     assert {(r["run"], r["problem"]) for r in validate_summaries(broken).collect()} == {(k, "not a JSON object") for k in ("cut", "list", "empty", "null")}
     assert assert_valid(raw.filter("run = 'ok'")).count() == 1
@@ -179,6 +179,46 @@ def test_experiment_key_and_lookup(spark):
     assert got["/c/r1"] == ("/c/r1", "m1") and got["/c/r2"] == ("/c/r2/model", "m2b")
 
 
+def test_lookup_by_any_number_of_ancestors(spark):
+    from sparkdraft.operators.summaries import ancestor_paths
+
+    runs = spark.createDataFrame([("/a/b/c", 1), ("/a/b/c", 2), ("/a/x", 3), ("/z", 4), (None, 5), ("/n", 6)], "dir string, n int")
+    meta = spark.createDataFrame(
+        [("/a/b", "old", 1), ("/a/b", "new", 2), ("/a", "twice-b", 1), ("/a", "twice-a", 1), (None, "lost", 9), ("/n", None, 0)], "path string, dataset_id string, mtime int"
+    )
+    by_rule = first_hit_lookup(runs, meta, ancestor_paths("dir"))
+    assert sorted((r["n"], r["meta_path"], r["dataset_id"]) for r in by_rule.collect()) == [(1, "/a/b", "new"), (2, "/a/b", "new"), (3, "/a", "twice-a"), (4, None, None), (5, None, None), (6, "/n", None)]
+    newest = first_hit_lookup(runs, meta, ancestor_paths("dir"), newest="mtime")
+    assert {r["n"]: r["dataset_id"] for r in newest.collect()} == {1: "new", 2: "new", 3: "twice-b", 4: None, 5: None, 6: None}
+    clash = runs.withColumn("dataset_id", F.lit("own")).withColumn("mtime", F.lit(7))
+    assert first_hit_lookup(clash, meta, ["dir"]).columns == ["dir", "n", "meta_path", "dataset_id", "mtime"]
+    assert first_hit_lookup(runs.limit(0), meta, ["dir"]).count() == 0 and first_hit_lookup(runs, meta.limit(0), ["dir"]).count() == 6
+
+
+def test_typed_documents(spark):
+    from sparkdraft.functions.documents import document, nested_get
+
+    texts = ['{"a": {"b": 1.5, "q": "7", "t": true, "n": null, "i": 3, "s": "x"}}', '{"a": 1}', '{"a": {"b": NaN}}', "[1]", '{"a": 1} x', '{"a": 1} {"a": 2}', '{"a":', "", None, '{"a": 1, "a": 2}', ' {"a": {}} ']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("d", document("t"))
+    get = lambda path, kind, default: [r[0] for r in df.orderBy("i").select(nested_get(F.col("d"), path, kind, default)).collect()]
+    assert [r[0] for r in df.orderBy("i").select(F.col("d").isNull()).collect()] == [False] * 4 + [True] * 6 + [False]
+    assert get("$.a.b", "double", -1.0)[:2] == [1.5, -1.0] and str(get("$.a.b", "double", -1.0)[2]) == "nan"
+    assert get("$.a.q", "double", -1.0)[0] == -1.0 and get("$.a.q", "string", "")[0] == "7"
+    assert get("$.a.t", "boolean", False)[0] is True and get("$.a.n", "string", "none")[0] == "none"
+    assert get("$.a.i", "int", 0)[0] == 3 and get("$.a.b", "int", 0)[0] == 0 and get("$.a.i", "string", "?")[0] == "?"
+    with pytest.raises(ValueError):
+        nested_get(F.col("d"), "$.a", "date", None)
+
+
+def test_numbers_keep_the_type_they_are_written_with(spark):
+    quoted = summary_doc(speedup='"1.5"', engines={"vllm": {"speedup": 2.0, "note": {"speedup": "x"}}, "flag": True, "tgi": None})
+    m = {r["metric"]: r["value"] for r in flatten_metrics_long(spark.createDataFrame([("r", quoted)], "run string, value string")).collect()}
+    assert "eval/speedup" not in m and m["eval/vllm/speedup"] == 2.0 and m["eval/quality/exact_match_vs_target"] == 0.25
+    none = spark.createDataFrame([("a", None), ("b", ""), ("c", "[1]"), ("d", quoted[:50]), ("e", quoted + " {}")], "run string, value string")
+    assert flatten_metrics_long(none).count() == 0
+    assert {r["problem"] for r in validate_summaries(spark.createDataFrame([("r", quoted)], "run string, value string")).collect()} == {"engine flag is not an object", "engine tgi is not an object"}
+
+
 def test_manifest_and_csv_append(spark, tmp_dir):
     from sparkdraft.sources.files import csv_ready, job_timestamp, manifest_sink, split_manifest
 

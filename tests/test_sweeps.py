@@ -151,13 +151,12 @@ def test_infer_and_cache_state(spark):
 
 
 def test_numeric_helpers(spark):
-    from sparkdraft.functions.numeric import guarded_ratio, nested_get, relative_gain_pct, round_half_even_int, sort_keys
+    from sparkdraft.functions.numeric import guarded_ratio, relative_gain_pct, round_half_even_int, sort_keys
 
     df = spark.createDataFrame([(2.5, 4.0, float("nan"), 0.0)], "a double, b double, n double, z double")
     r = df.select(
         round_half_even_int("a").alias("r"), guarded_ratio("b", "a").alias("q"), guarded_ratio("b", "n", 1.0).alias("qn"),
         guarded_ratio("b", "z").alias("qz"), relative_gain_pct("b", "a").alias("g"),
-        nested_get("n", 0.0).alias("ng"),
     ).collect()[0]
     assert (r["r"], r["q"], r["qn"], r["qz"], r["g"]) == (2, 1.6, 1.0, None, 60.0)
     rows = spark.createDataFrame([(1, "b"), (2, "a"), (1, "a")], "x int, y string").orderBy(*sort_keys(("x", False), ("y", True))).collect()
