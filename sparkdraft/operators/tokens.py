@@ -1,5 +1,5 @@
 """Tokenized training examples as array columns (X07-X09, P09, P10, F03,
-W04, W05, A28, A32).
+W04, W05, A32).
 
 Token id arrays are ``ARRAY<INT>``; every transformation is a higher-order
 array function evaluated inside the JVM, per row, with no shuffle. Only
@@ -8,9 +8,6 @@ padding to a batch maximum needs a (bounded) window per batch.
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,19 +35,6 @@ def char_token_ids(text: str | Column, mode: str = "mod101") -> Column:
     return F.when(F.length(s) == 0, F.array().cast("array<int>")).otherwise(ids)
 
 
-def decode_identity(ids: str | Column) -> Column:
-    """Inverse of the identity char tokenizer: code points back to text.
-
-    Spark's ``chr`` is byte-valued (n mod 256), so this small per-row
-    helper is an Arrow-batched pandas UDF.
-    """
-    @F.pandas_udf("string")
-    def _decode(s: pd.Series) -> pd.Series:
-        return s.map(lambda a: None if a is None else "".join(chr(int(i)) for i in a))
-
-    return _decode(col_(ids))
-
-
 def apply_template(prompt: str | Column, template: str | None) -> Column:
     """Wrap the user text in a chat template containing ``{text}``
     (identity when there is no template)."""
@@ -177,50 +161,6 @@ def pad_to_batch_max(df: DataFrame, batch_col: str, pad_id: int | None = TEST_PA
     )
 
 
-def content_digest(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Order- and partition-insensitive digest of a table.
-
-    Each row's canonical text (fields joined by U+001F) is hashed with
-    sha256; the first 60 bits of each hash are summed as an exact decimal.
-    Sums combine map-side, so no row order or single task is needed.
-    Output: one row (n_rows, digest).
-    """
-    row_text = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
-    h60 = F.conv(F.substring(F.sha2(row_text, 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.coalesce(F.sum(h60), F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest"),
-    )
-
-
-def dataset_fingerprint(
-    df: DataFrame,
-    cols: list[str],
-    *,
-    tokenizer_name: str,
-    template: str | None,
-    max_seq_len: int,
-    add_eos: bool = True,
-) -> DataFrame:
-    """16-hex key over (content digest, tokenizer, template, max_len,
-    policy). Stable across partitionings; sensitive to every input."""
-    policy = json.dumps({"add_eos": bool(add_eos), "mask": "response_only_v1"})
-    d = content_digest(df, cols)
-    key = F.sha2(
-        F.concat_ws(
-            "|",
-            F.col("n_rows").cast("string"),
-            F.col("digest"),
-            F.lit(tokenizer_name),
-            F.lit(template or ""),
-            F.lit(str(int(max_seq_len))),
-            F.lit(policy),
-        ),
-        256,
-    )
-    return d.select("n_rows", "digest", F.substring(key, 1, 16).alias("fingerprint"))
-
-
 def truncation_count(df: DataFrame, flag_col: str = "metadata.target_prompt_truncated") -> DataFrame:
     """How many prompts were left-truncated."""
     return df.agg(F.count_if(F.coalesce(F.col(flag_col), F.lit(False))).alias("n_truncated"))

@@ -18,6 +18,7 @@ from sparkdraft.operators.tokens import TEST_TEMPLATE, apply_template, char_toke
 from sparkdraft.plans.prep_queries import FIRST_EXCHANGE_SQL, chat_records
 from sparkdraft.plans.registry import register, strip_sql, table
 from sparkdraft.plugins.generation import generate_responses, prompt_echo_generator, rewrite_response
+from sparkdraft.plugins.corpus_scores import CorpusScore, CorpusScores
 from sparkdraft.plugins.scorers import ScoreTable
 
 MODEL_LEN, MAX_NEW = 256, 64
@@ -85,3 +86,46 @@ def q_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     s = ScoreTable().scores(g, ["exact_match_vs_target", "not_declared"])
     return s.select("name", F.round("score", 9).alias("score"))
+
+
+def _grams_sql(n: int) -> str:
+    """Counts of word n-grams by record and side."""
+    words = "string_split({}, ' ')"
+    gram = " || ' ' || ".join(f"w[i + {k}]" if k else "w[i]" for k in range(n))
+    listed = " UNION ALL ".join(f"SELECT id, '{side}' AS side, {words.format(col)} AS w FROM rec" for side, col in (("g", "response_text"), ("t", "prompt_text")))
+    return f"(SELECT id, side, gram, count(*) AS n FROM (SELECT id, side, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: {gram})) AS gram FROM ({listed})) GROUP BY id, side, gram)"
+
+
+def _overlap_sql(n: int) -> str:
+    g = _grams_sql(n)
+    return f"(SELECT round(coalesce(sum(least(g.n, coalesce(t.n, 0))) / sum(g.n), 0.0), 9) FROM {g} g LEFT JOIN {g} t ON t.id = g.id AND t.gram = g.gram AND t.side = 't' WHERE g.side = 'g')"
+
+
+CORPUS_SCORE_SQL = f"""
+WITH rec AS (SELECT meta_conversation_id AS id, prompt_text, response_text FROM ({FIRST_EXCHANGE_SQL}))
+SELECT 'pooled_unigram_overlap' AS name, CAST({_overlap_sql(1)} AS DOUBLE) AS score, CAST(NULL AS VARCHAR) AS problem
+UNION ALL SELECT 'pooled_bigram_overlap', CAST({_overlap_sql(2)} AS DOUBLE), NULL
+UNION ALL SELECT 'longest_answer', CAST((SELECT max(length(response_text)) FROM rec) AS DOUBLE), NULL
+UNION ALL SELECT 'fails_on_rows', NULL, 'ValueError: no score for this row'
+UNION ALL SELECT 'fails_at_the_end', NULL, 'ends in nan'
+UNION ALL SELECT 'unknown', NULL, 'not declared'
+"""
+
+
+def _refuse(state: int, rows) -> int:
+    raise ValueError("no score for this row")
+
+
+@register("corpus_scores", CORPUS_SCORE_SQL)
+def q_corpus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U01 + A30 over a whole table: pooled n-gram overlaps of answers with
+    their prompts and a user's score, in one pass; scores that fail on a row or
+    at the end leave their reason."""
+    recs = chat_records(spark, sf_dir).select(F.col("response_text").alias("generation"), F.col("prompt_text").alias("target_generation"))
+    longest = CorpusScore(("generation",), lambda: 0, lambda s, rows: max(s, int(rows["generation"].str.len().max())), max, float)
+    scores = CorpusScores({
+        "longest_answer": longest,
+        "fails_on_rows": CorpusScore(("generation",), lambda: 0, _refuse, max, float),
+        "fails_at_the_end": CorpusScore(("generation",), lambda: 0, lambda s, rows: s, max, lambda s: float("nan")),
+    }).scores(recs, ["pooled_unigram_overlap", "pooled_bigram_overlap", "longest_answer", "fails_on_rows", "fails_at_the_end", "unknown"])
+    return scores.select("name", F.round("score", 9).alias("score"), "problem")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkdraft.operators.fingerprints import content_parts, dataset_fingerprint, digest_text, merge_parts
 from sparkdraft.operators.ordering import with_global_index
 from sparkdraft.operators.tokens import (
     TEST_EOS_TEXT,
@@ -12,7 +15,6 @@ from sparkdraft.operators.tokens import (
     apply_template,
     batch_id,
     char_token_ids,
-    dataset_fingerprint,
     left_truncate,
     pad_to_batch_max,
     prompt_budget,
@@ -25,7 +27,7 @@ from sparkdraft.plans.prep_queries import (
     chat_records,
     q_alpaca_normalize,
 )
-from sparkdraft.plans.registry import register
+from sparkdraft.plans.registry import register, table
 
 CHAT_MAX_LEN = 4096
 BATCH_SIZE = 8
@@ -178,14 +180,25 @@ def q_truncation_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_count(_truncated(spark, sf_dir), "t.truncated")
 
 
+_FP_COLS = ["id", "prompt_text", "response_text", "source"]
+
+
+def _lanes_sql(cols: list[str]) -> str:
+    """Sums modulo 2**60 of the four lanes of each row's hash, twin of ``content_parts``."""
+    row = " || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in cols)
+    lanes = (f"coalesce(sum(CAST(('0x' || substr(sha256({row}), {1 + 15 * i}, 15))::BIGINT AS HUGEINT)), 0) % {1 << 60} AS lane{i}" for i in range(4))
+    return "count(*) AS n_rows, " + ", ".join(lanes)
+
+
+_DIGEST_SQL = "concat_ws('-', " + ", ".join(f"CAST(lane{i} AS VARCHAR)" for i in range(4)) + ")"
+_FP_SETTINGS = json.dumps(
+    {"columns": [[c, "string"] for c in _FP_COLS], "tokenizer": "char-mod101", "template": TEST_TEMPLATE, "max_seq_len": CHAT_MAX_LEN, "add_eos": True, "mask": "response_only_v1"}, sort_keys=True
+)
 FP_SQL = f"""
 WITH rec AS ({FIRST_EXCHANGE_SQL}),
-d AS (SELECT count(*) AS n_rows,
-             CAST(coalesce(sum(CAST(('0x' || substr(sha256(concat_ws(chr(31), id, prompt_text, response_text, source)), 1, 15))::BIGINT AS HUGEINT)), 0) AS VARCHAR) AS digest
-      FROM rec)
-SELECT n_rows, digest,
-       substr(sha256(concat_ws('|', CAST(n_rows AS VARCHAR), digest, 'char-mod101', '{TEST_TEMPLATE}', '{CHAT_MAX_LEN}',
-                               '{{"add_eos": true, "mask": "response_only_v1"}}')), 1, 16) AS fingerprint
+l AS (SELECT {_lanes_sql(_FP_COLS)} FROM rec),
+d AS (SELECT CAST(n_rows AS BIGINT) AS n_rows, {_DIGEST_SQL} AS digest FROM l)
+SELECT n_rows, digest, substr(sha256(concat_ws('|', CAST(n_rows AS VARCHAR), digest, '{_FP_SETTINGS}')), 1, 16) AS fingerprint
 FROM d
 """
 
@@ -194,13 +207,35 @@ FROM d
 def q_chat_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content-addressed key of the tokenized chat dataset."""
     recs = chat_records(spark, sf_dir)
-    return dataset_fingerprint(
-        recs,
-        ["id", "prompt_text", "response_text", "source"],
-        tokenizer_name="char-mod101",
-        template=TEST_TEMPLATE,
-        max_seq_len=CHAT_MAX_LEN,
-    )
+    return dataset_fingerprint(recs, _FP_COLS, tokenizer_name="char-mod101", template=TEST_TEMPLATE, max_seq_len=CHAT_MAX_LEN)
+
+
+MERGED_SQL = f"""
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, nullif(text, '') AS text, lang, source FROM documents),
+parts AS (SELECT source, lang, {_lanes_sql(["id", "text", "lang", "source"])} FROM d GROUP BY source, lang),
+by_source AS (SELECT source, {_lanes_sql(["id", "text", "lang", "source"])} FROM d GROUP BY source),
+whole AS (SELECT {_lanes_sql(["id", "text", "lang", "source"])} FROM d)
+SELECT 'part' AS level, source, lang, CAST(n_rows AS BIGINT) AS n_rows, {_DIGEST_SQL} AS digest FROM parts
+UNION ALL SELECT 'source', source, NULL, CAST(n_rows AS BIGINT), {_DIGEST_SQL} FROM by_source
+UNION ALL SELECT 'whole', NULL, NULL, CAST(n_rows AS BIGINT), {_DIGEST_SQL} FROM whole
+"""
+
+
+@register("merged_fingerprints", MERGED_SQL)
+def q_merged_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the documents by source and language; those of sources
+    and of the whole table are merged from them, no text is read again. The
+    oracle reads all texts for each level."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.nullif(F.col("text"), F.lit("")).alias("text"), "lang", "source")
+    parts = content_parts(d, ["id", "text", "lang", "source"], by=["source", "lang"])
+    none = F.lit(None).cast("string")
+    levels = [
+        parts.withColumn("level", F.lit("part")),
+        merge_parts(parts, ["source"]).withColumns({"level": F.lit("source"), "lang": none}),
+        merge_parts(merge_parts(parts, ["source"])).withColumns({"level": F.lit("whole"), "source": none, "lang": none}),
+    ]
+    rows = [x.select("level", "source", "lang", "n_rows", digest_text().alias("digest")) for x in levels]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 SHORT_LEN = 160

@@ -101,3 +101,51 @@ def test_scorers(spark):
     assert list(usable) == ["length"] and set(refused) == {"no_such_scorer", "lost", "wrong"}
     assert ScoreTable().scores(g, ["nothing"]).count() == 0
     assert [r["score"] for r in ScoreTable().scores(g.limit(0), ["exact_match_vs_target"]).collect()] == [0.0]
+
+
+def test_corpus_scores(spark):
+    from collections import Counter
+
+    from sparkdraft.plugins import corpus_scores
+    from sparkdraft.plugins.corpus_scores import CorpusScore, CorpusScores
+
+    rows = [("a b a c", "a b b"), ("x y", "x y z"), (None, "q"), ("a a a", "a a"), ("", "")] * 9
+    g = spark.createDataFrame(rows, "generation string, target_generation string").repartition(7)
+
+    def pooled(n):
+        hit = all_ = 0
+        for a, b in rows:
+            ga, gb = (Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) for w in ((a or "").split(" "), (b or "").split(" ")))
+            hit, all_ = hit + sum(min(c, gb[k]) for k, c in ga.items()), all_ + sum(ga.values())
+        return hit / all_
+
+    def state_too_large(state, rows):
+        return state + b"x" * (corpus_scores.MOST_BYTES + 1)
+
+    def cannot_merge(a, b):
+        raise RuntimeError("merge")
+
+    def cannot_start():
+        raise KeyError("start")
+
+    most = CorpusScore(("generation",), lambda: 0, lambda s, rows: s + len(rows), lambda a, b: a + b, float)
+    extra = {
+        "rows": most,
+        "large": CorpusScore(("generation",), bytes, state_too_large, lambda a, b: a + b, len),
+        "unmerged": CorpusScore(("generation",), lambda: 0, lambda s, rows: s, cannot_merge, float),
+        "unstarted": CorpusScore(("generation",), cannot_start, lambda s, rows: s, max, float),
+        "lost": CorpusScore(("nowhere",), lambda: 0, lambda s, rows: s, max, float),
+        "text": CorpusScore(("generation",), lambda: "z", lambda s, rows: s, max, float),
+    }
+    wanted = ["pooled_unigram_overlap", "pooled_bigram_overlap", *extra, "never", "rows"]
+    got = {r["name"]: (r["score"], r["problem"]) for r in CorpusScores(extra).scores(g, wanted).collect()}
+    assert set(got) == set(wanted)
+    assert abs(got["pooled_unigram_overlap"][0] - pooled(1)) < 1e-12 and abs(got["pooled_bigram_overlap"][0] - pooled(2)) < 1e-12
+    assert got["rows"] == (45.0, None)
+    assert got["large"][1].startswith("state of ") and got["unmerged"][1] == "RuntimeError: merge" and got["unstarted"][1] == "KeyError: 'start'"
+    assert got["lost"] == (None, "lacks nowhere") and got["never"] == (None, "not declared") and got["text"][1].startswith("ValueError")
+    empty = {r["name"]: r["score"] for r in CorpusScores(extra).scores(g.limit(0), ["rows", "pooled_bigram_overlap"]).collect()}
+    assert empty == {"rows": 0.0, "pooled_bigram_overlap": 0.0}
+    # The partitioning does not change a score.
+    for n in (1, 64):
+        assert CorpusScores().scores(g.repartition(n), ["pooled_bigram_overlap"]).first()["score"] == got["pooled_bigram_overlap"][0]
