@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sparkdraft.operators.prep import normalize_rows
 from sparkdraft.operators.summaries import SUMMARY_SCHEMA, flatten_summary
+from sparkdraft.sources.committed import read_newest, upsert_newest
 from sparkdraft.sources.files import RUN_FROM_PATH
 
 
@@ -62,15 +63,27 @@ def summary_stream(spark: SparkSession, pattern_dir: str, score_names: list[str]
     return flatten_summary(raw, score_names, keep=("run", "summary_path", "file_mtime"))
 
 
-def start_sweep_rows(stream: DataFrame, table_dir: str, checkpoint: str) -> StreamingQuery:
-    """ST2 sink: each micro-batch keeps the newest row per run and
-    overwrites its own ``batch_id=N`` folder, so a replayed batch rewrites
-    the same files (idempotent); ``read_sweep_rows`` keeps one row per run
-    across batches."""
+#: Columns of a line of ``run_line_stream`` besides the summary's own.
+RUN_LINE = T.StructType([T.StructField("run", T.StringType()), T.StructField("finished_at", T.DoubleType()), *SUMMARY_SCHEMA.fields])
+
+
+def run_line_stream(spark: SparkSession, src_dir: str, score_names: list[str]) -> DataFrame:
+    """ST2 source for many runs a file: JSON Lines of summaries with ``run`` and
+    ``finished_at``, flattened."""
+    raw = spark.readStream.schema(RUN_LINE).option("allowNonNumericNumbers", True).json(src_dir)
+    return flatten_summary(raw, score_names, keep=("run", "finished_at"))
+
+
+def start_sweep_rows(stream: DataFrame, table_dir: str, checkpoint: str, newest: tuple[str, ...] = ("file_mtime", "summary_path")) -> StreamingQuery:
+    """ST2 sink: at most one row per run, the newest by ``newest``, whatever order
+    files come in. Each micro-batch rewrites the buckets of the table that it
+    touches and commits (``upsert_newest``); a replayed batch of this query
+    changes nothing, nor does a file that comes late but is older."""
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        latest = batch.groupBy("run").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in batch.columns]), "file_mtime").alias("r")).select("r.*")
-        latest.write.mode("overwrite").parquet(f"{table_dir.rstrip('/')}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        source = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "stream"
+        upsert_newest(spark, batch, table_dir, source, batch_id, key="run", newest=newest)
 
     return (
         stream.writeStream.foreachBatch(write_batch)
@@ -81,9 +94,5 @@ def start_sweep_rows(stream: DataFrame, table_dir: str, checkpoint: str) -> Stre
 
 
 def read_sweep_rows(spark: SparkSession, table_dir: str) -> DataFrame:
-    """ST2 table view: at most one row per run (the one from the latest
-    batch, then the newest file)."""
-    df = spark.read.parquet(table_dir)
-    cols = [c for c in df.columns if c != "batch_id"]
-    key = F.struct("batch_id", "file_mtime")
-    return df.groupBy("run").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in cols]), key).alias("r")).select("r.*")
+    """ST2 table view: one row per run as of the last commit."""
+    return read_newest(spark, table_dir)
