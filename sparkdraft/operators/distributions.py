@@ -13,6 +13,8 @@ the student/teacher join, so all sides share one hash partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -255,8 +257,8 @@ def valid_position(use_mask: bool = True) -> Column:
     return ok
 
 
-def position_losses(pairs: DataFrame, temperature: float = 1.0) -> DataFrame:
-    """Per valid position: ce (T=1, against next_label) and fkl/rkl/jsd at T.
+def position_losses(pairs: DataFrame, temperature: float = 1.0, keep: Sequence[str] = ()) -> DataFrame:
+    """Per valid position: ce (T=1, against next_label) and fkl/rkl/jsd at T; ``keep`` columns pass through.
 
     CE ignores the response mask (it only skips -100); divergences use it.
     """
@@ -267,6 +269,7 @@ def position_losses(pairs: DataFrame, temperature: float = 1.0) -> DataFrame:
     lt = log_softmax("teacher", temperature)
     ce = -F.element_at(ls1, F.col("next_label") + 1)
     base = pairs.select(
+        *keep,
         "seq",
         "pos",
         valid_position(False).alias("ce_valid"),
@@ -276,6 +279,7 @@ def position_losses(pairs: DataFrame, temperature: float = 1.0) -> DataFrame:
         lt.alias("_lt"),
     )
     return base.select(
+        *keep,
         "seq",
         "pos",
         "ce_valid",
@@ -285,31 +289,48 @@ def position_losses(pairs: DataFrame, temperature: float = 1.0) -> DataFrame:
     )
 
 
-def kd_losses(pairs: DataFrame, *, temperature: float = 1.0, alpha: float = 0.5) -> DataFrame:
-    """A21 + A22 + A23: one row per kind with (kd, ce, loss, n_positions).
+LOSS_KINDS = ("fkl", "rkl", "jsd")
+#: Partial state of the losses: sums and numbers of positions, at T = 1 for ce and at T for the divergences.
+LOSS_STATE = ["n_ce", "n_kd", "ce", *LOSS_KINDS]
+
+
+def loss_states(pairs: DataFrame, *, temperature: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., n_ce, n_kd, ce, fkl, rkl, jsd), sums over the positions of
+    each part: all that later positions need of earlier ones."""
+    losses = position_losses(pairs, temperature, keep=by)
+    sums = [F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("ce", *LOSS_KINDS)]
+    return losses.groupBy(*by).agg(F.count_if("ce_valid").alias("n_ce"), F.count_if("kd_valid").alias("n_kd"), *sums)
+
+
+def merge_losses(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The states of parts put together, by the columns ``by`` (all as one without)."""
+    zero = {"n_ce": F.lit(0), "n_kd": F.lit(0)}
+    return states.groupBy(*by).agg(*[F.coalesce(F.sum(c), zero.get(c, F.lit(0.0))).alias(c) for c in LOSS_STATE])
+
+
+def losses_of(states: DataFrame, *, temperature: float = 1.0, alpha: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
+    """A21-A23 from states: per row of them one row per kind with (kd, ce, loss, n_positions).
 
     kd = mean divergence over valid positions x T^2 (0 when none), ce =
     mean NLL over non-ignored positions (0 when none), loss = alpha*kd +
-    (1-alpha)*ce; kind 'ce' has kd 0 and loss = ce. Means are partial
-    aggregates, so chunking the positions cannot change them (A24).
+    (1-alpha)*ce; kind 'ce' has kd 0 and loss = ce.
     """
-    pl = position_losses(pairs, temperature)
-    t2 = float(temperature) ** 2
-    agg = pl.agg(
-        F.coalesce(F.avg("ce"), F.lit(0.0)).alias("ce"),
-        F.count_if("ce_valid").alias("n_ce"),
-        F.count_if("kd_valid").alias("n_kd"),
-        *[(F.coalesce(F.avg(k), F.lit(0.0)) * F.lit(t2)).alias(k) for k in ("fkl", "rkl", "jsd")],
-    )
-    rows = [
-        F.struct(F.lit(k).alias("kind"), F.col(k).alias("kd"), F.col("n_kd").alias("n_positions"))
-        for k in ("fkl", "rkl", "jsd")
-    ] + [F.struct(F.lit("ce").alias("kind"), F.lit(0.0).alias("kd"), F.col("n_ce").alias("n_positions"))]
-    out = agg.select("ce", F.explode(F.array(*rows)).alias("r")).select("r.*", "ce")
+    mean = lambda total, n: F.coalesce(F.try_divide(F.col(total), F.col(n)), F.lit(0.0))
+    means = states.select(*by, "n_ce", "n_kd", mean("ce", "n_ce").alias("ce"), *[(mean(k, "n_kd") * F.lit(float(temperature) ** 2)).alias(k) for k in LOSS_KINDS])
+    rows = [F.struct(F.lit(k).alias("kind"), F.col(k).alias("kd"), F.col("n_kd").alias("n_positions")) for k in LOSS_KINDS]
+    rows.append(F.struct(F.lit("ce").alias("kind"), F.lit(0.0).alias("kd"), F.col("n_ce").alias("n_positions")))
+    out = means.select(*by, "ce", F.explode(F.array(*rows)).alias("r")).select(*by, "r.*", "ce")
     loss = F.when(F.col("kind") == "ce", F.col("ce")).otherwise(
         F.lit(float(alpha)) * F.col("kd") + F.lit(1.0 - float(alpha)) * F.col("ce")
     )
-    return out.select("kind", "kd", "ce", loss.alias("loss"), F.col("n_positions").cast("long"))
+    return out.select(*by, "kind", "kd", "ce", loss.alias("loss"), F.col("n_positions").cast("long"))
+
+
+def kd_losses(pairs: DataFrame, *, temperature: float = 1.0, alpha: float = 0.5) -> DataFrame:
+    """A21 + A22 + A23 over all positions: one row per kind (see ``losses_of``).
+    The sums are partial aggregates, so chunking the positions cannot change
+    them but for the rounding of their order (A24)."""
+    return losses_of(loss_states(pairs, temperature=temperature), temperature=temperature, alpha=alpha)
 
 
 def acceptance_by_temperature(pairs: DataFrame, temperatures: list[float]) -> DataFrame:

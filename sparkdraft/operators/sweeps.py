@@ -566,3 +566,47 @@ def param_grid(spark, **axes: Sequence) -> DataFrame:
     for name, values in axes.items():
         df = df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     return df
+
+
+def reconcile_grid(wanted: DataFrame, runs: DataFrame, axes: Sequence[str], same: Sequence[str] = ()) -> DataFrame:
+    """One row per finding about a grid of cells (``axes``) and the
+    runs that should fill it, each cell once.
+
+    'missing': a wanted cell without a run; 'extra': runs of a cell not wanted;
+    'duplicated': more than one run of a wanted cell; 'uneven': a cell whose
+    value of a ``same`` column is not the one that most cells have (the least
+    of several such). Columns: the axes, finding, n_runs, and for 'uneven'
+    column and value (as text). A null is a value like any other on an axis. One
+    aggregate of the runs by cell and one full outer join of cells.
+    """
+    axes = list(axes)
+    none = F.lit(None).cast("string")
+    held = runs.groupBy(*axes).agg(F.count(F.lit(1)).alias("n_runs"), *[F.min(c).cast("string").alias(f"_low_{c}") for c in same], *[F.max(c).cast("string").alias(f"_high_{c}") for c in same])
+    asked = wanted.select(*axes).distinct().withColumn("_wanted", F.lit(True))
+    pairs = [F.col(f"h.{a}").eqNullSafe(F.col(f"w.{a}")) for a in axes]
+    on = pairs[0]
+    for p in pairs[1:]:
+        on = on & p
+    both = held.alias("h").join(asked.alias("w"), on, "full_outer").select(
+        *[F.coalesce(F.col(f"h.{a}"), F.col(f"w.{a}")).alias(a) for a in axes], F.coalesce("n_runs", F.lit(0)).cast("long").alias("n_runs"), F.coalesce("_wanted", F.lit(False)).alias("_wanted")
+    )
+    finding = F.when(F.col("n_runs") == 0, "missing").when(~F.col("_wanted"), "extra").when(F.col("n_runs") > 1, "duplicated")
+    out = both.select(*axes, finding.alias("finding"), "n_runs", none.alias("column"), none.alias("value")).filter(F.col("finding").isNotNull())
+    for c in same:
+        low, high = F.col(f"_low_{c}"), F.col(f"_high_{c}")
+        # One row: the commonest value over cells.
+        usual = held.groupBy(low.alias("_usual")).agg(F.count(F.lit(1)).alias("_n")).agg(F.min_by("_usual", F.struct(-F.col("_n"), F.col("_usual"))).alias("_usual"))
+        beside = held.withColumn("_one", F.lit(1)).join(F.broadcast(usual.withColumn("_one", F.lit(1))), "_one")
+        odd = beside.filter(~(low.eqNullSafe(F.col("_usual")) & high.eqNullSafe(F.col("_usual"))))
+        value = F.when(low.eqNullSafe(high), low).otherwise(F.concat_ws(" to ", low, high))
+        out = out.unionByName(odd.select(*axes, F.lit("uneven").alias("finding"), F.col("n_runs").cast("long"), F.lit(c).alias("column"), value.alias("value")))
+    return out
+
+
+def grid_balance(wanted: DataFrame, runs: DataFrame, axes: Sequence[str], same: Sequence[str] = ()) -> DataFrame:
+    """one row: wanted cells, runs, findings by kind, and whether the grid is balanced (none)."""
+    found = reconcile_grid(wanted, runs, axes, same).agg(*[F.count_if(F.col("finding") == k).alias(f"n_{k}") for k in ("missing", "extra", "duplicated", "uneven")])
+    sizes = [df.agg(F.count(F.lit(1)).alias(n)) for df, n in ((wanted.select(*axes).distinct(), "n_cells"), (runs, "n_runs"))]
+    rows = sizes[0].unionByName(sizes[1], allowMissingColumns=True).unionByName(found, allowMissingColumns=True)
+    out = rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+    return out.withColumn("balanced", F.col("n_missing") + F.col("n_extra") + F.col("n_duplicated") + F.col("n_uneven") == 0)

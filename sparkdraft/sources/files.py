@@ -7,6 +7,7 @@ explicit schema (no inference pass over the data).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -182,30 +183,21 @@ def final_metrics_scan(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def inventory_scan(spark: SparkSession, root: str) -> DataFrame:
-    """One row per file under ``root`` (path, length, run directory,
-    path relative to the run). File contents are never read: only the
-    ``path``/``length`` columns of the binaryFile source are selected."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .select("path", "length")
-    )
-    root_pat = "^(?:file:)?" + _regex_escape(root.rstrip("/")) + "/"
-    relative = F.regexp_replace("path", root_pat, "")
-    return files.select(
-        "path",
-        "length",
-        F.split(relative, "/").getItem(0).alias("run"),
-        F.regexp_replace(relative, r"^[^/]+/", "").alias("file"),
-    )
-
-
-def _regex_escape(s: str) -> str:
-    import re
-
-    return re.escape(s)
+def inventory_scan(spark: SparkSession, root: str, runs: Sequence[str] | None = None) -> DataFrame:
+    """One row per file under ``root`` (path, length, run directory, path
+    relative to the run), listed by the tasks, run directory by run directory
+    (``sources.inventory``); ``runs`` restricts the listing to some of them, and
+    so does a filter on ``run`` if the session lets filters reach Python sources.
+    File contents are never read."""
+    from sparkdraft.sources.inventory import FilteredRunInventory, RunInventory
+
+    filtered = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") == "true"
+    source = FilteredRunInventory if filtered else RunInventory
+    spark.dataSource.register(source)
+    reader = spark.read.format(source.name()).option("root", root)
+    if runs is not None:
+        reader = reader.option("runs", json.dumps(list(runs)))
+    return reader.load()
 
 
 def inline_prompts(spark: SparkSession) -> DataFrame:
