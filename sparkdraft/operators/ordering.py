@@ -120,23 +120,36 @@ def with_global_index(
     )
 
 
+def one_row_per_key(df: DataFrame, key_cols: Sequence[str]) -> DataFrame:
+    """``df`` if its keys are unique; the query fails on the first key that is
+    not (null is a key like any other). One aggregate, for narrow tables."""
+    rest = [c for c in df.columns if c not in key_cols]
+    found = df.groupBy(*key_cols).agg(*[F.min(c).alias(c) for c in rest], F.count(F.lit(1)).alias("__ord_n"))
+    said = F.concat(F.lit("a key stands for several rows: "), F.to_json(F.struct(*key_cols)))
+    # A filter stays in the plan whatever columns are selected.
+    return found.filter(F.when(F.col("__ord_n") == 1, F.lit(True)).otherwise(F.raise_error(said).cast("boolean"))).drop("__ord_n")
+
+
+def join_by_key(df: DataFrame, narrow: DataFrame, key_cols: Sequence[str]) -> DataFrame:
+    """The rows of ``df`` whose key ``narrow`` has, with its other columns; null keys meet."""
+    right = narrow.select(*[F.col(k).alias(f"__ord_{k}") for k in key_cols], *[c for c in narrow.columns if c not in key_cols])
+    on = [F.col(k).eqNullSafe(F.col(f"__ord_{k}")) for k in key_cols]
+    return df.join(right, on, "inner").drop(*[f"__ord_{k}" for k in key_cols])
+
+
 def index_by_key(
     df: DataFrame, order_cols: Sequence[str], key_cols: Sequence[str], name: str = "idx"
 ) -> DataFrame:
     """``with_global_index`` for wide rows with a unique key.
 
     The sort and checkpoint run on the narrow (order + key) projection;
-    the positions are joined back on the key. For wide rows (documents,
-    token arrays) this moves the wide data through one shuffle only,
-    instead of a wide range sort plus a checkpoint write and read. The key
-    must be unique (a duplicated key would duplicate rows). Measured on
-    local[8] at sf0.1 the checkpointed sort of the wide rows was faster,
-    so the bundled queries use ``with_global_index``; this variant is for
-    tables whose rows are too wide to write a second time.
+    the positions are joined back on the key. So wide data (documents,
+    token arrays) goes through one shuffle and is written to no
+    checkpoint. A key that is not unique fails the query.
     """
-    cols = list(dict.fromkeys([*order_cols, *key_cols]))
-    idx = with_global_index(df.select(*cols), order_cols, name).select(*key_cols, name)
-    return df.join(idx, list(key_cols), "inner")
+    narrow = df.select(*dict.fromkeys([*order_cols, *key_cols]))
+    idx = with_global_index(one_row_per_key(narrow, key_cols), order_cols, name).select(*key_cols, name)
+    return join_by_key(df, idx, key_cols)
 
 
 def reindex_in_place(df: DataFrame, name: str = "idx") -> DataFrame:

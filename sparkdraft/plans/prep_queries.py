@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkdraft.operators.ordering import with_global_index
-from sparkdraft.operators.prep import first_exchange_turns, from_chat_or_pr, normalize_rows
+from sparkdraft.operators.ordering import index_by_key, join_by_key, with_global_index
+from sparkdraft.operators.prep import first_exchange_fold, first_exchange_turns, from_chat_or_pr, normalize_rows, prepare_splits, rows_per_split, split_assignment
 from sparkdraft.plans.registry import register, strip_sql, table
 
 
@@ -122,7 +123,7 @@ FROM r WHERE prompt_text <> '' AND response_text <> ''
 def q_alpaca_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P01 + P04-P08 over every document read as an Alpaca row, positioned
     by doc_id."""
-    raw = with_global_index(alpaca_rows(table(spark, sf_dir, "documents")), ["id"], "source_index")
+    raw = index_by_key(alpaca_rows(table(spark, sf_dir, "documents")), ["id"], ["id"], "source_index")
     recs = normalize_rows(raw, family="Alpaca", dataset_name="documents", split="train")
     return flatten_records(recs, extra=("category", "source"))
 
@@ -136,22 +137,20 @@ def split_sizes_for(n_rows: int) -> tuple[int, int, int]:
     return n_rows * 6 // 10, n_rows // 10, n_rows // 10
 
 
+def split_settings(docs: DataFrame, limit: int | None = None) -> dict:
+    t, v, e = split_sizes_for(docs.count())
+    return dict(family="alpaca", key_col="id", seed=SPLIT_SEED, n_train=t, n_val=v, n_eval=e, limit=limit)
+
+
 def documents_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sparkdraft.operators.prep import prepare_splits
+    docs = table(spark, sf_dir, "documents")
+    return prepare_splits(alpaca_rows(docs), dataset_name="documents", source_split="train", **split_settings(docs))
+
 
+def documents_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits and positions of the documents, without their texts."""
     docs = table(spark, sf_dir, "documents")
-    t, v, e = split_sizes_for(docs.count())
-    return prepare_splits(
-        alpaca_rows(docs),
-        family="alpaca",
-        dataset_name="documents",
-        source_split="train",
-        key_col="id",
-        seed=SPLIT_SEED,
-        n_train=t,
-        n_val=v,
-        n_eval=e,
-    )
+    return split_assignment(alpaca_rows(docs), **split_settings(docs))
 
 
 _SIZES_SQL = """
@@ -191,6 +190,28 @@ def q_prepare_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A limit on the budget: 78 % of the documents, of which train takes 60 % and val 10 %.
+LIMITED_SQL = """
+SELECT split, count(*) AS n_rows, CAST(min(split_pos) AS BIGINT) AS first_pos, CAST(max(split_pos) AS BIGINT) AS last_pos,
+       CAST(sum(src_idx) AS BIGINT) AS index_sum
+FROM lab WHERE split IS NOT NULL GROUP BY split
+"""
+LIMITED_BODY = PREPARE_SPLITS_BODY.replace(_SIZES_SQL, """
+sz AS (SELECT n * 6 // 10 AS t, n // 10 AS v, greatest(n * 39 // 50 - n * 6 // 10 - n // 10, 0) AS e FROM (SELECT count(*) AS n FROM documents))
+""")
+
+
+@register("limited_splits", LIMITED_BODY + LIMITED_SQL)
+def q_limited_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L02 with a limit: the budget is cut at 78 % of the rows, so
+    eval gets what train and val leave of them."""
+    docs = table(spark, sf_dir, "documents")
+    places = split_assignment(alpaca_rows(docs), **split_settings(docs, limit=docs.count() * 39 // 50))
+    return places.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("split_pos").alias("first_pos"), F.max("split_pos").alias("last_pos"), F.sum("source_index").alias("index_sum")
+    )
+
+
 SPLIT_COUNTS_SQL = PREPARE_SPLITS_BODY + """
 SELECT n.split, CAST(coalesce(c.n_rows, 0) AS BIGINT) AS n_rows
 FROM (VALUES ('train'), ('val'), ('eval')) n(split)
@@ -201,9 +222,7 @@ LEFT JOIN (SELECT split, count(*) AS n_rows FROM lab WHERE split IS NOT NULL GRO
 @register("split_counts", SPLIT_COUNTS_SQL)
 def q_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per split of the E1 output, zero-count splits included."""
-    from sparkdraft.operators.prep import rows_per_split
-
-    return rows_per_split(documents_splits(spark, sf_dir))
+    return rows_per_split(documents_places(spark, sf_dir))
 
 
 SPLIT_COMPLETENESS_SQL = PREPARE_SPLITS_BODY + """
@@ -222,9 +241,7 @@ def q_split_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     t, v, e = split_sizes_for(docs.count())
-    counts = (
-        documents_splits(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
-    )
+    counts = documents_places(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
     expected = spark.createDataFrame(
         [("train", t), ("val", v), ("eval", e)], "split string, expected_rows bigint"
     )
@@ -243,33 +260,38 @@ def q_prompt_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CACHE_SQL = PREPARE_SPLITS_BODY + """
-, c AS (SELECT split, count(*) AS n_rows FROM lab WHERE split IN ('train', 'val') GROUP BY split),
-w AS (SELECT s.split, m.target_model, c.n_rows FROM (VALUES ('train'), ('val')) s(split)
-      LEFT JOIN (SELECT split, 'target-8b' AS target_model FROM c) m ON s.split = m.split
-      LEFT JOIN c ON s.split = c.split)
-SELECT CASE WHEN count(*) FILTER (WHERE target_model IS NOT NULL OR coalesce(n_rows, 0) > 0) = 0 THEN 'absent'
+, c AS (SELECT lang AS cache, split, count(*) AS n_rows FROM lab WHERE split IN ('train', 'val') GROUP BY lang, split),
+k AS (SELECT cache, row_number() OVER (ORDER BY cache) % 4 AS kind FROM (SELECT DISTINCT lang AS cache FROM documents WHERE lang IS NOT NULL)),
+w AS (SELECT k.cache, s.split, CASE WHEN kind = 0 OR (kind = 3 AND s.split = 'val') THEN NULL WHEN kind = 2 AND s.split = 'val' THEN 'target-32b' ELSE 'target-8b' END AS target_model,
+             CASE WHEN kind = 0 THEN NULL ELSE c.n_rows END AS n_rows
+      FROM k, (VALUES ('train'), ('val')) s(split) LEFT JOIN c ON c.cache = k.cache AND c.split = s.split)
+SELECT cache, CASE WHEN count(*) FILTER (WHERE target_model IS NOT NULL OR coalesce(n_rows, 0) > 0) = 0 THEN 'absent'
             WHEN count(*) FILTER (WHERE target_model IS NOT NULL AND target_model <> 'target-8b') > 0 THEN 'mismatch'
             WHEN count(*) FILTER (WHERE target_model IS NULL OR coalesce(n_rows, 0) <= 0) > 0 THEN 'partial'
             ELSE 'reuse' END AS state,
        count(*) FILTER (WHERE target_model IS NOT NULL OR coalesce(n_rows, 0) > 0) AS n_present,
        count(*) FILTER (WHERE target_model IS NOT NULL AND target_model <> 'target-8b') AS n_mismatch,
        count(*) FILTER (WHERE target_model IS NULL OR coalesce(n_rows, 0) <= 0) AS n_incomplete
-FROM w
+FROM w GROUP BY cache HAVING count(*) FILTER (WHERE target_model IS NOT NULL OR coalesce(n_rows, 0) > 0) > 0
 """
 
 
 @register("cache_coherence", CACHE_SQL)
 def q_cache_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Is the cached train/val data reusable for the expected target
-    model? Stand-in: the E1 splits are the cache, each non-empty split
-    carrying a manifest naming model 'target-8b'."""
+    """J12 on the E1 splits: may the cached train and val data of each language be
+    used for the expected target model? Stand-in: a language is a cache; by its
+    place in the alphabet its manifests name the model, name another one for val,
+    lack val, or cache and manifests are missing (no row)."""
     from sparkdraft.operators.sweeps import cache_state
 
-    counts = documents_splits(spark, sf_dir).filter(F.col("split").isin("train", "val")).groupBy("split").agg(
-        F.count(F.lit(1)).alias("n_rows")
-    )
-    manifests = counts.select("split", F.lit("target-8b").alias("target_model"))
-    return cache_state(manifests, counts, "target-8b")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("cache"))
+    kinds = with_global_index(docs.select("cache").filter("cache is not null").distinct(), ["cache"], "place").select("cache", ((F.col("place") + 1) % 4).alias("kind"))
+    counts = join_by_key(docs, documents_places(spark, sf_dir), ["id"]).groupBy("cache", "split").agg(F.count(F.lit(1)).alias("n_rows"))
+    counts = counts.join(kinds.filter("kind <> 0"), "cache").select("cache", "split", "n_rows")
+    named = kinds.filter("kind <> 0").select("cache", "kind", F.explode(F.array(F.lit("train"), F.lit("val"))).alias("split"))
+    named = named.filter(~((F.col("kind") == 3) & (F.col("split") == "val")))
+    model = F.when((F.col("kind") == 2) & (F.col("split") == "val"), "target-32b").otherwise("target-8b")
+    return cache_state(named.select("cache", "split", model.alias("target_model")), counts, "target-8b", cache_col="cache")
 
 
 OUTPUT_TOKENS_SQL = f"""
@@ -320,7 +342,7 @@ u AS (SELECT conv_id, arg_min(text, turn) AS prompt, min(turn) AS u_turn FROM t
 a AS (SELECT t.conv_id, arg_min(t.text, t.turn) AS response FROM t JOIN u ON t.conv_id = u.conv_id AND t.turn > u.u_turn
       WHERE t.role IN ('assistant', 'gpt', 'bot') GROUP BY t.conv_id)
 SELECT c.conv_id, CASE c.kind WHEN 0 THEN 'messages' WHEN 1 THEN 'conversations' WHEN 2 THEN 'chosen' ELSE 'pair' END AS form,
-       CASE c.kind WHEN 3 THEN 'q ' || c.conv_id ELSE u.prompt END AS prompt, CASE c.kind WHEN 3 THEN 'r' ELSE a.response END AS response
+       CASE WHEN c.kind <> 3 OR a.response <> '' THEN u.prompt END AS prompt, CASE WHEN c.kind <> 3 OR a.response <> '' THEN a.response END AS response
 FROM (SELECT DISTINCT conv_id, kind FROM t) c LEFT JOIN u ON u.conv_id = c.conv_id LEFT JOIN a ON a.conv_id = c.conv_id
 """
 
@@ -329,20 +351,23 @@ FROM (SELECT DISTINCT conv_id, kind FROM t) c LEFT JOIN u ON u.conv_id = c.conv_
 def q_list_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P02 + P03 on one table with every input shape. Stand-in: a
     conversation is a ``messages`` list (role, content), a ``conversations`` list
-    (from, value) beside an empty ``messages``, a ``chosen`` list, or a plain pair."""
+    (from, value) beside an empty ``messages``, a ``chosen`` list, or the plain
+    pair of its first exchange. These formats hold a conversation in one row."""
     t = table(spark, sf_dir, "conversations")
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     c = t.groupBy("conv_id").agg(turns.alias("t"))
     kind = F.col("conv_id") % 4
     named = lambda role, text: F.transform("t", lambda m: F.struct(m["role"].alias(role), m["text"].alias(text)))
     empty = F.array().cast("array<struct<role: string, content: string>>")
+    own = T.StructType.fromDDL("role string, content string")
+    c = c.withColumn("first", F.when(kind == 3, first_exchange_fold(named("role", "content"), own)))
     rows = c.select(
         "conv_id",
         F.when(kind == 0, named("role", "content")).when(kind == 1, empty).alias("messages"),
         F.when(kind == 1, named("from", "value")).alias("conversations"),
         F.when(kind == 2, named("role", "content")).alias("chosen"),
-        F.when(kind == 3, F.concat(F.lit("q "), F.col("conv_id"))).alias("prompt_text"),
-        F.when(kind == 3, F.lit("r")).alias("response_text"),
+        F.col("first.prompt").alias("prompt_text"),
+        F.col("first.response").alias("response_text"),
     )
     pair = from_chat_or_pr(rows)
     form = F.when(kind == 0, "messages").when(kind == 1, "conversations").when(kind == 2, "chosen").otherwise("pair")
