@@ -4,6 +4,7 @@ from sparkdraft.plans import (  # noqa: F401
     decode_queries,
     dist_queries,
     document_queries,
+    file_queries,
     generation_queries,
     prep_queries,
     profile_queries,

@@ -19,6 +19,9 @@ from sparkdraft.operators.distributions import (
     argmax,
     categorical_draw,
     kd_losses,
+    loss_states,
+    losses_of,
+    merge_losses,
     nucleus_mask,
     pair_positions,
     position_losses,
@@ -28,6 +31,8 @@ from sparkdraft.operators.distributions import (
     with_proposal,
 )
 from sparkdraft.plans.registry import register, table
+from sparkdraft.session import scratch_folder
+from sparkdraft.sources.committed import append_runs, read_runs
 
 SEQ_LEN = 16
 LOGIT_SCALE = 8.0
@@ -164,6 +169,21 @@ def q_kd_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("kind", *[F.round(c, 8).alias(c) for c in ("kd", "ce", "loss")], "n_positions")
 
 
+@register("incremental_losses", KD_LOSSES_SQL)
+def q_incremental_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same losses from chunks of sequences that come one after another.
+    Each chunk's sums are stored once, also if it is sent again; the losses
+    come from the stored sums alone."""
+    store = scratch_folder(spark, "loss-states")
+    pairs = pairs_for(spark, sf_dir).withColumn("chunk", (F.col("seq") % 4).cast("string"))
+    for chunk in (0, 1, 1, 2, 3, 0):
+        # A chunk that is in already is not computed again.
+        states = loss_states(pairs.filter(F.col("chunk") == str(chunk)), temperature=KD_TEMPERATURE, by=["chunk"])
+        append_runs(spark, states, store, f"chunk-{chunk}", key="chunk")
+    out = losses_of(merge_losses(read_runs(spark, store)), temperature=KD_TEMPERATURE, alpha=KD_ALPHA)
+    return out.select("kind", *[F.round(c, 8).alias(c) for c in ("kd", "ce", "loss")], "n_positions")
+
+
 ACC_SQL = f"""
 WITH {BASE_SQL},
 g AS (SELECT student, teacher, unnest([{', '.join(str(t) for t in ACC_TEMPERATURES)}]::DOUBLE[]) AS temperature FROM pairs),

@@ -24,6 +24,7 @@ from sparkdraft.operators.sweeps import (
     distinct_sorted,
     effect_table,
     grid_argmax,
+    grid_balance,
     grouped_stats,
     infer_response_source,
     linear_fit,
@@ -31,6 +32,7 @@ from sparkdraft.operators.sweeps import (
     number_tag,
     parse_runtime_name,
     pivot_grid,
+    reconcile_grid,
     reliability,
     runtime_run_name,
     sampling_mode_for,
@@ -419,3 +421,51 @@ def q_sweep_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = grid.withColumn("run", runtime_run_name(F.lit(CKPT), "gamma", number_tag(F.format_number(F.col("temperature_pct") / 100.0, 2)), "max_new_tokens"))
     done = sweep_rows(spark, sf_dir).select("run")
     return named.join(done, "run", "left_anti").select("gamma", "temperature_pct", "max_new_tokens", "run")
+
+
+# Runs as they were started: a cell may have been run twice (large orders without tax are a second run).
+RUNS_SQL = """
+runs AS (SELECT CAST(l_linenumber AS INTEGER) AS gamma, CAST(round(l_discount * 100) AS INTEGER) AS temperature_pct,
+                CASE l_returnflag WHEN 'A' THEN 128 WHEN 'N' THEN 256 WHEN 'R' THEN 512 END AS max_new_tokens,
+                l_quantity >= 49 AND l_tax = 0 AS again, CASE WHEN max(l_linenumber) >= 6 AND max(l_discount) > 0.08 THEN 32 ELSE 50 END AS n_prompts
+         FROM lineitem GROUP BY 1, 2, 3, 4),
+wanted AS (SELECT CAST(g AS INTEGER) AS gamma, CAST(t AS INTEGER) AS temperature_pct, n AS max_new_tokens
+           FROM (SELECT unnest(generate_series(1, 6)) AS g), (SELECT unnest(generate_series(0, 12)) AS t), (SELECT unnest([128, 256, 512]) AS n)),
+held AS (SELECT gamma, temperature_pct, max_new_tokens, count(*) AS n_runs, min(n_prompts) AS low, max(n_prompts) AS high FROM runs GROUP BY ALL),
+found AS (
+  SELECT coalesce(h.gamma, w.gamma) AS gamma, coalesce(h.temperature_pct, w.temperature_pct) AS temperature_pct, coalesce(h.max_new_tokens, w.max_new_tokens) AS max_new_tokens,
+         CASE WHEN h.n_runs IS NULL THEN 'missing' WHEN w.gamma IS NULL THEN 'extra' WHEN h.n_runs > 1 THEN 'duplicated' END AS finding,
+         CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(NULL AS VARCHAR) AS "column", CAST(NULL AS VARCHAR) AS value
+  FROM held h FULL OUTER JOIN wanted w ON h.gamma = w.gamma AND h.temperature_pct = w.temperature_pct AND h.max_new_tokens = w.max_new_tokens
+  UNION ALL SELECT gamma, temperature_pct, max_new_tokens, 'uneven', n_runs, 'n_prompts', '32' FROM held WHERE low = 32)
+"""
+
+
+def started_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(wanted cells, runs) of a grid."""
+    li = table(spark, sf_dir, "lineitem")
+    length = F.when(F.col("l_returnflag") == "A", 128).when(F.col("l_returnflag") == "N", 256).when(F.col("l_returnflag") == "R", 512)
+    runs = li.groupBy(
+        F.col("l_linenumber").cast("int").alias("gamma"), F.round(F.col("l_discount") * 100).cast("int").alias("temperature_pct"), length.alias("max_new_tokens"), ((F.col("l_quantity") >= 49) & (F.col("l_tax") == 0)).alias("again")
+    ).agg(F.when((F.max("l_linenumber") >= 6) & (F.max("l_discount") > 0.08), 32).otherwise(50).alias("n_prompts"))
+    return param_grid(spark, gamma=list(range(1, 7)), temperature_pct=list(range(13)), max_new_tokens=[128, 256, 512]), runs
+
+
+AXES = ["gamma", "temperature_pct", "max_new_tokens"]
+
+
+@register("grid_findings", f"WITH {RUNS_SQL} SELECT * FROM found WHERE finding IS NOT NULL")
+def q_grid_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F04 + J10: wanted cells without a run, runs of cells not wanted, cells run
+    more than once, and cells with another number of prompts than most."""
+    wanted, runs = started_runs(spark, sf_dir)
+    return reconcile_grid(wanted, runs, AXES, ["n_prompts"])
+
+
+@register("grid_balance", f"""WITH {RUNS_SQL}
+SELECT (SELECT count(*) FROM wanted) AS n_cells, (SELECT count(*) FROM runs) AS n_runs, count(*) FILTER (WHERE finding = 'missing') AS n_missing, count(*) FILTER (WHERE finding = 'extra') AS n_extra,
+       count(*) FILTER (WHERE finding = 'duplicated') AS n_duplicated, count(*) FILTER (WHERE finding = 'uneven') AS n_uneven, count(finding) = 0 AS balanced FROM found""")
+def q_grid_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """findings of the grid by kind, and whether it is balanced."""
+    wanted, runs = started_runs(spark, sf_dir)
+    return grid_balance(wanted, runs, AXES, ["n_prompts"])

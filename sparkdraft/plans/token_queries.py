@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from sparkdraft.operators.fingerprints import content_parts, dataset_fingerprint, digest_text, merge_parts
 from sparkdraft.operators.ordering import with_global_index
 from sparkdraft.operators.tokens import (
+    IGNORE_INDEX,
     TEST_EOS_TEXT,
+    TEST_PAD_ID,
     TEST_TEMPLATE,
     apply_template,
     batch_id,
@@ -28,6 +30,7 @@ from sparkdraft.plans.prep_queries import (
     q_alpaca_normalize,
 )
 from sparkdraft.plans.registry import register, table
+from sparkdraft.plugins.generation import apply_collator, length_batches, pad_collator
 
 CHAT_MAX_LEN = 4096
 BATCH_SIZE = 8
@@ -135,6 +138,26 @@ def q_pad_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("collated_batches", PAD_SQL.replace("ORDER BY id", "ORDER BY len(ids), id"))
+def q_collated_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's collator pads batches of 8 examples of like length, each
+    batch a group of its own."""
+    ex = tokenize_records(chat_records(spark, sf_dir).select("id", "prompt_text", "response_text"), max_seq_len=CHAT_MAX_LEN)
+    batches = length_batches(ex, F.size("input_ids"), "id", BATCH_SIZE)
+    schema = "id string, input_ids array<int>, attention_mask array<int>, labels array<int>, response_mask array<boolean>, batch_id bigint, n_pad int"
+    padded = apply_collator(batches.drop("prompt_len", "response_len"), "batch_id", pad_collator(TEST_PAD_ID, IGNORE_INDEX), schema, most=BATCH_SIZE)
+    return padded.select(
+        "id",
+        "batch_id",
+        (F.size("input_ids") - F.col("n_pad")).alias("n_tokens"),
+        F.size("input_ids").alias("padded_len"),
+        "n_pad",
+        _checksum("input_ids").alias("checksum"),
+        F.element_at("labels", -1).alias("last_label"),
+        F.size(F.filter("response_mask", lambda m: ~m)).alias("n_unsupervised"),
+    )
+
+
 def _truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = chat_records(spark, sf_dir)
     ids = char_token_ids(apply_template("prompt_text", TEST_TEMPLATE), "identity")

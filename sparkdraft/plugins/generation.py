@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkdraft.functions.text import clean
+from sparkdraft.operators.ordering import index_by_key
+from sparkdraft.operators.tokens import batch_id
 
 Generator = Callable[[list[str], dict], list[str]]
 
@@ -131,8 +133,36 @@ def rewrite_response(generated: DataFrame, generated_at: str, key_col: str = "id
     )
 
 
+def length_batches(df: DataFrame, length: str | Column, id_col: str, batch_size: int) -> DataFrame:
+    """W04 by length: ``batch_id`` of neighbours in the order of (length, id), so
+    that a batch needs little padding. Only length and id are sorted and
+    checkpointed; ids have to be unique."""
+    asked = df.withColumn("_sd_length", F.col(length) if isinstance(length, str) else length)
+    placed = index_by_key(asked, ["_sd_length", id_col], [id_col], "_sd_place")
+    return placed.withColumn("batch_id", batch_id("_sd_place", batch_size)).drop("_sd_length", "_sd_place")
+
+
 def apply_collator(df: DataFrame, batch_col: str, collate: Callable[[pd.DataFrame], pd.DataFrame],
-                   schema: T.StructType | str) -> DataFrame:
-    """A user collator as a grouped map over batches (a batch is
-    bounded by the batch size)."""
-    return df.groupBy(batch_col).applyInPandas(collate, schema)
+                   schema: T.StructType | str, most: int | None = None) -> DataFrame:
+    """A user collator as a grouped map over batches. A batch of more than
+    ``most`` rows fails the query before the collator sees it."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if most is not None and len(rows) > most:
+            raise ValueError(f"batch {rows[batch_col].iloc[0]} has {len(rows)} rows, at most {most}")
+        return collate(rows)
+
+    return df.groupBy(batch_col).applyInPandas(run, schema)
+
+
+def pad_collator(pad_id: int, ignore_index: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A collator as a user writes it: the arrays of a batch, padded on the right to its longest."""
+
+    def collate(rows: pd.DataFrame) -> pd.DataFrame:
+        longest = max(map(len, rows["input_ids"]))
+        gap = [longest - len(ids) for ids in rows["input_ids"]]
+        fill = {"input_ids": pad_id, "attention_mask": 0, "labels": ignore_index, "response_mask": False}
+        padded = {c: [[*values, *[v] * n] for values, n in zip(rows[c], gap)] for c, v in fill.items()}
+        return rows.assign(**padded, n_pad=gap)
+
+    return collate

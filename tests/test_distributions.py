@@ -124,3 +124,28 @@ def test_expected_acceptance_identical_is_one(spark):
     assert r["mean_acceptance"] == pytest.approx(1.0)
     p = [math.exp(1) / (math.exp(1) + math.exp(2)), math.exp(2) / (math.exp(1) + math.exp(2))]
     assert r["mean_entropy_target"] == pytest.approx(-sum(x * math.log(x) for x in p))
+
+
+def test_losses_from_chunks_equal_the_whole(spark, tmp_dir):
+    import random
+
+    from sparkdraft.operators.distributions import loss_states, losses_of, merge_losses
+    from sparkdraft.sources.committed import append_runs, read_runs
+
+    rnd = random.Random(1)
+    st, te = ([[rnd.gauss(0, 1) for _ in range(7)] for _ in range(24)] for _ in range(2))
+    lab = [rnd.choice([-100, 1, 2, 3]) for _ in range(24)]
+    df = pairs(spark, st, te, lab, [i % 3 > 0 for i in range(24)]).withColumn("chunk", (F.col("pos") % 5).cast("string"))
+    whole = losses(df, temperature=2.0, alpha=0.3)
+    for c in ("0", "1", "1", "2", "3", "0", "4", "nothing"):
+        append_runs(spark, loss_states(df.filter(F.col("chunk") == c), temperature=2.0, by=["chunk"]), tmp_dir, f"chunk-{c}", key="chunk")
+    stored = read_runs(spark, tmp_dir)
+    assert stored.count() == 5
+    got = {r["kind"]: r for r in losses_of(merge_losses(stored), temperature=2.0, alpha=0.3).collect()}
+    for k, r in whole.items():
+        assert (got[k]["kd"], got[k]["ce"], got[k]["loss"]) == pytest.approx((r["kd"], r["ce"], r["loss"]), abs=1e-12)
+        assert got[k]["n_positions"] == r["n_positions"]
+    none = losses(df.limit(0))
+    assert all((r["kd"], r["ce"], r["n_positions"]) == (0.0, 0.0, 0) for r in none.values())
+    by_chunk = losses_of(loss_states(df, by=["chunk"]), by=["chunk"])
+    assert by_chunk.count() == 20 and by_chunk.columns[0] == "chunk"

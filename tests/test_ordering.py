@@ -119,3 +119,40 @@ def test_running_sums_keep_other_columns_exact(spark):
         sums[g] = sums.get(g, 0) + (v or 0)
         r = got[step]
         assert (r["g"], r["v"], r["big"], r["xs"], r["v_up_to"]) == (g, v, big, xs, sums[g])
+
+
+def test_keys_have_to_be_unique(spark):
+    import pytest
+
+    from sparkdraft.operators.ordering import index_by_key
+    from sparkdraft.operators.prep import prepare_splits
+
+    df = spark.createDataFrame([(None, "b", "wide"), ("1", "a", "wide"), ("2", "a", "wide")], "id string, k string, wide string")
+    assert sorted((r["idx"], r["id"]) for r in index_by_key(df, ["k", "id"], ["id"]).collect()) == [(0, "1"), (1, "2"), (2, None)]
+    twice = df.unionByName(df.filter("id = '2'"))
+    with pytest.raises(Exception, match="stands for several rows"):
+        index_by_key(twice, ["k", "id"], ["id"]).count()
+    raw = twice.select("id", F.col("k").alias("prompt"), F.col("wide").alias("response"))
+    with pytest.raises(Exception, match="stands for several rows"):
+        prepare_splits(raw, family="chat", dataset_name="d", source_split="train", key_col="id", seed=1, n_train=2, n_val=1, n_eval=1).count()
+
+
+def test_no_text_in_checkpoints_of_document_queries(spark):
+    """What is sorted and checkpointed to place and split documents holds no text."""
+    from pyspark.sql import DataFrame
+
+    from sparkdraft.plans import QUERIES
+
+    seen, real = [], DataFrame.checkpoint
+    kind = type(spark.range(1))
+    real = kind.checkpoint
+    try:
+        kind.checkpoint = lambda self, *a, **k: (seen.append(self.columns), real(self, *a, **k))[1]
+        for name in ("alpaca_normalize", "prepare_splits", "split_counts", "split_completeness", "tokenize_documents", "cache_coherence"):
+            before = len(seen)
+            QUERIES[name](spark, "/root/testdata/sf0.001")
+            assert len(seen) > before, name
+    finally:
+        kind.checkpoint = real
+    narrow = {"id", "source_index", "_sd_usable", "_sd_shuffle", "cache", "place"}
+    assert all(set(cols) <= narrow for cols in seen), seen

@@ -149,3 +149,24 @@ def test_corpus_scores(spark):
     # The partitioning does not change a score.
     for n in (1, 64):
         assert CorpusScores().scores(g.repartition(n), ["pooled_bigram_overlap"]).first()["score"] == got["pooled_bigram_overlap"][0]
+
+
+def test_user_collator_equals_native_padding(spark):
+    import pytest
+
+    from sparkdraft.operators.tokens import pad_to_batch_max, tokenize_records
+    from sparkdraft.plugins.generation import length_batches, pad_collator
+
+    rows = [(str(i), "p" * (i * 7 % 13), "r" * (1 + i * 5 % 11)) for i in range(30)]
+    ex = tokenize_records(spark.createDataFrame(rows, "id string, prompt_text string, response_text string"), max_seq_len=64).drop("prompt_len", "response_len")
+    batches = length_batches(ex, F.size("input_ids"), "id", 4)
+    sizes = [r["n"] for r in batches.groupBy("batch_id").agg(F.count("*").alias("n")).collect()]
+    assert sorted(sizes) == [2, 4, 4, 4, 4, 4, 4, 4]
+    native = pad_to_batch_max(batches, "batch_id")
+    padded = apply_collator(batches, "batch_id", pad_collator(0, -100), batches.select("*", F.lit(0).alias("n_pad")).schema, most=4).select(*native.columns)
+    key = lambda r: r["id"]
+    assert sorted(padded.collect(), key=key) == sorted(native.collect(), key=key)
+    # Neighbours in length: less padding than in the order of the ids.
+    assert padded.agg(F.sum("n_pad")).first()[0] < 40
+    with pytest.raises(Exception, match="has 4 rows, at most 3"):
+        apply_collator(batches, "batch_id", pad_collator(0, -100), batches.select("*", F.lit(0).alias("n_pad")).schema, most=3).collect()

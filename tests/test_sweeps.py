@@ -264,3 +264,21 @@ def test_grid_fit_deltas_and_best_by_hand(grid):
     cells = unique_cells(grid.filter("max_new_tokens = 256"), ["gamma", "runtime_temperature"], ["speedup"])
     pivot = {r["gamma"]: (r["a"], r["b"]) for r in pivot_grid(cells, "gamma", "runtime_temperature", "speedup", [0.0, 1.0], ["a", "b"]).collect()}
     assert pivot == {1: (1.4, 0.9), 2: (1.1, 0.5)}
+
+
+def test_grid_reconciliation(spark):
+    from sparkdraft.operators.sweeps import grid_balance, param_grid, reconcile_grid
+
+    wanted = param_grid(spark, g=[1, 2], t=[0.0, 0.5])
+    even = spark.createDataFrame([(g, t, 50) for g in (1, 2) for t in (0.0, 0.5)], "g int, t double, n int")
+    assert reconcile_grid(wanted, even, ["g", "t"], ["n"]).count() == 0
+    assert tuple(grid_balance(wanted, even, ["g", "t"], ["n"]).first()) == (4, 4, 0, 0, 0, 0, True)
+    runs = spark.createDataFrame([(1, 0.0, 50), (1, 0.0, 50), (1, 0.5, 50), (2, 0.5, 32), (3, 0.0, 50), (None, 0.0, None), (None, 0.0, 50)], "g int, t double, n int")
+    got = sorted((tuple(r) for r in reconcile_grid(wanted, runs, ["g", "t"], ["n"]).collect()), key=repr)
+    assert got == sorted([
+        (1, 0.0, "duplicated", 2, None, None), (2, 0.0, "missing", 0, None, None), (3, 0.0, "extra", 1, None, None), (None, 0.0, "extra", 2, None, None), (2, 0.5, "uneven", 1, "n", "32"),
+    ], key=repr)
+    assert grid_balance(wanted, runs, ["g", "t"], ["n"]).first()["balanced"] is False
+    none = runs.limit(0)
+    assert {r["finding"] for r in reconcile_grid(wanted, none, ["g", "t"]).collect()} == {"missing"}
+    assert reconcile_grid(wanted.limit(0), none, ["g", "t"], ["n"]).count() == 0
