@@ -21,7 +21,7 @@ def distance(pattern, text):
 def plain_hit(item, text):
     fold = lambda s: "".join(chr(x) for x in decontam.characters(s))
     item, text = fold(item), fold(text)
-    return len(item) >= decontam.LEAST and any(distance(item[s : s + m], text) <= decontam._edits(m) for s, m in decontam._windows(len(item)))
+    return len(item) >= 16 and any(distance(item[s : s + m], text) <= decontam._edits(m) for s, m in decontam._windows(len(item)))
 
 
 def edited(random, text, n):
@@ -117,3 +117,88 @@ def test_short_items_are_found_whole():
     assert [(items[h[1]][0], h[2], h[4]) for h in decontam.hits([text], index)] == [(1, 9, 0), (2, 56, 0), (2, 62, 0), (4, 43, 0), (5, 72, 0)]
     assert [items[h[1]][0] for h in decontam.hits(["a shrt item of 32 chaacters ok"], index)] == [1]
     assert decontam.hits(["a shirt for tin men, exactly 8"], index) == []
+
+
+def repetitive(random, n):
+    """Texts of rules, indents, short periods, and words between."""
+    out = []
+    for _ in range(n):
+        kind = random.randint(0, 5)
+        unit = ["-", " ", "=-", "ab ", "| -- "][kind]
+        out.append(unit * random.randint(1, 260 // len(unit)) + ["", " word ", "\n", "Table of 7 rows"][random.randint(0, 4)])
+    return "".join(out)
+
+
+def test_repetitive_texts_match_a_search_without_filters():
+    random = np.random.RandomState(3)
+    found = 0
+    for trial in range(40):
+        items = [(i, repetitive(random, random.randint(1, 3))) for i in range(2)]
+        items = [(i, t) for i, t in items if len(t) >= 16]
+        text = repetitive(random, random.randint(1, 3))
+        if random.rand() < 0.4 and items:
+            text += edited(random, items[0][1], random.randint(0, 9)) + repetitive(random, 1)
+        got = {items[h[1]][0] for h in decontam.hits([text], decontam.build_index(items))}
+        want = {i for i, t in items if plain_hit(t, text)}
+        assert got == want, (trial, text)
+        found += len(want)
+    assert 10 < found < 70
+
+
+def covered(found):
+    out = {}
+    for t, i, lo, hi, _ in found:
+        out.setdefault((t, i), []).append((lo, hi))
+    return out
+
+
+def test_segments_and_left_out_middles_find_the_same_spans(monkeypatch):
+    random = np.random.RandomState(5)
+    some = 0
+    for trial in range(9):
+        items = [(i, repetitive(random, random.randint(1, 4))) for i in range(4)]
+        long = "-=|"[trial % 3] * random.randint(1, 1500) + repetitive(random, 3) + "ab" * random.randint(1, 900) + items[0][1]
+        texts = [long, repetitive(random, 6), "clean text", items[1][1] * 3]
+        index = decontam.build_index(items)
+        monkeypatch.setattr(decontam, "WORK", 1 << 50)
+        whole = decontam.hits(texts, index)
+        monkeypatch.setattr(decontam, "WORK", 60)
+        monkeypatch.setattr(decontam, "_SHORT_SEGMENT", 300)
+        got, want = covered(decontam.hits(texts, index)), covered(whole)
+        assert got.keys() == want.keys(), trial
+        for key, spans in want.items():
+            # Equally good alignments may end some places apart, within the budget.
+            one, other = ({x for lo, hi in s for x in range(lo, hi)} for s in (spans, got[key]))
+            assert len(one ^ other) <= 2 * decontam.EDITS * max(len(spans), len(got[key])), (trial, key)
+        some += len(whole)
+    assert some > 20
+
+
+def test_work_on_repeats_grows_with_the_text():
+    import time
+    import tracemalloc
+
+    rules = [(i, f"row {i * 7919} " + "-" * 60 + f" end {i * 104729}") for i in range(400)]
+    cases = [([(1, x * (2000 // len(x)))], x * (n // len(x))) for x in ("-", " ", "-=") for n in (2000, 200_000)]
+    cases += [(rules, ("-" * 60 + f"\nline {i}\n" * 2) * n) for i, n in ((1, 8), (2, 16))]
+    for items, text in cases:
+        index = decontam.build_index(items)
+        tracemalloc.start()
+        t = time.process_time()
+        found = decontam.hits([text], index)
+        took, peak = time.process_time() - t, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert took < 60 and peak < 500e6, (text[:20], len(text), took, peak)
+        if len(items) == 1:
+            [(_, item, lo, hi, _)] = found
+            assert item == 0 and lo <= decontam.EDITS and hi >= len(text) - decontam.EDITS
+
+
+def test_short_items_stand_alone(spark):
+    items = [(1, "A"), (2, "cat"), (3, "Nine lives"), (4, "(c)")]
+    docs = spark.createDataFrame([(1, "Plain clean text about a cat."), (2, "Concatenate bananas"), (3, "it has nine lives"), (4, "nine livest (c)x")], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(spark, docs, benchmark, ["doc_id"]).collect()}
+    assert got == {(1, 1), (1, 2), (3, 3), (4, 4)}
+    assert decontam.without_contaminated(spark, docs, benchmark).count() == 4
+    assert sorted(r[0] for r in decontam.without_contaminated(spark, docs, benchmark, least=3).collect()) == [2]
