@@ -6,7 +6,7 @@ expression over whole words with a label, a priority and a keyword without
 which it cannot match:
 
 1. Texts without any keyword stop here; the others try the rules of the
-   keywords they hold.
+   keywords they hold (that of the rule's context and one of its name).
 2. Every match becomes an interval of words with its rule's label and priority.
 3. Rules are ordered. A detection that lies within one of higher priority,
    or within a longer one of the same, is suppressed, as is the later rule's of
@@ -37,9 +37,11 @@ class Rule(NamedTuple):
     priority: int
     keyword: str
     pattern: str
+    #: Of which any match holds one, too.
+    names: str = ""
 
 
-#: Licenses: label, name (a regex over words), keyword.
+#: Licenses: label, name (a regex over words), what one of stands in every such name.
 NAMES = [
     ("mit", "mit", "mit"),
     ("mit-0", "mit (?:no attribution|0)", "mit"),
@@ -52,43 +54,43 @@ NAMES = [
     ("bsd-4-clause", "(?:bsd 4 clause|4 clause bsd|original bsd)", "bsd"),
     ("apache-1.1", "apache (?:software )?(?:license )?(?:version |v)?1 1", "apache"),
     ("apache-2.0", "apache (?:software )?(?:license )?(?:version |v)?2(?: 0)?", "apache"),
-    ("gpl-1.0", "(?:gnu )?(?:gpl|general public license)(?: )?(?:version |v)?1(?: 0)?", "g"),
-    ("gpl-2.0", "(?:gnu )?(?:gpl|general public license)(?: )?(?:version |v)?2(?: 0)?", "g"),
-    ("gpl-3.0", "(?:gnu )?(?:gpl|general public license)(?: )?(?:version |v)?3(?: 0)?", "g"),
-    ("lgpl-2.0", "(?:gnu )?(?:lgpl|(?:library|lesser) general public license)(?: )?(?:version |v)?2(?: 0)?", "g"),
-    ("lgpl-2.1", "(?:gnu )?(?:lgpl|lesser general public license)(?: )?(?:version |v)?2 1", "g"),
-    ("lgpl-3.0", "(?:gnu )?(?:lgpl|lesser general public license)(?: )?(?:version |v)?3(?: 0)?", "g"),
-    ("agpl-3.0", "(?:gnu )?(?:agpl|affero general public license)(?: )?(?:version |v)?3(?: 0)?", "g"),
-    ("gfdl", "(?:gfdl|gnu free documentation license)", "g"),
-    ("mpl-1.1", "(?:mpl|mozilla public license)(?: )?(?:version |v)?1 1", "m"),
-    ("mpl-2.0", "(?:mpl|mozilla public license)(?: )?(?:version |v)?2(?: 0)?", "m"),
-    ("epl-1.0", "(?:epl|eclipse public license)(?: )?(?:version |v)?1(?: 0)?", "e"),
-    ("epl-2.0", "(?:epl|eclipse public license)(?: )?(?:version |v)?2(?: 0)?", "e"),
-    ("cddl-1.0", "(?:cddl|common development and distribution license)", "c"),
-    ("cpl-1.0", "(?:cpl|common public license)(?: )?(?:version |v)?1(?: 0)?", "c"),
+    ("gpl-1.0", "(?:gnu )?(?:gpl|general public license)(?: )?(?:version |v)?1(?: 0)?", "gpl|general public license"),
+    ("gpl-2.0", "(?:gnu )?(?:gpl|general public license)(?: )?(?:version |v)?2(?: 0)?", "gpl|general public license"),
+    ("gpl-3.0", "(?:gnu )?(?:gpl|general public license)(?: )?(?:version |v)?3(?: 0)?", "gpl|general public license"),
+    ("lgpl-2.0", "(?:gnu )?(?:lgpl|(?:library|lesser) general public license)(?: )?(?:version |v)?2(?: 0)?", "gpl|general public license"),
+    ("lgpl-2.1", "(?:gnu )?(?:lgpl|lesser general public license)(?: )?(?:version |v)?2 1", "gpl|general public license"),
+    ("lgpl-3.0", "(?:gnu )?(?:lgpl|lesser general public license)(?: )?(?:version |v)?3(?: 0)?", "gpl|general public license"),
+    ("agpl-3.0", "(?:gnu )?(?:agpl|affero general public license)(?: )?(?:version |v)?3(?: 0)?", "gpl|general public license"),
+    ("gfdl", "(?:gfdl|gnu free documentation license)", "gfdl|free documentation"),
+    ("mpl-1.1", "(?:mpl|mozilla public license)(?: )?(?:version |v)?1 1", "mpl|mozilla"),
+    ("mpl-2.0", "(?:mpl|mozilla public license)(?: )?(?:version |v)?2(?: 0)?", "mpl|mozilla"),
+    ("epl-1.0", "(?:epl|eclipse public license)(?: )?(?:version |v)?1(?: 0)?", "epl|eclipse"),
+    ("epl-2.0", "(?:epl|eclipse public license)(?: )?(?:version |v)?2(?: 0)?", "epl|eclipse"),
+    ("cddl-1.0", "(?:cddl|common development and distribution license)", "cddl|common development"),
+    ("cpl-1.0", "(?:cpl|common public license)(?: )?(?:version |v)?1(?: 0)?", "cpl|common public"),
     ("artistic-1.0", "artistic license(?: )?(?:version |v)?1(?: 0)?", "artistic"),
     ("artistic-2.0", "artistic license(?: )?(?:version |v)?2(?: 0)?", "artistic"),
-    ("bsl-1.0", "(?:bsl 1 0|boost software license)", "b"),
+    ("bsl-1.0", "(?:bsl 1 0|boost software license)", "bsl|boost"),
     ("zlib", "(?:zlib|zlib libpng)", "zlib"),
     ("unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "(?:wtfpl|do what the fuck you want to public license)", "w"),
-    ("psf-2.0", "(?:psf|python software foundation license)(?: )?(?:version |v)?2?", "p"),
+    ("wtfpl", "(?:wtfpl|do what the fuck you want to public license)", "wtfpl|do what the fuck"),
+    ("psf-2.0", "(?:psf|python software foundation license)(?: )?(?:version |v)?2?", "psf|python software"),
     ("postgresql", "postgresql license", "postgresql"),
     ("openssl", "openssl license", "openssl"),
-    ("ofl-1.1", "(?:ofl 1 1|sil open font license)", "o"),
-    ("eupl-1.2", "(?:eupl|european union public licen[cs]e)", "e"),
-    ("ms-pl", "(?:ms pl|microsoft public license)", "m"),
-    ("odbl", "(?:odbl|open database license)", "o"),
-    ("cc0-1.0", "(?:cc0|cc zero|creative commons zero)", "c"),
-    ("cc-by-3.0", "(?:cc|creative commons) (?:by|attribution) 3 0", "c"),
-    ("cc-by-4.0", "(?:cc|creative commons) (?:by|attribution) 4 0", "c"),
-    ("cc-by-sa-3.0", "(?:cc|creative commons) (?:by sa|attribution share ?alike) 3 0", "c"),
-    ("cc-by-sa-4.0", "(?:cc|creative commons) (?:by sa|attribution share ?alike) 4 0", "c"),
-    ("cc-by-nc-3.0", "(?:cc|creative commons) (?:by nc|attribution non ?commercial) 3 0", "c"),
-    ("cc-by-nc-4.0", "(?:cc|creative commons) (?:by nc|attribution non ?commercial) 4 0", "c"),
-    ("cc-by-nd-4.0", "(?:cc|creative commons) (?:by nd|attribution no ?deriv(?:atives|s)) 4 0", "c"),
-    ("cc-by-nc-sa-4.0", "(?:cc|creative commons) (?:by nc sa|attribution non ?commercial share ?alike) 4 0", "c"),
-    ("cc-by-nc-nd-4.0", "(?:cc|creative commons) (?:by nc nd|attribution non ?commercial no ?deriv(?:atives|s)) 4 0", "c"),
+    ("ofl-1.1", "(?:ofl 1 1|sil open font license)", "ofl|open font"),
+    ("eupl-1.2", "(?:eupl|european union public licen[cs]e)", "eupl|european union"),
+    ("ms-pl", "(?:ms pl|microsoft public license)", "ms pl|microsoft public"),
+    ("odbl", "(?:odbl|open database license)", "odbl|open database"),
+    ("cc0-1.0", "(?:cc0|cc zero|creative commons zero)", "cc0|cc zero|commons zero"),
+    ("cc-by-3.0", "(?:cc|creative commons) (?:by|attribution) 3 0", "cc|creative commons"),
+    ("cc-by-4.0", "(?:cc|creative commons) (?:by|attribution) 4 0", "cc|creative commons"),
+    ("cc-by-sa-3.0", "(?:cc|creative commons) (?:by sa|attribution share ?alike) 3 0", "cc|creative commons"),
+    ("cc-by-sa-4.0", "(?:cc|creative commons) (?:by sa|attribution share ?alike) 4 0", "cc|creative commons"),
+    ("cc-by-nc-3.0", "(?:cc|creative commons) (?:by nc|attribution non ?commercial) 3 0", "cc|creative commons"),
+    ("cc-by-nc-4.0", "(?:cc|creative commons) (?:by nc|attribution non ?commercial) 4 0", "cc|creative commons"),
+    ("cc-by-nd-4.0", "(?:cc|creative commons) (?:by nd|attribution no ?deriv(?:atives|s)) 4 0", "cc|creative commons"),
+    ("cc-by-nc-sa-4.0", "(?:cc|creative commons) (?:by nc sa|attribution non ?commercial share ?alike) 4 0", "cc|creative commons"),
+    ("cc-by-nc-nd-4.0", "(?:cc|creative commons) (?:by nc nd|attribution non ?commercial no ?deriv(?:atives|s)) 4 0", "cc|creative commons"),
 ]
 
 #: How a license is named, from the surest on: priority, keyword, text around {name}.
@@ -137,7 +139,7 @@ GATE = "licen|copyright|public domain|rights reserved|proprietary|permission|red
 
 def rules() -> list[Rule]:
     """All rules in order: every name in every context, and the phrases."""
-    named = [Rule(label, p, key, around.replace("{name}", name)) for p, key, around in CONTEXTS for label, name, _ in NAMES]
+    named = [Rule(label, p, key, around.replace("{name}", name), held) for p, key, around in CONTEXTS for label, name, held in NAMES]
     return sorted([*[Rule(*x) for x in PHRASES], *named], key=lambda r: r.priority)
 
 
@@ -158,16 +160,37 @@ def _joined(text: Column) -> Column:
     return F.when(words == "", F.lit("")).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
 
 
+#: Begin and end of a match; no word holds such characters.
+_BEGIN, _END = "\x01", "\x02"
+
+
+def marking(pattern: str) -> str:
+    """The spaced pattern with the words of a match as its group."""
+    return f" ((?:{pattern.replace(' ', '  ')})) "
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` has it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _places(joined: Column, pattern: Column) -> Column:
-    """(first, last): words of each match of a spaced pattern, from left to right.
+    """(first, last): words of each match of a marking pattern, from left to right.
 
-    No function tells the place of every match; the pieces between them do.
+    One replacement marks the first and the last word of every match; the numbers of
+    the marked words are the places. So the time grows with the text, not with text
+    times matches.
     """
-    pieces = F.transform(F.split(joined, pattern, -1), _spaces)
-    found = F.transform(F.regexp_extract_all(joined, pattern, F.lit(0)), _spaces)
-    # Before match i stand the pieces up to i and the matches before i.
-    firsts = F.transform(found, lambda n, i: F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, x: a + x))
-    return F.zip_with(firsts, found, lambda before, n: F.struct((before / 2).cast("long").alias("first"), (before / 2 + n / 2 - 1).cast("long").alias("last")))
+    none = F.array().cast("array<struct<first: bigint, last: bigint>>")
+    marked = F.regexp_replace(joined, pattern, F.lit(f" {_BEGIN}$1{_END} "))
+    return _once(marked, lambda m: F.when(F.contains(m, F.lit(_BEGIN)), _marked_places(m)).otherwise(none))
+
+
+def _marked_places(marked: Column) -> Column:
+    words = F.transform(F.split(F.trim(marked), "  "), lambda w, i: F.struct(i.cast("long").alias("at"), F.startswith(w, F.lit(_BEGIN)).alias("begins"), F.endswith(w, F.lit(_END)).alias("ends")))
+    at = lambda m, which: F.transform(F.filter(m, lambda w: w[which]), lambda w: w["at"])
+    ends = F.filter(words, lambda w: w["begins"] | w["ends"])
+    return _once(ends, lambda m: F.zip_with(at(m, "begins"), at(m, "ends"), lambda a, b: F.struct(a.alias("first"), b.alias("last"))))
 
 
 def _spaces(text: Column) -> Column:
@@ -177,21 +200,29 @@ def _spaces(text: Column) -> Column:
 def _literal(rows: list[tuple], fields: str) -> Column:
     """A constant array of structs."""
     names = fields.split()
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows])
+    value = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
+    return F.array(*[F.struct(*[value(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows])
+
+
+#: Detections that one step of the suppression takes.
+_STEP = 256
+_DETECTION = "struct<first: bigint, back: bigint, level: int, rule: int, label: string>"
+_KEPT = "struct<first: bigint, last: bigint, level: int, label: string>"
+
 
+def _ordered(found: Column) -> Column:
+    """Detections by first word, longest, priority and rule."""
+    return F.array_sort(F.transform(found, lambda d: F.struct(d["first"].alias("first"), (-d["last"]).alias("back"), d["level"].alias("level"), d["rule"].alias("rule"), d["label"].alias("label"))))
 
-def _unsuppressed(found: Column, priorities: list[int]) -> Column:
+
+def _unsuppressed(ordered: str, levels: int) -> Column:
     """The detections that no other contains, of those of higher priority and, of the same, longer or earlier rules.
 
-    Sorted by first word, longest, priority and rule, a detection is suppressed if one before it
-    of its priority or a higher one reaches as far; so one pass keeps the farthest reach by priority.
+    ``ordered`` is a column of detections in order. One is suppressed if one before it of its
+    priority or a higher one reaches as far; so one pass keeps the farthest reach by priority. An
+    array grows by copying, so the pass collects ``_STEP`` detections at a time and
+    puts these together.
     """
-    ordered = F.array_sort(F.transform(found, lambda d: F.struct(d["first"].alias("first"), (-d["last"]).alias("back"), d["level"].alias("level"), d["rule"].alias("rule"), d["label"].alias("label"))))
-    kind = "struct<first: bigint, last: bigint, level: int, label: string>"
-    start = F.struct(
-        F.array_repeat(F.lit(-1).cast("long"), len(priorities)).alias("reach"),
-        F.array().cast(f"array<{kind}>").alias("kept"),
-    )
 
     def step(state: Column, d: Column) -> Column:
         last = -d["back"]
@@ -200,7 +231,15 @@ def _unsuppressed(found: Column, priorities: list[int]) -> Column:
         kept = F.when(hidden, state["kept"]).otherwise(F.concat(state["kept"], F.array(F.struct(d["first"].alias("first"), last.alias("last"), d["level"].alias("level"), d["label"].alias("label")))))
         return F.struct(reach.alias("reach"), kept.alias("kept"))
 
-    return F.aggregate(ordered, start, step, lambda s: s["kept"])
+    def some(state: Column, _: Column) -> Column:
+        start = F.struct(state["reach"].alias("reach"), F.array().cast(f"array<{_KEPT}>").alias("kept"))
+        taken = F.aggregate(F.slice(state["rest"], F.lit(1), F.lit(_STEP)), start, step)
+        rest = F.slice(state["rest"], F.lit(_STEP + 1), F.greatest(F.size(state["rest"]) - _STEP, F.lit(0)))
+        return _once(taken, lambda t: F.struct(t["reach"].alias("reach"), F.concat(state["kept"], t["kept"]).alias("kept"), rest.alias("rest")))
+
+    every = F.struct(F.array_repeat(F.lit(-1).cast("long"), levels).alias("reach"), F.array().cast(f"array<{_KEPT}>").alias("kept"), F.col(ordered).alias("rest"))
+    steps = F.sequence(F.lit(1), F.greatest(F.ceil(F.size(ordered) / _STEP), F.lit(1)))
+    return F.aggregate(steps, every, some, lambda s: s["kept"])
 
 
 def detect(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -208,26 +247,29 @@ def detect(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFram
     last, label) and found (unsuppressed detections: first, last, level of priority, label)."""
     own = rules()
     priorities = sorted({r.priority for r in own})
-    table = _literal([(r.label, priorities.index(r.priority), i, r.keyword.replace(" ", "  "), spaced(r.pattern)) for i, r in enumerate(own)], "label level rule keyword pattern")
-    base = _literal([(label, spaced(phrase)) for phrase, label in BASE_PHRASES], "label pattern")
+    two = lambda words: words.replace(" ", "  ")
+    table = _literal([(r.label, priorities.index(r.priority), i, two(r.keyword), [two(n) for n in r.names.split("|")], marking(r.pattern)) for i, r in enumerate(own)], "label level rule keyword names pattern")
+    base = _literal([(label, marking(phrase)) for phrase, label in BASE_PHRASES], "label pattern")
     joined = docs.select(*keep, _joined(F.col(text_col)).alias("_joined"))
     # Lower-casing and all rules are for texts behind the gate only.
-    gated = F.col("_joined").rlike("(?i)" + GATE.replace(" ", "  "))
+    gated = F.col("_joined").rlike("(?i)" + two(GATE))
     low = joined.withColumn("_low", F.when(gated, F.translate("_joined", _UPPER, _LOWER)))
+    held = lambda r: F.contains(F.col("_low"), r["keyword"]) & F.exists(r["names"], lambda n: F.contains(F.col("_low"), n))
     found = F.flatten(
         F.transform(
-            F.filter(table, lambda r: F.contains(F.col("_low"), r["keyword"])),
+            F.filter(table, held),
             lambda r: F.transform(_places(F.col("_low"), r["pattern"]), lambda p: F.struct(p["first"].alias("first"), p["last"].alias("last"), r["level"].alias("level"), r["rule"].alias("rule"), r["label"].alias("label"))),
         )
     )
     bases = F.flatten(F.transform(base, lambda b: F.transform(_places(F.col("_low"), b["pattern"]), lambda p: F.struct(p["first"].alias("first"), p["last"].alias("last"), b["label"].alias("label")))))
     seen = F.col("_low").isNotNull()
-    return low.select(
+    scanned = low.select(
         *keep,
         F.floor(_spaces(F.col("_joined")) / 2).cast("long").alias("n_words"),
         F.when(seen, bases).otherwise(F.array().cast("array<struct<first: bigint, last: bigint, label: string>>")).alias("base"),
-        F.when(seen, _unsuppressed(found, priorities)).otherwise(F.array().cast("array<struct<first: bigint, last: bigint, level: int, label: string>>")).alias("found"),
+        F.when(seen, _ordered(found)).otherwise(F.array().cast(f"array<{_DETECTION}>")).alias("_ordered"),
     )
+    return scanned.select(*keep, "n_words", "base", _unsuppressed("_ordered", len(priorities)).alias("found"))
 
 
 def license_labels(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import pandas as pd
+from hypothesis import given, settings, strategies as st
 
 from sparkdraft.llm import licenses
 from tools.oracle_check import canon
@@ -68,3 +69,25 @@ def test_every_keyword_passes_the_gate():
 
 def test_empty_table(spark):
     assert licenses.license_labels(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"]).count() == 0
+
+
+@settings(max_examples=400, deadline=None, database=None)
+@given(st.sampled_from(licenses.NAMES).flatmap(lambda n: st.tuples(st.just(n), st.from_regex(n[1], fullmatch=True, alphabet="abcdefghijklmnopqrstuvwxyz0123456789 "))))
+def test_names_hold_what_gates_them(case):
+    (label, name, held), shown = case
+    assert any(h in shown for h in held.split("|")), (label, shown)
+
+
+def test_many_matches_in_one_text(spark):
+    """Time grows with the matches; suppression over many steps equals the plain reading."""
+    import time
+
+    rows = [(1, "gpl code, " * 1500), (2, "released under the mit license, gnu gpl 3; cc by nc 4.0 " * 300)]
+    assert canon(COLUMNS, found(spark, rows)) == canon(COLUMNS, plain(rows))
+    took = []
+    for n in (1, 20_000, 100_000):
+        t = time.time()
+        got = found(spark, [(1, "gpl code, " * n)])
+        took.append(time.time() - t)
+        assert got[0][1] == 2 * n and got[0][6] == "gpl"
+    assert took[2] - took[0] < 60
