@@ -5,12 +5,13 @@ tree splits by the median of a random projection at every node, to leaves of
 about ``LEAF`` of the table's rows. Index: every row is dealt to its leaf in every
 tree. Search: one priority queue per query over all trees holds nodes by the
 smallest margin on their way; leaves are opened from the best on until they
-hold ``share`` of the rows, ``LEAST_CANDIDATES`` at least. Rerank: the exact
+hold ``share`` times the rows, at every size of the table. Rerank: the exact
 cosine in double precision of all rows in the opened leaves.
 
-The share is that of all rows over all trees together. The default suits
-vectors that spread evenly over the sphere, for which no index can tell far
-from near well; vectors with more structure need less.
+The share counts a row in every tree it is found in, of ``trees`` in all. The
+default suits vectors that spread evenly over the sphere, for which no index can
+tell far from near well: work per query then grows with the table. Vectors with
+more structure need less.
 
 Rows with equal vectors are searched as one, with the few smallest ids that can
 be among the nearest. Leaves and queries beyond ``BLOCK`` rows meet in blocks.
@@ -36,9 +37,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from sparkdraft.llm.store import stored
 
 TREES = 8
-LEAF = 128
-SHARE = 0.8
-LEAST_CANDIDATES = 5_000
+LEAF = 64
+SHARE = 1.5
 SAMPLE = 100_000
 SAMPLE_BYTES = 64 << 20
 BLOCK = 20_000
@@ -150,7 +150,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int, i
     sizes = np.zeros(trees << forest.depth, dtype=np.int64)
     sizes[table.column("at").to_numpy()] = table.column("n").to_numpy()
     leaf_sizes = spark.sparkContext.broadcast(sizes.reshape(trees, -1))
-    budget = max(share * n, min(LEAST_CANDIDATES * trees, n * trees))
+    budget = share * n
     query_parts = max(1, math.ceil(n_queries / BLOCK))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

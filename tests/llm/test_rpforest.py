@@ -39,7 +39,6 @@ def test_small_tables_are_searched_whole(spark):
 
 
 def test_recall_with_few_leaves_opened(spark, monkeypatch):
-    monkeypatch.setattr(rpforest, "LEAST_CANDIDATES", 1)
     monkeypatch.setattr(rpforest, "BLOCK", 50)  # leaves and queries in parts
     rows = vectors(3000)
     got, want = found(spark, rows, 20, 5, leaf=100), brute(rows, 20, 5)
