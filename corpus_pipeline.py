@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkdraft.llm.decontam import without_contaminated
-from sparkdraft.llm.langid import UNDETERMINED, identify, prototypes
+from sparkdraft.llm.langid import DIM, UNDETERMINED, identify, prototypes
 from sparkdraft.llm.linetree import drop_recurring_lines
 from sparkdraft.llm.packing import pack_documents
 from sparkdraft.llm.queries import table, tokenizer_path
@@ -18,13 +18,26 @@ from sparkdraft.llm.simhash import one_of_each_group
 from sparkdraft.llm.store import stored
 
 
+#: Letters from which on a text's score says something, and the score up to which it is that of
+#: unrelated vectors: cosines of random vectors in DIM dimensions deviate by 1 / sqrt(DIM); twice that.
+LEAST_LETTERS = 20
+NOISE = 2 * DIM**-0.5
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told, by prototypes learned from their
-    labels; a text that is null or has no letter is rejected."""
+    labels. A text is rejected if it is null or has no letter, or if it has
+    LEAST_LETTERS letters and is no nearer to any language than unrelated vectors
+    are (other scripts, lists of codes, one repeated word). Without any label
+    nothing can be learned, and all documents pass."""
     langs, matrix = prototypes(docs.select("lang", "text"))
+    if not langs:
+        return docs
     # The row travels as one struct, so that no column name can clash.
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return identify(spark, packed, langs, matrix, ["row"]).filter(F.col("lang_pred") != UNDETERMINED).select("row.*")
+    letters = F.length(F.regexp_replace(F.col("row").getField("text").cast("string"), r"[^\p{L}]", ""))
+    told = (F.col("lang_pred") != UNDETERMINED) & ((F.col("score") > NOISE) | (letters < LEAST_LETTERS))
+    return identify(spark, packed, langs, matrix, ["row"]).filter(told).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
