@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sparkdraft.llm import pst
 from sparkdraft.llm.folds import held_out_of
 from sparkdraft.llm.words import string_buffers
+from tests.llm import plain_tree
 
 import pyarrow as pa
 
@@ -80,12 +81,12 @@ def test_empty_and_untrained(spark):
 def tree_of(spark, rows):
     df = spark.createDataFrame([(t,) for _, t in rows], "text string")
     counts = pst.word_counts(df).cache()
-    return pst.learn(spark, counts, df)
+    return plain_tree.learn(spark, counts, df)
 
 
 def test_distributions_sum_to_one(spark):
     tree = tree_of(spark, corpus())
-    look = pst.Lookup(tree)
+    look = plain_tree.Lookup(tree)
     assert len(tree.parent) > 10 and max(len(k) > 0 and d for d, k in enumerate(tree.state_keys, 1)) >= 2
     every = np.arange(len(tree.words))
     for state in range(0, len(tree.parent), 7):
@@ -96,7 +97,7 @@ def test_distributions_sum_to_one(spark):
 
 def test_longest_suffix_is_used(spark):
     tree = tree_of(spark, corpus())
-    look = pst.Lookup(tree)
+    look = plain_tree.Lookup(tree)
     text = corpus()[5][1]
     h, first = pst.tokens(*string_buffers(pa.array([text])))
     word = look.words.find(h)
@@ -106,7 +107,7 @@ def test_longest_suffix_is_used(spark):
         want = 0
         for d in range(1, len(tree.state_keys) + 1):
             if i >= d and (word[i - d : i] >= 0).all():
-                want = by_key.get(int(pst._context_keys(tree.words, word[None, i - d : i])[0]), want)
+                want = by_key.get(int(plain_tree._context_keys(tree.words, word[None, i - d : i])[0]), want)
         assert states[i] == want
 
 
@@ -124,7 +125,7 @@ def tree_scores(spark, rows):
     """Scores by the tree in memory."""
     held = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
     tree = tree_of(spark, [r for r, h in zip(rows, held) if not h])
-    look = pst.Lookup(tree)
+    look = plain_tree.Lookup(tree)
     out = []
     for _, text in rows:
         h, first = pst.tokens(*string_buffers(pa.array([text])))
