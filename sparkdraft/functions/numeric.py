@@ -1,4 +1,4 @@
-"""Numeric column helpers."""
+"""Numeric column helpers."""
 
 from __future__ import annotations
 

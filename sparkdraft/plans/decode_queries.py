@@ -29,6 +29,7 @@ from sparkdraft.operators.decode import (
     engine_totals,
     per_prompt_stats,
     positional_sums,
+    positional_vector,
     repeat_means,
     replay_steps,
     run_totals,
@@ -278,6 +279,16 @@ def q_accepted_per_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional_sums(metric_rows(spark, sf_dir))
 
 
+@register("accepted_vectors", f"""WITH {_METRIC_SQL},
+x AS (SELECT run, unnest(generate_series(0, len(vals) - 1)) AS pos, unnest(vals) AS v FROM mr WHERE name = '{COUNTER_PER_POS}'),
+t AS (SELECT run, pos, sum(v) AS total FROM x GROUP BY run, pos)
+SELECT run, string_agg(CAST(CAST(total AS BIGINT) AS VARCHAR), ',' ORDER BY pos) AS accepted_tokens_per_pos FROM t GROUP BY run""")
+def q_accepted_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A06 as one vector per run, as a summary document holds it (written out as text)."""
+    vectors = positional_vector(positional_sums(metric_rows(spark, sf_dir)))
+    return vectors.select("run", F.array_join(F.transform("accepted_tokens_per_pos", lambda x: x.cast("bigint").cast("string")), ",").alias("accepted_tokens_per_pos"))
+
+
 AMORTISED_SQL = f"""WITH {TIMING_SQL},
 tot AS (SELECT count(DISTINCT prompt) AS n, coalesce(sum(mean_s) FILTER (WHERE arm = 'sd'), 0.0) AS sd_s,
                coalesce(sum(mean_s) FILTER (WHERE arm = 'vanilla'), 0.0) AS v_s FROM m)

@@ -17,8 +17,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkdraft.functions.numeric import display_round, guarded_ratio, round_half_even_int, sort_keys
 from sparkdraft.functions.text import entity_key, slug
 from sparkdraft.operators.discovery import CONFIG_FILE, MODEL_CONFIG_FILE, WEIGHT_FILES, checkpoint_inventory, checkpoint_records, sweep_table
+from sparkdraft.operators.ordering import with_global_index
 from sparkdraft.operators.summaries import SUMMARY_SCHEMA, SWEEP_CSV_COLUMNS, flatten_summary
 from sparkdraft.operators.sweeps import (
     best_checkpoint,
@@ -542,3 +544,17 @@ def q_diverging_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = convergence_status(c, ["run"], "step", "loss", smooth, "ema")
     before = smooth.groupBy("run").agg(F.count("*").alias("n_before"))
     return status.join(before, "run", "left").select("run", "n_points", "n_before", F.round("last", ROUND).alias("last"), "status")
+
+
+@register("ranked_runs", """
+SELECT row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) - 1 AS place, o_orderkey, o_orderpriority, CAST(round_even(o_totalprice / 100, 0) AS BIGINT) AS hundreds,
+       round(o_totalprice / 1000, 1) AS thousands, round(CASE WHEN o_custkey > 0 THEN CAST(o_totalprice AS DOUBLE) / o_custkey ELSE 0.0 END, 9) AS per_customer FROM orders""")
+def q_ranked_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L05 + X13 + X14 + X18: runs in the order of several keys, with rounded and
+    guarded figures as a report shows them. Stand-in: orders by priority, then price."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_custkey")
+    placed = with_global_index(o, sort_keys(("o_orderpriority", True), ("o_totalprice", False), ("o_orderkey", True)), "place")
+    price = F.col("o_totalprice")
+    return placed.select(
+        "place", "o_orderkey", "o_orderpriority", round_half_even_int(price / 100).alias("hundreds"), display_round(price / 1000, 1).alias("thousands"), F.round(guarded_ratio("o_totalprice", "o_custkey", 0.0), 9).alias("per_customer")
+    )
