@@ -118,15 +118,16 @@ def oracle_sql(min_docs: int = MIN_DOCS) -> str:
     return f"""
     WITH a AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
     l AS (SELECT r, doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM a WHERE text IS NOT NULL),
-    k AS (SELECT *, string_split_regex(regexp_replace(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*', '{FIELD}', 'g'), '{white}+') AS tokens FROM l),
-    t AS (SELECT r, doc_id, text, pos, tokens, (len(tokens), tokens[1:{DEPTH}]) AS leaf, len(list_filter(tokens, lambda x: x <> '{FIELD}')) >= {SHARE} * len(tokens) AS constant FROM k WHERE tokens[1] <> ''),
+    k AS (SELECT *, string_split_regex(regexp_replace(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*', '{FIELD}', 'g'), '{white}+') AS tokens,
+        string_split_regex(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{white}+') AS raw FROM l),
+    t AS (SELECT r, doc_id, text, pos, tokens, raw, (len(tokens), tokens[1:{DEPTH}]) AS leaf, len(list_filter(tokens, lambda x: x <> '{FIELD}')) >= {SHARE} * len(tokens) AS constant FROM k WHERE tokens[1] <> ''),
     c AS (SELECT leaf, tokens, count(DISTINCT text) AS n FROM t GROUP BY ALL),
     busy AS (SELECT leaf FROM c GROUP BY leaf HAVING sum(n) >= {min_docs} AND count(*) > 1 AND min(n) < {min_docs}),
     p AS (SELECT leaf, tokens, n, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM c WHERE leaf IN (SELECT leaf FROM busy)),
     fixed AS (SELECT leaf, place, token FROM p WHERE token <> '{FIELD}' GROUP BY ALL HAVING sum(n) >= {min_docs}),
     named AS (SELECT p.leaf, p.tokens, list(CASE WHEN fixed.token IS NULL THEN '{FIELD}' ELSE p.token END ORDER BY p.place) AS template
         FROM p LEFT JOIN fixed USING (leaf, place, token) GROUP BY p.leaf, p.tokens),
-    m AS (SELECT t.*, CASE WHEN named.template IS NOT NULL THEN named.template WHEN constant THEN t.tokens END AS template
+    m AS (SELECT t.*, CASE WHEN named.template IS NOT NULL THEN named.template WHEN constant THEN t.tokens ELSE list_prepend('exact', t.raw) END AS template
         FROM t LEFT JOIN (SELECT * FROM named WHERE len(list_filter(template, lambda x: x <> '{FIELD}')) >= {SHARE} * len(template)) named ON t.leaf = named.leaf AND t.tokens = named.tokens),
     rec AS (SELECT leaf, template, min((doc_id IS NULL, doc_id, pos)) AS kept FROM m WHERE template IS NOT NULL GROUP BY ALL HAVING count(DISTINCT text) >= {min_docs}),
     gone AS (SELECT DISTINCT m.r, m.pos FROM m JOIN rec ON m.leaf = rec.leaf AND m.template = rec.template WHERE (doc_id IS NULL, doc_id, pos) <> kept),

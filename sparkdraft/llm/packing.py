@@ -34,6 +34,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces that one task packs; more pieces are dealt over more tasks.
 SHARD_PIECES = 200_000
+#: Share of the open bins that a round of packing them again has to close up for another one.
+LEAST_GAIN = 0.002
 #: Distinct text parts that a worker remembers.
 _PARTS = 2_000_000
 _PART_BASE = 0xC6BC279692B5C323
@@ -282,8 +284,9 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
-def _pack_shards(items: DataFrame, columns: str, capacity: int, shards: int, key: str) -> DataFrame:
-    """Adds _bin and _place to the items; each shard is packed by one task, largest pieces first."""
+def _pack_shards(items: DataFrame, columns: str, capacity: int, shards: int, key: str, round_: int = 0) -> DataFrame:
+    """Adds _bin and _place to the items; each shard is packed by one task, largest
+    pieces first. Another round deals the items otherwise."""
     own = [c.strip().split(" ")[0] for c in columns.split(",")]
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -291,16 +294,18 @@ def _pack_shards(items: DataFrame, columns: str, capacity: int, shards: int, key
         b, place = sum_of_squares(pdf["length"].to_numpy(), capacity)
         return pdf[own].assign(_bin=b * shards + pdf["_shard"].iloc[0], _place=place)
 
-    return items.withColumn("_shard", F.pmod(F.xxhash64(F.lit("shard"), F.col(key)), F.lit(shards))).groupBy("_shard").applyInPandas(pack, f"{columns}, _bin bigint, _place bigint")
+    return items.withColumn("_shard", F.pmod(F.xxhash64(F.lit("shard"), F.lit(round_), F.col(key)), F.lit(shards))).groupBy("_shard").applyInPandas(pack, f"{columns}, _bin bigint, _place bigint")
 
 
 def pack_pieces(spark, pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``capacity``.
 
     Full pieces stand alone. The others are dealt by hash over enough tasks
-    that each packs about ``shard_pieces``; the bins that stay open are packed
-    again as pieces of their own, over fewer tasks each time, until one task
-    holds them all. The columns given are carried along.
+    that each packs about ``shard_pieces``; the bins that stay open are dealt
+    anew and packed again as pieces of their own, about ``shard_pieces`` a task
+    again, until one task holds them all or a round closes up less than
+    ``LEAST_GAIN`` of them. So no task grows with the input, also if most
+    pieces fit with none. The columns given are carried along.
     """
     own = pieces.columns
     table = stored(spark, pieces.withColumn("_pid", F.monotonically_increasing_id()), "pieces")
@@ -315,14 +320,18 @@ def pack_pieces(spark, pieces: DataFrame, capacity: int = CAPACITY, shard_pieces
         packed = stored(spark, packed, "packed")
         # (_bin -> sequence, base) is refined round by round.
         bins = packed.groupBy("_bin").agg(F.sum("length").alias("length")).withColumn("top", F.col("_bin")).withColumn("base", F.lit(0).cast("bigint"))
+        round_ = 0
         while shards > 1:
-            shards = max(1, math.ceil(shards / 8))
-            tops = bins.groupBy("top").agg(F.sum("length").alias("length")).filter(F.col("length") < capacity)
-            merged = _pack_shards(tops, "top bigint, length bigint", capacity, shards, "top")
+            tops = stored(spark, bins.groupBy("top").agg(F.sum("length").alias("length")).filter(F.col("length") < capacity), "open-bins")
+            n, round_ = tops.count(), round_ + 1
+            shards = max(1, math.ceil(n / shard_pieces))
+            merged = stored(spark, _pack_shards(tops, "top bigint, length bigint", capacity, shards, "top", round_), "merged-bins")
             # The first of a merged bin lends it its number.
             named = merged.groupBy("_bin").agg(F.min_by("top", "_place").alias("to"))
             step = merged.join(named, "_bin").select("top", "to", F.col("_place").alias("shift"))
             bins = stored(spark, bins.join(step, "top", "left").select("_bin", "length", F.coalesce("to", "top").alias("top"), (F.col("base") + F.coalesce("shift", F.lit(0))).alias("base")), "bins")
+            if n - named.count() < LEAST_GAIN * n:
+                break
         packed = packed.join(bins.select("_bin", "top", "base"), "_bin").withColumn("_place", F.col("_place") + F.col("base")).withColumn("_bin", F.col("top"))
     return packed.select(*own, F.col("_bin").alias("sequence_id"), F.col("_place").alias("offset")).unionByName(full)
 

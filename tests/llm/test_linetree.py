@@ -13,10 +13,10 @@ def plain(rows, least):
         for pos, line in enumerate((text or "").split("\n") if text is not None else []):
             tokens = re.findall(r"[^\x20\x09-\x0D]+", line)
             if tokens:
-                tokens = tuple("<*>" if re.search("[0-9]", t) else t for t in tokens)
-                lines.append((r, d, text, pos, (len(tokens), tokens[:3]), tokens))
+                raw, tokens = tuple(tokens), tuple("<*>" if re.search("[0-9]", t) else t for t in tokens)
+                lines.append((r, d, text, pos, (len(tokens), tokens[:3]), tokens, raw))
     texts, leaves = defaultdict(set), defaultdict(set)
-    for _, _, text, _, leaf, tokens in lines:
+    for _, _, text, _, leaf, tokens, _ in lines:
         texts[tokens].add(text)
         leaves[leaf].add(tokens)
     template = {}
@@ -35,9 +35,9 @@ def plain(rows, least):
                 if constant(t):
                     template[k] = t
     members = defaultdict(list)
-    for r, d, text, pos, leaf, tokens in lines:
-        if template[tokens]:
-            members[leaf, template[tokens]].append(((d is None, d if d is not None else 0, pos), text, r, pos))
+    for r, d, text, pos, leaf, tokens, raw in lines:
+        # A line with more fields than that is told by its own tokens.
+        members[leaf, template[tokens] or ("exact", raw)].append(((d is None, d if d is not None else 0, pos), text, r, pos))
     dropped = set()
     for rows_ in members.values():
         if len({x[1] for x in rows_}) >= least:
@@ -56,6 +56,7 @@ ROWS = (
     + [(20 + i, f"Connection was closed by {name} at last") for i, name in enumerate(["ann", "bob", "cid", "dan", "eve", "fay", "gus", "hal", "ivy", "joe", "kim"])]
     + [(40 + i, f"{i} {i + 1}\n{i * 7}") for i in range(15)]
     + [(60 + i, "a whole copy\nof two lines") for i in range(15)]
+    + [(100 + i, f"Call 555-1234  24/7\nmore {'abcdefghijklmnop'[i]}\n{i} 2024-01-01 12:00") for i in range(12)]
     + [(80, None), (81, ""), (82, "\n\n"), (None, "All rights reserved.\n \n"), (83, "  All   rights\treserved.  "), (91, "Intro 2 of a kind that stands oncexx"), (90, "log 1 a\n" * 40)]
 )
 

@@ -111,6 +111,27 @@ def test_shards_are_packed_together(spark):
     assert len(many) <= 1.1 * len(one)
 
 
+def test_pieces_that_fit_with_none_end_the_rounds(spark, monkeypatch):
+    """No task gets more than its share, also if no round closes up anything."""
+    pieces = spark.createDataFrame([(i, 600 + i % 400) for i in range(400)] + [(1000 + i, 3) for i in range(5)], "n long, length long")
+    got = packing.pack_pieces(spark, pieces, shard_pieces=25).collect()
+    used = {}
+    for r in got:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert len(got) == 405 and 400 <= len(used) <= 402
+    for parts in used.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    rounds = []
+    whole = packing._pack_shards
+    monkeypatch.setattr(packing, "_pack_shards", lambda *a, **k: (rounds.append(a[3]), whole(*a, **k))[1])
+    packing.pack_pieces(spark, pieces, shard_pieces=25)
+    assert len(rounds) <= 4 and min(rounds) >= 400 // 25
+
+
 def test_empty_table(spark):
     assert packing.pack_documents(spark, spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 
