@@ -6,7 +6,10 @@ the character spans that are trained on: the text and end mark of the
 assistant's turns. The prompt and other roles' turns are masked.
 
 A conversation is one training example; its turns are gathered by pair, as the
-rendered example is one string. Turns stand in the order of turn, role and text.
+rendered example is one string. A pair of more than ``MOST_CHARS`` characters is
+no example and can't be gathered in a task: sizes are added up first (combined
+before the shuffle), and the first such pair fails the call by name. Turns stand in
+the order of turn, role and text.
 
 Defined results: rows without a pair id or a turn, or with another side, belong to no
 conversation and are left out; a null role is ``unknown``, a null text empty;
@@ -21,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 ASSISTANT = "assistant"
+#: Characters of both sides of a pair.
+MOST_CHARS = 1 << 28
 END = "<|end|>\n"
 
 
@@ -52,9 +57,13 @@ def preference_pairs(turns: DataFrame, pair_col: str = "pair_id", side_col: str
     """One row per pair: the id, n_prompt_turns, prompt, chosen, rejected,
     chosen_loss and rejected_loss (spans) and usable (both sides go on, and not alike)."""
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = turns.filter(F.col(pair_col).isNotNull() & F.col(turn_col).isNotNull() & F.col(side_col).isin("chosen", "rejected"))
+    size = F.length(_rendered(turn)).cast("bigint")
+    large = own.groupBy(F.col(pair_col).alias("pair")).agg(F.sum(size).alias("n")).filter(F.col("n") > MOST_CHARS).first()
+    if large:
+        raise ValueError(f"pair {large['pair']} has {large['n']} characters, at most {MOST_CHARS}")
     sides = (
-        turns.filter(F.col(pair_col).isNotNull() & F.col(turn_col).isNotNull() & F.col(side_col).isin("chosen", "rejected"))
-        .groupBy(F.col(pair_col))
+        own.groupBy(F.col(pair_col))
         .agg(*[F.array_sort(F.collect_list(F.when(F.col(side_col) == side, turn))).alias(side) for side in ("chosen", "rejected")])
         .select(pair_col, *[F.transform(side, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias(side) for side in ("chosen", "rejected")])
     )

@@ -42,5 +42,15 @@ def test_pairs(spark):
     assert found(spark, rows)[1][0] == 2 and found(spark, rows)[2][6] is False
 
 
+def test_a_pair_too_large_fails_by_name(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(preference, "MOST_CHARS", 200)
+    rows = [(7, "chosen", i, "user", "x" * 10) for i in range(3)] + [(8, "rejected", i, "user", "x" * 50) for i in range(9)]
+    assert set(found(spark, rows[:3])) == {7}
+    with pytest.raises(ValueError, match="pair 8 has [0-9]+ characters, at most 200"):
+        found(spark, rows)
+
+
 def test_empty_table(spark):
     assert found(spark, []) == {}
