@@ -285,6 +285,53 @@ def amortised_times(rows: DataFrame, sd_total: Column, vanilla_total: Column, n_
     return rows.withColumn("sd_s_avg", per_sd).withColumn("vanilla_s_avg", per_v)
 
 
+# The fields of a generation row.
+GENERATION_ROW = (
+    "id string, prompt string, generation string, accepted_lens array<int>, times struct<sd_s_avg: double, vanilla_s_avg: double>, "
+    "n_new_tokens bigint, n_repeats bigint, finished_eos boolean"
+)
+
+
+def generation_rows(prompts: DataFrame, runs: DataFrame, means: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """One row per prompt that was run, as ``GENERATION_ROW`` has it.
+
+    ``prompts``: (id, prompt). ``runs``: (id, repeat, generation, accepted_lens,
+    n_new_tokens, finished_eos), of which the last repeat of a prompt counts
+    (the larger row of two under one number). ``means`` (``repeat_means`` with the prompt
+    as id): seconds of each prompt by arm, and its number of repeats. An engine
+    that times only the whole run gives ``totals`` instead, one row (sd_time_s,
+    vanilla_time_s, n_prompts, n_repeats) spread evenly over the prompts
+    (``amortised_times``). Without a positive vanilla time that share is null.
+    Prompts without a run give no row, and runs without a prompt neither; ids are strings.
+    """
+    if (means is None) == (totals is None):
+        raise ValueError("generation rows take either times per prompt or totals of the run")
+    fields = ["generation", "accepted_lens", "n_new_tokens", "finished_eos"]
+    row = F.struct(*fields)
+    last = runs.groupBy(F.col("id").cast("string").alias("id")).agg(F.max_by(row, F.struct("repeat", row)).alias("r")).select("id", "r.*")
+    rows = prompts.select(F.col("id").cast("string").alias("id"), F.col("prompt").cast("string").alias("prompt")).join(last, "id")
+    if means is not None:
+        arm = lambda name, c: F.max(F.when(F.col("arm") == name, F.col(c)))
+        times = means.groupBy(F.col("id").cast("string").alias("id")).agg(
+            arm("sd", "mean_s").alias("sd_s_avg"), arm("vanilla", "mean_s").alias("vanilla_s_avg"), F.coalesce(arm("sd", "n_repeats"), F.lit(0)).alias("n_repeats")
+        )
+        timed = rows.join(times, "id", "left")
+    else:
+        one = totals.select(*[F.col(c).alias(f"_{c}") for c in ("sd_time_s", "vanilla_time_s", "n_prompts", "n_repeats")], F.lit(1).alias("_one"))
+        beside = rows.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one")  # a single row
+        timed = amortised_times(beside, F.col("_sd_time_s"), F.col("_vanilla_time_s"), F.col("_n_prompts")).withColumn("n_repeats", F.col("_n_repeats"))
+    return timed.select(
+        "id",
+        "prompt",
+        "generation",
+        F.coalesce(F.col("accepted_lens").cast("array<int>"), F.array().cast("array<int>")).alias("accepted_lens"),
+        F.struct(F.col("sd_s_avg").cast("double").alias("sd_s_avg"), F.col("vanilla_s_avg").cast("double").alias("vanilla_s_avg")).alias("times"),
+        F.col("n_new_tokens").cast("bigint").alias("n_new_tokens"),
+        F.col("n_repeats").cast("bigint").alias("n_repeats"),
+        F.col("finished_eos").cast("boolean").alias("finished_eos"),
+    )
+
+
 def has_draft(draft: str | Column) -> Column:
     """P16 negated: a real draft model is configured."""
     return ~is_null_draft(draft)

@@ -25,8 +25,10 @@ from sparkdraft.operators.decode import (
     COUNTER_DRAFT_TOKENS,
     COUNTER_DRAFTS,
     COUNTER_PER_POS,
+    GENERATION_ROW,
     counter_totals,
     engine_totals,
+    generation_rows,
     per_prompt_stats,
     positional_sums,
     positional_vector,
@@ -37,6 +39,8 @@ from sparkdraft.operators.decode import (
 )
 from sparkdraft.operators.discovery import run_summary
 from sparkdraft.plans.registry import register, table
+from sparkdraft.session import scratch_folder
+from sparkdraft.sources.files import jsonl_scan, jsonl_sink
 from sparkdraft.plugins.scorers import ScoreTable
 
 GAMMA, MAX_NEW, EOS_ID, VOCAB = 4, 64, 0, 50
@@ -352,3 +356,30 @@ def q_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         r(F.col("engines.hf.speedup"), "engine_speedup"), r(F.col("engines.hf.acceptance_rate"), "engine_acceptance_rate"),
         F.col("engines.hf.n_outer_steps").alias("engine_n_outer_steps"), F.col("engines.hf.batched").alias("engine_batched"),
     )
+
+
+GENERATIONS_SQL = f"""WITH {_steps_sql()}, {TIMING_SQL},
+d AS (SELECT doc_id, CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, 1, strpos(text, chr(10)) - 1) ELSE text END AS prompt, regexp_extract(text, '(?s)^[^\\n]*\\n(.*)$', 1) AS generation FROM documents)
+SELECT CAST(d.doc_id AS VARCHAR) AS id, d.prompt, d.generation, pp.accepted_lens, round(s.mean_s, {ROUND}) AS sd_s_avg, round(v.mean_s, {ROUND}) AS vanilla_s_avg,
+       pp.total_new_tokens AS n_new_tokens, coalesce(s.n_repeats, 0) AS n_repeats, pp.finished_eos
+FROM d JOIN pp ON pp.prompt = d.doc_id LEFT JOIN m s ON s.prompt = d.doc_id AND s.arm = 'sd' LEFT JOIN m v ON v.prompt = d.doc_id AND v.arm = 'vanilla'
+"""
+
+
+@register("generation_rows", GENERATIONS_SQL)
+def q_generation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generation rows of an evaluation (id, prompt, generation, accepted
+    lengths, mean times by arm, tokens, repeats, end), written as JSON Lines and
+    read again. Stand-in: a document is a prompt (first line) and its generation
+    (the rest); the user of that number has its decode log and timings."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("prompt"), F.regexp_extract("text", r"(?s)^[^\n]*\n(.*)$", 1).alias("generation")
+    )
+    stats = replayed(spark, sf_dir).select(F.col("prompt").alias("id"), F.lit(0).alias("repeat"), "accepted_lens", F.col("total_new_tokens").alias("n_new_tokens"), "finished_eos")
+    rows = generation_rows(docs.select("id", "prompt"), stats.join(docs.select("id", "generation"), "id"), repeat_means(timings(spark, sf_dir)).withColumnRenamed("prompt", "id"))
+    path = scratch_folder(spark, "generations")
+    jsonl_sink(rows, path)
+    read = jsonl_scan(spark, path, GENERATION_ROW)
+    return read.select(
+        "id", "prompt", "generation", F.array_join("accepted_lens", ",").alias("accepted_lens"), F.round("times.sd_s_avg", ROUND).alias("sd_s_avg"), F.round("times.vanilla_s_avg", ROUND).alias("vanilla_s_avg"), "n_new_tokens", "n_repeats", "finished_eos"
+    )

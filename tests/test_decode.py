@@ -134,3 +134,26 @@ def test_sampling_params_and_null_draft(spark):
         bad.select(sampling_params("mode", "t", "p", "seed", "n").alias("s")).collect()
     d = spark.createDataFrame([(None,), (" Vanilla ",), ("null",), ("none",), ("",), ("ckpt/x",)], "d string")
     assert [r["f"] for r in d.select(is_null_draft("d").alias("f")).collect()] == [True] * 5 + [False]
+
+
+def test_generation_rows(spark):
+    import pytest
+
+    from sparkdraft.operators.decode import GENERATION_ROW, generation_rows
+
+    prompts = spark.createDataFrame([("a", "p a"), ("b", "p b"), ("never run", "p")], "id string, prompt string")
+    runs = spark.createDataFrame(
+        [("a", 0, "first", [1, 2], 5, False), ("a", 1, "last", [3], 4, True), ("b", 0, "only", None, 7, None), ("no prompt", 0, "x", [1], 1, True)],
+        "id string, repeat int, generation string, accepted_lens array<int>, n_new_tokens long, finished_eos boolean",
+    )
+    means = spark.createDataFrame([("a", "sd", 2.0, 2), ("a", "vanilla", 3.0, 2), ("b", "sd", 1.0, 1)], "id string, arm string, mean_s double, n_repeats long")
+    got = {r["id"]: r for r in generation_rows(prompts, runs, means).collect()}
+    assert set(got) == {"a", "b"}
+    assert (got["a"]["generation"], got["a"]["accepted_lens"], tuple(got["a"]["times"]), got["a"]["n_new_tokens"], got["a"]["n_repeats"], got["a"]["finished_eos"]) == ("last", [3], (2.0, 3.0), 4, 2, True)
+    assert (got["b"]["accepted_lens"], tuple(got["b"]["times"]), got["b"]["finished_eos"]) == ([], (1.0, None), None)
+    totals = spark.createDataFrame([(10.0, float("nan"), 4, 3)], "sd_time_s double, vanilla_time_s double, n_prompts long, n_repeats long")
+    spread = generation_rows(prompts, runs, totals=totals)
+    assert {r["id"]: (tuple(r["times"]), r["n_repeats"]) for r in spread.collect()} == {"a": ((2.5, None), 3), "b": ((2.5, None), 3)}
+    assert spread.schema.simpleString() == spark.createDataFrame([], GENERATION_ROW).schema.simpleString()
+    with pytest.raises(ValueError):
+        generation_rows(prompts, runs)
