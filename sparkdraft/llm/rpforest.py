@@ -2,7 +2,7 @@
 
 Fit: on a sample of at most ``SAMPLE`` vectors (``SAMPLE_BYTES`` in all), each
 tree splits by the median of a random projection at every node, to leaves of
-about ``LEAF`` of the table's rows. Index: every row is dealt to its leaf in every
+about ``LEAF`` of the table's rows, and no more than ``LEAVES`` a tree. Index: every row is dealt to its leaf in every
 tree. Search: one priority queue per query over all trees holds nodes by the
 smallest margin on their way; leaves are opened from the best on until they
 hold ``share`` times the rows, at every size of the table. Rerank: the exact
@@ -38,6 +38,8 @@ from sparkdraft.llm.store import stored
 
 TREES = 8
 LEAF = 64
+#: Leaves of a tree. Leaves grow with the table, so that a query opens no more of them.
+LEAVES = 64
 SHARE = 1.5
 SAMPLE = 100_000
 SAMPLE_BYTES = 64 << 20
@@ -88,8 +90,8 @@ class Forest:
 
 
 def fit(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF) -> Forest:
-    """A forest whose leaves hold about ``leaf`` of ``rows`` rows, or 16 of the sample at least."""
-    depth = max(0, min(math.ceil(math.log2(max(1, rows / leaf))), int(math.log2(max(1, len(sample) / 16)))))
+    """A forest whose leaves hold about ``leaf`` of ``rows`` rows, or 16 of the sample at least, and ``LEAVES`` a tree at most."""
+    depth = max(0, min(math.ceil(math.log2(max(1, rows / leaf))), int(math.log2(max(1, len(sample) / 16))), int(math.log2(LEAVES))))
     dim = sample.shape[1]
     unit = sample / np.linalg.norm(sample, axis=1)[:, None]
     normals = np.zeros((trees, max(1, 2**depth - 1), dim))
