@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from sparkdraft.llm.store import stored
 
 TREES = 8
-LEAF = 64
+LEAF = 512
 #: Leaves of a tree. Leaves grow with the table, so that a query opens no more of them.
 LEAVES = 64
 SHARE = 1.5
