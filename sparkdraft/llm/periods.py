@@ -242,7 +242,7 @@ def periodic_runs(docs: DataFrame, keep: list[str], text_col: str = "text", leas
                 np.cumsum(np.bincount(text, minlength=hi - lo), out=at[1:])
                 found = pa.StructArray.from_arrays([pa.array(start - first[text]), pa.array(end - start), pa.array(period)], fields=list(run_type))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(at), found), pa.array(collapsed, pa.binary()).cast(pa.string())],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(at), found), pa.array(collapsed, pa.binary()).view(pa.string())],
                     names=["row", "n_words", "runs", "collapsed"],
                 )
 

@@ -132,7 +132,7 @@ def repetitive(random, n):
 def test_repetitive_texts_match_a_search_without_filters():
     random = np.random.RandomState(3)
     found = 0
-    for trial in range(40):
+    for trial in range(25):
         items = [(i, repetitive(random, random.randint(1, 3))) for i in range(2)]
         items = [(i, t) for i, t in items if len(t) >= 16]
         text = repetitive(random, random.randint(1, 3))
@@ -142,7 +142,7 @@ def test_repetitive_texts_match_a_search_without_filters():
         want = {i for i, t in items if plain_hit(t, text)}
         assert got == want, (trial, text)
         found += len(want)
-    assert 10 < found < 70
+    assert 6 < found < 45
 
 
 def covered(found):
@@ -155,7 +155,7 @@ def covered(found):
 def test_segments_and_left_out_middles_find_the_same_spans(monkeypatch):
     random = np.random.RandomState(5)
     some = 0
-    for trial in range(9):
+    for trial in range(6):
         items = [(i, repetitive(random, random.randint(1, 4))) for i in range(4)]
         long = "-=|"[trial % 3] * random.randint(1, 1500) + repetitive(random, 3) + "ab" * random.randint(1, 900) + items[0][1]
         texts = [long, repetitive(random, 6), "clean text", items[1][1] * 3]
@@ -171,7 +171,7 @@ def test_segments_and_left_out_middles_find_the_same_spans(monkeypatch):
             one, other = ({x for lo, hi in s for x in range(lo, hi)} for s in (spans, got[key]))
             assert len(one ^ other) <= 2 * decontam.EDITS * max(len(spans), len(got[key])), (trial, key)
         some += len(whole)
-    assert some > 20
+    assert some > 12
 
 
 def test_work_on_repeats_grows_with_the_text():
