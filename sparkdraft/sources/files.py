@@ -119,16 +119,35 @@ def parse_split_slice(split: str) -> tuple[str, int | None]:
 def dataset_scan(spark: SparkSession, registry: dict[str, str], name: str, split: str,
                  order_col: str, fmt: str = "parquet") -> DataFrame:
     """Resolve a dataset name to a path, read the split, and apply a
-    ``[:n]`` slice as a position filter under ``order_col`` (no bare limit,
-    so the result is deterministic)."""
-    from sparkdraft.operators.ordering import with_global_index
-
+    ``[:n]`` slice: the first n rows under ``order_col``, nulls first."""
     split_name, n = parse_split_slice(split)
     path = registry[name].format(split=split_name)
     df = spark.read.format(fmt).load(path)
-    if n is None:
+    return df if n is None else first_rows(df, order_col, n)
+
+
+def first_rows(df: DataFrame, order_col: str, n: int) -> DataFrame:
+    """The first ``n`` rows under ``order_col``, nulls first; of rows equal at
+    the end of the slice those of the smallest hashes.
+
+    Only the order column is sorted and checkpointed, to find the value at the
+    end of the slice; the rows are then a filter on that value, which reaches the scan.
+    """
+    from sparkdraft.operators.ordering import with_global_index
+
+    if n <= 0:
+        return df.limit(0)
+    key = F.col(f"`{order_col}`")
+    placed = with_global_index(df.select(key.alias("k")), ["k"], "_sd_row")
+    edge = placed.filter(F.col("_sd_row") == n - 1).first()
+    if edge is None:
         return df
-    return with_global_index(df, [order_col], "_sd_row").filter(F.col("_sd_row") < n).drop("_sd_row")
+    last = F.lit(edge["k"]).cast(df.schema[order_col].dataType)
+    before = F.lit(False) if edge["k"] is None else key.isNull() | (key < last)
+    sooner = placed.filter((F.col("_sd_row") < n) & ~F.col("k").eqNullSafe(last)).count()
+    tied = df.filter(key.eqNullSafe(last)).withColumn("_sd_hash", F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    picked = with_global_index(tied, ["_sd_hash"], "_sd_row").filter(F.col("_sd_row") < n - sooner).drop("_sd_hash", "_sd_row")
+    return df.filter(before).unionByName(picked)
 
 
 EVAL_LOSS = r"'eval_loss': ([0-9.]+)"

@@ -268,3 +268,16 @@ def test_white_space_is_unicode_everywhere(spark, tmp_dir):
     assert nonblank_line_count(spark, p) == 2
     df = spark.createDataFrame([("\tnone\n", "true\n"), ("x", "off")], "d string, b string")
     assert [tuple(r) for r in df.select(is_null_draft("d"), str_to_bool("b")).collect()] == [(True, True), (False, False)]
+
+
+def test_first_rows_of_a_table(spark):
+    from sparkdraft.sources.files import first_rows
+
+    rows = [(i % 40, f"t{i}") for i in range(200)] + [(None, "n1"), (None, "n2")]
+    df = spark.createDataFrame(rows, "k int, t string").repartition(5)
+    order = sorted((-1 if k is None else k for k, _ in rows))
+    for n in (0, 1, 2, 3, 7, 50, 201, 202, 500):
+        got = sorted(-1 if r["k"] is None else r["k"] for r in first_rows(df, "k", n).collect())
+        assert got == order[:n], n
+        assert sorted(map(tuple, first_rows(df.repartition(3), "k", n).collect()), key=repr) == sorted(map(tuple, first_rows(df, "k", n).collect()), key=repr)
+    assert first_rows(df.limit(0), "k", 5).count() == 0
