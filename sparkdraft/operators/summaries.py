@@ -35,6 +35,9 @@ SWEEP_CSV_COLUMNS = [
     "config_path", "prompts_jsonl", "summary_path",
 ]
 
+# Of a join's keys, how many at most are broadcast for being frequent.
+FREQUENT = 500
+
 # Names and types of a summary document's fields.
 ENGINE_FIELDS = T.StructType(
     [
@@ -205,8 +208,10 @@ def first_hit_lookup(df: DataFrame, meta: DataFrame, candidates: Sequence[str] |
 
     ``candidates`` are path columns in order, or one array of paths of any
     length (``ancestor_paths``). The distinct lists are exploded with their
-    rank and meet the metadata in one equi-join on the path; the hit of lowest
-    rank is kept per list, and joined back. ``meta`` has (path, meta columns...);
+    rank and meet the metadata in an equi-join on the path; the hit of lowest
+    rank is kept per list, and joined back. Frequent paths (a root folder is in
+    every list) and frequent lists meet theirs by broadcast, so that no task of
+    a join gets all rows of one. ``meta`` has (path, meta columns...);
     of several rows with one path the one with the largest ``newest`` counts,
     or else the one that is least in column order, so no row is multiplied.
     Null candidates and a null path match nothing. Adds ``meta_path`` (null
@@ -218,7 +223,18 @@ def first_hit_lookup(df: DataFrame, meta: DataFrame, candidates: Sequence[str] |
     known = meta.filter(F.col(meta_key).isNotNull()).groupBy(F.col(meta_key).alias("_path")).agg(chosen.alias("_values"))
     listed = candidates if isinstance(candidates, Column) else F.array(*[F.col(c) for c in candidates])
     asked = df.withColumn("_asked", F.coalesce(listed, F.array().cast("array<string>")))
-    ranked = asked.select("_asked").distinct().select("_asked", F.posexplode("_asked").alias("_rank", "_path"))
-    hits = ranked.join(known, "_path").groupBy("_asked").agg(F.min_by(F.struct("_path", "_values"), "_rank").alias("_hit"))
+    ranked = asked.select("_asked").distinct().select("_asked", F.posexplode("_asked").alias("_rank", "_path")).filter("_path is not null")
+    hits = _spread_join(ranked, known, "_path", "inner").groupBy("_asked").agg(F.min_by(F.struct("_path", "_values"), "_rank").alias("_hit"))
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("meta_path", *value_cols)]
-    return asked.join(hits, "_asked", "left").select(*kept, F.col("_hit._path").alias("meta_path"), *[F.col("_hit._values").getField(c).alias(c) for c in value_cols])
+    return _spread_join(asked, hits, "_asked", "left").select(*kept, F.col("_hit._path").alias("meta_path"), *[F.col("_hit._values").getField(c).alias(c) for c in value_cols])
+
+
+def _spread_join(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+    """Equi-join with ``right``, which has a key once: keys that are frequent in ``left`` (at most
+    ``FREQUENT``, found by a sketch that tasks fill) are broadcast, all others are shuffled."""
+    tag = F.xxhash64(key)
+    frequent = left.agg(F.expr(f"approx_top_k(xxhash64({key}), {FREQUENT}, {8 * FREQUENT})").alias("_top")).select(F.explode("_top.item").alias("_tag"))
+    marked = lambda df: df.withColumn("_tag", tag).join(F.broadcast(frequent.withColumn("_often", F.lit(True))), "_tag", "left").drop("_tag")
+    left, right = marked(left), marked(right)
+    often = left.filter("_often").drop("_often").join(F.broadcast(right.filter("_often").drop("_often")), key, how)
+    return often.unionByName(left.filter("_often is null").drop("_often").join(right.filter("_often is null").drop("_often"), key, how))

@@ -195,6 +195,28 @@ def test_lookup_by_any_number_of_ancestors(spark):
     assert first_hit_lookup(runs.limit(0), meta, ["dir"]).count() == 0 and first_hit_lookup(runs, meta.limit(0), ["dir"]).count() == 6
 
 
+def test_lookup_spreads_frequent_lists_and_paths(spark):
+    from sparkdraft.operators.summaries import _spread_join, ancestor_paths
+
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    most = lambda df: max(r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        runs = spark.range(0, 8000, 1, 8).select(F.when(F.col("id") < 7000, "/a/b").otherwise(F.concat(F.lit("/a/"), "id")).alias("dir"), "id")
+        meta = spark.createDataFrame([("/a", "top"), ("/a/7999", "own"), ("/a/b", None)], "path string, dataset_id string")
+        out = first_hit_lookup(runs, meta, ancestor_paths("dir"))
+        assert most(out) < 2000  # all 7000 rows of the one list in one task otherwise
+        got = {r["id"]: (r["meta_path"], r["dataset_id"]) for r in out.collect()}
+        assert got == {i: ("/a/b", None) if i < 7000 else ("/a/7999", "own") if i == 7999 else ("/a", "top") for i in range(8000)}
+        joined = _spread_join(runs.selectExpr("'/a' as path", "id"), meta, "path", "inner")
+        assert joined.count() == 8000 and most(joined) < 2000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_typed_documents(spark):
     from sparkdraft.functions.documents import document, nested_get
 
