@@ -23,8 +23,10 @@ before it in the text. States and entries are tables of (key, value): a state
 adds the logarithm of its weight, an entry what it gains over the weighted
 distribution of the parent, a word its count, so the score of a text is a sum
 over keys. Those above ``HEAD_SHARE`` of the training tokens are broadcast (at
-most ``1 / HEAD_SHARE`` a table); all others come by a join on the key, in which
-no key is frequent.
+most ``1 / HEAD_SHARE`` a table); all others meet the tables by key, none of
+which is frequent: a task packs its keys by ranges of the hash (*blocks*, one for
+about ``BLOCK_BYTES`` of text, so that their number grows with the corpus), a block's
+keys and its part of the tables are grouped together. Contexts are counted by blocks too.
 
 Words are identified by 64-bit hashes. Defined results: null or empty text is
 the end token alone; a null doc_id is not held out; repeated rows are texts of
@@ -42,6 +44,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkdraft.llm.store import discard, shuffles_removed, stored, worker_cache
 from sparkdraft.llm.words import signed, string_buffers, text_chunks, word_hashes
@@ -59,6 +62,8 @@ END = np.uint64(0x454E445F4F465F54)
 _STATE = 0x2545F4914F6CDD1D
 #: Occurrences that a task counts at a time.
 _FLUSH = 1 << 21
+#: Bytes of text for each block of keys.
+BLOCK_BYTES = 1 << 24
 
 
 class HashIndex:
@@ -163,15 +168,46 @@ def _in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def gram_counts(texts: DataFrame, depth: int, maps: Broadcast) -> DataFrame:
-    """(ctx, suf, n): count of every context of ``depth`` words with its next token, by the keys
-    of the context and of the same run without its first word; only where the context
-    may be in the first bitmap of ``maps`` and the other in the second."""
+def block_bits(texts: DataFrame) -> int:
+    """Leading bits of a key that tell its block, by the size of the ``texts`` (one string column)."""
+    size = texts.agg(F.sum(F.octet_length(texts.columns[0]).cast("bigint"))).first()[0] or 0
+    return max(0, (size // BLOCK_BYTES).bit_length())
+
+
+def _block_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(1) >> np.uint64(63 - bits)).astype(np.int32)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """All first bytes, all second bytes, ...: bytes that hardly vary compress well."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _unpacked(data: pa.Scalar, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data.as_buffer(), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _slices(sorted_keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """Block, start and end of each block's part of sorted keys."""
+    of = _block_of(sorted_keys, bits)
+    cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(of)], strict=True):
+        if hi > lo:
+            yield int(of[lo]), lo, hi
+
+
+def gram_counts(texts: DataFrame, depth: int, maps: Broadcast, bits: int) -> DataFrame:
+    """(ctx, suf, n): count, if it is ``ENTRY_MIN`` or more, of every context of ``depth`` words
+    with its next token, by the keys of the context and of the same run without its first
+    word; only where the context may be in the first bitmap of ``maps`` and the other in the second."""
 
     def counted(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
         key, ctx, suf = (np.concatenate(x) for x in zip(*parts, strict=True))
-        _, at, n = np.unique(key, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(ctx[at]), signed(suf[at]), n.astype(np.int64))], names=["ctx", "suf", "n"])
+        key, at, n = np.unique(key, return_index=True, return_counts=True)
+        ctx, suf, n = ctx[at], suf[at], n.astype(np.uint32)
+        rows = [(block, *(_packed(x[lo:hi]) for x in (ctx, suf, n))) for block, lo, hi in _slices(key, bits)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["block", "ctx", "suf", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -192,18 +228,31 @@ def gram_counts(texts: DataFrame, depth: int, maps: Broadcast) -> DataFrame:
         if size:
             yield counted(parts)
 
-    return texts.mapInArrow(run, "ctx bigint, suf bigint, n bigint").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
+    def added(block: pa.Table) -> pa.Table:
+        ctx, suf, n = (np.concatenate([_unpacked(x, kind) for x in block.column(c)]) for c, kind in (("ctx", np.uint64), ("suf", np.uint64), ("n", np.uint32)))
+        key = _pair_hash(ctx, suf)
+        order = np.argsort(key)
+        key = key[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        n = np.add.reduceat(n[order].astype(np.int64), starts)
+        kept = n >= ENTRY_MIN
+        at = order[starts[kept]]
+        return pa.table([pa.array(signed(ctx[at])), pa.array(signed(suf[at])), pa.array(n[kept])], names=["ctx", "suf", "n"])
 
+    packed = texts.mapInArrow(run, "block int, ctx binary, suf binary, n binary")
+    return packed.groupBy("block").applyInArrow(added, "ctx bigint, suf bigint, n bigint")
 
-def model_table(spark: SparkSession, counts: DataFrame, texts: DataFrame, n: int, v: int, depth: int = DEPTH) -> DataFrame:
+
+def model_table(spark: SparkSession, counts: DataFrame, texts: DataFrame, n: int, v: int, depth: int = DEPTH, bits: int = 0) -> tuple[DataFrame, list[DataFrame]]:
     """(key, value, n, known): what each word, state and entry adds to the log10 score of a
-    token, and its training count; contexts that are no states have no value."""
+    token, and its training count; contexts that are no states have no value. Also the stored tables it reads."""
     tables = [counts.select("key", F.log10(F.col("n") + 1).alias("value"), "n", F.lit(True).alias("known"))]
+    made = []
     last = counts.select("key", "n", ((F.col("n") + 1) / (n + v + 1)).alias("p"))
     for d in range(1, depth + 1):
         listed, candidates = last.filter(F.col("n") >= ENTRY_MIN), last.filter(F.col("n") >= CONTEXT_MIN)
         maps = spark.sparkContext.broadcast((_bitmap(candidates.select("key")), _bitmap(listed.select("key"))))
-        grams = gram_counts(texts, d, maps).filter(F.col("n") >= ENTRY_MIN)
+        grams = gram_counts(texts, d, maps, bits)
         # What is listed after a context is listed after its suffix too.
         entries = stored(spark, grams.join(listed.select(F.col("key").alias("suf"), F.col("p").alias("q")), "suf").select(F.xxhash64("ctx", "suf").alias("key"), "ctx", "n", "q"), f"entries-{d}")
         maps.destroy()
@@ -216,12 +265,38 @@ def model_table(spark: SparkSession, counts: DataFrame, texts: DataFrame, n: int
         level = entries.join(states, "ctx").select("key", "n", p.alias("p"), F.log10(p / (F.col("weight") * F.col("q"))).alias("value"))
         level = stored(spark, level, f"level-{d}")
         discard(spark, entries)
+        made += [states, level]
         tables += [level.select("key", "value", "n", F.lit(False)), states.select(F.col("ctx").bitwiseXOR(F.lit(_STATE)), F.log10("weight"), "total", F.lit(False))]
         last = level
     out = tables[0]
     for t in tables[1:]:
         out = out.union(t)
-    return out
+    return out, made
+
+
+def packed_table(table: DataFrame, bits: int) -> DataFrame:
+    """(block, keys, values, known): the rows (key, value, known), a task's rows of a block in one row."""
+
+    def packed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        keys, values, known = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in range(3))
+        keys = keys.view(np.uint64)
+        order = np.argsort(keys)
+        keys, values, known = keys[order], values[order], known[order].astype(np.uint8)
+        rows = [(of, _packed(np.diff(keys[lo:hi], prepend=np.uint64(0))), _packed(values[lo:hi]), known[lo:hi].tobytes()) for of, lo, hi in _slices(keys, bits)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["block", "keys", "values", "known"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            parts.append(batch)
+            size += batch.num_rows
+            if size >= _FLUSH:
+                yield packed(parts)
+                parts, size = [], 0
+        if size:
+            yield packed(parts)
+
+    return table.select("key", "value", "known").mapInArrow(run, "block int, keys binary, values binary, known binary")
 
 
 def score_texts(spark: SparkSession, docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -233,7 +308,8 @@ def score_texts(spark: SparkSession, docs: DataFrame, held_out: Column, id_col:
     with shuffles_removed(spark):
         counts = stored(spark, word_counts(training), "word-counts")
         n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-        table = model_table(spark, counts, training, n, v, depth)
+        block = block_bits(rows.select("_text"))
+        table, made = model_table(spark, counts, training, n, v, depth, block)
         valued = table.filter("value is not null")
         # With the frequent contexts that are no states, so that none of them is joined.
         head = table.filter(F.col("n") >= HEAD_SHARE * n).select("key", F.coalesce("value", F.lit(0.0)).alias("value"), "known").toArrow()
@@ -245,6 +321,9 @@ def score_texts(spark: SparkSession, docs: DataFrame, held_out: Column, id_col:
                 "values": head.column("value").to_numpy().copy(),
             }
         )
+        tail = stored(spark, packed_table(valued.filter(F.col("n") < HEAD_SHARE * n), block), "tail")
+        for t in (counts, *made):
+            discard(spark, t)
     norm = math.log10(n + v + 1)
     id_type = rows.schema[0].dataType.simpleString()
 
@@ -253,12 +332,14 @@ def score_texts(spark: SparkSession, docs: DataFrame, held_out: Column, id_col:
         if cache.get("suffix model", (None,))[0] != model.value["name"]:
             cache["suffix model"] = (model.value["name"], HashIndex(model.value["keys"]))
         index, bits, values = cache["suffix model"][1], model.value["bits"], model.value["values"]
+        rare, size, most = [], 0, np.iinfo(np.uint16).max
         for batch in batches:
+            ids = batch.column(0).to_numpy()
             for lo, hi, h, first in _chunks(batch, 3):
-                size = hi - lo
-                text = np.repeat(np.arange(size), np.diff(first))
+                n_texts = hi - lo
+                text = np.repeat(np.arange(n_texts), np.diff(first))
                 place = np.arange(len(h)) - first[text]
-                sums, known, rare_keys, rare_texts = np.zeros((2, size)), np.zeros(size), [], []
+                sums, known, rare_keys, rare_texts = np.zeros((2, n_texts)), np.zeros(n_texts), [], []
 
                 def add(keys: np.ndarray, of: np.ndarray, kind: int) -> None:
                     may = _in_bitmap(bits, keys)
@@ -266,9 +347,9 @@ def score_texts(spark: SparkSession, docs: DataFrame, held_out: Column, id_col:
                     at = index.find(keys)
                     here = at >= 0
                     # A word's count less the norm: a difference of sums would lose digits.
-                    sums[kind] += np.bincount(of[here], values[at[here]] - (0.0 if kind else norm), size)
+                    sums[kind] += np.bincount(of[here], values[at[here]] - (0.0 if kind else norm), n_texts)
                     if not kind:
-                        known[:] += np.bincount(of[here], minlength=size)
+                        known[:] += np.bincount(of[here], minlength=n_texts)
                     rare_keys.append(keys[~here])
                     rare_texts.append(of[~here])
 
@@ -279,49 +360,90 @@ def score_texts(spark: SparkSession, docs: DataFrame, held_out: Column, id_col:
                     add(grams[d][at - d], text[at], 1)
                     add(grams[d - 1][at - d] ^ np.uint64(_STATE), text[at], 1)
                 sums[0] -= norm * (np.diff(first) - known)
-                keys, of = np.concatenate(rare_keys), np.concatenate(rare_texts)
-                order = np.lexsort((keys, of))
-                keys, of = keys[order], of[order]
-                new = np.ones(len(keys), dtype=bool)
-                new[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
-                starts = np.flatnonzero(new)
-                times = np.diff(np.append(starts, len(keys)))
-                ends = np.cumsum(np.bincount(of[starts], minlength=size))
-                lists = pa.array(np.concatenate(([0], ends)).astype(np.int32))
-                items = pa.StructArray.from_arrays([pa.array(signed(keys[starts])), pa.array(times.astype(np.int64))], ["key", "times"])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[batch.column(c).slice(lo, size) for c in range(3)],
-                        pa.array(np.diff(first).astype(np.int64)),
-                        pa.array(known.astype(np.int64)),
-                        pa.array(sums[0]),
-                        pa.array(sums[0] + sums[1]),
-                        pa.ListArray.from_arrays(lists, items),
-                    ],
-                    names=["_row", id_col, "held_out", "n_tokens", "n_known", "base_score", "score", "_rare"],
+                for a in range(0, n_texts, most):
+                    b, keys, of = min(a + most, n_texts), np.concatenate(rare_keys), np.concatenate(rare_texts)
+                    if b - a < n_texts:
+                        keys, of = keys[(of >= a) & (of < b)], of[(of >= a) & (of < b)]
+                    if size and (size + len(keys) > _FLUSH or sum(len(r) for r, _, _ in rare) + b - a > most):
+                        yield packed(rare)
+                        rare, size = [], 0
+                    rare.append((ids[lo + a : lo + b], keys, of - a))
+                    size += len(keys)
+                rows_ = ids[lo:hi]
+                yield as_batch(
+                    block=pa.array((-1 - rows_ % spread).astype(np.int32)),
+                    _row=pa.array(rows_),
+                    **{"_id": batch.column(1).slice(lo, n_texts)},
+                    held_out=batch.column(2).slice(lo, n_texts),
+                    n_tokens=pa.array(np.diff(first).astype(np.int64)),
+                    n_known=pa.array(known.astype(np.int64)),
+                    base_score=pa.array(sums[0]),
+                    score=pa.array(sums[0] + sums[1]),
                 )
-
+        if size:
+            yield packed(rare)
+
+    def packed(rare: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """A row for each block: distinct keys, how often each is there, and the texts it is in."""
+        first = np.cumsum([0] + [len(ids) for ids, _, _ in rare])
+        ids, keys = (np.concatenate([r[i] for r in rare]) for i in (0, 1))
+        of = np.concatenate([r[2] + a for r, a in zip(rare, first)]).astype(np.uint16)
+        order = np.argsort(keys)
+        keys, of = keys[order], of[order]
+        out = {c: [] for c in ("block", "keys", "times", "texts", "rows")}
+        row_steps = _packed(np.diff(ids, prepend=0))
+        for at, lo, hi in _slices(keys, block):
+            starts = np.flatnonzero(np.append(True, keys[lo + 1 : hi] != keys[lo : hi - 1]))
+            steps = np.diff(keys[lo:hi][starts], prepend=np.uint64(0))
+            times = np.diff(np.append(starts, hi - lo)).astype(np.uint32)
+            for c, x in zip(out, (at, _packed(steps), _packed(times), _packed(of[lo:hi]), row_steps), strict=True):
+                out[c].append(x)
+        return as_batch(**{c: pa.array(x, pa.int32() if c == "block" else pa.binary()) for c, x in out.items()})
+
+    kinds = {"block": "int", "_row": "bigint", "_id": id_type, "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "base_score": "double", "score": "double"}
+    blobs = dict.fromkeys(("keys", "times", "texts", "rows"), "binary")
+    simple = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    arrow = pa.schema([(c, to_arrow_type(rows.schema[0].dataType) if c == "_id" else simple[t]) for c, t in (kinds | blobs).items()])
+
+    def as_batch(**columns: pa.Array) -> pa.RecordBatch:
+        size = len(columns["block"])
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(size, f.type) for f in arrow], schema=arrow)
+
+    def valued_texts(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = arrow.names[1 : -len(blobs)]
+        if not left.num_rows:
+            return arrow.empty_table().select(names)
+        if left.column("block")[0].as_py() < 0:
+            return left.select(names)
+        of_key, value, is_word = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool)
+        if right.num_rows:
+            of_key = np.concatenate([np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in right.column("keys")])
+            value = np.concatenate([_unpacked(x, np.float64) for x in right.column("values")])
+            is_word = np.concatenate([_unpacked(x, np.uint8) for x in right.column("known")]) > 0
+        order = np.argsort(of_key)
+        of_key, value, is_word = of_key[order], value[order], is_word[order]
+        out = []
+        for i in range(left.num_rows if len(of_key) else 0):
+            keys = np.cumsum(_unpacked(left.column("keys")[i], np.uint64), dtype=np.uint64)
+            at = np.minimum(np.searchsorted(of_key, keys), len(of_key) - 1)
+            times, text = _unpacked(left.column("times")[i], np.uint32), _unpacked(left.column("texts")[i], np.uint16)
+            ids = np.cumsum(_unpacked(left.column("rows")[i], np.int64))
+            found = np.repeat(of_key[at] == keys, times)
+            at, text = np.repeat(at, times)[found], text[found]
+            words, logs = is_word[at], value[at]
+            seen = np.bincount(text[words], minlength=len(ids))
+            sums = [np.bincount(text[words], logs[words], len(ids)), np.bincount(text, logs, len(ids))]
+            some = np.bincount(text, minlength=len(ids)) > 0
+            out.append(as_batch(block=pa.array(np.zeros(some.sum(), np.int32)), _row=pa.array(ids[some]), n_known=pa.array(seen[some]), base_score=pa.array(sums[0][some]), score=pa.array(sums[1][some])))
+        return pa.Table.from_batches(out, arrow).select(names)
+
+    spread = 64 << block
     numbered = rows.select(F.monotonically_increasing_id().alias("_row"), "*")
-    kinds = f"_row bigint, `{id_col}` {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, _rare array<struct<key: bigint, times: bigint>>"
-    scored = stored(spark, numbered.mapInArrow(run, kinds), "scored")
-    rare = scored.select("_row", F.explode("_rare").alias("r")).select("_row", "r.key", "r.times")
-    tail = valued.filter(F.col("n") < HEAD_SHARE * n).select("key", "value", "known")
-    logs = F.col("times") * F.col("value")
-    added = (
-        rare.join(tail, "key")
-        .groupBy("_row")
-        .agg(
-            F.sum(F.when(F.col("known"), logs).otherwise(0.0)).alias("_base"),
-            F.sum(logs).alias("_logs"),
-            F.sum(F.when(F.col("known"), F.col("times")).otherwise(0)).alias("_seen"),
-        )
-    )
-    return scored.drop("_rare").join(added, "_row", "left").select(
-        id_col,
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("_seen", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("_logs", F.lit(0.0))).alias("score"),
+    text_of = lambda fields: ", ".join(f"{c} {t}" for c, t in fields.items())
+    found = numbered.mapInArrow(run, text_of(kinds | blobs))
+    parts = found.groupBy("block").cogroup(tail.groupBy("block")).applyInArrow(valued_texts, text_of({c: t for c, t in kinds.items() if c != "block"}))
+    summed = parts.groupBy("_row").agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in ("_id", "held_out")],
+        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")],
     )
+    return summed.select(F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")

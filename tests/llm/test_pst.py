@@ -143,6 +143,20 @@ def test_joined_scores_match_the_tree_in_memory(spark, monkeypatch, share, bits)
     assert np.allclose([got[d] for d, _ in rows], tree_scores(spark, rows), rtol=1e-9)
 
 
+def test_keys_meet_by_blocks(spark, monkeypatch):
+    rows = corpus(60) + [(None, "a b"), (700, "")]
+    held_out = held_out_of("doc_id", 7, 2)
+    for name, value in (("HEAD_SHARE", 2.0), ("BLOCK_BYTES", 1 << 11), ("_FLUSH", 1 << 8)):
+        monkeypatch.setattr(pst, name, value)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert pst.block_bits(df.select("text")) >= 2
+    plan = pst.score_texts(spark, df, held_out)
+    kept = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in kept and "Generate" not in kept  # no row for each key of a text
+    got = {r["doc_id"]: r["score"] for r in plan.collect()}
+    assert len(got) == len(rows) and np.allclose([got[d] for d, _ in rows], tree_scores(spark, rows), rtol=1e-9)
+
+
 def test_a_context_counts_at_any_size_of_the_corpus(spark):
     ids = [d for d in range(100) if zlib.crc32(str(d).encode()) % 7 != 2][:12]
     only = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 7 == 2)
