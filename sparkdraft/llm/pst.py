@@ -60,8 +60,8 @@ DISCOUNT = 0.5
 END = np.uint64(0x454E445F4F465F54)
 #: Marks the keys of states; a context is also a key of an entry.
 _STATE = 0x2545F4914F6CDD1D
-#: Occurrences that a task counts at a time.
-_FLUSH = 1 << 21
+#: Occurrences that a task counts at a time: some 100 bytes each while they are sorted and packed.
+_FLUSH = 1 << 19
 #: Bytes of text for each block of keys.
 BLOCK_BYTES = 1 << 24
 
@@ -118,8 +118,21 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(key, n): training count of every token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A chunk's words are counted at once: of a task's tokens only the distinct ones are held.
+        parts, size = [], 0
         for batch in batches:
-            yield _counted([signed(h) for _, _, h, _ in _chunks(batch)])
+            for _, _, h, _ in _chunks(batch):
+                parts.append(_counted([signed(h)]))
+                size += parts[-1].num_rows
+                if size >= 2 * _FLUSH:
+                    yield merged(parts)
+                    parts, size = [], 0
+        if size:
+            yield merged(parts)
+
+    def merged(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sums = pa.Table.from_batches(parts).group_by("key", use_threads=False).aggregate([("n", "sum")]).combine_chunks().to_batches()[0]
+        return pa.RecordBatch.from_arrays([sums.column("key"), sums.column("n_sum")], names=["key", "n"])
 
     return texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 

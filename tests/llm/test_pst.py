@@ -163,3 +163,26 @@ def test_a_context_counts_at_any_size_of_the_corpus(spark):
     rows = [(ids[0], "some filler of words " * 200_000), *[(d, "ruby falcon") for d in ids[1:]], (only, "ruby falcon")]
     held = next(r for r in scores(spark, rows) if r["held_out"])
     assert held["score"] > held["base_score"] + 4  # falcon and the end are sure after ruby, 11 times in 800 000 tokens
+
+
+def test_a_task_holds_few_occurrences_at_a_time(spark, monkeypatch):
+    """Words are counted chunk by chunk, and a row of contexts holds no more than some hundred thousand."""
+    assert pst._FLUSH <= 1 << 19
+    sizes, plain = [], pst._counted
+    monkeypatch.setattr(pst, "_counted", lambda parts: sizes.append(sum(map(len, parts))) or plain(parts))
+    run = []
+    monkeypatch.setattr(pst, "_FLUSH", 1 << 10)
+
+    class Texts:
+        def mapInArrow(self, f, _):
+            run.append(f)
+            return spark.createDataFrame([], "key long, n long")
+
+    texts = ["some Words " * 30_000, *[f"x{i} some" for i in range(100_000)], None, ""]
+    pst.word_counts(Texts())
+    out = list(run[0](iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])] * 2)))
+    got = Counter()
+    for batch in out:
+        got.update(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
+    assert sum(got.values()) == 2 * (60_000 + 200_000 + len(texts)) and len(got) == 100_003
+    assert len(sizes) == 4 and max(sizes) < 1 << 19  # a batch at once before: 2 counts
