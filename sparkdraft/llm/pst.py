@@ -63,7 +63,7 @@ _STATE = 0x2545F4914F6CDD1D
 #: Occurrences that a task counts at a time: some 100 bytes each while they are sorted and packed.
 _FLUSH = 1 << 19
 #: Bytes of text for each block of keys.
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 22
 
 
 class HashIndex:
@@ -201,6 +201,12 @@ def _unpacked(data: pa.Scalar, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data.as_buffer(), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def _runs(values: np.ndarray) -> np.ndarray:
+    """The values without repeats in a row, then how often each is repeated: ids that follow each other are two pairs."""
+    starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+    return np.concatenate([values[starts], np.diff(np.append(starts, len(values)))])
+
+
 def _slices(sorted_keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """Block, start and end of each block's part of sorted keys."""
     of = _block_of(sorted_keys, bits)
@@ -404,7 +410,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, held_out: Column, id_col:
         order = np.argsort(keys)
         keys, of = keys[order], of[order]
         out = {c: [] for c in ("block", "keys", "times", "texts", "rows")}
-        row_steps = _packed(np.diff(ids, prepend=0))
+        row_steps = _packed(_runs(np.diff(ids, prepend=0)))
         for at, lo, hi in _slices(keys, block):
             starts = np.flatnonzero(np.append(True, keys[lo + 1 : hi] != keys[lo : hi - 1]))
             steps = np.diff(keys[lo:hi][starts], prepend=np.uint64(0))
@@ -440,7 +446,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, held_out: Column, id_col:
             keys = np.cumsum(_unpacked(left.column("keys")[i], np.uint64), dtype=np.uint64)
             at = np.minimum(np.searchsorted(of_key, keys), len(of_key) - 1)
             times, text = _unpacked(left.column("times")[i], np.uint32), _unpacked(left.column("texts")[i], np.uint16)
-            ids = np.cumsum(_unpacked(left.column("rows")[i], np.int64))
+            ids = np.cumsum(np.repeat(*_unpacked(left.column("rows")[i], np.int64).reshape(2, -1)))
             found = np.repeat(of_key[at] == keys, times)
             at, text = np.repeat(at, times)[found], text[found]
             words, logs = is_word[at], value[at]
@@ -450,7 +456,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, held_out: Column, id_col:
             out.append(as_batch(block=pa.array(np.zeros(some.sum(), np.int32)), _row=pa.array(ids[some]), n_known=pa.array(seen[some]), base_score=pa.array(sums[0][some]), score=pa.array(sums[1][some])))
         return pa.Table.from_batches(out, arrow).select(names)
 
-    spread = 64 << block
+    spread = 16 << block
     numbered = rows.select(F.monotonically_increasing_id().alias("_row"), "*")
     text_of = lambda fields: ", ".join(f"{c} {t}" for c, t in fields.items())
     found = numbered.mapInArrow(run, text_of(kinds | blobs))

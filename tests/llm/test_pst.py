@@ -186,3 +186,11 @@ def test_a_task_holds_few_occurrences_at_a_time(spark, monkeypatch):
         got.update(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
     assert sum(got.values()) == 2 * (60_000 + 200_000 + len(texts)) and len(got) == 100_003
     assert len(sizes) == 4 and max(sizes) < 1 << 19  # a batch at once before: 2 counts
+
+
+def test_ids_of_a_row_are_runs(spark):
+    for ids in ([5], list(range(7, 3000)), [1, 2, 3, 9, 10, 40, 41, 42], [0, 1 << 33, (1 << 33) + 1]):
+        steps = np.diff(np.array(ids, np.int64), prepend=0)
+        step, times = pst._unpacked(pa.scalar(pst._packed(pst._runs(steps)), pa.binary()), np.int64).reshape(2, -1)
+        assert np.cumsum(np.repeat(step, times)).tolist() == ids and len(step) <= 2 + 2 * int((steps > 1).sum())
+    assert pst.BLOCK_BYTES <= 1 << 22  # of a block's rows a task holds several copies, in Spark and in Python
