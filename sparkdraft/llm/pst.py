@@ -22,11 +22,14 @@ and one unknown symbol. All distributions sum to 1.
 before it in the text. States and entries are tables of (key, value): a state
 adds the logarithm of its weight, an entry what it gains over the weighted
 distribution of the parent, a word its count, so the score of a text is a sum
-over keys. Those above ``HEAD_SHARE`` of the training tokens are broadcast (at
+over keys. A run of words is looked up once, as an entry and as the state of the
+token after it: only a text's last token, its end, has none after it, and no run
+with an end is a state. Keys above ``HEAD_SHARE`` of the training tokens are broadcast (at
 most ``1 / HEAD_SHARE`` a table); all others meet the tables by key, none of
-which is frequent: a task packs its keys by ranges of the hash (*blocks*, one for
-about ``BLOCK_BYTES`` of text, so that their number grows with the corpus), a block's
-keys and its part of the tables are grouped together. Contexts are counted by blocks too.
+which is frequent: a task packs its keys by ranges of the hash (*blocks*, whose
+number grows with the corpus), a block's keys and its part of the tables are grouped together.
+What a block adds to the texts of a *piece*, a task's keys packed at once, comes back as one row; the
+rows of a piece are summed together. Contexts are counted by blocks too, one for about ``BLOCK_BYTES`` of text.
 
 Words are identified by 64-bit hashes. Defined results: null or empty text is
 the end token alone; a null doc_id is not held out; repeated rows are texts of
@@ -42,6 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -58,8 +62,6 @@ BITS = 28
 DIVERGENCE = 0.02
 DISCOUNT = 0.5
 END = np.uint64(0x454E445F4F465F54)
-#: Marks the keys of states; a context is also a key of an entry.
-_STATE = 0x2545F4914F6CDD1D
 #: Occurrences that a task counts at a time: some 100 bytes each while they are sorted and packed.
 _FLUSH = 1 << 19
 #: Bytes of text for each block of keys.
@@ -187,6 +189,12 @@ def block_bits(texts: DataFrame) -> int:
     return max(0, (size // BLOCK_BYTES).bit_length())
 
 
+def score_bits(bits: int) -> int:
+    """Leading bits for the blocks of the scoring. Beyond 64 blocks of the counting their number grows with its
+    square root: a piece has a row in every block, and those rows would grow with the square of the corpus."""
+    return min(bits, bits // 2 + 3)
+
+
 def _block_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(1) >> np.uint64(63 - bits)).astype(np.int32)
 
@@ -202,11 +210,21 @@ def _unpacked(data: pa.Scalar, kind: type) -> np.ndarray:
 
 
 def _runs(values: np.ndarray) -> np.ndarray:
-    """The values without repeats in a row, then how often each is repeated: ids that follow each other are two pairs."""
+    """The values without repeats in a row, then how often each is repeated: steps between texts that follow each other are two pairs."""
     starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
     return np.concatenate([values[starts], np.diff(np.append(starts, len(values)))])
 
 
+def _merged(keys: np.ndarray, values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, what each adds as a word (0: none) and what it adds as an entry and a state."""
+    order = np.argsort(keys)
+    keys, values, known = keys[order], values[order], known[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    if not len(starts):
+        return keys, values, values
+    return keys[starts], *(np.add.reduceat(np.where(known == kind, values, 0.0), starts) for kind in (True, False))
+
+
 def _slices(sorted_keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """Block, start and end of each block's part of sorted keys."""
     of = _block_of(sorted_keys, bits)
@@ -285,7 +303,7 @@ def model_table(spark: SparkSession, counts: DataFrame, texts: DataFrame, n: int
         level = stored(spark, level, f"level-{d}")
         discard(spark, entries)
         made += [states, level]
-        tables += [level.select("key", "value", "n", F.lit(False)), states.select(F.col("ctx").bitwiseXOR(F.lit(_STATE)), F.log10("weight"), "total", F.lit(False))]
+        tables += [level.select("key", "value", "n", F.lit(False)), states.select("ctx", F.log10("weight"), "total", F.lit(False))]
         last = level
     out = tables[0]
     for t in tables[1:]:
@@ -329,17 +347,12 @@ def score_texts(spark: SparkSession, docs: DataFrame, held_out: Column, id_col:
         n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         block = block_bits(rows.select("_text"))
         table, made = model_table(spark, counts, training, n, v, depth, block)
+        block = score_bits(block)
         valued = table.filter("value is not null")
         # With the frequent contexts that are no states, so that none of them is joined.
         head = table.filter(F.col("n") >= HEAD_SHARE * n).select("key", F.coalesce("value", F.lit(0.0)).alias("value"), "known").toArrow()
-        model = spark.sparkContext.broadcast(
-            {
-                "name": uuid.uuid4().hex,
-                "bits": _bitmap(valued.select("key")),
-                "keys": head.column("key").to_numpy().view(np.uint64).copy(),
-                "values": head.column("value").to_numpy().copy(),
-            }
-        )
+        keys, words, runs = _merged(*(head.column(c).to_numpy() for c in ("key", "value", "known")))
+        model = spark.sparkContext.broadcast({"name": uuid.uuid4().hex, "bits": _bitmap(valued.select("key")), "keys": keys.view(np.uint64), "words": words, "runs": runs})
         tail = stored(spark, packed_table(valued.filter(F.col("n") < HEAD_SHARE * n), block), "tail")
         for t in (counts, *made):
             discard(spark, t)
@@ -350,8 +363,8 @@ def score_texts(spark: SparkSession, docs: DataFrame, held_out: Column, id_col:
         cache = worker_cache()
         if cache.get("suffix model", (None,))[0] != model.value["name"]:
             cache["suffix model"] = (model.value["name"], HashIndex(model.value["keys"]))
-        index, bits, values = cache["suffix model"][1], model.value["bits"], model.value["values"]
-        rare, size, most = [], 0, np.iinfo(np.uint16).max
+        index, bits, words, runs = cache["suffix model"][1], *(model.value[k] for k in ("bits", "words", "runs"))
+        rare, size, held, piece, most = [], 0, 0, 0, np.iinfo(np.uint16).max
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for lo, hi, h, first in _chunks(batch, 3):
@@ -359,110 +372,115 @@ def score_texts(spark: SparkSession, docs: DataFrame, held_out: Column, id_col:
                 text = np.repeat(np.arange(n_texts), np.diff(first))
                 place = np.arange(len(h)) - first[text]
                 sums, known, rare_keys, rare_texts = np.zeros((2, n_texts)), np.zeros(n_texts), [], []
-
-                def add(keys: np.ndarray, of: np.ndarray, kind: int) -> None:
+                for d, keys in enumerate(_grams(h, depth + 1)):
+                    at = np.flatnonzero(place >= d)
+                    keys, of = keys[at - d], text[at]
                     may = _in_bitmap(bits, keys)
                     keys, of = keys[may], of[may]
                     at = index.find(keys)
                     here = at >= 0
-                    # A word's count less the norm: a difference of sums would lose digits.
-                    sums[kind] += np.bincount(of[here], values[at[here]] - (0.0 if kind else norm), n_texts)
-                    if not kind:
-                        known[:] += np.bincount(of[here], minlength=n_texts)
                     rare_keys.append(keys[~here])
                     rare_texts.append(of[~here])
-
-                add(h, text, 0)
-                grams = _grams(h, depth + 1)
-                for d in range(1, depth + 1):
-                    at = np.flatnonzero(place >= d)
-                    add(grams[d][at - d], text[at], 1)
-                    add(grams[d - 1][at - d] ^ np.uint64(_STATE), text[at], 1)
+                    at, of = at[here], of[here]
+                    sums[1] += np.bincount(of, runs[at], n_texts)
+                    if not d:
+                        # A word's count less the norm: a difference of sums would lose digits.
+                        sums[0] += np.bincount(of, words[at] - norm, n_texts)
+                        known += np.bincount(of, minlength=n_texts)
                 sums[0] -= norm * (np.diff(first) - known)
+                keys, of = np.concatenate(rare_keys), np.concatenate(rare_texts)
                 for a in range(0, n_texts, most):
-                    b, keys, of = min(a + most, n_texts), np.concatenate(rare_keys), np.concatenate(rare_texts)
-                    if b - a < n_texts:
-                        keys, of = keys[(of >= a) & (of < b)], of[(of >= a) & (of < b)]
-                    if size and (size + len(keys) > _FLUSH or sum(len(r) for r, _, _ in rare) + b - a > most):
-                        yield packed(rare)
-                        rare, size = [], 0
-                    rare.append((ids[lo + a : lo + b], keys, of - a))
-                    size += len(keys)
-                rows_ = ids[lo:hi]
-                yield as_batch(
-                    block=pa.array((-1 - rows_ % spread).astype(np.int32)),
-                    _row=pa.array(rows_),
-                    **{"_id": batch.column(1).slice(lo, n_texts)},
-                    held_out=batch.column(2).slice(lo, n_texts),
-                    n_tokens=pa.array(np.diff(first).astype(np.int64)),
-                    n_known=pa.array(known.astype(np.int64)),
-                    base_score=pa.array(sums[0]),
-                    score=pa.array(sums[0] + sums[1]),
-                )
+                    b = min(a + most, n_texts)
+                    here = slice(None) if b - a == n_texts else (of >= a) & (of < b)
+                    if rare and (size + len(keys[here]) > _FLUSH or held + b - a > most):
+                        yield packed(piece, rare)
+                        rare, size, held = [], 0, 0
+                    if not rare:
+                        piece = int(ids[lo + a])
+                    rare.append((keys[here], of[here] - a + held))
+                    yield as_batch(
+                        block=pa.array((-1 - ids[lo + a : lo + b] % spread).astype(np.int32)),
+                        piece=pa.array(np.full(b - a, piece)),
+                        place=pa.array(np.arange(held, held + b - a, dtype=np.int32)),
+                        **{"_id": batch.column(1).slice(lo + a, b - a)},
+                        held_out=batch.column(2).slice(lo + a, b - a),
+                        n_tokens=pa.array(np.diff(first)[a:b].astype(np.int64)),
+                        n_known=pa.array(known[a:b].astype(np.int64)),
+                        base_score=pa.array(sums[0, a:b]),
+                        score=pa.array(sums[0, a:b] + sums[1, a:b]),
+                    )
+                    size, held = size + len(rare[-1][0]), held + b - a
         if size:
-            yield packed(rare)
+            yield packed(piece, rare)
 
-    def packed(rare: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def packed(piece: int, rare: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         """A row for each block: distinct keys, how often each is there, and the texts it is in."""
-        first = np.cumsum([0] + [len(ids) for ids, _, _ in rare])
-        ids, keys = (np.concatenate([r[i] for r in rare]) for i in (0, 1))
-        of = np.concatenate([r[2] + a for r, a in zip(rare, first)]).astype(np.uint16)
+        keys, of = (np.concatenate(x) for x in zip(*rare, strict=True))
         order = np.argsort(keys)
-        keys, of = keys[order], of[order]
-        out = {c: [] for c in ("block", "keys", "times", "texts", "rows")}
-        row_steps = _packed(_runs(np.diff(ids, prepend=0)))
+        keys, of = keys[order], of[order].astype(np.uint16)
+        out = {c: [] for c in ("block", "piece", "keys", "times", "texts")}
         for at, lo, hi in _slices(keys, block):
             starts = np.flatnonzero(np.append(True, keys[lo + 1 : hi] != keys[lo : hi - 1]))
             steps = np.diff(keys[lo:hi][starts], prepend=np.uint64(0))
             times = np.diff(np.append(starts, hi - lo)).astype(np.uint32)
-            for c, x in zip(out, (at, _packed(steps), _packed(times), _packed(of[lo:hi]), row_steps), strict=True):
+            for c, x in zip(out, (at, piece, _packed(steps), _packed(times), _packed(of[lo:hi])), strict=True):
                 out[c].append(x)
-        return as_batch(**{c: pa.array(x, pa.int32() if c == "block" else pa.binary()) for c, x in out.items()})
+        return as_batch(**{c: pa.array(x, simple[all_kinds[c]]) for c, x in out.items()})
 
-    kinds = {"block": "int", "_row": "bigint", "_id": id_type, "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "base_score": "double", "score": "double"}
-    blobs = dict.fromkeys(("keys", "times", "texts", "rows"), "binary")
+    kinds = {"_id": id_type, "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "base_score": "double", "score": "double"}
+    places, blobs, sent = {"piece": "bigint", "place": "int"}, dict.fromkeys(("keys", "times", "texts"), "binary"), dict.fromkeys(("texts", "seen", "words", "runs"), "binary")
+    all_kinds = {"block": "int"} | places | kinds | blobs | sent
     simple = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
-    arrow = pa.schema([(c, to_arrow_type(rows.schema[0].dataType) if c == "_id" else simple[t]) for c, t in (kinds | blobs).items()])
+    arrow_of = lambda fields: pa.schema([(c, to_arrow_type(rows.schema[0].dataType) if c == "_id" else simple[t]) for c, t in fields.items()])
+    arrow, added = arrow_of({"block": "int"} | places | kinds | blobs), arrow_of(places | kinds | sent)
 
-    def as_batch(**columns: pa.Array) -> pa.RecordBatch:
-        size = len(columns["block"])
-        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(size, f.type) for f in arrow], schema=arrow)
+    def as_batch(schema: pa.Schema = arrow, **columns: pa.Array) -> pa.RecordBatch:
+        size = len(columns["piece"])
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
     def valued_texts(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = arrow.names[1 : -len(blobs)]
         if not left.num_rows:
-            return arrow.empty_table().select(names)
+            return added.empty_table()
         if left.column("block")[0].as_py() < 0:
-            return left.select(names)
-        of_key, value, is_word = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool)
-        if right.num_rows:
-            of_key = np.concatenate([np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in right.column("keys")])
-            value = np.concatenate([_unpacked(x, np.float64) for x in right.column("values")])
-            is_word = np.concatenate([_unpacked(x, np.uint8) for x in right.column("known")]) > 0
-        order = np.argsort(of_key)
-        of_key, value, is_word = of_key[order], value[order], is_word[order]
-        out = []
-        for i in range(left.num_rows if len(of_key) else 0):
+            return pa.Table.from_arrays([left.column(f.name) if f.name in places | kinds else pa.nulls(left.num_rows, f.type) for f in added], schema=added)
+        if not right.num_rows:
+            return added.empty_table()
+        of_key = np.concatenate([np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in right.column("keys")])
+        value = np.concatenate([_unpacked(x, np.float64) for x in right.column("values")])
+        is_word = np.concatenate([_unpacked(x, np.uint8) for x in right.column("known")]) > 0
+        of_key, word, run_ = _merged(of_key, value, is_word)
+        out = {c: [] for c in ("piece", *sent)}
+        for i in range(left.num_rows):
             keys = np.cumsum(_unpacked(left.column("keys")[i], np.uint64), dtype=np.uint64)
             at = np.minimum(np.searchsorted(of_key, keys), len(of_key) - 1)
             times, text = _unpacked(left.column("times")[i], np.uint32), _unpacked(left.column("texts")[i], np.uint16)
-            ids = np.cumsum(np.repeat(*_unpacked(left.column("rows")[i], np.int64).reshape(2, -1)))
             found = np.repeat(of_key[at] == keys, times)
             at, text = np.repeat(at, times)[found], text[found]
-            words, logs = is_word[at], value[at]
-            seen = np.bincount(text[words], minlength=len(ids))
-            sums = [np.bincount(text[words], logs[words], len(ids)), np.bincount(text, logs, len(ids))]
-            some = np.bincount(text, minlength=len(ids)) > 0
-            out.append(as_batch(block=pa.array(np.zeros(some.sum(), np.int32)), _row=pa.array(ids[some]), n_known=pa.array(seen[some]), base_score=pa.array(sums[0][some]), score=pa.array(sums[1][some])))
-        return pa.Table.from_batches(out, arrow).select(names)
+            if not len(at):
+                continue
+            here = np.flatnonzero(np.bincount(text))
+            sums = [np.bincount(text, x[at])[here] for x in (word > 0, word, run_)]
+            for c, x in zip(out, (left.column("piece")[i].as_py(), *map(_packed, (_runs(np.diff(here, prepend=0)), sums[0].astype(np.uint32), *sums[1:]))), strict=True):
+                out[c].append(x)
+        return pa.Table.from_batches([as_batch(added, **{c: pa.array(x, simple[all_kinds[c]]) for c, x in out.items()})])
+
+    def summed(piece: pa.Table) -> pa.Table:
+        """The rows of a piece's texts with what the blocks add to them."""
+        texts = piece.filter(pc.is_valid(piece.column("place")))
+        place, parts = texts.column("place").to_numpy(), piece.filter(pc.is_valid(piece.column("texts"))).select(list(sent))
+        sums = np.zeros((3, len(place)))
+        for columns in zip(*parts.columns, strict=True):
+            here, *more = (_unpacked(x, kind) for x, kind in zip(columns, (np.int64, np.uint32, np.float64, np.float64), strict=True))
+            sums[:, np.cumsum(np.repeat(*here.reshape(2, -1)))] += more
+        seen, word, run_ = sums[:, place]
+        for c, more in (("n_known", seen.astype(np.int64)), ("base_score", word), ("score", word + run_)):
+            texts = texts.set_column(texts.schema.get_field_index(c), c, pa.array(texts.column(c).to_numpy() + more))
+        return texts.select(list(kinds))
 
     spread = 16 << block
     numbered = rows.select(F.monotonically_increasing_id().alias("_row"), "*")
     text_of = lambda fields: ", ".join(f"{c} {t}" for c, t in fields.items())
-    found = numbered.mapInArrow(run, text_of(kinds | blobs))
-    parts = found.groupBy("block").cogroup(tail.groupBy("block")).applyInArrow(valued_texts, text_of({c: t for c, t in kinds.items() if c != "block"}))
-    summed = parts.groupBy("_row").agg(
-        *[F.first(c, ignorenulls=True).alias(c) for c in ("_id", "held_out")],
-        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")],
-    )
-    return summed.select(F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
+    found = numbered.mapInArrow(run, text_of({"block": "int"} | places | kinds | blobs))
+    parts = found.groupBy("block").cogroup(tail.groupBy("block")).applyInArrow(valued_texts, text_of(places | kinds | sent))
+    scored = parts.groupBy("piece").applyInArrow(summed, text_of(kinds))
+    return scored.select(F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -194,3 +194,42 @@ def test_ids_of_a_row_are_runs(spark):
         step, times = pst._unpacked(pa.scalar(pst._packed(pst._runs(steps)), pa.binary()), np.int64).reshape(2, -1)
         assert np.cumsum(np.repeat(step, times)).tolist() == ids and len(step) <= 2 + 2 * int((steps > 1).sum())
     assert pst.BLOCK_BYTES <= 1 << 22  # of a block's rows a task holds several copies, in Spark and in Python
+
+
+def made(node, name):
+    """Rows that the named node of an executed plan has made."""
+    while node.nodeName() == "AdaptiveSparkPlan" or "QueryStage" in node.nodeName():
+        node = node.plan() if "QueryStage" in node.nodeName() else node.executedPlan()
+    below = [node.children().apply(i) for i in range(node.children().size())]
+    return (node.longMetric("pythonNumRowsReceived").value() if node.nodeName() == name else 0) + sum(made(x, name) for x in below)
+
+
+def test_a_block_gives_a_row_for_each_piece(spark, monkeypatch):
+    """Not for each text: such rows grow with texts times blocks."""
+    rows = corpus(200)
+    monkeypatch.setattr(pst, "HEAD_SHARE", 2.0)
+    monkeypatch.setattr(pst, "BLOCK_BYTES", 1 << 11)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    blocks = 1 << pst.block_bits(df.select("text"))
+    plan = pst.score_texts(spark, df, held_out_of("doc_id", 7, 2))
+    got = {r["doc_id"]: r["score"] for r in plan.collect()}
+    assert np.allclose([got[d] for d, _ in rows], tree_scores(spark, rows), rtol=1e-9)
+    assert blocks >= 16 and len(rows) < made(plan._jdf.queryExecution().executedPlan(), "FlatMapCoGroupsInArrow") <= len(rows) + blocks
+
+
+def test_blocks_of_the_scoring_grow_with_the_square_root():
+    assert [pst.score_bits(b) for b in (0, 3, 6, 8, 10, 12, 14)] == [0, 3, 6, 7, 8, 9, 10]
+
+
+def test_a_run_adds_as_an_entry_and_as_a_state():
+    keys = np.array([9, -4, 9, 7, 7], np.int64)
+    got = pst._merged(keys, np.array([0.5, 1.0, 2.0, -0.25, 4.0]), np.array([False, True, True, False, False]))
+    assert [x.tolist() for x in got] == [[-4, 7, 9], [1.0, 0.0, 2.0], [0.0, 3.75, 0.5]]
+    assert [len(x) for x in pst._merged(keys[:0], np.zeros(0), np.zeros(0, bool))] == [0, 0, 0]
+
+
+def test_more_texts_than_a_piece_holds(spark, monkeypatch):
+    monkeypatch.setattr(pst, "HEAD_SHARE", 2.0)
+    rows = [(d, f"w{d % 50} w{d % 7}" if d % 3 else None) for d in range(70_000)]
+    df = spark.range(0, 70_000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("if(id % 3 = 0, null, concat('w', id % 50, ' w', id % 7))").alias("text"))
+    matches(pst.score_texts(spark, df, held_out_of("doc_id", 7, 2)).collect(), plain_base(rows))
